@@ -16,6 +16,10 @@ HOT_SHARE = 1000
 #: Bits of a hashed filter: at most 2**26 (8 MB), however many keys it holds.
 MAX_FILTER_LOG2 = 26
 
+#: Rows that go to Python at once, where the session has Spark's default of 10,000: texts are long, and a batch of them
+#: is held by the JVM and by Python at the same time.
+BATCH_ROWS = 512
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -34,11 +38,19 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers Spark's default batch of 10,000 rows to BATCH_ROWS; a session's own setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 class Scratch:
     """Written tables that cut lineage: a lost executor costs a re-read of a shared file, never a recomputation."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        bounded_batches(spark)
         self.base = f"{scratch_root(spark).rstrip('/')}/skein-{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}
 
