@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, ngram_jaccard
 
 QUERIES = {
+    "op1_ngram_jaccard": ngram_jaccard.op1_ngram_jaccard,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
 }
 ORACLE = {
