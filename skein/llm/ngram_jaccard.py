@@ -22,6 +22,9 @@ FREQUENT = 32
 MAX_FREQUENT = 1 << 20
 #: Hash ranges whose shingle counts the suffix filter compares.
 RANGES = 16
+#: Finer hash ranges of which it compares only whether the count is odd.
+PARITIES = 256
+SKETCH = ["r0", "r1", "r2", "r3", "p0", "p1", "p2", "p3"]
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _word_hashes: dict[bytes, int] = {}
 
@@ -78,7 +81,9 @@ def _link_conditions(a: str, b: str) -> Column:
     position = F.least(c(a, "n") - c(a, "i"), c(b, "n") - c(b, "i")) >= least
     part = lambda t, k: F.shiftright(c(t, f"r{k // 4}"), 16 * (k % 4)).bitwiseAND(F.lit(65535))
     apart = sum((F.abs(part(a, k) - part(b, k)) for k in range(RANGES)), F.lit(0))
-    return length & position & (apart <= both - least * 2)
+    odd = sum((F.bit_count(c(a, f"p{k}").bitwiseXOR(c(b, f"p{k}"))) for k in range(4)), F.lit(0))
+    most = both - least * 2  # shingles that only one of the two has
+    return length & position & (odd <= most) & (apart <= most)
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -148,7 +153,7 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def prefixes(ids: list, texts: list) -> Iterator[pa.RecordBatch]:
         common, levels = known.value
-        n, ranges, prefix, s1, s2 = [], [], [], [], []
+        n, ranges, parities, prefix, s1, s2 = [], [], [], [], [], []
         for t in texts:
             h = shingles(t)
             a, b = np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), np.int64)
@@ -156,33 +161,35 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             s2.append(int(b))
             n.append(len(h))
             ranges.append(np.minimum(np.bincount((h & np.uint64(RANGES - 1)).astype(np.int64), minlength=RANGES), 65535).astype(np.uint16).view(np.int64))
+            odd = np.bincount(((h >> np.uint64(8)) & np.uint64(PARITIES - 1)).astype(np.int64), minlength=PARITIES) & 1
+            parities.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
             if len(h) and len(common):
                 at = np.minimum(np.searchsorted(common, h), len(common) - 1)
                 h = h[np.argsort(np.where(common[at] == h, levels[at], 0), kind="stable")]
             prefix.append(h[: prefix_len(len(h))].view(np.int64))
-        r = np.stack(ranges) if ranges else np.zeros((0, 4), np.int64)
+        r = np.hstack([np.stack(ranges), np.stack(parities)])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(x, pa.int64()) for x in (ids, s1, s2, n, *(r[:, k] for k in range(4)))] + [lists(prefix, pa.int64())],
-            names=["id", "s1", "s2", "n", "r0", "r1", "r2", "r3", "prefix"],
+            [pa.array(x, pa.int64()) for x in (ids, s1, s2, n, *r.T)] + [lists(prefix, pa.int64())],
+            names=["id", "s1", "s2", "n", *SKETCH, "prefix"],
         )
 
-    kinds = "id long, s1 long, s2 long, n long, r0 long, r1 long, r2 long, r3 long, prefix array<long>"
+    kinds = f"id long, s1 long, s2 long, n long, {', '.join(f'{c} long' for c in SKETCH)}, prefix array<long>"
     ordered = docs.mapInArrow(per_text(prefixes), kinds).join(reps, ["id", "s1", "s2"], "left_semi").drop("s1", "s2")
     ordered = scratch.put(ordered.dropDuplicates(["id"]) if classes.groupBy("rep").count().filter("count > 1 and rep is not null").count() else ordered, "prefixes")
 
     # prefix rows whose shingle is in another prefix
     shared = scratch.put(ordered.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count("*").alias("c")).filter("c > 1"), "shared")
-    rows = ordered.select("id", "n", "r0", "r1", "r2", "r3", F.posexplode("prefix").alias("i", "h"))
+    rows = ordered.select("id", "n", *SKETCH, F.posexplode("prefix").alias("i", "h"))
     rows = filtered(rows.withColumn("k", F.col("h")), "k", hash_filter(shared, "h", shared.count()))
     n_links = F.expr(f"n - i >= ({NUM} * n + {DEN - 1}) div {DEN}")  # positional filter against the smallest partner
     rows = scratch.put(rows.filter(n_links), "rows")
     scratch.drop(counts, shared, ordered)
 
     # first the member with the fewest rarer shingles against each other member
-    hub = F.min(F.struct("i", "n", "id", "r0", "r1", "r2", "r3")).alias("hub")
+    hub = F.min(F.struct("i", "n", "id", *SKETCH)).alias("hub")
     hubs = scratch.put(rows.groupBy("h").agg(hub, F.count("*").alias("c")).filter("c > 1").select("h", "c", "hub.*"), "hubs")
-    sides = hubs.select("h", "c", F.struct("i", "n", "id", "r0", "r1", "r2", "r3").alias("x"))
-    met = hot_join(rows.select("h", F.struct("i", "n", "id", "r0", "r1", "r2", "r3").alias("y")), sides, "h", "c", rows.count())
+    sides = hubs.select("h", "c", F.struct("i", "n", "id", *SKETCH).alias("x"))
+    met = hot_join(rows.select("h", F.struct("i", "n", "id", *SKETCH).alias("y")), sides, "h", "c", rows.count())
     met = met.filter(F.col("x.id") != F.col("y.id")).filter(_link_conditions("x", "y"))
     pair = [F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")]
     tried = scratch.put(met.select(*pair).distinct(), "tried")
