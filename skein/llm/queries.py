@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, ngram_jaccard
+from . import exact_dedup, language_id, mixing, ngram_jaccard, packing
 
 QUERIES = {
     "op1_ngram_jaccard": ngram_jaccard.op1_ngram_jaccard,
+    "op2_language_id": language_id.op2_language_id,
+    "op3_packing": packing.op3_packing,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op10_mixing": mixing.op10_mixing,
 }
 ORACLE = {
     "op4_exact_dedup": exact_dedup.OP4_SQL,
+    "op10_mixing": mixing.OP10_SQL,
 }
