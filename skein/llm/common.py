@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.session import ship
+
 #: A group is hot if it holds at least one row in HOT_SHARE of all rows; so there are at most HOT_SHARE hot groups.
 HOT_SHARE = 1000
 #: Bits of a hashed filter: at most 2**26 (8 MB), however many keys it holds.
@@ -39,7 +41,8 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Lowers Spark's default batch of 10,000 rows to BATCH_ROWS; a session's own setting stays."""
+    """Lowers Spark's default batch of 10,000 rows to BATCH_ROWS; a session's own setting stays. Ships the package."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key) == "10000":
         spark.conf.set(key, str(BATCH_ROWS))
