@@ -28,32 +28,70 @@ SHORT = 45
 WORKERS = 256
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a worker remembers.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 1_000_000
 
 
 class WordTokenizer:
     """Ids of whole texts as little-endian 32-bit bytes.
 
-    The tokenizer's words never cross white space and its normalisation doesn't reach across it, so a text's ids are
-    those of its parts between ASCII white space, one after the other. Ids of parts are remembered, up to a bound.
+    The tokenizer lower-cases, its words never cross white space, and its normalisation doesn't reach across it; so a
+    text's ids are those of its parts between ASCII white space, one after the other, and A-Z can be lower-cased first.
+    A run of TAIL after an ASCII letter or digit is a word of its own. Ids of parts are remembered, up to a bound. Parts
+    that are letters only are encoded many at a time: each ends with the only token that ends a word.
     """
 
+    TAIL = b".,!?;:"
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        vocab = self.inner.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+
+    def learn(self, words: set[bytes]) -> None:
+        known, halves, todo = self.known, [], set()
+        for w in words:
+            core = w.rstrip(self.TAIL)
+            if core is not w and core and core[-1] < 128 and core[-1:].isalnum():
+                tail = w[len(core) :]
+                halves.append((w, core, tail))
+                todo.add(core)
+                todo.add(tail)
+            else:
+                todo.add(w)
+        fast, slow = [], []
+        for w in todo.difference(known):
+            (fast if w.isalpha() or (t := w.decode()).isalpha() and t.lower().isalpha() else slow).append(w)
+        for i in range(0, len(fast), 2000):
+            some = fast[i : i + 2000]
+            ids = np.array(self.inner.encode(b" ".join(some).decode(), add_special_tokens=False).ids, "<u4")
+            cut = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(cut) != len(some):  # not the words expected: encode them one by one
+                slow += some
+                continue
+            data = ids.tobytes()
+            known.update(zip(some, map(data.__getitem__, map(slice, [0, *cut], cut))))
+        for i in range(0, len(slow), 20_000):
+            some = slow[i : i + 20_000]
+            found = self.inner.encode_batch([w.decode() for w in some], add_special_tokens=False)
+            known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, found))
+        for w, core, tail in halves:
+            known[w] = known[core] + known[tail]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        parts = [(t or "").encode().split() for t in texts]
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
-        new = list(set().union(*parts).difference(self.known))
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            found = self.inner.encode_batch([w.decode() for w in some], add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, found))
-        return [b"".join(map(self.known.__getitem__, p)) for p in parts]
+        parts = [(t or "").encode().lower().split() for t in texts]
+        found = [list(map(self.known.get, p)) for p in parts]
+        new = [[i for i, ids in enumerate(f) if ids is None] for f in found]
+        self.learn({p[i] for p, at in zip(parts, new) for i in at})
+        for p, f, at in zip(parts, found, new):
+            for i in at:
+                f[i] = self.known[p[i]]
+        return [b"".join(f) for f in found]
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
