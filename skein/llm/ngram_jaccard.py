@@ -29,13 +29,8 @@ _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F,
 _word_hashes: dict[bytes, int] = {}
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's word 3-grams; fewer words make one shingle, none make no shingle."""
-    words = (text or "").encode().lower().split()  # bytes: A-Z only, and ASCII white space only
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(words) < WORDS:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))], np.uint64)
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of the words, remembered up to a bound."""
     known = _word_hashes
     new = set(words).difference(known)
     if new:
@@ -44,7 +39,17 @@ def shingles(text: str | None) -> np.ndarray:
             new = set(words)
         for w in new:
             known[w] = xxhash.xxh3_64_intdigest(w)
-    w = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of a text's word 3-grams; fewer words make one shingle, none make no shingle."""
+    words = (text or "").encode().lower().split()  # bytes: A-Z only, and ASCII white space only
+    if not words:
+        return np.zeros(0, np.uint64)
+    if len(words) < WORDS:
+        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))], np.uint64)
+    w = word_hashes(words)
     h = w[:-2] * _M1 + (w[1:-1] ^ (w[1:-1] >> np.uint64(29))) * _M2 + (w[2:] ^ (w[2:] >> np.uint64(31))) * _M3
     h ^= h >> np.uint64(32)
     h *= _M1
