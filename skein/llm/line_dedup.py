@@ -123,7 +123,7 @@ def kept_lines(text: str | None, drop: bytes | None) -> list[str]:
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     drops = line_dedup(docs)
-    both = docs.join(drops, "doc_id", "left").select("doc_id", "text", "drop")
+    both = docs.join(drops.hint("merge"), "doc_id", "left").select("doc_id", "text", "drop")
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
