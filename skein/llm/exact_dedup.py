@@ -71,7 +71,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     kept = found.filter("kept").select(F.col(id_col).alias("_skein_id"), F.col("full_hash").alias("_skein_hash"), F.col("n_rows").alias("_skein_n"))
     full = F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).cast("binary"), 256)
     out = docs.withColumn("_skein_key", full).join(
-        kept, F.col(id_col).cast("long").eqNullSafe(F.col("_skein_id")) & (F.col("_skein_key") == F.col("_skein_hash"))
+        kept.hint("merge"), F.col(id_col).cast("long").eqNullSafe(F.col("_skein_id")) & (F.col("_skein_key") == F.col("_skein_hash"))
     )
     if not kept.filter("_skein_n > 1").isEmpty():
         out = out.dropDuplicates(["_skein_id", "_skein_hash"])

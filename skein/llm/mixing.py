@@ -113,7 +113,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     else:
         rows = rows.withColumn("_rk", F.row_number().over(Window.partitionBy("_ri", "_rs", "_rn").orderBy("_rn")))
     on = F.col("_ri").eqNullSafe(F.col("_i")) & F.col("_rs").eqNullSafe(F.col("_s")) & (F.col("_rn") == F.col("_n")) & (F.col("_rk") == F.col("_k"))
-    out = rows.join(uses, on).select(*[F.col(f"`{c}`") for c in docs.columns], F.explode("_at").alias("_position"))
+    out = rows.join(uses.hint("merge"), on).select(*[F.col(f"`{c}`") for c in docs.columns], F.explode("_at").alias("_position"))
     return out.repartitionByRange("_position").sortWithinPartitions("_position").drop("_position")
 
 

@@ -226,7 +226,7 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """Of each group of near duplicates the document with the smallest id, with all its columns."""
     found = ngram_jaccard(docs, id_col, text_col)
     kept = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_skein_id")).distinct()
-    out = docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_skein_id")), "left_semi")
+    out = docs.join(kept.hint("merge"), F.col(id_col).cast("long").eqNullSafe(F.col("_skein_id")), "left_semi")
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
