@@ -24,6 +24,9 @@ MAX_FREQUENT = 1 << 20
 RANGES = 16
 #: Finer hash ranges of which it compares only whether the count is odd.
 PARITIES = 256
+#: Sets over LARGE shingles also have the counts of FINE hash ranges, which candidate pairs are held against before their
+#: texts are fetched: the larger two sets are, the finer the ranges must be to tell them apart.
+LARGE, FINE = 600, 256
 SKETCH = ["r0", "r1", "r2", "r3", "p0", "p1", "p2", "p3"]
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _word_hashes: dict[bytes, int] = {}
@@ -91,8 +94,27 @@ def _link_conditions(a: str, b: str) -> Column:
     return length & position & (odd <= most) & (apart <= most)
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+def _suffix_filter(pairs: DataFrame, fine: DataFrame) -> DataFrame:
+    """Drops pairs of large sets whose counts by fine hash ranges show too many shingles that only one has."""
+    side = lambda x: fine.select(F.col("id").alias(x), F.col("fine").alias(f"f{x}"))
+    both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").select("a", "b", "fa", "fb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            large = np.flatnonzero(batch.column("fa").is_valid().to_numpy(False) & batch.column("fb").is_valid().to_numpy(False))
+            if len(large):
+                a, b = (np.frombuffer(b"".join(batch.column(c).take(pa.array(large)).to_pylist()), np.uint16).reshape(-1, FINE).astype(np.int64) for c in ("fa", "fb"))
+                n = a.sum(1) + b.sum(1)
+                keep[large] = np.abs(a - b).sum(1) <= n - 2 * ((NUM * n + NUM + DEN - 1) // (NUM + DEN))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, fine: DataFrame, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) that link, from the whole texts of both. Each pair comes once and is verified once."""
+    pairs = scratch.put(_suffix_filter(pairs, fine), "pairs")
     ids = scratch.put(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
     flt = hash_filter(ids.select(F.xxhash64("id").alias("k")), "k", ids.count())
     texts = scratch.put(filtered(docs.withColumn("k", F.xxhash64("id")), "k", flt).join(ids, "id", "left_semi"), "texts")
@@ -158,7 +180,7 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def prefixes(ids: list, texts: list) -> Iterator[pa.RecordBatch]:
         common, levels = known.value
-        n, ranges, parities, prefix, s1, s2 = [], [], [], [], [], []
+        n, ranges, parities, fine, prefix, s1, s2 = [], [], [], [], [], [], []
         for t in texts:
             h = shingles(t)
             a, b = np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), np.int64)
@@ -168,17 +190,19 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             ranges.append(np.minimum(np.bincount((h & np.uint64(RANGES - 1)).astype(np.int64), minlength=RANGES), 65535).astype(np.uint16).view(np.int64))
             odd = np.bincount(((h >> np.uint64(8)) & np.uint64(PARITIES - 1)).astype(np.int64), minlength=PARITIES) & 1
             parities.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+            many = np.bincount(((h >> np.uint64(16)) & np.uint64(FINE - 1)).astype(np.int64), minlength=FINE) if len(h) > LARGE else None
+            fine.append(None if many is None or many.max() > 65535 else many.astype(np.uint16).tobytes())
             if len(h) and len(common):
                 at = np.minimum(np.searchsorted(common, h), len(common) - 1)
                 h = h[np.argsort(np.where(common[at] == h, levels[at], 0), kind="stable")]
             prefix.append(h[: prefix_len(len(h))].view(np.int64))
         r = np.hstack([np.stack(ranges), np.stack(parities)])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(x, pa.int64()) for x in (ids, s1, s2, n, *r.T)] + [lists(prefix, pa.int64())],
-            names=["id", "s1", "s2", "n", *SKETCH, "prefix"],
+            [pa.array(x, pa.int64()) for x in (ids, s1, s2, n, *r.T)] + [pa.array(fine, pa.binary()), lists(prefix, pa.int64())],
+            names=["id", "s1", "s2", "n", *SKETCH, "fine", "prefix"],
         )
 
-    kinds = f"id long, s1 long, s2 long, n long, {', '.join(f'{c} long' for c in SKETCH)}, prefix array<long>"
+    kinds = f"id long, s1 long, s2 long, n long, {', '.join(f'{c} long' for c in SKETCH)}, fine binary, prefix array<long>"
     ordered = docs.mapInArrow(per_text(prefixes), kinds).join(reps, ["id", "s1", "s2"], "left_semi").drop("s1", "s2")
     ordered = scratch.put(ordered.dropDuplicates(["id"]) if classes.groupBy("rep").count().filter("count > 1 and rep is not null").count() else ordered, "prefixes")
 
@@ -188,7 +212,8 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = filtered(rows.withColumn("k", F.col("h")), "k", hash_filter(shared, "h", shared.count()))
     n_links = F.expr(f"n - i >= ({NUM} * n + {DEN - 1}) div {DEN}")  # positional filter against the smallest partner
     rows = scratch.put(rows.filter(n_links), "rows")
-    scratch.drop(counts, shared, ordered)
+    fine = ordered.filter("fine is not null").select("id", "fine")
+    scratch.drop(counts, shared)
 
     # first the member with the fewest rarer shingles against each other member
     hub = F.min(F.struct("i", "n", "id", *SKETCH)).alias("hub")
@@ -198,7 +223,7 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     met = met.filter(F.col("x.id") != F.col("y.id")).filter(_link_conditions("x", "y"))
     pair = [F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")]
     tried = scratch.put(met.select(*pair).distinct(), "tried")
-    links = _verify(tried, docs, scratch)
+    links = _verify(tried, docs, fine, scratch)
     labels = scratch.put(components(links, scratch), "labels")
 
     # then the rest: pairs of a group that are in different components
@@ -211,9 +236,9 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rest = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp")) & _link_conditions("x", "y"))
     rest = scratch.put(rest.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
-        links = links.unionByName(_verify(rest, docs, scratch))
+        links = links.unionByName(_verify(rest, docs, fine, scratch))
         labels = scratch.put(components(links, scratch), "labels")
-    scratch.drop(rows, hubs, marked, split, left, tried)
+    scratch.drop(rows, hubs, marked, split, left, tried, ordered)
 
     member = classes.join(labels, classes["rep"] == labels["node"], "left").select("s1", "s2", "n", "members", F.coalesce("comp", "rep").alias("component_id"))
     member = scratch.put(member.withColumn("key", F.xxhash64("s1", "s2", "n")).drop("s1", "s2", "n"), "member")
