@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -40,6 +42,24 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+_held: dict = {}
+
+
+def held(key, make: Callable[[], object]) -> object:
+    """What a Python worker keeps between tasks, such as a tokenizer. Workers outlive a stage, so the next operator's
+    needs replace those of the last one, and freed memory goes back to the system."""
+    if key not in _held:
+        if _held:
+            _held.clear()
+            gc.collect()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+        _held[key] = make()
+    return _held[key]
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Lowers Spark's default batch of 10,000 rows to BATCH_ROWS; a session's own setting stays. Ships the package."""
     ship(spark)

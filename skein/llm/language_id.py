@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, table
+from .common import bounded_batches, held, table
 
 #: Bound of the training sample: so many documents and folded characters per language, chosen by hash over all rows.
 SAMPLE_DOCS = 64
@@ -59,10 +59,10 @@ def train(docs: DataFrame, labelled: Column, id_col: str = "doc_id", text_col: s
     share = {lang: max(1, SAMPLE_CHARS // len(x)) for lang, x in got.items()}
     samples = []
     for lang in sorted(got):
-        held, left = sorted(set(got[lang])), SAMPLE_CHARS
-        out = [t[: share[lang]] for _, t in held]
+        chosen, left = sorted(set(got[lang])), SAMPLE_CHARS
+        out = [t[: share[lang]] for _, t in chosen]
         left -= sum(map(len, out))
-        for _, t in held:  # short documents leave room for more of the long ones
+        for _, t in chosen:  # short documents leave room for more of the long ones
             out.append(t[share[lang] : share[lang] + max(0, left)])
             left -= len(out[-1])
         samples.append((lang, " ".join(out)))
@@ -157,24 +157,18 @@ class Parser:
         return out, lettered
 
 
-_parsers: dict[LanguageModel, Parser] = {}
-
-
 def _parser(model: LanguageModel) -> Parser:
-    if model not in _parsers:
-        _parsers.clear()
-        _parsers[model] = Parser(model)
-    return _parsers[model]
+    return held(model, lambda: Parser(model))
 
 
 def predict(model: LanguageModel, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
     """Language and score of each text."""
-    held = [t or "" for t in texts]
+    whole = [t or "" for t in texts]
     if not model.samples:
-        return [UNKNOWN] * len(held), np.zeros(len(held))
-    cost, lettered = _parser(model).phrases(held)
+        return [UNKNOWN] * len(whole), np.zeros(len(whole))
+    cost, lettered = _parser(model).phrases(whole)
     best = cost.argmin(1)  # ties: the first language in code point order
-    low = cost[np.arange(len(held)), best]
+    low = cost[np.arange(len(whole)), best]
     second = np.partition(cost, 1, axis=1)[:, 1] if cost.shape[1] > 1 else low
     score = np.where(lettered & (second > 0), 1 - low / np.maximum(second, 1e-9), 0.0)
     if cost.shape[1] == 1:
@@ -198,13 +192,13 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, langs, scores, held = [], [], [], 0
+            texts, langs, scores, size = [], [], [], 0
             for t in b.column(keep.index(text_col)):
                 texts.append(t.as_py())
-                held += len(texts[-1] or "")
-                if held >= 4_000_000:
+                size += len(texts[-1] or "")
+                if size >= 4_000_000:
                     x, y = predict(shared.value, texts)
-                    langs, scores, texts, held = langs + x, [*scores, y], [], 0
+                    langs, scores, texts, size = langs + x, [*scores, y], [], 0
             x, y = predict(shared.value, texts)
             scores = np.concatenate([*scores, y])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs + x, pa.string()), pa.array(scores, pa.float64())], names=[*keep, lang_out, score_out])

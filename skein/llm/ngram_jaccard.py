@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, filtered, hash_filter, hot_join, lists, per_text, table
+from .common import Scratch, filtered, hash_filter, held, hot_join, lists, per_text, table
 from .components import components
 
 #: Words in a shingle, and the similarity as a fraction of whole numbers.
@@ -29,15 +29,14 @@ PARITIES = 256
 LARGE, FINE = 600, 256
 SKETCH = ["r0", "r1", "r2", "r3", "p0", "p1", "p2", "p3"]
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
-_word_hashes: dict[bytes, int] = {}
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """64-bit hashes of the words, remembered up to a bound."""
-    known = _word_hashes
+    known = held("word hashes", dict)
     new = set(words).difference(known)
     if new:
-        if len(known) > 400_000:
+        if len(known) > 250_000:
             known.clear()
             new = set(words)
         for w in new:
@@ -122,17 +121,17 @@ def _verify(pairs: DataFrame, docs: DataFrame, fine: DataFrame, scratch: Scratch
     both = both.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").select("a", "ta", "b", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, np.zeros(0, np.uint64)
+        last, own = None, np.zeros(0, np.uint64)
         for batch in batches:
             a, b, links = batch.column("a").to_pylist(), batch.column("b").to_pylist(), []
             for i, (x, y) in enumerate(zip(a, b)):
                 if last != x:
-                    last, held = x, shingles(batch.column("ta")[i].as_py())
+                    last, own = x, shingles(batch.column("ta")[i].as_py())
                 other = shingles(batch.column("tb")[i].as_py())
-                at = np.searchsorted(held, other)
-                at[at == len(held)] = 0
-                common = int((held[at] == other).sum()) if len(held) else 0
-                if DEN * common >= NUM * (len(held) + len(other) - common):
+                at = np.searchsorted(own, other)
+                at[at == len(own)] = 0
+                common = int((own[at] == other).sum()) if len(own) else 0
+                if DEN * common >= NUM * (len(own) + len(other) - common):
                     links.append((x, y))
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links)], names=["a", "b"])

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, per_text, table
+from .common import Scratch, held, per_text, table
 
 CAPACITY = 2048
 END_ID = 1
@@ -27,7 +27,7 @@ SHORT = 45
 #: Remainders of so many workers are packed together.
 WORKERS = 256
 TOKENIZER = "word_bpe_49k.json"
-#: Words whose ids a worker remembers.
+#: Words whose ids a worker remembers, about 140 MB.
 CACHED_WORDS = 1_000_000
 
 
@@ -94,18 +94,16 @@ class WordTokenizer:
         return [b"".join(f) for f in found]
 
 
-_tokenizers: dict[str, WordTokenizer] = {}
-
-
 def tokenizer(name: str) -> WordTokenizer:
-    if name not in _tokenizers:
+    def make() -> WordTokenizer:
         import os
 
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import public_tokenizers
 
-        _tokenizers[name] = WordTokenizer(name if os.path.isabs(name) else public_tokenizers.path(name))
-    return _tokenizers[name]
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        return WordTokenizer(name if os.path.isabs(name) else public_tokenizers.path(name))
+
+    return held(("words", name), make)
 
 
 def cuts(length: int, capacity: int = CAPACITY) -> list[int]:
@@ -159,20 +157,20 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens
                 for length in cuts(len(data) // 4):
                     piece = data[4 * start : 4 * (start + length)]
                     row = (i, start, length, zlib.crc32(piece), len(data) // 4, CAPACITY // length, worker)
-                    held = open_bins.setdefault(row[5], [])
-                    held.append((row, piece if with_ids else None))
-                    if len(held) == row[5]:
+                    waiting = open_bins.setdefault(row[5], [])
+                    waiting.append((row, piece if with_ids else None))
+                    if len(waiting) == row[5]:
                         offset = 0
-                        for r, ids_ in held:
+                        for r, ids_ in waiting:
                             rows.append((*r, made, offset, ids_))
                             offset += r[2]
                         made += 1
-                        held.clear()
+                        waiting.clear()
                     start += length
             yield out(rows)
 
         yield from per_text(fill, 2_000_000)(batches)
-        yield out([(*r, None, None, ids_) for held in open_bins.values() for r, ids_ in held])
+        yield out([(*r, None, None, ids_) for waiting in open_bins.values() for r, ids_ in waiting])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     pieces = scratch.put(rows.mapInArrow(run, schema), "pieces")
