@@ -1,10 +1,445 @@
-"""All queries over the driver's tables, and their SQL."""
+"""All queries over the driver's tables, and their SQL.
+
+The tables hold no genomes, so each query runs an operator on an analogue that both engines can build: sequences of the
+letters A, C, G, T of texts; a graph of consecutive suppliers in orders with quantities as coverage; orders as paths.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from skein.functions.sequence import acgt, base_ids, join_ids, revcomp
+from skein.operators import graph, links, paths
+from skein.operators.rounds import Rounds
+from skein.plans import strains as plan
 
+K = 5
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLE[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---- analogues ----
+
+SEQ = """seq AS (SELECT item_id AS node, regexp_replace(upper(coalesce(text, '')), '[^ACGT]', '', 'g') AS seq FROM benchmark)"""
+PAIRS = """turns AS (
+  SELECT conv_id, turn, role, regexp_replace(upper(coalesce(text, '')), '[^ACGT]', '', 'g') AS seq,
+         lead(role) OVER w AS next_role, lead(regexp_replace(upper(coalesce(text, '')), '[^ACGT]', '', 'g')) OVER w AS rseq
+  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
+), pairs AS (SELECT conv_id * 1000 + turn AS pair, seq AS fseq, rseq FROM turns WHERE role = 'user' AND next_role = 'assistant')"""
+ORDERED = """li AS (
+  SELECT l_orderkey AS o, l_suppkey::VARCHAR AS id, l_quantity AS q,
+         row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS pos FROM lineitem
+)"""
+GRAPH = ORDERED + """, nodes AS (SELECT id, sum(q) AS dp FROM li GROUP BY id),
+steps AS (SELECT a.o, a.pos - 1 AS pos, a.id AS src, b.id AS dst FROM li a JOIN li b ON a.o = b.o AND b.pos = a.pos + 1),
+edges AS (SELECT DISTINCT src, dst FROM steps WHERE src <> dst)"""
+HITS = SEQ + ", " + PAIRS + f""", idx AS (
+  SELECT node, p AS pos, substr(seq, p + 1, {K}) AS kmer FROM (SELECT node, seq, unnest(range(0, greatest(0, length(seq) - {K} + 1))) AS p FROM seq)
+), idx2 AS (SELECT * FROM idx UNION ALL SELECT node, pos, reverse(translate(kmer, 'ACGT', 'TGCA')) FROM idx),
+reads AS (
+  SELECT pair, 0 AS mate, fseq AS seq FROM pairs WHERE length(fseq) >= {K} AND length(rseq) >= {K}
+  UNION ALL SELECT pair, 1, rseq FROM pairs WHERE length(fseq) >= {K} AND length(rseq) >= {K}
+), rk AS (
+  SELECT pair, mate, length(seq) AS read_len, p AS read_pos, substr(seq, p + 1, {K}) AS kmer FROM (SELECT *, unnest(range(0, length(seq) - {K} + 1)) AS p FROM reads)
+), hits AS (
+  SELECT pair, mate, idx2.node, read_len, length(seq.seq) AS node_len, count(*) AS hits, min(pos) AS node_pos, min(read_pos) AS read_pos
+  FROM rk JOIN idx2 ON rk.kmer = idx2.kmer JOIN seq ON seq.node = idx2.node GROUP BY ALL
+), acc AS (
+  SELECT * FROM hits WHERE hits >= greatest(least(
+    (least(node_pos + node_len - 1, node_pos - read_pos + read_len - 1) - node_pos - {K - 1} + 1)::DOUBLE,
+    (least(read_len, node_len) - {K} + 1) * (read_len - {K}) / read_len), 1.0)
+), n AS (SELECT a.node AS i, b.node AS j, count(*) AS n FROM acc a JOIN acc b ON a.pair = b.pair AND a.mate = 0 AND b.mate = 1 GROUP BY ALL),
+s AS (SELECT a.node AS i, b.node AS j, count(*) AS n FROM acc a JOIN acc b ON a.pair = b.pair AND a.mate = b.mate AND a.node <= b.node GROUP BY ALL)"""
+
+
+def _seqs(spark, sf_dir):
+    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("node"), acgt(F.col("text")).alias("seq"))
+
+
+def _pairs(spark, sf_dir):
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", acgt(F.col("text")).alias("fseq"))
+    rows = rows.withColumn("next_role", F.lead("role").over(w)).withColumn("rseq", F.lead("fseq").over(w))
+    return rows.filter("role = 'user' and next_role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("pair"), "fseq", "rseq")
+
+
+def _accepted(spark, sf_dir):
+    return links.saturated(links.hits(_pairs(spark, sf_dir), _seqs(spark, sf_dir), K), K)
+
+
+def _ordered(spark, sf_dir):
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    return read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_suppkey").cast("string").alias("id"), F.col("l_quantity").alias("q"), F.row_number().over(w).alias("pos"))
+
+
+def _paths(spark, sf_dir):
+    rows = _ordered(spark, sf_dir).groupBy("o").agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("x"))
+    return rows.select(F.col("o").cast("string").alias("name"), F.col("o").alias("ord"), F.transform("x", lambda p: p["id"]).alias("path"))
+
+
+def _graph(spark, sf_dir):
+    rows = _ordered(spark, sf_dir)
+    nodes = rows.groupBy("id").agg(F.sum("q").alias("dp"))
+    after = F.lead("id").over(Window.partitionBy("o").orderBy("pos"))
+    edges = rows.withColumn("dst", after).filter("dst is not null and id <> dst").select(F.col("id").alias("src"), "dst").distinct()
+    return nodes, edges
+
+
+def _parts(spark, sf_dir):
+    """Nodes of part brands' sizes as a sparse graph: a chain of parts by key within a brand and type."""
+    p = read(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("id"), "p_partkey", "p_brand", "p_type", F.col("p_size").cast("double").alias("dp"))
+    after = F.lead("id").over(Window.partitionBy("p_brand", "p_type").orderBy("p_partkey"))
+    return p.select("id", "dp"), p.withColumn("dst", after).filter("dst is not null").select(F.col("id").alias("src"), "dst")
+
+
+# ---- sequences and links ----
+
+
+@query(f"WITH {SEQ} SELECT node, seq, reverse(translate(seq, 'ACGT', 'TGCA')) AS rc FROM seq")
+def revcomp_projection(spark, sf_dir):
+    return _seqs(spark, sf_dir).select("node", "seq", revcomp(F.col("seq"), strict=True).alias("rc"))
+
+
+@query(f"WITH {HITS} SELECT node, pos, kmer, count(*) AS n FROM idx2 GROUP BY ALL")
+def kmer_index(spark, sf_dir):
+    return links.kmer_index(_seqs(spark, sf_dir), K).groupBy("node", F.col("pos").cast("long").alias("pos"), "kmer").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {HITS} SELECT least(kmer, reverse(translate(kmer, 'ACGT', 'TGCA'))) AS kmer, count(*) AS n FROM idx GROUP BY 1")
+def kmer_canonical_count(spark, sf_dir):
+    from skein.functions.sequence import windows
+
+    rows = windows(_seqs(spark, sf_dir), "seq", K, ["node"])
+    return rows.groupBy(F.least(F.col("kmer"), revcomp(F.col("kmer"))).alias("kmer")).agg(F.count("*").alias("n"))
+
+
+
+
+def _hit_columns(df):
+    return df.select(*[F.col(c).cast("long").alias(c) for c in ("pair", "mate", "node", "read_len", "node_len", "hits", "node_pos", "read_pos")])
+
+
+@query(f"WITH {HITS} SELECT pair, mate::BIGINT AS mate, node, read_len, node_len, hits, node_pos, read_pos FROM hits")
+def read_node_hits(spark, sf_dir):
+    return _hit_columns(links.hits(_pairs(spark, sf_dir), _seqs(spark, sf_dir), K))
+
+
+@query(f"WITH {HITS} SELECT pair, mate::BIGINT AS mate, node, read_len, node_len, hits, node_pos, read_pos FROM acc")
+def saturated_nodes(spark, sf_dir):
+    return _hit_columns(_accepted(spark, sf_dir))
+
+
+@query(f"WITH {HITS} SELECT i, j, n FROM n")
+def pair_links_n(spark, sf_dir):
+    return links.pair_links(_accepted(spark, sf_dir))
+
+
+@query(f"WITH {HITS} SELECT i, j, n FROM s")
+def mate_links_s(spark, sf_dir):
+    return links.mate_links(_accepted(spark, sf_dir))
+
+
+@query(f"WITH {HITS} SELECT least(i, j) AS a, greatest(i, j) AS b, sum(n)::BIGINT AS cnt FROM (SELECT * FROM n UNION ALL SELECT * FROM s) GROUP BY 1, 2")
+def links_folded(spark, sf_dir):
+    acc = Rounds(spark).put(_accepted(spark, sf_dir))
+    return links.fold(links.pair_links(acc), links.mate_links(acc))
+
+
+@query(f"""WITH {PAIRS} SELECT count(*) AS pairs, count(*) FILTER (length(fseq) < {K} OR length(rseq) < {K}) AS short,
+count(*) FILTER (length(fseq) >= {K} AND length(rseq) >= {K}) AS used FROM pairs""")
+def read_filter_counts(spark, sf_dir):
+    ok = (F.length("fseq") >= K) & (F.length("rseq") >= K)
+    return _pairs(spark, sf_dir).agg(F.count("*").alias("pairs"), F.count_if(~ok).alias("short"), F.count_if(ok).alias("used"))
+
+
+@query(f"WITH {PAIRS} SELECT pair, fseq, rseq FROM pairs WHERE pair % 3 = 0")
+def sample_pairs(spark, sf_dir):
+    """Paired sampling, the same decision for both mates; here by the pair's number so that SQL can follow."""
+    return _pairs(spark, sf_dir).filter("pair % 3 = 0")
+
+
+# ---- graph ----
+
+FLOW = """, ed AS (SELECT src, dst, s.dp AS sdp, t.dp AS tdp FROM edges JOIN nodes s ON s.id = src JOIN nodes t ON t.id = dst),
+flow AS (SELECT src, dst, (tdp / sum(tdp) OVER (PARTITION BY src) * sdp + sdp / sum(sdp) OVER (PARTITION BY dst) * tdp) / 2 AS flow FROM ed)"""
+
+
+@query(f"WITH {GRAPH}{FLOW} SELECT src, dst, round(flow, 6) AS flow FROM flow")
+def edge_flow(spark, sf_dir):
+    return graph.edge_flow(*_graph(spark, sf_dir)).select("src", "dst", F.round("flow", 6).alias("flow"))
+
+
+@query(f"""WITH {GRAPH} SELECT id, (SELECT count(*) FROM edges WHERE dst = id) AS n_in, (SELECT count(*) FROM edges WHERE src = id) AS n_out FROM nodes""")
+def degrees(spark, sf_dir):
+    return graph.degrees(*_graph(spark, sf_dir))
+
+
+EVENTS = """ev AS (SELECT user_id AS src, lead(user_id) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS dst FROM events),
+edges AS (SELECT DISTINCT src, dst FROM ev WHERE dst IS NOT NULL AND src <> dst)"""
+
+
+@query(f"""WITH {EVENTS}, i AS (SELECT dst AS id, count(*) AS n_in FROM edges GROUP BY 1), o AS (SELECT src AS id, count(*) AS n_out FROM edges GROUP BY 1),
+m AS (SELECT a.src AS id, count(*) AS n_both FROM edges a JOIN edges b ON a.src = b.dst AND a.dst = b.src GROUP BY 1),
+x AS (SELECT i.id, n_in, n_out, coalesce(n_both, 0) AS n_both FROM i JOIN o ON i.id = o.id LEFT JOIN m ON m.id = i.id)
+SELECT id, n_in, n_out, n_both FROM x WHERE n_in > greatest(n_both, 1) AND n_out > greatest(n_both, 1)""")
+def nontrivial_branches(spark, sf_dir):
+    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
+    rows = read(spark, sf_dir, "events").select(F.col("user_id").alias("src"), F.lead("user_id").over(w).alias("dst"))
+    return graph.branches(rows.filter("dst is not null and src <> dst").distinct())
+
+
+PARTS = """p AS (SELECT p_partkey::VARCHAR AS id, p_size::DOUBLE AS dp, lead(p_partkey::VARCHAR) OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey) AS dst FROM part),
+edges AS (SELECT id AS src, dst FROM p WHERE dst IS NOT NULL)"""
+
+
+@query(f"""WITH {PARTS} SELECT id FROM p WHERE (SELECT count(*) FROM edges e WHERE e.dst = p.id) = 1 AND (SELECT count(*) FROM edges e WHERE e.src = p.id) = 1""")
+def bubble_nodes(spark, sf_dir):
+    return graph.bubble_nodes(*_parts(spark, sf_dir))
+
+
+HIST = """v AS (SELECT o_totalprice AS dp FROM orders), st AS (SELECT min(dp) AS low, max(dp) AS high, median(dp) AS med FROM v),
+st2 AS (SELECT *, floor((high - low) / (0.05::DOUBLE * med))::BIGINT AS bins FROM st),
+h AS (SELECT least(floor((dp - low) / ((high - low) / bins))::BIGINT, bins - 1) AS bin, count(*) AS n FROM v, st2 GROUP BY 1)"""
+
+
+def _values(spark, sf_dir):
+    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("dp"))
+
+
+@query(f"WITH {HIST} SELECT bin, n FROM h")
+def coverage_histogram(spark, sf_dir):
+    return graph.histogram(_values(spark, sf_dir))[0]
+
+
+@query(f"""WITH {HIST}, g AS (SELECT (SELECT bin FROM h ORDER BY n DESC, bin LIMIT 1) AS top, {', '.join(f"coalesce((SELECT n FROM h WHERE bin = {i}), 0) AS n{i}" for i in range(5))})
+SELECT CASE WHEN top <> 0 THEN 0.0::DOUBLE ELSE med * (0.05::DOUBLE + CASE WHEN n0 <= n1 THEN 0::DOUBLE WHEN n1 <= n2 THEN 0.05::DOUBLE WHEN n2 <= n3 THEN 0.1::DOUBLE WHEN n3 <= n4 THEN 0.15::DOUBLE ELSE 0.2::DOUBLE END) END AS threshold FROM g, st2""")
+def coverage_threshold(spark, sf_dir):
+    return spark.createDataFrame([(float(graph.coverage_threshold(_values(spark, sf_dir))),)], "threshold double")
+
+
+@query(f"""WITH {GRAPH}, live AS (SELECT id FROM nodes WHERE dp > (SELECT avg(dp) FROM nodes))
+SELECT src, dst FROM edges WHERE src IN (SELECT id FROM live) AND dst IN (SELECT id FROM live)""")
+def prune_low_coverage(spark, sf_dir):
+    nodes, edges = _graph(spark, sf_dir)
+    return graph.prune(nodes, edges, nodes.agg(F.avg("dp")).first()[0])[1].select("src", "dst")
+
+
+@query(f"WITH {GRAPH} SELECT id, (row_number() OVER (ORDER BY dp DESC, id) - 1)::VARCHAR AS new_id FROM nodes")
+def reindex_nodes(spark, sf_dir):
+    return graph.reindex(_graph(spark, sf_dir)[0], -F.col("dp"))
+
+
+@query()
+def edge_cleaning(spark, sf_dir):
+    nodes, edges = _graph(spark, sf_dir)
+    return graph.clean_edges(edges)
+
+
+@query(f"""WITH RECURSIVE {PARTS}, c AS (
+  SELECT id, id AS head, 0 AS rank FROM p WHERE dst IS NOT NULL AND id NOT IN (SELECT dst FROM edges)
+  UNION ALL SELECT edges.dst, head, rank + 1 FROM c JOIN edges ON edges.src = c.id
+), m AS (SELECT head, string_agg(c.id, '&' ORDER BY rank) AS id, avg(p.dp) AS dp FROM c JOIN p ON p.id = c.id GROUP BY head)
+SELECT id, round(dp, 6) AS dp FROM m UNION ALL SELECT id, round(dp, 6) FROM p WHERE id NOT IN (SELECT id FROM c)""")
+def simple_path_contraction(spark, sf_dir):
+    nodes, _ = graph.contract(*_parts(spark, sf_dir))
+    return nodes.select("id", F.round("dp", 6).alias("dp"))
+
+
+NATIONS = "e AS (SELECT DISTINCT c_nationkey AS src, s_nationkey AS dst FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE c_nationkey < s_nationkey)"
+
+
+@query(f"WITH RECURSIVE {NATIONS}, r AS (SELECT src AS source, dst AS id FROM e UNION SELECT source, dst FROM r JOIN e ON e.src = r.id) SELECT source, id FROM r")
+def reachability(spark, sf_dir):
+    c, o = read(spark, sf_dir, "customer"), read(spark, sf_dir, "orders")
+    li, s = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "supplier")
+    trade = c.join(o, c["c_custkey"] == o["o_custkey"]).join(li, li["l_orderkey"] == o["o_orderkey"]).join(s, s["s_suppkey"] == li["l_suppkey"])
+    edges = Rounds(spark).put(trade.filter("c_nationkey < s_nationkey").select(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).distinct())
+    return graph.reachable(edges, edges.select(F.col("src").alias("id")).distinct())
+
+
+@query(f"WITH RECURSIVE {PARTS}, r AS (SELECT src AS old, dst AS new FROM edges UNION SELECT old, dst FROM r JOIN edges ON src = new) SELECT old, new FROM r WHERE new NOT IN (SELECT src FROM edges)")
+def transitive_id_map(spark, sf_dir):
+    _, edges = _parts(spark, sf_dir)
+    found = graph.reachable(edges, edges.select(F.col("src").alias("id")).distinct())
+    return found.join(edges.select(F.col("src").alias("id")).distinct(), "id", "left_anti").select(F.col("source").alias("old"), F.col("id").alias("new"))
+
+
+@query(f"""WITH {GRAPH}, r AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY t.dp DESC, dst) AS k FROM edges JOIN nodes t ON t.id = dst)
+SELECT src, dst, k FROM r WHERE k <= 2""")
+def top2_neighbours(spark, sf_dir):
+    nodes, edges = _graph(spark, sf_dir)
+    w = Window.partitionBy("src").orderBy(F.desc("dp"), "dst")
+    rows = edges.join(nodes.withColumnRenamed("id", "dst"), "dst").withColumn("k", F.row_number().over(w).cast("long"))
+    return rows.filter("k <= 2").select("src", "dst", "k")
+
+
+@query(f"""WITH {GRAPH}, x AS (SELECT src, dst, abs(s.dp - t.dp) AS d FROM edges JOIN nodes s ON s.id = src JOIN nodes t ON t.id = dst),
+r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY d, dst) AS ks, row_number() OVER (PARTITION BY dst ORDER BY d, src) AS kt FROM x)
+SELECT src, dst, d FROM r WHERE ks = 1 AND kt = 1""")
+def mutual_best_match(spark, sf_dir):
+    nodes, edges = _graph(spark, sf_dir)
+    rows = edges.join(nodes.select(F.col("id").alias("src"), F.col("dp").alias("s")), "src").join(nodes.select(F.col("id").alias("dst"), F.col("dp").alias("t")), "dst")
+    rows = rows.withColumn("d", F.abs(F.col("s") - F.col("t")))
+    rows = rows.withColumn("ks", F.row_number().over(Window.partitionBy("src").orderBy("d", "dst"))).withColumn("kt", F.row_number().over(Window.partitionBy("dst").orderBy("d", "src")))
+    return rows.filter("ks = 1 and kt = 1").select("src", "dst", "d")
+
+
+@query(f"""WITH {GRAPH}, a AS (SELECT id, (SELECT list(DISTINCT src) FROM edges WHERE dst = id) AS i, (SELECT list(DISTINCT dst) FROM edges WHERE src = id) AS o FROM nodes)
+SELECT id, len(list_intersect(i, o))::BIGINT AS n_both, len(list_distinct(list_concat(i, o)))::BIGINT AS n_any, len(list_filter(i, lambda x: NOT list_contains(o, x)))::BIGINT AS n_in_only FROM a WHERE i IS NOT NULL AND o IS NOT NULL""")
+def neighbour_set_ops(spark, sf_dir):
+    _, edges = _graph(spark, sf_dir)
+    i = edges.groupBy(F.col("dst").alias("id")).agg(F.collect_set("src").alias("i"))
+    o = edges.groupBy(F.col("src").alias("id")).agg(F.collect_set("dst").alias("o"))
+    size = lambda c: F.size(c).cast("long")
+    return i.join(o, "id").select("id", size(F.array_intersect("i", "o")).alias("n_both"), size(F.array_union("i", "o")).alias("n_any"), size(F.array_except("i", "o")).alias("n_in_only"))
+
+
+# ---- paths ----
+
+
+@query(f"WITH {GRAPH} SELECT o::VARCHAR AS name, pos, src, dst FROM steps")
+def contig_edges(spark, sf_dir):
+    return paths.steps(_paths(spark, sf_dir)).select("name", (F.col("pos")).cast("long").alias("pos"), "src", "dst")
+
+
+@query(f"WITH {ORDERED} SELECT id, count(DISTINCT o) AS n, min(o) AS first FROM li GROUP BY id")
+def node_to_contigs(spark, sf_dir):
+    rows = _paths(spark, sf_dir).select("ord", F.explode("path").alias("id"))
+    return rows.groupBy("id").agg(F.count_distinct("ord").alias("n"), F.min("ord").alias("first"))
+
+
+@query(f"""WITH {GRAPH} SELECT a.src AS u, a.dst AS branch, b.dst AS w, count(DISTINCT a.o) AS n FROM steps a JOIN steps b ON a.o = b.o AND b.pos = a.pos + 1 GROUP BY ALL""")
+def branch_support(spark, sf_dir):
+    s = paths.steps(_paths(spark, sf_dir))
+    after = F.lead("dst").over(Window.partitionBy("name").orderBy("pos"))
+    return s.withColumn("w", after).filter("w is not null").groupBy(F.col("src").alias("u"), F.col("dst").alias("branch"), "w").agg(F.count_distinct("name").alias("n"))
+
+
+BRANCH = f"""WITH {PARTS}, li2 AS (SELECT l_orderkey AS o, l_partkey::VARCHAR AS id FROM lineitem GROUP BY ALL),
+pe AS (SELECT least(a.id, b.id) AS a, greatest(a.id, b.id) AS b, count(*) AS cnt FROM li2 a JOIN li2 b ON a.o = b.o AND a.id < b.id GROUP BY ALL),
+u AS (SELECT i.src AS u, i.dst AS branch, o.dst AS w FROM edges i JOIN edges o ON i.dst = o.src)
+SELECT u.u, u.branch, u.w, coalesce(pe.cnt, 0) AS pe FROM u LEFT JOIN pe ON pe.a = least(u.u, u.w) AND pe.b = greatest(u.u, u.w)"""
+
+
+def _branch(spark, sf_dir):
+    _, edges = _parts(spark, sf_dir)
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_partkey").cast("string").alias("id")).distinct()
+    pe = rows.withColumnRenamed("id", "a").join(rows.withColumnRenamed("id", "b"), "o").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("cnt"))
+    through = edges.select(F.col("src").alias("u"), F.col("dst").alias("branch")).join(edges.select(F.col("src").alias("branch"), F.col("dst").alias("w")), "branch")
+    on = (F.col("a") == F.least("u", "w")) & (F.col("b") == F.greatest("u", "w"))
+    return through.join(pe, on, "left").select("u", "branch", "w", F.coalesce("cnt", F.lit(0)).alias("pe"))
+
+
+@query(BRANCH)
+def branch_pairs(spark, sf_dir):
+    return _branch(spark, sf_dir)
+
+
+@query(f"SELECT * FROM ({BRANCH}) WHERE pe > 0 OR u = w")
+def branch_links(spark, sf_dir):
+    return _branch(spark, sf_dir).filter("pe > 0 or u = w")
+
+
+@query(f"""WITH {GRAPH}, l AS (SELECT id, length(id) AS len FROM nodes), big AS (SELECT src, dst, 1 AS overlap FROM edges WHERE length(dst) > 1)
+SELECT o::VARCHAR AS name, (SELECT sum(len) FROM li x JOIN l ON l.id = x.id WHERE x.o = li.o)::BIGINT - coalesce((SELECT sum(overlap) FROM steps s JOIN big ON big.src = s.src AND big.dst = s.dst WHERE s.o = li.o), 0)::BIGINT AS length
+FROM li GROUP BY o""")
+def path_length(spark, sf_dir):
+    nodes, edges = _graph(spark, sf_dir)
+    big = edges.filter(F.length("dst") > 1).withColumn("overlap", F.lit(1))
+    return paths.path_length(_paths(spark, sf_dir), nodes.select("id", F.length("id").alias("len")), big)
+
+
+@query(f"""WITH {GRAPH}, big AS (SELECT src, dst FROM edges WHERE length(dst) > 1), x AS (SELECT li.o, li.pos, li.id, s.dst FROM li LEFT JOIN steps s ON s.o = li.o AND s.pos = li.pos - 1)
+SELECT x.o::VARCHAR AS name, string_agg(CASE WHEN big.src IS NULL THEN x.id ELSE substr(x.id, 1, length(x.id) - 1) END, '' ORDER BY x.pos) AS seq
+FROM x LEFT JOIN big ON big.src = x.id AND big.dst = x.dst GROUP BY x.o""")
+def path_sequence(spark, sf_dir):
+    nodes, edges = _graph(spark, sf_dir)
+    big = edges.filter(F.length("dst") > 1).withColumn("overlap", F.lit(1))
+    return paths.path_sequence(_paths(spark, sf_dir), nodes.select("id", F.col("id").alias("seq")), big)
+
+
+@query(f"WITH {GRAPH}{FLOW} SELECT o::VARCHAR AS name, round(min(flow), 6) AS cov FROM steps JOIN flow ON flow.src = steps.src AND flow.dst = steps.dst GROUP BY o")
+def path_coverage(spark, sf_dir):
+    return paths.path_coverage(_paths(spark, sf_dir), graph.edge_flow(*_graph(spark, sf_dir))).select("name", F.round("cov", 6).alias("cov"))
+
+
+@query(f"WITH {ORDERED} SELECT o::VARCHAR AS name, id, count(*) AS times FROM li GROUP BY ALL")
+def repeat_counts(spark, sf_dir):
+    return paths.repeats(_paths(spark, sf_dir))
+
+
+@query(f"""WITH {ORDERED}, f AS (SELECT o, id, min(pos) AS pos, count(*) AS times FROM li GROUP BY o, id)
+SELECT o::VARCHAR AS name, string_agg(rtrim(repeat(id || ',', times::INT), ','), ',' ORDER BY pos) AS path FROM f GROUP BY o""")
+def repeat_expand(spark, sf_dir):
+    p = _paths(spark, sf_dir)
+    out = paths.expand_repeats(p.select("name", F.array_distinct("path").alias("path")), paths.repeats(p))
+    return out.select("name", F.array_join("path", ",").alias("path"))
+
+
+SETS = f"""WITH {ORDERED}, s AS (SELECT o, list_sort(list(DISTINCT id)) AS s FROM li GROUP BY o),
+u AS (SELECT s, min(o) AS o FROM s GROUP BY s), e AS (SELECT u.o, u.s, len(u.s) AS n, unnest(u.s) AS id FROM u),
+i AS (SELECT DISTINCT a.s FROM (SELECT s, n, s[1] AS id FROM e GROUP BY ALL) a JOIN e b ON a.id = b.id AND b.n > a.n AND list_has_all(b.s, a.s))"""
+
+
+@query(f"""{SETS} SELECT s.o::VARCHAR AS name, CASE WHEN s.o <> u.o THEN 'same' ELSE 'inside' END AS why FROM s JOIN u ON u.s = s.s LEFT JOIN i ON i.s = s.s WHERE s.o <> u.o OR i.s IS NOT NULL""")
+def contig_containment(spark, sf_dir):
+    return paths.contained(Rounds(spark).put(_paths(spark, sf_dir)))
+
+
+@query(f"{SETS} SELECT u.o::VARCHAR AS name, len(u.s)::BIGINT AS n FROM u WHERE s NOT IN (SELECT s FROM i)")
+def contig_dedup(spark, sf_dir):
+    out = paths.deduplicated(Rounds(spark).put(_paths(spark, sf_dir)))
+    return out.select("name", F.size(F.array_distinct("path")).cast("long").alias("n"))
+
+
+@query(f"""WITH {GRAPH}, dead AS (SELECT id FROM nodes WHERE dp <= (SELECT avg(dp) * 0.95::DOUBLE FROM nodes))
+SELECT DISTINCT o::VARCHAR AS name FROM li WHERE o NOT IN (SELECT o FROM li JOIN dead ON dead.id = li.id)""")
+def contig_dead_node_filter(spark, sf_dir):
+    nodes, _ = _graph(spark, sf_dir)
+    low = nodes.agg(F.avg("dp") * 0.95).first()[0]
+    return paths.without_dead(_paths(spark, sf_dir), nodes.filter(F.col("dp") > low)).select("name")
+
+
+@query("""SELECT doc_id, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY n_chars DESC, doc_id) AS k FROM documents) WHERE k = 1""")
+def dedupe_by_sequence(spark, sf_dir):
+    """Of equal sequences the best covered row. Texts are compared by SHA-256, so no text is shuffled; a partial minimum
+    runs before the shuffle, so a large group of copies is one row a task."""
+    d = read(spark, sf_dir, "documents").select("doc_id", "n_chars", F.sha2(F.col("text").cast("binary"), 256).alias("k"))
+    return d.groupBy("k").agg(F.min(F.struct((-F.col("n_chars")).alias("n"), "doc_id", "n_chars")).alias("x")).select("x.doc_id", "x.n_chars")
+
+
+@query("""SELECT o_orderkey AS k, (o_orderkey % 7)::VARCHAR || ',' || (o_orderkey % 11)::VARCHAR || ',-' || (o_orderkey % 5)::VARCHAR AS ids FROM orders""")
+def id_codec(spark, sf_dir):
+    k = F.col("o_orderkey")
+    part = lambda n, pre="", suf="": F.concat(F.lit(pre), (k % n).cast("string"), F.lit(suf))
+    coded = join_ids(F.array(part(7), part(11, suf="*A*0"), part(5, pre="-", suf="*1")))
+    return read(spark, sf_dir, "orders").select(k.alias("k"), F.array_join(base_ids(coded), ",").alias("ids"))
+
+
+@query()
+def strain_extract(spark, sf_dir):
+    """Strains of the parts graph; orders of each brand and type's parts are its contigs."""
+    nodes, edges = _parts(spark, sf_dir)
+    r = Rounds(spark)
+    nodes, edges = r.put(nodes), r.put(edges)
+    contigs = r.put(edges.select(F.concat("src", F.lit("-"), "dst").alias("name"), F.col("src").cast("long").alias("ord"), F.array("src", "dst").alias("path"), F.lit(20.0).alias("cov")))
+    none = spark.createDataFrame([], "a string, b string, cnt long")
+    found = plan.strains(nodes, edges, contigs, none)
+    return found.select("name", F.array_join("path", ",").alias("path"), F.round("cov", 6).alias("cov"))

@@ -59,10 +59,10 @@ def contained(paths: DataFrame) -> DataFrame:
     freq = kinds.select(F.explode("s").alias("id")).groupBy("id").agg(F.count("*").alias("f"))
     rare = kinds.select("name", F.explode("s").alias("id")).join(freq, "id").groupBy("name").agg(F.slice(F.array_sort(F.collect_list(F.struct("f", "id"))), 1, 2).alias("r"))
     rare = kinds.join(rare, "name").withColumn("r", F.array_sort(F.transform("r", lambda x: x["id"])))
-    single = rare.filter("n = 1").select("name", F.col("r")[0].alias("id"))
+    single = rare.filter("n = 1").select("name", F.get("r", F.lit(0)).alias("id"))
     larger = kinds.filter("n > 1").select(F.explode("s").alias("id")).distinct()
     inside = single.join(larger, "id", "left_semi").select("name")
-    small = rare.filter("n > 1").select("name", "s", "n", F.col("r")[0].alias("a"), F.col("r")[1].alias("b"))
+    small = rare.filter("n > 1").select("name", "s", "n", F.get("r", F.lit(0)).alias("a"), F.get("r", F.lit(1)).alias("b"))
     pairs = kinds.filter("n > 2").select(F.col("s").alias("big"), F.col("n").alias("m"), F.explode("s").alias("a"))
     pairs = pairs.select("big", "m", "a", F.explode(F.filter("big", lambda x: x > F.col("a"))).alias("b"))
     met = small.join(pairs, ["a", "b"]).filter((F.col("m") > F.col("n")) & (F.size(F.array_except("s", "big")) == 0))

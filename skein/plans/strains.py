@@ -105,7 +105,7 @@ def strains(nodes: DataFrame, edges: DataFrame, contigs: DataFrame, links: DataF
     c = contigs.join(comp, contigs["path"][0] == comp["id"]).select("comp", F.lit(2), "name", F.lpad(F.col("ord").cast("string"), 20, "0"), "cov", "path")
     li = links.join(comp, links["a"] == comp["id"]).select("comp", F.lit(3), "a", "b", F.col("cnt").cast("double"), F.array().cast("array<string>"))
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
         part = {k: g for k, g in pdf.groupby("kind")}
         get = lambda k: part.get(k, pdf.iloc[:0])
         cs = get(2).sort_values("b")
