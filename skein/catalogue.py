@@ -277,8 +277,8 @@ def reachability(spark, sf_dir):
 @query(f"WITH RECURSIVE {PARTS}, r AS (SELECT src AS old, dst AS new FROM edges UNION SELECT old, dst FROM r JOIN edges ON src = new) SELECT old, new FROM r WHERE new NOT IN (SELECT src FROM edges)")
 def transitive_id_map(spark, sf_dir):
     _, edges = _parts(spark, sf_dir)
-    found = graph.reachable(edges, edges.select(F.col("src").alias("id")).distinct())
-    return found.join(edges.select(F.col("src").alias("id")).distinct(), "id", "left_anti").select(F.col("source").alias("old"), F.col("id").alias("new"))
+    found = graph.closure(Rounds(spark).put(edges))
+    return found.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_anti").select(F.col("src").alias("old"), F.col("dst").alias("new"))
 
 
 @query(f"""WITH {GRAPH}, r AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY t.dp DESC, dst) AS k FROM edges JOIN nodes t ON t.id = dst)
@@ -443,3 +443,31 @@ def strain_extract(spark, sf_dir):
     none = spark.createDataFrame([], "a string, b string, cnt long")
     found = plan.strains(nodes, edges, contigs, none)
     return found.select("name", F.array_join("path", ",").alias("path"), F.round("cov", 6).alias("cov"))
+
+
+def _ring(spark, sf_dir):
+    """Users as nodes, with events as coverage; consecutive users of an event type as edges."""
+    e = read(spark, sf_dir, "events")
+    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
+    edges = e.select(F.col("user_id").cast("string").alias("src"), F.lead("user_id").over(w).cast("string").alias("dst")).filter("dst is not null and src <> dst").distinct()
+    nodes = e.groupBy(F.col("user_id").cast("string").alias("id")).agg(F.count("*").cast("double").alias("dp"))
+    r = Rounds(spark)
+    return r.put(nodes), r.put(edges)
+
+
+@query()
+def nn_split_once(spark, sf_dir):
+    nodes, edges = _ring(spark, sf_dir)
+    links = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).groupBy("a", "b").agg(F.count("*").alias("cnt"))
+    return graph.split_balanced(nodes, edges, links, 10.0)[2]
+
+
+@query()
+def trivial_split_once(spark, sf_dir):
+    nodes, edges = _ring(spark, sf_dir)
+    return graph.split_forks(nodes, edges)[2]
+
+
+@query()
+def branch_coverage_raise(spark, sf_dir):
+    return graph.raise_branches(*_ring(spark, sf_dir)).select("id", F.round("dp", 6).alias("dp"))

@@ -165,3 +165,120 @@ def reachable(edges: DataFrame, sources: DataFrame) -> DataFrame:
         front = rounds.put(step.join(seen, ["source", "id"], "left_anti"))
         seen = rounds.put(seen.unionByName(front))
     return seen
+
+
+def closure(edges: DataFrame) -> DataFrame:
+    """(src, dst): every pair that a path of at least one edge joins. Paths double in length each round."""
+    rounds = Rounds(edges.sparkSession)
+    out = rounds.put(edges.select("src", "dst").distinct())
+    n, before = out.count(), -1
+    while n != before:
+        far = out.join(out.select(F.col("src").alias("dst"), F.col("dst").alias("to")), "dst").select("src", F.col("to").alias("dst"))
+        out = rounds.put(out.union(far).distinct())
+        n, before = out.count(), n
+    return out
+
+
+def independent(ids: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id): what is left of ids if they are admitted in order and no two are adjacent. Each round admits every id that is
+    smaller than all its undecided neighbours."""
+    rounds = Rounds(ids.sparkSession)
+    near = between(edges, ids).select("src", "dst")
+    near = rounds.put(near.union(near.select("dst", "src")).filter("src <> dst").distinct())
+    open_, chosen = rounds.put(ids.select("id").distinct()), None
+    while not open_.isEmpty():
+        least = near.join(open_.withColumnRenamed("id", "dst"), "dst", "left_semi").groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("m"))
+        now = rounds.put(open_.join(least, "id", "left").filter(F.col("m").isNull() | (F.col("id") < F.col("m"))).select("id"))
+        chosen = now if chosen is None else chosen.union(now)
+        out = near.join(now.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id"))
+        open_ = rounds.put(open_.join(now.union(out), "id", "left_anti"))
+    return ids.select("id").limit(0) if chosen is None else chosen
+
+
+def _replace(nodes: DataFrame, edges: DataFrame, copies: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """copies (old, id, dp, u, w; u or w null for a fork's shared side) in place of their old nodes."""
+    old = copies.select(F.col("old").alias("id")).distinct()
+    left = nodes.select("id", "dp").join(old, "id", "left_anti").unionByName(copies.select("id", "dp"))
+    rest = edges.select("src", "dst").join(old.withColumnRenamed("id", "src"), "src", "left_anti").join(old.withColumnRenamed("id", "dst"), "dst", "left_anti")
+    ins = copies.filter("u is not null").select(F.col("u").alias("src"), F.col("id").alias("dst"))
+    outs = copies.filter("w is not null").select(F.col("id").alias("src"), F.col("w").alias("dst"))
+    return left, rest.union(ins).union(outs), copies.select("old", F.col("id").alias("new"))
+
+
+def split_balanced(nodes: DataFrame, edges: DataFrame, links: DataFrame, delta: float, support: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One pass of splitting branches with as many sources as targets: nodes, edges and (old, new).
+
+    Pairs (u, w) around a branch count if they have a link (a, b, cnt), a path through them (support: u, branch, w), or are
+    one node. A branch is split if that uses each end exactly once and no pair's flows differ by more than 4 delta; its
+    copies carry the mean flow. Branches are admitted in order of id, none next to another.
+    """
+    flow = edge_flow(nodes, edges)
+    rows = flow.select(F.col("src").alias("u"), F.col("dst").alias("b"), F.col("flow").alias("fi")).join(flow.select(F.col("src").alias("b"), F.col("dst").alias("w"), F.col("flow").alias("fo")), "b")
+    rows = rows.join(branches(edges).filter("n_in = n_out").select(F.col("id").alias("b"), "n_in"), "b")
+    pe = links.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "cnt").groupBy("x", "y").agg(F.sum("cnt").alias("cnt"))
+    rows = rows.join(pe, (F.least("u", "w") == F.col("x")) & (F.greatest("u", "w") == F.col("y")), "left")
+    good = (F.coalesce("cnt", F.lit(0)) > 0) | (F.col("u") == F.col("w"))
+    if support is not None:
+        rows = rows.join(support.select("u", F.col("branch").alias("b"), "w").distinct().withColumn("s", F.lit(True)), ["u", "b", "w"], "left")
+        good = good | F.coalesce("s", F.lit(False))
+    rows = Rounds(nodes.sparkSession).put(rows.filter(good).select("b", "u", "w", "fi", "fo", "n_in"))
+    fit = rows.groupBy("b", "n_in").agg(F.count("*").alias("n"), F.count_distinct("u").alias("nu"), F.count_distinct("w").alias("nw"), F.max(F.abs(F.col("fi") - F.col("fo"))).alias("worst"))
+    fit = fit.filter((F.col("n") == F.col("n_in")) & (F.col("nu") == F.col("n")) & (F.col("nw") == F.col("n")) & (F.col("worst") <= 4 * delta)).select(F.col("b").alias("id"))
+    chosen = independent(fit, edges).withColumnRenamed("id", "b")
+    nth = F.row_number().over(Window.partitionBy("b").orderBy("u", "w")) - 1
+    copies = rows.join(chosen, "b").select(F.col("b").alias("old"), F.concat("b", F.lit("*"), nth.cast("string")).alias("id"), ((F.col("fi") + F.col("fo")) / 2).alias("dp"), "u", "w")
+    return _replace(nodes, edges, Rounds(nodes.sparkSession).put(copies))
+
+
+def split_forks(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One pass of forking the neighbours of branches: a source of a branch with several ways in and one out gets a copy
+    for each way in, a target with one way in and several out a copy for each way out, with that edge's flow. Of adjacent
+    candidates the smaller id goes first."""
+    rounds = Rounds(nodes.sparkSession)
+    deg, near = degrees(nodes, edges), branches(edges).select(F.col("id").alias("b"))
+    into = edges.join(near, edges["dst"] == near["b"]).select(F.col("src").alias("id")).join(deg.filter("n_in > 1 and n_out = 1"), "id").select("id", F.lit(True).alias("into"))
+    out = edges.join(near, edges["src"] == near["b"]).select(F.col("dst").alias("id")).join(deg.filter("n_in = 1 and n_out > 1"), "id").select("id", F.lit(False).alias("into"))
+    found = rounds.put(into.union(out).distinct())
+    found = rounds.put(found.join(independent(found.select("id"), edges), "id"))
+    flow = edge_flow(nodes, edges)
+    a = flow.select("src", F.col("dst").alias("id"), F.col("flow").alias("f")).join(found.filter("into"), "id").join(edges.select(F.col("src").alias("id"), F.col("dst").alias("w")), "id").select("id", F.col("src").alias("u"), "w", "f")
+    b = flow.select(F.col("src").alias("id"), "dst", F.col("flow").alias("f")).join(found.filter("not into"), "id").join(edges.select(F.col("src").alias("u"), F.col("dst").alias("id")), "id").select("id", "u", F.col("dst").alias("w"), "f")
+    nth = F.row_number().over(Window.partitionBy("id").orderBy("u", "w")) - 1
+    suffix = F.when(nth < 26, F.char(nth + 65)).otherwise(nth.cast("string"))
+    copies = a.union(b).select(F.col("id").alias("old"), F.concat("id", F.lit("*"), suffix).alias("id"), F.col("f").alias("dp"), "u", "w")
+    left, rest, mapped = _replace(nodes, edges, rounds.put(copies))
+    return left, rest.distinct(), mapped
+
+
+def raise_branches(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Nodes whose branches carry at least the flow into and out of them; all are raised from the same flows at once."""
+    flow = edge_flow(nodes, edges)
+    i = flow.groupBy(F.col("dst").alias("id")).agg(F.sum("flow").alias("i"))
+    o = flow.groupBy(F.col("src").alias("id")).agg(F.sum("flow").alias("o"))
+    rows = nodes.join(branches(edges).select("id", F.lit(True).alias("branch")), "id", "left").join(i, "id", "left").join(o, "id", "left")
+    return rows.select("id", F.when(F.col("branch"), F.greatest("dp", "i", "o")).otherwise(F.col("dp")).alias("dp"))
+
+
+def disentangle(nodes: DataFrame, edges: DataFrame, links: DataFrame, delta: float, most: int = 50) -> tuple[DataFrame, DataFrame]:
+    """Splits branches and contracts chains until a pass splits nothing; forks are tried once after each dry pass.
+
+    Contraction joins ids by &; links of parts are summed for the whole, and both copies of a split keep its links.
+    """
+    rounds, spent = Rounds(nodes.sparkSession), False
+    nodes, edges = rounds.put(nodes.select("id", "dp")), rounds.put(edges.select("src", "dst"))
+    links = rounds.put(links.select("a", "b", "cnt"))
+    for _ in range(most):
+        new, left, mapped = split_balanced(nodes, edges, links, delta)
+        dry = mapped.isEmpty()
+        if dry and spent:
+            return nodes, edges
+        if dry:
+            new, left, mapped = split_forks(nodes, edges)
+        spent = dry
+        new, left = contract(rounds.put(new), rounds.put(left))
+        nodes, edges = rounds.put(new), rounds.put(left)
+        base = nodes.select("id", F.explode(F.split("id", "&")).alias("part"))
+        base = base.unionByName(base.join(mapped.select(F.col("new").alias("part"), "old"), "part").select("id", F.col("old").alias("part"))).distinct()
+        x, y = base.select(F.col("id").alias("p"), F.col("part").alias("a")), base.select(F.col("id").alias("q"), F.col("part").alias("b"))
+        links = rounds.put(links.join(x, "a").join(y, "b").filter("p <> q").groupBy(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).agg(F.sum("cnt").alias("cnt")))
+    raise RuntimeError(f"not disentangled after {most} passes")
