@@ -100,7 +100,7 @@ def _automaton(codes: list[int], width: int) -> np.ndarray:
         root[c] = to
     out = np.tile((root << 1) | 1, (len(nxt), 1))
     for state, edges in enumerate(nxt):
-        for c, to in edges.items():
+        for c, to in edges.items() if state else ():  # whatever follows the root begins a phrase
             out[state, c] = to << 1
     return out.ravel()
 
@@ -153,7 +153,7 @@ class Parser:
                 states[k][:n] = to >> 1
                 counts[k][:n] += to & 1
         for k, x in enumerate(counts):
-            out[:, k] = np.bincount(owner, weights=x + 1, minlength=len(texts)) * self.scale[k]
+            out[:, k] = np.bincount(owner, weights=x, minlength=len(texts)) * self.scale[k]
         return out, lettered
 
 
