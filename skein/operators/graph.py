@@ -77,7 +77,7 @@ def prune(nodes: DataFrame, edges: DataFrame, min_cov: float, keep: DataFrame |
 
 
 def between(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    return edges.join(nodes.select(F.col("id").alias("src")), "src", "left_semi").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi")
+    return edges.join(nodes.select(F.col("id").alias("src")), "src", "left_semi").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi").select(*edges.columns)
 
 
 def reindex(nodes: DataFrame, order: Column) -> DataFrame:
@@ -199,7 +199,7 @@ def _replace(nodes: DataFrame, edges: DataFrame, copies: DataFrame) -> tuple[Dat
     """copies (old, id, dp, u, w; u or w null for a fork's shared side) in place of their old nodes."""
     old = copies.select(F.col("old").alias("id")).distinct()
     left = nodes.select("id", "dp").join(old, "id", "left_anti").unionByName(copies.select("id", "dp"))
-    rest = edges.select("src", "dst").join(old.withColumnRenamed("id", "src"), "src", "left_anti").join(old.withColumnRenamed("id", "dst"), "dst", "left_anti")
+    rest = edges.select("src", "dst").join(old.withColumnRenamed("id", "src"), "src", "left_anti").join(old.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst")
     ins = copies.filter("u is not null").select(F.col("u").alias("src"), F.col("id").alias("dst"))
     outs = copies.filter("w is not null").select(F.col("id").alias("src"), F.col("w").alias("dst"))
     return left, rest.union(ins).union(outs), copies.select("old", F.col("id").alias("new"))

@@ -49,7 +49,7 @@ def read_paths(spark: SparkSession, path: str, nodes: DataFrame, edges: DataFram
     the forward one on ties. Ids are kept that are known and linked; contigs of one id must be long and covered enough.
     """
     ship(spark)
-    text = spark.read.option("wholetext", True).text(path)  # one record spans lines; these files are small next to reads
+    text = spark.read.text(path, wholetext=True)  # one record spans lines; these files are small next to reads
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
