@@ -45,17 +45,23 @@ def scratch_root(spark: SparkSession) -> str:
 _held: dict = {}
 
 
+def release() -> None:
+    """Gives a Python worker's freed memory back to the system; workers stay idle beside the next stage's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def held(key, make: Callable[[], object]) -> object:
     """What a Python worker keeps between tasks, such as a tokenizer. Workers outlive a stage, so the next operator's
-    needs replace those of the last one, and freed memory goes back to the system."""
+    needs replace those of the last one."""
     if key not in _held:
         if _held:
             _held.clear()
-            gc.collect()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (OSError, AttributeError):  # another C library
-                pass
+            release()
         _held[key] = make()
     return _held[key]
 
@@ -162,6 +168,7 @@ def per_text(fn: Callable[[list, list], Iterator[pa.RecordBatch]], limit: int =
                     ids, texts, held = [], [], 0
             if ids:
                 yield from fn(ids, texts)
+        release()
 
     return run
 

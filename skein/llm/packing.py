@@ -169,7 +169,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens
                     start += length
             yield out(rows)
 
-        yield from per_text(fill, 2_000_000)(batches)
+        yield from per_text(fill, 1_000_000)(batches)
         yield out([(*r, None, None, ids_) for waiting in open_bins.values() for r, ids_ in waiting])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
