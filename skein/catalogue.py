@@ -471,3 +471,45 @@ def trivial_split_once(spark, sf_dir):
 @query()
 def branch_coverage_raise(spark, sf_dir):
     return graph.raise_branches(*_ring(spark, sf_dir)).select("id", F.round("dp", 6).alias("dp"))
+
+
+@query()
+def nn_split_by_coverage(spark, sf_dir):
+    """The second phase: ends that no link pairs are paired by flow."""
+    nodes, edges = _ring(spark, sf_dir)
+    none = spark.createDataFrame([], "a string, b string, cnt long")
+    return graph.split_balanced(nodes, edges, none, 10.0, by_coverage=True)[2]
+
+
+@query(f"""WITH {PARTS} SELECT 'src' AS src, id AS dst, dp AS flow FROM p WHERE id NOT IN (SELECT dst FROM edges)
+UNION ALL SELECT id, 'sink', dp FROM p WHERE id NOT IN (SELECT src FROM edges)""")
+def global_source_sink(spark, sf_dir):
+    return graph.global_ends(*_parts(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {PARTS}, ends AS (SELECT max(p_partkey)::VARCHAR AS src, min(p_partkey)::VARCHAR AS dst FROM part WHERE p_brand LIKE '%1' GROUP BY p_brand, p_type HAVING count(*) > 1),
+g AS (SELECT src, dst FROM edges UNION SELECT src, dst FROM ends),
+r AS (SELECT src, dst FROM g UNION SELECT r.src, g.dst FROM r JOIN g ON g.src = r.dst),
+c AS (SELECT src AS id FROM r WHERE src = dst)
+SELECT src, dst FROM g WHERE src IN (SELECT id FROM c UNION SELECT dst FROM r WHERE src IN (SELECT id FROM c))
+  AND dst IN (SELECT id FROM c UNION SELECT src FROM r WHERE dst IN (SELECT id FROM c))""")
+def cyclic_core(spark, sf_dir):
+    """Edges of the parts graph that lie on or between cycles; the chains of some brands are closed to rings."""
+    _, edges = _parts(spark, sf_dir)
+    ends = read(spark, sf_dir, "part").filter("p_brand like '%1'").groupBy("p_brand", "p_type").agg(F.max("p_partkey").cast("string").alias("src"), F.min("p_partkey").cast("string").alias("dst"))
+    return graph.cyclic_core(edges.unionByName(ends.filter("src <> dst").select("src", "dst")))
+
+
+@query(f"""WITH {ORDERED}, x AS (SELECT a.o, a.id AS u, b.id AS branch, c.id AS w FROM li a JOIN li b ON b.o = a.o AND b.pos = a.pos + 1 JOIN li c ON c.o = a.o AND c.pos = a.pos + 2)
+SELECT DISTINCT u, branch, w FROM x""")
+def path_triples(spark, sf_dir):
+    return paths.triples(_paths(spark, sf_dir))
+
+
+@query(f"""WITH {ORDERED} SELECT o::VARCHAR AS name, string_agg(id, ',' ORDER BY first) AS path
+FROM (SELECT o, CASE WHEN id::BIGINT % 3 = 0 THEN 'm' ELSE id END AS id, min(pos) AS first FROM li GROUP BY ALL) GROUP BY o""")
+def contig_join_nodes(spark, sf_dir):
+    """Contigs after every third supplier became part of one node."""
+    whole = _graph(spark, sf_dir)[0].filter("cast(id as long) % 3 = 0").select(F.col("id").alias("old"), F.lit("m").alias("new"))
+    out = paths.joined(_paths(spark, sf_dir).withColumn("cov", F.lit(1.0)), whole)
+    return out.select("name", F.array_join("path", ",").alias("path"))

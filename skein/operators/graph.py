@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.operators import paths
 from skein.operators.rounds import Rounds
+from skein.session import ship
 
 
 def edge_flow(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -138,6 +141,11 @@ def chains(edges: DataFrame) -> DataFrame:
 
 def contract(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Chains as one node: ids joined by &, mean coverage; and the edges between what is left."""
+    return contract_mapped(nodes, edges)[:2]
+
+
+def contract_mapped(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As contract, and (old, new) of every node that is part of a chain now."""
     found = Rounds(nodes.sparkSession).put(chains(edges))
     parts = found.join(nodes, found["node"] == nodes["id"]).groupBy("head").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col("node").cast("string").alias("n")))), lambda x: x["n"]), "&").alias("new"),
@@ -152,7 +160,8 @@ def contract(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     left = left.join(inner.select(F.col("node").alias("src"), F.col("head").alias("hs"), F.col("rank").alias("rs")), "src", "left")
     left = left.filter(~F.coalesce((F.col("h") == F.col("hs")) & (F.col("rank") == F.col("rs") + 1), F.lit(False)))
     left = left.join(tails, "src", "left").join(heads, "dst", "left")
-    return out, left.select(F.coalesce("s", F.col("src").cast("string")).alias("src"), F.coalesce("t", F.col("dst").cast("string")).alias("dst")).distinct()
+    mapped = found.join(parts.select("head", "new"), "head").select(F.col("node").alias("old"), "new")
+    return out, left.select(F.coalesce("s", F.col("src").cast("string")).alias("src"), F.coalesce("t", F.col("dst").cast("string")).alias("dst")).distinct(), mapped
 
 
 def reachable(edges: DataFrame, sources: DataFrame) -> DataFrame:
@@ -205,23 +214,58 @@ def _replace(nodes: DataFrame, edges: DataFrame, copies: DataFrame) -> tuple[Dat
     return left, rest.union(ins).union(outs), copies.select("old", F.col("id").alias("new"))
 
 
-def split_balanced(nodes: DataFrame, edges: DataFrame, links: DataFrame, delta: float, support: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def pair_ends(rows: list[tuple]) -> list[tuple]:
+    """The pairs (u, w) of one branch that coverage suggests. rows: (u, w, flow in, flow out, links, sure).
+
+    Sure pairs stay. Pairs of free ends follow by links, most first. Then each free source takes the target nearest in
+    flow, if that is free, the source is the target's nearest too, and either's second nearest is over twice as far.
+    """
+    flow_in, flow_out = {r[0]: r[2] for r in rows}, {r[1]: r[3] for r in rows}
+    kept = [(u, w) for u, w, *_, sure in rows if sure]
+    for u, w, *_ in sorted((r for r in rows if not r[5] and r[4] > 0), key=lambda r: (-r[4], r[0], r[1])):
+        if all(u != x and w != y for x, y in kept):
+            kept.append((u, w))
+    for u in sorted(flow_in):
+        near = sorted((abs(flow_in[u] - f), w) for w, f in flow_out.items())
+        back = sorted((abs(flow_out[near[0][1]] - f), x) for x, f in flow_in.items())
+        best, w = near[0]
+        alone = all(len(x) < 2 or x[1][0] > 2 * best for x in (near, back))
+        if back[0][1] == u and alone and all(u != x and w != y for x, y in kept):
+            kept.append((u, w))
+    return kept
+
+
+def split_balanced(nodes: DataFrame, edges: DataFrame, links: DataFrame, delta: float, support: DataFrame | None = None, by_coverage: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """One pass of splitting branches with as many sources as targets: nodes, edges and (old, new).
 
-    Pairs (u, w) around a branch count if they have a link (a, b, cnt), a path through them (support: u, branch, w), or are
-    one node. A branch is split if that uses each end exactly once and no pair's flows differ by more than 4 delta; its
-    copies carry the mean flow. Branches are admitted in order of id, none next to another.
+    Pairs (u, w) around a branch count if a path goes through them (support: u, branch, w), if they are one node, or if
+    they have a link (a, b, cnt) and no neighbour of the branch is made of copies only; by_coverage, pair_ends chooses
+    instead of the link rule. A branch is split if that uses each end exactly once and no pair's flows differ by more than
+    4 delta; its copies carry the mean flow. Branches are admitted in order of id, none next to another.
     """
+    ship(nodes.sparkSession)
     flow = edge_flow(nodes, edges)
     rows = flow.select(F.col("src").alias("u"), F.col("dst").alias("b"), F.col("flow").alias("fi")).join(flow.select(F.col("src").alias("b"), F.col("dst").alias("w"), F.col("flow").alias("fo")), "b")
     rows = rows.join(branches(edges).filter("n_in = n_out").select(F.col("id").alias("b"), "n_in"), "b")
     pe = links.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "cnt").groupBy("x", "y").agg(F.sum("cnt").alias("cnt"))
-    rows = rows.join(pe, (F.least("u", "w") == F.col("x")) & (F.greatest("u", "w") == F.col("y")), "left")
-    good = (F.coalesce("cnt", F.lit(0)) > 0) | (F.col("u") == F.col("w"))
+    rows = rows.join(pe, (F.least("u", "w") == F.col("x")) & (F.greatest("u", "w") == F.col("y")), "left").withColumn("cnt", F.coalesce("cnt", F.lit(0)))
+    sure = F.col("u") == F.col("w")
     if support is not None:
         rows = rows.join(support.select("u", F.col("branch").alias("b"), "w").distinct().withColumn("s", F.lit(True)), ["u", "b", "w"], "left")
-        good = good | F.coalesce("s", F.lit(False))
-    rows = Rounds(nodes.sparkSession).put(rows.filter(good).select("b", "u", "w", "fi", "fo", "n_in"))
+        sure = sure | F.coalesce("s", F.lit(False))
+    rows = rows.select("b", "u", "w", "fi", "fo", "n_in", "cnt", sure.alias("sure"))
+    if by_coverage:
+
+        def choose(pdf: pd.DataFrame) -> pd.DataFrame:  # a branch: as many rows as sources times targets, few in sequence graphs
+            kept = set(pair_ends(list(zip(pdf.u, pdf.w, pdf.fi, pdf.fo, pdf.cnt, pdf.sure))))
+            return pdf[[x in kept for x in zip(pdf.u, pdf.w)]]
+
+        rows = rows.groupBy("b").applyInPandas(choose, rows.schema)
+    else:
+        copy = lambda c: F.forall(F.split(c, "&"), lambda x: F.contains(x, F.lit("*")))
+        copied = F.max((copy("u") | copy("w")).cast("int")).over(Window.partitionBy("b"))
+        rows = rows.withColumn("copied", copied).filter(F.col("sure") | ((F.col("cnt") > 0) & (F.col("copied") == 0))).drop("copied")
+    rows = Rounds(nodes.sparkSession).put(rows.select("b", "u", "w", "fi", "fo", "n_in"))
     fit = rows.groupBy("b", "n_in").agg(F.count("*").alias("n"), F.count_distinct("u").alias("nu"), F.count_distinct("w").alias("nw"), F.max(F.abs(F.col("fi") - F.col("fo"))).alias("worst"))
     fit = fit.filter((F.col("n") == F.col("n_in")) & (F.col("nu") == F.col("n")) & (F.col("nw") == F.col("n")) & (F.col("worst") <= 4 * delta)).select(F.col("b").alias("id"))
     chosen = independent(fit, edges).withColumnRenamed("id", "b")
@@ -259,26 +303,68 @@ def raise_branches(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.select("id", F.when(F.col("branch"), F.greatest("dp", "i", "o")).otherwise(F.col("dp")).alias("dp"))
 
 
-def disentangle(nodes: DataFrame, edges: DataFrame, links: DataFrame, delta: float, most: int = 50) -> tuple[DataFrame, DataFrame]:
-    """Splits branches and contracts chains until a pass splits nothing; forks are tried once after each dry pass.
+def disentangle(
+    nodes: DataFrame, edges: DataFrame, links: DataFrame, delta: float, contigs: DataFrame | None = None, most: int = 100
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
+    """Nodes, edges, links and contigs (name, ord, path, cov) after branches are split and chains contracted until a pass
+    splits nothing: first by links and contigs, then by coverage. Forks are tried once after each dry pass.
 
-    Contraction joins ids by &; links of parts are summed for the whole, and both copies of a split keep its links.
+    Contraction joins ids by & and sums the links of its parts; copies start without links, as reads can't tell which one
+    they belong to. Contigs follow: a node at an end that was split gives a contig for each copy.
     """
-    rounds, spent = Rounds(nodes.sparkSession), False
+    rounds = Rounds(nodes.sparkSession)
     nodes, edges = rounds.put(nodes.select("id", "dp")), rounds.put(edges.select("src", "dst"))
     links = rounds.put(links.select("a", "b", "cnt"))
-    for _ in range(most):
-        new, left, mapped = split_balanced(nodes, edges, links, delta)
-        dry = mapped.isEmpty()
-        if dry and spent:
-            return nodes, edges
-        if dry:
-            new, left, mapped = split_forks(nodes, edges)
-        spent = dry
-        new, left = contract(rounds.put(new), rounds.put(left))
-        nodes, edges = rounds.put(new), rounds.put(left)
-        base = nodes.select("id", F.explode(F.split("id", "&")).alias("part"))
-        base = base.unionByName(base.join(mapped.select(F.col("new").alias("part"), "old"), "part").select("id", F.col("old").alias("part"))).distinct()
-        x, y = base.select(F.col("id").alias("p"), F.col("part").alias("a")), base.select(F.col("id").alias("q"), F.col("part").alias("b"))
-        links = rounds.put(links.join(x, "a").join(y, "b").filter("p <> q").groupBy(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).agg(F.sum("cnt").alias("cnt")))
-    raise RuntimeError(f"not disentangled after {most} passes")
+    if contigs is not None:
+        contigs = rounds.put(contigs.select("name", "ord", "path", "cov"))
+    passes = 0
+    for by_coverage in (False, True):
+        spent = False
+        while True:
+            passes += 1
+            if passes > most:
+                raise RuntimeError(f"not disentangled after {most} passes")
+            support = None if contigs is None else paths.triples(contigs)
+            new, left, mapped = split_balanced(nodes, edges, links, delta, support, by_coverage)
+            dry = mapped.isEmpty()
+            if dry and spent:
+                break
+            if dry:
+                new, left, mapped = split_forks(nodes, edges)
+            spent = dry
+            new, left, mapped = rounds.put(new), rounds.put(left), rounds.put(mapped)
+            out, rest, whole = contract_mapped(new, left)
+            nodes, edges, whole = rounds.put(out), rounds.put(rest), rounds.put(whole)
+            if contigs is not None:
+                contigs = paths.remap(contigs, mapped, left, copies=not dry) if not mapped.isEmpty() else contigs
+                contigs = rounds.put(paths.joined(contigs, whole))
+                contigs = rounds.put(paths.deduplicated(contigs))
+            live = new.select("id").join(whole.withColumnRenamed("old", "id"), "id", "left").select("id", F.coalesce("new", "id").alias("now"))
+            x, y = live.select(F.col("id").alias("a"), F.col("now").alias("p")), live.select(F.col("id").alias("b"), F.col("now").alias("q"))
+            links = rounds.put(links.join(x, "a").join(y, "b").filter("p <> q").groupBy(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).agg(F.sum("cnt").alias("cnt")))
+    return nodes, edges, links, contigs
+
+
+def global_ends(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(src, dst, flow): edges from one global source `src` to nodes that nothing leads to, and from nodes that lead
+    nowhere to one global sink `sink`; the flow is the node's coverage."""
+    first = nodes.join(edges.select(F.col("dst").alias("id")), "id", "left_anti").select(F.lit("src").alias("src"), F.col("id").alias("dst"), F.col("dp").alias("flow"))
+    last = nodes.join(edges.select(F.col("src").alias("id")), "id", "left_anti").select(F.col("id").alias("src"), F.lit("sink").alias("dst"), F.col("dp").alias("flow"))
+    return first.unionByName(last)
+
+
+def cyclic_core(edges: DataFrame) -> DataFrame:
+    """(src, dst): edges left when edges out of nodes that nothing leads to are taken away again and again, and likewise
+    from the other end; empty if and only if the graph has no cycle."""
+    rounds = Rounds(edges.sparkSession)
+    left = rounds.put(edges.select("src", "dst").distinct())
+    n, before = left.count(), -1
+    while n != before:
+        left = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+        left = rounds.put(left.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        n, before = left.count(), n
+    return left
+
+
+def is_acyclic(edges: DataFrame) -> bool:
+    return cyclic_core(edges).isEmpty()

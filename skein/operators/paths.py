@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.session import ship
+
 
 def steps(paths: DataFrame) -> DataFrame:
     """(name, pos, src, dst): consecutive pairs."""
@@ -80,3 +85,76 @@ def expand_repeats(strains: DataFrame, counts: DataFrame) -> DataFrame:
     rows = strains.select("name", F.posexplode("path").alias("pos", "id")).join(counts, ["name", "id"], "left")
     rows = rows.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("pos", "id", F.coalesce("times", F.lit(1)).cast("int").alias("t")))).alias("x"))
     return rows.select("name", F.flatten(F.transform("x", lambda p: F.array_repeat(p["id"], p["t"]))).alias("path"))
+
+
+def triples(paths: DataFrame) -> DataFrame:
+    """(u, branch, w): what lies before and after each inner node of a path."""
+    rows = paths.select("path", F.size("path").alias("_n")).filter("_n > 2")
+    part = lambda k: F.slice("path", k, F.col("_n") - 2)
+    rows = rows.select(F.explode(F.arrays_zip(part(1).alias("u"), part(2).alias("branch"), part(3).alias("w"))).alias("x"))
+    return rows.select("x.u", "x.branch", "x.w").distinct()
+
+
+def viable(ways: list[set], steps: list[set]) -> list[set] | None:
+    """What of each position's ways lies on a whole path along steps; None if there is no whole path."""
+    ok = [set(ways[0])]
+    for pairs in steps:
+        ok.append({t for s, t in pairs if s in ok[-1]})
+    for i in range(len(steps) - 1, -1, -1):
+        ok[i] &= {s for s, t in steps[i] if t in ok[i + 1]}
+    return ok if all(ok) else None
+
+
+def remap(paths: DataFrame, mapped: DataFrame, edges: DataFrame, copies: bool = False) -> DataFrame:
+    """paths (name, ord, path, cov) after nodes were replaced (old, new; several new ones are alternatives).
+
+    A path with one way along edges takes it; with several it keeps the nodes common to all, and goes if there are none;
+    without any it stays as it is. With copies, if only its ends are open, there is a path for each way, named name$i.
+    Ways are never enumerated: a pass forward and one back over the alternatives finds what lies on a whole path.
+    """
+    ship(paths.sparkSession)
+    alts = paths.select("name", F.posexplode("path").alias("pos", "old")).join(mapped.select("old", "new"), "old", "left").select("name", "pos", F.coalesce("new", "old").alias("alt"))
+    step = alts.withColumnRenamed("alt", "src").join(alts.select("name", (F.col("pos") - 1).alias("pos"), F.col("alt").alias("dst")), ["name", "pos"])
+    step = step.join(edges.select("src", "dst"), ["src", "dst"], "left_semi").groupBy("name").agg(F.collect_list(F.struct("pos", "src", "dst")).alias("steps"))
+    rows = alts.groupBy("name").agg(F.collect_list(F.struct("pos", "alt")).alias("alts")).join(step, "name", "left").join(paths.select("name", "ord", "path", "cov"), "name")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for name, alts, steps, ord_, path, cov in zip(f.name, f.alts, f.steps, f.ord, f.path, f["cov"]):
+                path = list(path)
+                ways, pairs = [set() for _ in path], [set() for _ in path[1:]]
+                for a in alts:
+                    ways[a["pos"]].add(a["alt"])
+                for s in steps if steps is not None else ():
+                    pairs[s["pos"]].add((s["src"], s["dst"]))
+                ok = viable(ways, pairs)
+                if ok is None:
+                    out.append((name, ord_, path, cov))
+                elif copies and all(len(x) == 1 for x in ok[1:-1]) and sum(map(len, ok)) > len(ok):
+                    middle, lasts = [min(x) for x in ok[1:-1]], sorted(ok[-1]) if len(ok) > 1 else [None]
+                    whole = [[a, *middle, *([z] if z else [])] for a in sorted(ok[0]) for z in lasts]
+                    whole = [w for w in whole if len(w) != 2 or tuple(w) in pairs[0]]
+                    out += [(f"{name}${i}", ord_, w, cov) for i, w in enumerate(whole)]
+                else:
+                    sure = [min(x) for x in ok if len(x) == 1]
+                    out += [(name, ord_, sure, cov)] if sure else []
+            yield pd.DataFrame(out, columns=["name", "ord", "path", "cov"])
+
+    return rows.select("name", "alts", "steps", "ord", "path", "cov").mapInPandas(run, "name string, ord long, path array<string>, cov double")
+
+
+def joined(paths: DataFrame, whole: DataFrame) -> DataFrame:
+    """paths (name, ord, path, cov) in which nodes that became part of another (old, new) are that node, once."""
+    rows = paths.select("name", F.posexplode("path").alias("pos", "old")).join(whole.select("old", "new"), "old", "left")
+    rows = rows.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("new", "old").alias("id")))).alias("x"))
+    rows = rows.select("name", F.array_distinct(F.transform("x", lambda p: p["id"])).alias("path"))
+    return paths.drop("path").join(rows, "name").select("name", "ord", "path", "cov")
+
+
+def repeat_votes(strains: DataFrame, contigs: DataFrame) -> DataFrame:
+    """(name, id, times): the most repeats of a node in any contig (name, path, repeats) that lies wholly in the strain."""
+    parts = contigs.select(F.col("name").alias("contig"), F.explode("path").alias("id"), F.size("path").alias("n"))
+    inside = strains.select("name", F.explode("path").alias("id")).distinct().join(parts, "id").groupBy("name", "contig", "n").agg(F.count("*").alias("c")).filter("c = n")
+    votes = contigs.select(F.col("name").alias("contig"), F.explode("repeats").alias("id", "times"))
+    return inside.select("name", "contig").join(votes, "contig").groupBy("name", "id").agg(F.max("times").cast("long").alias("times"))

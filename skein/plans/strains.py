@@ -16,6 +16,8 @@ from skein.operators.rounds import Rounds
 from skein.session import ship
 
 DELTA_SHARE = 0.05
+#: Nodes longer than this that no contig led to are strains of their own.
+FREE_LENGTH = 600
 
 
 def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -64,20 +66,51 @@ def extend(path, out, dp, links, cov, delta):
         seen.add(to)
 
 
-def extract_component(nodes, edges, contigs, links):
+def link_pairs(out, back, links):
+    """{branch: [(u, w)]}: pairs of free ends by links, most first, around nodes with several ways in and several out."""
+    found = {}
+    for x in out:
+        if len(out[x]) > 1 and len(back.get(x, ())) > 1:
+            ways = sorted((-links[u, w], u, w) for u in back[x] for w in out[x] if links.get((u, w), 0) > 0)
+            used_u, used_w = set(), set()
+            for _, u, w in ways:
+                if u not in used_u and w not in used_w:
+                    used_u.add(u)
+                    used_w.add(w)
+                    found.setdefault(x, []).append((u, w))
+    return found
+
+
+def follow(path, out, pairs):
+    """Walks from the end of path over only ways on and, at branches, the way paired with the node before."""
+    path, seen = list(path), set(path)
+    while True:
+        x = path[-1]
+        ways = sorted(out.get(x, ()))
+        if len(ways) > 1:
+            ways = [w for u, w in pairs.get(x, ()) if len(path) > 1 and u == path[-2]]
+        if len(ways) != 1 or ways[0] in seen:
+            return path
+        path.append(ways[0])
+        seen.add(ways[0])
+
+
+def extract_component(nodes, edges, contigs, links, lengths=None, delta=None):
     """Strains (name, path, cov) of one component. nodes: {id: dp}; edges: (src, dst) pairs; contigs: (name, path, cov) in
-    order; links: {(u, w): count}. Longest contig first; ids of exhausted nodes are no longer walked."""
+    order; links: {(u, w): count}. Longest contig first; ids of exhausted nodes are no longer walked. With lengths ({id:
+    length}), nodes over FREE_LENGTH that no strain used are walked as well, along links only."""
     dp = dict(nodes)
     if not dp:
         return []
-    delta = DELTA_SHARE * statistics.median(dp.values())
+    delta = DELTA_SHARE * statistics.median(dp.values()) if delta is None else delta
     out, back = {}, {}
     for s, t in edges:
         out.setdefault(s, set()).add(t)
         back.setdefault(t, set()).add(s)
     links = {**links, **{(w, u): n for (u, w), n in links.items()}}
     live = set(dp)
-    left = sorted(enumerate(contigs), key=lambda c: (-len(c[1][1]), c[0]))
+    size = lambda path: sum((lengths or {}).get(v, 1) for v in path)
+    left = sorted(enumerate(contigs), key=lambda c: (-size(c[1][1]), c[0]))
     strains, used = [], set()
     for _, (name, path, cov) in left:
         if not set(path) <= live or set(path) <= used:
@@ -93,23 +126,39 @@ def extract_component(nodes, edges, contigs, links):
             dp[v] -= cov
             if dp[v] <= delta:
                 live.discard(v)
+    free = [v for v in live if (lengths or {}).get(v, 0) > FREE_LENGTH and v not in used]
+    near = {k: v & live for k, v in out.items()}, {k: v & live for k, v in back.items()}
+    pairs = link_pairs(*near, links) if free else {}
+    for v in sorted(free, key=lambda v: (-lengths[v], v)):
+        if v in used:
+            continue
+        whole = follow([v], near[0], pairs)
+        whole = follow(whole[::-1], near[1], {x: [(w, u) for u, w in p] for x, p in pairs.items()})[::-1]
+        single = [dp[x] for x in whole if len(near[0].get(x, ())) <= 1 and len(near[1].get(x, ())) <= 1]
+        strains.append((f"N{v}", whole, statistics.median(single) if single else dp[v]))
+        used.update(whole)
     return [s for s in strains if s[2] > 2 * delta]
 
 
-def strains(nodes: DataFrame, edges: DataFrame, contigs: DataFrame, links: DataFrame) -> DataFrame:
-    """(name, path, cov) over all components. nodes (id, dp), edges (src, dst), contigs (name, ord, path, cov), links (a, b, cnt)."""
+def strains(nodes: DataFrame, edges: DataFrame, contigs: DataFrame, links: DataFrame, delta: float | None = None) -> DataFrame:
+    """(name, path, cov) over all components. nodes (id, dp[, len]), edges (src, dst), contigs (name, ord, path, cov), links
+    (a, b, cnt). delta is 0.05 medians of a component's coverage unless given."""
     ship(nodes.sparkSession)
+    measured = "len" in nodes.columns
     comp = Rounds(nodes.sparkSession).put(weak_components(nodes, edges))
-    n = nodes.join(comp, "id").select("comp", F.lit(0).alias("kind"), F.col("id").alias("a"), F.lit("").alias("b"), F.col("dp").alias("x"), F.array().cast("array<string>").alias("path"))
-    e = edges.join(comp, edges["src"] == comp["id"]).select("comp", F.lit(1), "src", "dst", F.lit(0.0), F.array().cast("array<string>"))
-    c = contigs.join(comp, contigs["path"][0] == comp["id"]).select("comp", F.lit(2), "name", F.lpad(F.col("ord").cast("string"), 20, "0"), "cov", "path")
-    li = links.join(comp, links["a"] == comp["id"]).select("comp", F.lit(3), "a", "b", F.col("cnt").cast("double"), F.array().cast("array<string>"))
+    size = F.col("len").cast("double") if measured else F.lit(0.0)
+    none = F.array().cast("array<string>")
+    n = nodes.join(comp, "id").select("comp", F.lit(0).alias("kind"), F.col("id").alias("a"), F.lit("").alias("b"), F.col("dp").alias("x"), size.alias("y"), none.alias("path"))
+    e = edges.join(comp, edges["src"] == comp["id"]).select("comp", F.lit(1), "src", "dst", F.lit(0.0), F.lit(0.0), none)
+    c = contigs.join(comp, contigs["path"][0] == comp["id"]).select("comp", F.lit(2), "name", F.lpad(F.col("ord").cast("string"), 20, "0"), "cov", F.lit(0.0), "path")
+    li = links.join(comp, links["a"] == comp["id"]).select("comp", F.lit(3), "a", "b", F.col("cnt").cast("double"), F.lit(0.0), none)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         part = {k: g for k, g in pdf.groupby("kind")}
         get = lambda k: part.get(k, pdf.iloc[:0])
-        cs = get(2).sort_values("b")
-        found = extract_component(dict(zip(get(0).a, get(0).x)), list(zip(get(1).a, get(1).b)), [(a, list(p), x) for a, p, x in zip(cs.a, cs.path, cs.x)], dict(zip(zip(get(3).a, get(3).b), get(3).x)))
+        ns, es, cs, ls = get(0), get(1), get(2).sort_values(["b", "a"]), get(3)
+        lengths = dict(zip(ns.a, ns.y)) if measured else None
+        found = extract_component(dict(zip(ns.a, ns.x)), list(zip(es.a, es.b)), [(a, list(p), x) for a, p, x in zip(cs.a, cs.path, cs.x)], dict(zip(zip(ls.a, ls.b), ls.x)), lengths, delta)
         return pd.DataFrame([(n, p, float(x)) for n, p, x in found], columns=["name", "path", "cov"])
 
     return n.unionAll(e).unionAll(c).unionAll(li).groupBy("comp").applyInPandas(run, "name string, path array<string>, cov double")

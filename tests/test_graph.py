@@ -39,7 +39,7 @@ def test_balanced_split_then_contraction(spark, x_graph):
 
 def test_disentangle(spark, x_graph):
     pe = spark.createDataFrame([("a", "d", 5), ("b", "e", 3)], "a string, b string, cnt long")
-    n, _ = graph.disentangle(*x_graph, pe, 3.0)
+    n = graph.disentangle(*x_graph, pe, 3.0)[0]
     assert rows(n, "id") == [("a&c*0&d",), ("b&c*1&e",)]
 
 
