@@ -23,8 +23,8 @@ def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the smallest doc_id stays."""
-    return ngram_jaccard.one_of_each_group(docs)
+    """Of each group of near duplicates (five words a shingle, Jaccard similarity 0.8 or more) the smallest doc_id stays."""
+    return ngram_jaccard.one_of_each_group(docs, words=5, num=8, den=10)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -13,9 +14,6 @@ from pyspark.sql import functions as F
 from .common import Scratch, filtered, hash_filter, held, hot_join, lists, per_text, table
 from .components import components
 
-#: Words in a shingle, and the similarity as a fraction of whole numbers.
-WORDS = 3
-NUM, DEN = 9, 10
 #: A shingle in the low part of more than FREQUENT documents' hashes counts as frequent and comes later in the order.
 FREQUENT = 32
 #: At most so many frequent shingles (8 MB of hashes) are sent to the workers, the most frequent ones.
@@ -28,7 +26,7 @@ PARITIES = 256
 #: texts are fetched: the larger two sets are, the finer the ranges must be to tell them apart.
 LARGE, FINE = 600, 256
 SKETCH = ["r0", "r1", "r2", "r3", "p0", "p1", "p2", "p3"]
-_M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+_M1 = np.uint64(0x9E3779B97F4A7C15)
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -44,47 +42,62 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's word 3-grams; fewer words make one shingle, none make no shingle."""
-    words = (text or "").encode().lower().split()  # bytes: A-Z only, and ASCII white space only
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(words) < WORDS:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))], np.uint64)
-    w = word_hashes(words)
-    h = w[:-2] * _M1 + (w[1:-1] ^ (w[1:-1] >> np.uint64(29))) * _M2 + (w[2:] ^ (w[2:] >> np.uint64(31))) * _M3
-    h ^= h >> np.uint64(32)
-    h *= _M1
-    h ^= h >> np.uint64(29)
-    return np.unique(h)
-
-
-def prefix_len(n: int) -> int:
-    """Of two sets that link, the first so many shingles in any common order share one."""
-    return n - (NUM * n + DEN - 1) // DEN + 1
-
-
-def _zones(ids: list, texts: list) -> Iterator[pa.RecordBatch]:
-    n, s1, s2, zone = [], [], [], []
-    for t in texts:
-        h = shingles(t)
-        a, b = np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), np.int64)
-        n.append(len(h))
-        s1.append(int(a))
-        s2.append(int(b))
-        zone.append(h[: prefix_len(len(h)) * 5 // 4 + 8].view(np.int64))
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), lists(zone, pa.int64())],
-        names=["id", "n", "s1", "s2", "zone"],
-    )
-
-
-def _link_conditions(a: str, b: str) -> Column:
+class Rule(NamedTuple):
+    """What links: so many words make a shingle, and the least Jaccard similarity is num / den, in whole numbers."""
+
+    words: int
+    num: int
+    den: int
+
+    def shingles(self, text: str | None) -> np.ndarray:
+        """Sorted distinct 64-bit hashes of a text's word n-grams; fewer words make one shingle, none make no shingle."""
+        words = (text or "").encode().lower().split()  # bytes: A-Z only, and ASCII white space only
+        if not words:
+            return np.zeros(0, np.uint64)
+        if len(words) < self.words:
+            return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))], np.uint64)
+        w = word_hashes(words)
+        last = len(w) - self.words + 1
+        h = w[:last].copy()
+        for j in range(1, self.words):
+            h ^= h >> np.uint64(29)
+            h *= _M1
+            h += w[j : last + j]
+        h ^= h >> np.uint64(32)
+        h *= _M1
+        h ^= h >> np.uint64(29)
+        return np.unique(h)
+
+    def prefix_len(self, n: int) -> int:
+        """Of two sets that link, the first so many shingles in any common order share one."""
+        return n - (self.num * n + self.den - 1) // self.den + 1
+
+
+def _zones(rule: Rule) -> Callable:
+    def zones(ids: list, texts: list) -> Iterator[pa.RecordBatch]:
+        n, s1, s2, zone = [], [], [], []
+        for t in texts:
+            h = rule.shingles(t)
+            a, b = np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), np.int64)
+            n.append(len(h))
+            s1.append(int(a))
+            s2.append(int(b))
+            zone.append(h[: rule.prefix_len(len(h)) * 5 // 4 + 8].view(np.int64))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), lists(zone, pa.int64())],
+            names=["id", "n", "s1", "s2", "zone"],
+        )
+
+    return zones
+
+
+def _link_conditions(a: str, b: str, rule: Rule) -> Column:
     """Length, positional and suffix filter for two prefix rows that share a shingle."""
     c = lambda t, x: F.col(f"{t}.{x}")
+    _, num, den = rule
     both = c(a, "n") + c(b, "n")
-    least = F.expr(f"({NUM} * ({a}.n + {b}.n) + {NUM + DEN - 1}) div {NUM + DEN}")  # common shingles that a link needs
-    length = F.least(c(a, "n"), c(b, "n")) * DEN >= F.greatest(c(a, "n"), c(b, "n")) * NUM
+    least = F.expr(f"({num} * ({a}.n + {b}.n) + {num + den - 1}) div {num + den}")  # common shingles that a link needs
+    length = F.least(c(a, "n"), c(b, "n")) * den >= F.greatest(c(a, "n"), c(b, "n")) * num
     position = F.least(c(a, "n") - c(a, "i"), c(b, "n") - c(b, "i")) >= least
     part = lambda t, k: F.shiftright(c(t, f"r{k // 4}"), 16 * (k % 4)).bitwiseAND(F.lit(65535))
     apart = sum((F.abs(part(a, k) - part(b, k)) for k in range(RANGES)), F.lit(0))
@@ -93,10 +106,11 @@ def _link_conditions(a: str, b: str) -> Column:
     return length & position & (odd <= most) & (apart <= most)
 
 
-def _suffix_filter(pairs: DataFrame, fine: DataFrame) -> DataFrame:
+def _suffix_filter(pairs: DataFrame, fine: DataFrame, rule: Rule) -> DataFrame:
     """Drops pairs of large sets whose counts by fine hash ranges show too many shingles that only one has."""
     side = lambda x: fine.select(F.col("id").alias(x), F.col("fine").alias(f"f{x}"))
     both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").select("a", "b", "fa", "fb")
+    _, num, den = rule
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,15 +119,15 @@ def _suffix_filter(pairs: DataFrame, fine: DataFrame) -> DataFrame:
             if len(large):
                 a, b = (np.frombuffer(b"".join(batch.column(c).take(pa.array(large)).to_pylist()), np.uint16).reshape(-1, FINE).astype(np.int64) for c in ("fa", "fb"))
                 n = a.sum(1) + b.sum(1)
-                keep[large] = np.abs(a - b).sum(1) <= n - 2 * ((NUM * n + NUM + DEN - 1) // (NUM + DEN))
+                keep[large] = np.abs(a - b).sum(1) <= n - 2 * ((num * n + num + den - 1) // (num + den))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
     return both.mapInArrow(run, "a long, b long")
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, fine: DataFrame, scratch: Scratch) -> DataFrame:
+def _verify(pairs: DataFrame, docs: DataFrame, fine: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) that link, from the whole texts of both. Each pair comes once and is verified once."""
-    pairs = scratch.put(_suffix_filter(pairs, fine), "pairs")
+    pairs = scratch.put(_suffix_filter(pairs, fine, rule), "pairs")
     ids = scratch.put(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
     flt = hash_filter(ids.select(F.xxhash64("id").alias("k")), "k", ids.count())
     texts = scratch.put(filtered(docs.withColumn("k", F.xxhash64("id")), "k", flt).join(ids, "id", "left_semi"), "texts")
@@ -126,12 +140,12 @@ def _verify(pairs: DataFrame, docs: DataFrame, fine: DataFrame, scratch: Scratch
             a, b, links = batch.column("a").to_pylist(), batch.column("b").to_pylist(), []
             for i, (x, y) in enumerate(zip(a, b)):
                 if last != x:
-                    last, own = x, shingles(batch.column("ta")[i].as_py())
-                other = shingles(batch.column("tb")[i].as_py())
+                    last, own = x, rule.shingles(batch.column("ta")[i].as_py())
+                other = rule.shingles(batch.column("tb")[i].as_py())
                 at = np.searchsorted(own, other)
                 at[at == len(own)] = 0
                 common = int((own[at] == other).sum()) if len(own) else 0
-                if DEN * common >= NUM * (len(own) + len(other) - common):
+                if rule.den * common >= rule.num * (len(own) + len(other) - common):
                     links.append((x, y))
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links)], names=["a", "b"])
@@ -141,10 +155,10 @@ def _verify(pairs: DataFrame, docs: DataFrame, fine: DataFrame, scratch: Scratch
     return out
 
 
-def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, num: int = 9, den: int = 10) -> DataFrame:
     """One row per input row: id_col, n_shingles, component_id (the smallest id reachable by links, itself included).
 
-    Two documents link if the Jaccard similarity of their sets of word 3-grams is at least 0.9. Null and empty texts
+    Two documents link if the Jaccard similarity of their sets of word n-grams (n is words) is at least num / den. Null and empty texts
     and texts of white space have the empty set and link with nothing. Rows with equal ids are one document: they are
     linked if any of their texts is. A row with a null id can share a class of equal sets, but is no node itself; its
     component is null if nothing else is in its class. Other columns are not looked at.
@@ -157,10 +171,11 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     those of a large group of near copies, are never made.
     """
     spark = docs.sparkSession
+    rule = Rule(words, num, den)
     scratch = Scratch(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
-    sets = scratch.put(docs.mapInArrow(per_text(_zones), "id long, n long, s1 long, s2 long, zone array<long>"), "sets")
+    sets = scratch.put(docs.mapInArrow(per_text(_zones(rule)), "id long, n long, s1 long, s2 long, zone array<long>"), "sets")
     classes = scratch.put(sets.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("members")), "classes")
     total = sets.count()
     reps = classes.filter("n > 0 and rep is not null").select(F.col("rep").alias("id"), "s1", "s2")
@@ -181,7 +196,7 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         common, levels = known.value
         n, ranges, parities, fine, prefix, s1, s2 = [], [], [], [], [], [], []
         for t in texts:
-            h = shingles(t)
+            h = rule.shingles(t)
             a, b = np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), np.int64)
             s1.append(int(a))
             s2.append(int(b))
@@ -194,7 +209,7 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             if len(h) and len(common):
                 at = np.minimum(np.searchsorted(common, h), len(common) - 1)
                 h = h[np.argsort(np.where(common[at] == h, levels[at], 0), kind="stable")]
-            prefix.append(h[: prefix_len(len(h))].view(np.int64))
+            prefix.append(h[: rule.prefix_len(len(h))].view(np.int64))
         r = np.hstack([np.stack(ranges), np.stack(parities)])
         yield pa.RecordBatch.from_arrays(
             [pa.array(x, pa.int64()) for x in (ids, s1, s2, n, *r.T)] + [pa.array(fine, pa.binary()), lists(prefix, pa.int64())],
@@ -209,7 +224,7 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shared = scratch.put(ordered.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count("*").alias("c")).filter("c > 1"), "shared")
     rows = ordered.select("id", "n", *SKETCH, F.posexplode("prefix").alias("i", "h"))
     rows = filtered(rows.withColumn("k", F.col("h")), "k", hash_filter(shared, "h", shared.count()))
-    n_links = F.expr(f"n - i >= ({NUM} * n + {DEN - 1}) div {DEN}")  # positional filter against the smallest partner
+    n_links = F.expr(f"n - i >= ({num} * n + {den - 1}) div {den}")  # positional filter against the smallest partner
     rows = scratch.put(rows.filter(n_links), "rows")
     fine = ordered.filter("fine is not null").select("id", "fine")
     scratch.drop(counts, shared)
@@ -219,10 +234,10 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     hubs = scratch.put(rows.groupBy("h").agg(hub, F.count("*").alias("c")).filter("c > 1").select("h", "c", "hub.*"), "hubs")
     sides = hubs.select("h", "c", F.struct("i", "n", "id", *SKETCH).alias("x"))
     met = hot_join(rows.select("h", F.struct("i", "n", "id", *SKETCH).alias("y")), sides, "h", "c", rows.count())
-    met = met.filter(F.col("x.id") != F.col("y.id")).filter(_link_conditions("x", "y"))
+    met = met.filter(F.col("x.id") != F.col("y.id")).filter(_link_conditions("x", "y", rule))
     pair = [F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")]
     tried = scratch.put(met.select(*pair).distinct(), "tried")
-    links = _verify(tried, docs, fine, scratch)
+    links = _verify(tried, docs, fine, rule, scratch)
     labels = scratch.put(components(links, scratch), "labels")
 
     # then the rest: pairs of a group that are in different components
@@ -232,10 +247,10 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     split = scratch.put(split.select("h", "c"), "split")
     left = scratch.put(hot_join(marked, split, "h", "c", total).drop("c"), "left")
     x, y = left.alias("x"), left.alias("y")
-    rest = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp")) & _link_conditions("x", "y"))
+    rest = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp")) & _link_conditions("x", "y", rule))
     rest = scratch.put(rest.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
-        links = links.unionByName(_verify(rest, docs, fine, scratch))
+        links = links.unionByName(_verify(rest, docs, fine, rule, scratch))
         labels = scratch.put(components(links, scratch), "labels")
     scratch.drop(rows, hubs, marked, split, left, tried, ordered)
 
@@ -246,13 +261,13 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
-def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id, with all its columns."""
-    found = ngram_jaccard(docs, id_col, text_col)
+    found = ngram_jaccard(docs, id_col, text_col, words, num, den)
     kept = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_skein_id")).distinct()
     out = docs.join(kept.hint("merge"), F.col(id_col).cast("long").eqNullSafe(F.col("_skein_id")), "left_semi")
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard(table(spark, sf_dir, "documents"))
+    return ngram_jaccard(table(spark, sf_dir, "documents"), words=3, num=9, den=10)
