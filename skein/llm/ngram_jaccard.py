@@ -25,6 +25,8 @@ PARITIES = 256
 #: Sets over LARGE shingles also have the counts of FINE hash ranges, which candidate pairs are held against before their
 #: texts are fetched: the larger two sets are, the finer the ranges must be to tell them apart.
 LARGE, FINE = 600, 256
+#: Rows of one shingle that meet each other in one task, where all links are asked for.
+BLOCK = 256
 SKETCH = ["r0", "r1", "r2", "r3", "p0", "p1", "p2", "p3"]
 _M1 = np.uint64(0x9E3779B97F4A7C15)
 
@@ -155,29 +157,16 @@ def _verify(pairs: DataFrame, docs: DataFrame, fine: DataFrame, rule: Rule, scra
     return out
 
 
-def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, num: int = 9, den: int = 10) -> DataFrame:
-    """One row per input row: id_col, n_shingles, component_id (the smallest id reachable by links, itself included).
-
-    Two documents link if the Jaccard similarity of their sets of word n-grams (n is words) is at least num / den. Null and empty texts
-    and texts of white space have the empty set and link with nothing. Rows with equal ids are one document: they are
-    linked if any of their texts is. A row with a null id can share a class of equal sets, but is no node itself; its
-    component is null if nothing else is in its class. Other columns are not looked at.
-
-    Equal sets are merged first, so a group of copies counts as one set. Shingles are ordered by frequency class (from
-    counts over the lowest hashes of every set), then by hash. A set's prefix in that order is joined on shingles. In
-    each group of a shared shingle, every member first meets only the member with the fewest rarer shingles; pairs that
-    pass the length, positional and suffix filters are verified once, and components follow. Then pairs of the same
-    group in different components are tried, which is what is left to lose no link; pairs inside a component, such as
-    those of a large group of near copies, are never made.
-    """
-    spark = docs.sparkSession
-    rule = Rule(words, num, den)
-    scratch = Scratch(spark)
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-
+def _classes(docs: DataFrame, rule: Rule, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Each row's set and rarest candidates, and the classes of equal sets with their smallest id and size."""
     sets = scratch.put(docs.mapInArrow(per_text(_zones(rule)), "id long, n long, s1 long, s2 long, zone array<long>"), "sets")
     classes = scratch.put(sets.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("members")), "classes")
-    total = sets.count()
+    return sets, classes
+
+
+def _prefix_rows(docs: DataFrame, sets: DataFrame, classes: DataFrame, rule: Rule, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, ordered, fine): the classes' prefix shingles that another prefix has, their sketches, their fine counts."""
+    _, num, den = rule
     reps = classes.filter("n > 0 and rep is not null").select(F.col("rep").alias("id"), "s1", "s2")
 
     # frequency classes of shingles
@@ -190,7 +179,7 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     h = frequent["h"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(h)
     level = np.log2(frequent["c"].to_numpy().astype(float) / FREQUENT).astype(np.int8)[order] + np.int8(1)
-    known = spark.sparkContext.broadcast((h[order], level))
+    known = docs.sparkSession.sparkContext.broadcast((h[order], level))
 
     def prefixes(ids: list, texts: list) -> Iterator[pa.RecordBatch]:
         common, levels = known.value
@@ -228,6 +217,31 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = scratch.put(rows.filter(n_links), "rows")
     fine = ordered.filter("fine is not null").select("id", "fine")
     scratch.drop(counts, shared)
+    return rows, ordered, fine
+
+
+def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, num: int = 9, den: int = 10) -> DataFrame:
+    """One row per input row: id_col, n_shingles, component_id (the smallest id reachable by links, itself included).
+
+    Two documents link if the Jaccard similarity of their sets of word n-grams (n is words) is at least num / den. Null and empty texts
+    and texts of white space have the empty set and link with nothing. Rows with equal ids are one document: they are
+    linked if any of their texts is. A row with a null id can share a class of equal sets, but is no node itself; its
+    component is null if nothing else is in its class. Other columns are not looked at.
+
+    Equal sets are merged first, so a group of copies counts as one set. Shingles are ordered by frequency class (from
+    counts over the lowest hashes of every set), then by hash. A set's prefix in that order is joined on shingles. In
+    each group of a shared shingle, every member first meets only the member with the fewest rarer shingles; pairs that
+    pass the length, positional and suffix filters are verified once, and components follow. Then pairs of the same
+    group in different components are tried, which is what is left to lose no link; pairs inside a component, such as
+    those of a large group of near copies, are never made; ngram_links makes them.
+    """
+    rule = Rule(words, num, den)
+    scratch = Scratch(docs.sparkSession)
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+
+    sets, classes = _classes(docs, rule, scratch)
+    total = sets.count()
+    rows, ordered, fine = _prefix_rows(docs, sets, classes, rule, scratch)
 
     # first the member with the fewest rarer shingles against each other member
     hub = F.min(F.struct("i", "n", "id", *SKETCH)).alias("hub")
@@ -261,6 +275,61 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
+def _all_pairs(rows: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
+    """(a, b), a < b: every pair of prefix rows that share a shingle and pass the filters, once.
+
+    A shingle's rows are dealt into blocks of about BLOCK, and each two blocks meet in a key of their own, so that a large
+    group's pairs lie over many tasks.
+    """
+    sizes = scratch.put(rows.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1"), "sizes")
+    total = rows.count()
+    dealt = hot_join(rows, sizes, "h", "c", total).withColumn("m", F.ceil(F.col("c") / BLOCK).cast("int"))
+    dealt = dealt.withColumn("k", F.pmod(F.xxhash64("id"), F.col("m")).cast("int"))
+    side = F.struct("i", "n", "id", *SKETCH)
+    dealt = scratch.put(dealt.select("h", "m", "k", side.alias("s")), "dealt")
+    x = dealt.select("h", F.col("k").alias("p"), F.explode(F.expr("sequence(k, m - 1)")).alias("q"), F.col("s").alias("x"))
+    y = dealt.select("h", F.explode(F.expr("sequence(0, k)")).alias("p"), F.col("k").alias("q"), F.col("s").alias("y"))
+    met = x.join(y, ["h", "p", "q"]).filter((F.col("p") < F.col("q")) | (F.col("x.id") < F.col("y.id"))).filter(_link_conditions("x", "y", rule))
+    pairs = scratch.put(met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct(), "all")
+    scratch.drop(sizes, dealt)
+    return pairs
+
+
+def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, num: int = 9, den: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(rows, links) of the join itself, without components.
+
+    rows: one per input row: id_col, n_shingles, class_id, n_links. Rows with equal sets have the same class_id, a hash of
+    the set; n_links counts the other rows that a row links with, its own class included. links: (a, b), a < b, every two
+    classes that link, once. Rows with an empty set link with nothing. Every row counts as one, also those with a null
+    id or with another row's. A group of n different near copies has up to n * (n - 1) / 2 links, and all are verified.
+    """
+    rule = Rule(words, num, den)
+    scratch = Scratch(docs.sparkSession)
+    docs = docs.select(F.col(id_col).cast("long").alias("given"), F.col(text_col).cast("string").alias("text"))
+    docs = scratch.put(docs.withColumn("id", F.monotonically_increasing_id()), "numbered")
+    given, docs = docs.select("id", "given"), docs.select("id", "text")
+    sets, classes = _classes(docs, rule, scratch)
+    rows, ordered, fine = _prefix_rows(docs, sets, classes, rule, scratch)
+    links = _verify(_all_pairs(rows, rule, scratch), docs, fine, rule, scratch)
+    scratch.drop(rows, ordered)
+
+    key = F.xxhash64("s1", "s2", "n")
+    named = scratch.put(classes.select(F.col("rep").alias("v"), key.alias("class_id"), "n", "members"), "named")
+    both = scratch.put(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a")), "both")
+    ends = scratch.put(both.groupBy("v").agg(F.count("*").alias("c")).join(named, "v"), "ends")
+    both = scratch.put(hot_join(both, ends.select("v", "c", "class_id", "members"), "v", "c", both.count()), "ended")
+    more = both.groupBy("u").agg(F.sum("members").alias("more"))
+    whole = named.join(more, named["v"] == more["u"], "left")
+    whole = whole.select("class_id", "members", F.when(F.col("n") > 0, F.col("members") - 1 + F.coalesce("more", F.lit(0))).otherwise(F.lit(0)).alias("n_links"))
+    whole = scratch.put(whole, "whole")
+    out = hot_join(sets.select("id", F.col("n").alias("n_shingles"), key.alias("class_id")), whole, "class_id", "members", sets.count())
+    out = out.join(given, "id").select(F.col("given").alias(id_col), "n_shingles", "class_id", "n_links")
+    pairs = both.select("u", F.col("class_id").alias("other"))
+    pairs = hot_join(pairs.withColumnRenamed("u", "v"), ends.select("v", "c", "class_id"), "v", "c", both.count())
+    pairs = pairs.filter(F.col("class_id") < F.col("other")).select(F.col("class_id").alias("a"), F.col("other").alias("b"))
+    return out, pairs
+
+
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id, with all its columns."""
     found = ngram_jaccard(docs, id_col, text_col, words, num, den)

@@ -48,3 +48,21 @@ def test_width_and_threshold_are_parameters(spark):
         got = ngram_jaccard.ngram_jaccard(df, words=words, num=num, den=den).collect()
         assert {r["doc_id"] for r in got if r["doc_id"] == r["component_id"]} == kept(texts, brute_links(texts, words, num, den))
         assert {r["doc_id"]: r["n_shingles"] for r in got} == {i: len(s) for i, s in brute_sets(texts, words).items()}
+
+
+def test_links_between_classes(spark, monkeypatch):
+    monkeypatch.setattr(ngram_jaccard, "BLOCK", 4)  # groups of near copies are dealt over several blocks
+    w = word_run(31, 300).split()
+    texts = near_texts() + [(500 + i, " ".join(w[:i] + [f"z{i}"] + w[i + 1 :])) for i in range(0, 80, 2)]
+    texts += [(None, texts[-1][1]), (501, texts[-1][1] + " end"), (1, texts[-1][1])]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    for words, num, den in ((3, 9, 10), (5, 8, 10)):
+        rows, links = ngram_jaccard.ngram_links(df, words=words, num=num, den=den)
+        rows, links = rows.collect(), [tuple(r) for r in links.collect()]
+        numbered = [(k, t) for k, (_, t) in enumerate(texts)]
+        sets, want = brute_sets(numbered, words), brute_links(numbered, words, num, den)
+        times = [sum(k in p for p in want) for k, _ in numbered]
+        assert sorted((r[0] or 0, r[1], r[3]) for r in rows) == sorted((i or 0, len(sets[k]), times[k]) for k, (i, _) in enumerate(texts))
+        assert len(links) == len(set(links)) == len({frozenset((frozenset(sets[a]), frozenset(sets[b]))) for a, b in want if sets[a] != sets[b]})
+        assert all(a < b for a, b in links) and {x for p in links for x in p} <= {r["class_id"] for r in rows}
+        assert len({r["class_id"] for r in rows}) == len({frozenset(x) for x in sets.values()})
