@@ -35,9 +35,14 @@ def path_sequence(paths: DataFrame, nodes: DataFrame, edges: DataFrame, strict:
     return (rows.filter("not gap") if strict else rows).select("name", F.array_join(F.transform("x", lambda p: p["s"]), "").alias("seq"))
 
 
-def path_coverage(paths: DataFrame, flows: DataFrame) -> DataFrame:
-    """(name, cov): the least flow (src, dst, flow) along the path."""
-    return steps(paths).join(flows, ["src", "dst"]).groupBy("name").agg(F.min("flow").alias("cov"))
+def path_coverage(paths: DataFrame, flows: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(name, cov): the least flow (src, dst, flow) along the path; with nodes (id, dp), a path of one node has its dp.
+    Without nodes such a path has no row."""
+    cov = steps(paths).join(flows, ["src", "dst"]).groupBy("name").agg(F.min("flow").alias("cov"))
+    if nodes is None:
+        return cov
+    single = paths.filter(F.size("path") == 1).select("name", F.col("path")[0].alias("id"))
+    return cov.unionByName(single.join(nodes.select("id", F.col("dp").alias("cov")), "id").select("name", "cov"))
 
 
 def repeats(paths: DataFrame) -> DataFrame:
