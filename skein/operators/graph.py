@@ -295,12 +295,15 @@ def split_forks(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFram
 
 
 def raise_branches(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Nodes whose branches carry at least the flow into and out of them; all are raised from the same flows at once."""
-    flow = edge_flow(nodes, edges)
-    i = flow.groupBy(F.col("dst").alias("id")).agg(F.sum("flow").alias("i"))
-    o = flow.groupBy(F.col("src").alias("id")).agg(F.sum("flow").alias("o"))
-    rows = nodes.join(branches(edges).select("id", F.lit(True).alias("branch")), "id", "left").join(i, "id", "left").join(o, "id", "left")
-    return rows.select("id", F.when(F.col("branch"), F.greatest("dp", "i", "o")).otherwise(F.col("dp")).alias("dp"))
+    """Nodes whose branches carry at least the flow into and out of them; a simple branch (its sources lead only to it, its
+    targets come only from it) the summed depths of either side. All are raised from the same flows at once."""
+    flow, deg = edge_flow(nodes, edges), degrees(nodes, edges)
+    end = lambda at, n: nodes.select("id", "dp").join(deg.select("id", n), "id").select(F.col("id").alias(at), F.col("dp").alias("d"), F.col(n).alias("n"))
+    side = lambda at, of, n, x: flow.join(end(of, n), of).groupBy(F.col(at).alias("id")).agg(F.sum("flow").alias(x), F.sum("d").alias(f"{x}_dp"), (F.max("n") == 1).alias(f"{x}_only"))
+    rows = nodes.join(branches(edges).select("id", F.lit(True).alias("branch")), "id", "left")
+    rows = rows.join(side("dst", "src", "n_out", "i"), "id", "left").join(side("src", "dst", "n_in", "o"), "id", "left")
+    raised = F.when(F.col("i_only") & F.col("o_only"), F.greatest("dp", "i_dp", "o_dp")).otherwise(F.greatest("dp", "i", "o"))
+    return rows.select("id", F.when(F.col("branch"), raised).otherwise(F.col("dp")).alias("dp"))
 
 
 def disentangle(
