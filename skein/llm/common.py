@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,12 +12,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.operators.rounds import shared_folder
 from skein.session import ship
 
 #: A group is hot if it holds at least one row in HOT_SHARE of all rows; so there are at most HOT_SHARE hot groups.
 HOT_SHARE = 1000
 #: Bits of a hashed filter: at most 2**26 (8 MB), however many keys it holds.
 MAX_FILTER_LOG2 = 26
+#: Bits of a filter that the JVM looks up: 2**18 rows of 64 bits at most, about 12 MB on every executor.
+MAX_WORDS_LOG2 = 24
 
 #: Rows that go to Python at once, where the session has Spark's default of 10,000: texts are long, and a batch of them
 #: is held by the JVM and by Python at the same time.
@@ -33,15 +35,6 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='skein-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
 _held: dict = {}
 
 
@@ -80,7 +73,7 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         bounded_batches(spark)
-        self.base = f"{scratch_root(spark).rstrip('/')}/skein-{uuid.uuid4().hex}"
+        self.base = f"{shared_folder(spark)}/skein-{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
@@ -151,6 +144,60 @@ def filtered(rows: DataFrame, key: str, flt: HashFilter) -> DataFrame:
     return rows.mapInArrow(run, rows.select(*keep).schema)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like those given that df doesn't have (Spark doesn't tell upper from lower case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def word_filter(keys: DataFrame, key: str, scratch: Scratch) -> DataFrame:
+    """(w, b): a bitmap of the long column `key` (already a hash), 64 bits a row and at most 2**MAX_WORDS_LOG2 in all."""
+    log2 = min(MAX_WORDS_LOG2, max(12, int(keys.count() * 16).bit_length()))
+    at = F.col(key).bitwiseAND(F.lit((1 << log2) - 1))
+    words = keys.select(F.shiftright(at, 6).alias("w"), F.expr(f"shiftleft(1L, cast({key} & 63 as int))").alias("b"))
+    words = scratch.put(words.groupBy("w").agg(F.bit_or("b").alias("b")), "words")
+    words._skein_log2 = log2
+    return words
+
+
+def flagged(rows: DataFrame, key: Column, words: DataFrame, flag: str) -> DataFrame:
+    """rows with a column that says whether the key (a hash) may be in the filter; no row moves."""
+    w, b, k = fresh(rows, "w", "b", "k")
+    at = F.col(k).bitwiseAND(F.lit((1 << words._skein_log2) - 1))
+    found = rows.withColumn(k, key).join(F.broadcast(words.select(F.col("w").alias(w), F.col("b").alias(b))), F.shiftright(at, 6) == F.col(w), "left")
+    hit = F.expr(f"shiftright(`{b}`, cast(`{k}` & 63 as int)) & 1L") == 1
+    return found.select(*[F.col(f"`{c}`") for c in rows.columns], F.coalesce(hit, F.lit(False)).alias(flag))
+
+
+def without(docs: DataFrame, key: str, dropped: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows of docs whose long column `key` is not in `dropped` (one long column, no nulls).
+
+    A bitmap of the dropped keys is looked up where the rows lie; only rows that it can't clear are shuffled to be held
+    against the keys themselves, so texts that stay don't move (beyond some 10 million dropped keys more and more do).
+    """
+    name = dropped.columns[0]
+    flag, gone = fresh(docs, "maybe", "gone")
+    words = word_filter(dropped.select(F.xxhash64(F.col(name).cast("long")).alias("k")), "k", scratch)
+    rows = flagged(docs, F.xxhash64(F.col(f"`{key}`").cast("long")), words, flag)
+    rest = rows.filter(F.col(flag)).join(dropped.select(F.col(name).cast("long").alias(gone)).hint("merge"), F.col(f"`{key}`") == F.col(gone), "left_anti")
+    return rows.filter(~F.col(flag)).unionByName(rest).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def row_keys(docs: DataFrame, id_col: str, scratch: Scratch) -> tuple[DataFrame, str]:
+    """docs and the column that tells its rows apart: the id, cast to long, where it is never null nor repeated; else rows
+    are numbered and written."""
+    (name,) = fresh(docs, "skein_row")
+    ids = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"))
+    if ids.groupBy("id").agg(F.count("*").alias("c")).filter("c > 1 or id is null").isEmpty():
+        return docs.withColumn(name, F.col(f"`{id_col}`").cast("long")), name
+    return scratch.put(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+
+
 def per_text(fn: Callable[[list, list], Iterator[pa.RecordBatch]], limit: int = 4_000_000) -> Callable:
     """For mapInArrow over two columns (id, text): calls fn(ids, texts) on runs of at most about `limit` characters,
     so that a batch of very long texts needs no more memory than one of short ones."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -11,20 +12,21 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, filtered, hash_filter, held, hot_join, lists, per_text, table
+from .common import Scratch, filtered, hash_filter, held, hot_join, lists, per_text, row_keys, table, without
 from .components import components
 
-#: A shingle in the low part of more than FREQUENT documents' hashes counts as frequent and comes later in the order.
-FREQUENT = 32
-#: At most so many frequent shingles (8 MB of hashes) are sent to the workers, the most frequent ones.
-MAX_FREQUENT = 1 << 20
+#: Shingles are counted in 2**COUNT_LOG2 buckets of the hash's first bits (16 MB of levels on every worker, at any size of
+#: the input), in CHUNKS parts. Shingles of a bucket share a count, which is at least that of each.
+COUNT_LOG2, CHUNKS = 24, 64
+#: Sketches of so many tasks are summed in a first step.
+WORKERS = 256
 #: Hash ranges whose shingle counts the suffix filter compares.
 RANGES = 16
 #: Finer hash ranges of which it compares only whether the count is odd.
 PARITIES = 256
-#: Sets over LARGE shingles also have the counts of FINE hash ranges, which candidate pairs are held against before their
-#: texts are fetched: the larger two sets are, the finer the ranges must be to tell them apart.
-LARGE, FINE = 600, 256
+#: Sets over LARGE shingles also have counts by finer hash ranges, about SPREAD shingles a range, so that the filter tells
+#: sets of any size apart. Candidate pairs are held against them before their texts are fetched.
+LARGE, SPREAD = 600, 16
 #: Rows of one shingle that meet each other in one task, where all links are asked for.
 BLOCK = 256
 SKETCH = ["r0", "r1", "r2", "r3", "p0", "p1", "p2", "p3"]
@@ -75,22 +77,120 @@ class Rule(NamedTuple):
         return n - (self.num * n + self.den - 1) // self.den + 1
 
 
-def _zones(rule: Rule) -> Callable:
-    def zones(ids: list, texts: list) -> Iterator[pa.RecordBatch]:
-        n, s1, s2, zone = [], [], [], []
-        for t in texts:
-            h = rule.shingles(t)
-            a, b = np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), np.int64)
-            n.append(len(h))
-            s1.append(int(a))
-            s2.append(int(b))
-            zone.append(h[: rule.prefix_len(len(h)) * 5 // 4 + 8].view(np.int64))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), lists(zone, pa.int64())],
-            names=["id", "n", "s1", "s2", "zone"],
-        )
+def _digest(h: np.ndarray) -> tuple[int, int]:
+    """128 bits that name a set."""
+    a, b = np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), np.int64)
+    return int(a), int(b)
+
+
+def _pack_counts(counts: np.ndarray) -> tuple[bytes, bytes]:
+    """Counts as compressed bytes, and (place, count) of those that a byte can't hold."""
+    large = np.flatnonzero(counts >= 255)
+    return zlib.compress(np.minimum(counts, 255).astype(np.uint8).tobytes(), 1), np.stack([large, counts[large]], 1).astype(np.int64).tobytes()
+
+
+def _unpack_counts(low: bytes, high: bytes) -> np.ndarray:
+    counts = np.frombuffer(zlib.decompress(low), np.uint8).astype(np.int64)
+    large = np.frombuffer(high, np.int64).reshape(-1, 2)
+    counts[large[:, 0]] = large[:, 1]
+    return counts
+
 
-    return zones
+def _sets_and_counts(rule: Rule) -> Callable:
+    """For mapInArrow over (id, text): a row for each text with its set's size and name, then the task's shingle counts."""
+    names = ["id", "n", "s1", "s2", "worker", "chunk", "low", "high"]
+    kinds = [pa.int64()] * 5 + [pa.int32(), pa.binary(), pa.binary()]
+
+    def batch(*cols: list) -> pa.RecordBatch:
+        long = next(len(c) for c in cols if c is not None)
+        return pa.RecordBatch.from_arrays([pa.array([None] * long if c is None else c, k) for c, k in zip(cols, kinds)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        counts, above = np.zeros(1 << COUNT_LOG2, np.uint8), {}  # what is above 255
+
+        def some(ids: list, texts: list) -> Iterator[pa.RecordBatch]:
+            sets = [rule.shingles(t) for t in texts]
+            at, times = np.unique(np.concatenate(sets) >> np.uint64(64 - COUNT_LOG2), return_counts=True)
+            total = counts[at.astype(np.int64)] + times
+            counts[at.astype(np.int64)] = np.minimum(total, 255)
+            for k in np.flatnonzero(total > 255).tolist():
+                above[int(at[k])] = above.get(int(at[k]), 0) + int(total[k]) - 255
+            s1, s2 = zip(*map(_digest, sets))
+            yield batch(ids, [len(h) for h in sets], s1, s2, None, None, None, None)
+
+        yield from per_text(some)(batches)
+        worker = TaskContext.get().partitionId()
+        for k, part in enumerate(counts.reshape(CHUNKS, -1)):
+            if part.any():
+                part = part.astype(np.int64)
+                for at, more in above.items():
+                    if at // len(part) == k:
+                        part[at % len(part)] += more
+                low, high = _pack_counts(part)
+                yield batch(None, None, None, None, [worker], [k], [low], [high])
+
+    return run
+
+
+def _summed(rows: DataFrame, last: bool) -> DataFrame:
+    """Counts summed over the rows of a chunk and `worker`, as a stream; as levels if last."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, total = None, None
+
+        def done() -> pa.RecordBatch:
+            low, high = (_levels(total).tobytes(), b"") if last else _pack_counts(total)
+            cols = [pa.array([key[1]], pa.int64()), pa.array([key[0]], pa.int32()), pa.array([low], pa.binary()), pa.array([high], pa.binary())]
+            return pa.RecordBatch.from_arrays(cols, names=["worker", "chunk", "low", "high"])
+
+        for b in batches:
+            for chunk, worker, low, high in zip(*(b.column(c) for c in ("chunk", "worker", "low", "high"))):
+                here = (chunk.as_py(), worker.as_py())
+                if here != key:
+                    if key:
+                        yield done()
+                    key, total = here, np.zeros(1 << COUNT_LOG2 >> (CHUNKS.bit_length() - 1), np.int64)
+                total += _unpack_counts(low.as_py(), high.as_py())
+        if key:
+            yield done()
+
+    return rows.repartition("chunk", "worker").sortWithinPartitions("chunk", "worker").mapInArrow(run, "worker long, chunk int, low binary, high binary")
+
+
+def _levels(counts: np.ndarray) -> np.ndarray:
+    """Counts as a byte that never falls with them: exact up to 64, then eight steps for each doubling."""
+    above = 64 + np.floor(8 * np.log2(np.maximum(counts, 64) / 64))
+    return np.where(counts <= 64, counts, np.minimum(above, 255)).astype(np.uint8)
+
+
+def _order(counts: DataFrame) -> np.ndarray:
+    """The level of every bucket: 2**COUNT_LOG2 bytes for the driver and each worker, whatever the input."""
+    once = _summed(counts.withColumn("worker", F.floor(F.col("worker") / WORKERS)), False)
+    parts = _summed(once.withColumn("worker", F.lit(0).cast("long")), True).select("chunk", "low").toArrow()
+    levels = np.zeros((CHUNKS, (1 << COUNT_LOG2) // CHUNKS), np.uint8)
+    for k, x in zip(parts["chunk"].to_pylist(), parts["low"]):
+        levels[k] = np.frombuffer(x.as_py(), np.uint8)
+    return levels.ravel()
+
+
+def _fine(h: np.ndarray) -> bytes | None:
+    """A large set's counts by hash ranges whose number follows the set's size, a byte each (255: or more)."""
+    if len(h) <= LARGE:
+        return None
+    ranges = 1 << (len(h) // SPREAD).bit_length()
+    return np.minimum(np.bincount(((h >> np.uint64(16)) & np.uint64(ranges - 1)).astype(np.int64), minlength=ranges), 255).astype(np.uint8).tobytes()
+
+
+def _apart(a: bytes, b: bytes) -> int:
+    """At least so many shingles are in only one of two sets, by their fine counts. Cut off counts only bring it down."""
+    x, y = (np.frombuffer(z, np.uint8).astype(np.int64) for z in (a, b))
+    while len(x) != len(y):
+        if len(x) < len(y):
+            x, y = y, x
+        x = np.minimum(x[: len(x) // 2] + x[len(x) // 2 :], 255)
+    return int(np.abs(x - y).sum())
 
 
 def _link_conditions(a: str, b: str, rule: Rule) -> Column:
@@ -110,21 +210,20 @@ def _link_conditions(a: str, b: str, rule: Rule) -> Column:
 
 def _suffix_filter(pairs: DataFrame, fine: DataFrame, rule: Rule) -> DataFrame:
     """Drops pairs of large sets whose counts by fine hash ranges show too many shingles that only one has."""
-    side = lambda x: fine.select(F.col("id").alias(x), F.col("fine").alias(f"f{x}"))
-    both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").select("a", "b", "fa", "fb")
+    side = lambda x: fine.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("fine").alias(f"f{x}"))
+    both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").select("a", "b", "na", "nb", "fa", "fb")
     _, num, den = rule
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.ones(batch.num_rows, bool)
-            large = np.flatnonzero(batch.column("fa").is_valid().to_numpy(False) & batch.column("fb").is_valid().to_numpy(False))
-            if len(large):
-                a, b = (np.frombuffer(b"".join(batch.column(c).take(pa.array(large)).to_pylist()), np.uint16).reshape(-1, FINE).astype(np.int64) for c in ("fa", "fb"))
-                n = a.sum(1) + b.sum(1)
-                keep[large] = np.abs(a - b).sum(1) <= n - 2 * ((num * n + num + den - 1) // (num + den))
+            na, nb, fa, fb = (batch.column(c) for c in ("na", "nb", "fa", "fb"))
+            for k in np.flatnonzero(fa.is_valid().to_numpy(False) & fb.is_valid().to_numpy(False)):
+                n = na[k].as_py() + nb[k].as_py()
+                keep[k] = _apart(fa[k].as_py(), fb[k].as_py()) <= n - 2 * ((num * n + num + den - 1) // (num + den))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(run, "a long, b long").distinct()
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, fine: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
@@ -157,48 +256,36 @@ def _verify(pairs: DataFrame, docs: DataFrame, fine: DataFrame, rule: Rule, scra
     return out
 
 
-def _classes(docs: DataFrame, rule: Rule, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Each row's set and rarest candidates, and the classes of equal sets with their smallest id and size."""
-    sets = scratch.put(docs.mapInArrow(per_text(_zones(rule)), "id long, n long, s1 long, s2 long, zone array<long>"), "sets")
+def _classes(docs: DataFrame, rule: Rule, scratch: Scratch) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """Each row's set, the classes of equal sets with their smallest id and size, and the order of shingles."""
+    kinds = "id long, n long, s1 long, s2 long, worker long, chunk int, low binary, high binary"
+    found = scratch.put(docs.mapInArrow(_sets_and_counts(rule), kinds), "sets")
+    sets = found.filter("chunk is null").select("id", "n", "s1", "s2")
     classes = scratch.put(sets.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("members")), "classes")
-    return sets, classes
+    return sets, classes, _order(found.filter("chunk is not null").select("worker", "chunk", "low", "high"))
 
 
-def _prefix_rows(docs: DataFrame, sets: DataFrame, classes: DataFrame, rule: Rule, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _prefix_rows(docs: DataFrame, classes: DataFrame, order: np.ndarray, rule: Rule, repeats: bool, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, ordered, fine): the classes' prefix shingles that another prefix has, their sketches, their fine counts."""
     _, num, den = rule
     reps = classes.filter("n > 0 and rep is not null").select(F.col("rep").alias("id"), "s1", "s2")
-
-    # frequency classes of shingles
-    zones = sets.join(reps, ["id", "s1", "s2"], "left_semi").select(F.explode("zone").alias("h"))
-    counts = scratch.put(zones.groupBy("h").agg(F.count("*").alias("c")).filter(F.col("c") > FREQUENT), "counts")
-    if counts.count() > MAX_FREQUENT:
-        frequent = counts.orderBy(F.desc("c"), "h").limit(MAX_FREQUENT).toArrow()
-    else:
-        frequent = counts.toArrow()
-    h = frequent["h"].to_numpy().astype(np.int64).view(np.uint64)
-    order = np.argsort(h)
-    level = np.log2(frequent["c"].to_numpy().astype(float) / FREQUENT).astype(np.int8)[order] + np.int8(1)
-    known = docs.sparkSession.sparkContext.broadcast((h[order], level))
+    known = docs.sparkSession.sparkContext.broadcast(order)
 
     def prefixes(ids: list, texts: list) -> Iterator[pa.RecordBatch]:
-        common, levels = known.value
+        levels = known.value
         n, ranges, parities, fine, prefix, s1, s2 = [], [], [], [], [], [], []
         for t in texts:
             h = rule.shingles(t)
-            a, b = np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), np.int64)
-            s1.append(int(a))
-            s2.append(int(b))
+            a, b = _digest(h)
+            s1.append(a)
+            s2.append(b)
             n.append(len(h))
             ranges.append(np.minimum(np.bincount((h & np.uint64(RANGES - 1)).astype(np.int64), minlength=RANGES), 65535).astype(np.uint16).view(np.int64))
             odd = np.bincount(((h >> np.uint64(8)) & np.uint64(PARITIES - 1)).astype(np.int64), minlength=PARITIES) & 1
             parities.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
-            many = np.bincount(((h >> np.uint64(16)) & np.uint64(FINE - 1)).astype(np.int64), minlength=FINE) if len(h) > LARGE else None
-            fine.append(None if many is None or many.max() > 65535 else many.astype(np.uint16).tobytes())
-            if len(h) and len(common):
-                at = np.minimum(np.searchsorted(common, h), len(common) - 1)
-                h = h[np.argsort(np.where(common[at] == h, levels[at], 0), kind="stable")]
-            prefix.append(h[: rule.prefix_len(len(h))].view(np.int64))
+            fine.append(_fine(h))
+            rare = np.argsort(levels[(h >> np.uint64(64 - COUNT_LOG2)).astype(np.int64)], kind="stable")  # ties: by hash
+            prefix.append(h[rare[: rule.prefix_len(len(h))]].view(np.int64))
         r = np.hstack([np.stack(ranges), np.stack(parities)])
         yield pa.RecordBatch.from_arrays(
             [pa.array(x, pa.int64()) for x in (ids, s1, s2, n, *r.T)] + [pa.array(fine, pa.binary()), lists(prefix, pa.int64())],
@@ -206,8 +293,8 @@ def _prefix_rows(docs: DataFrame, sets: DataFrame, classes: DataFrame, rule: Rul
         )
 
     kinds = f"id long, s1 long, s2 long, n long, {', '.join(f'{c} long' for c in SKETCH)}, fine binary, prefix array<long>"
-    ordered = docs.mapInArrow(per_text(prefixes), kinds).join(reps, ["id", "s1", "s2"], "left_semi").drop("s1", "s2")
-    ordered = scratch.put(ordered.dropDuplicates(["id"]) if classes.groupBy("rep").count().filter("count > 1 and rep is not null").count() else ordered, "prefixes")
+    ordered = docs.mapInArrow(per_text(prefixes), kinds).join(reps, ["id", "s1", "s2"], "left_semi")
+    ordered = scratch.put(ordered.dropDuplicates(["id", "s1", "s2"]) if repeats else ordered, "prefixes")
 
     # prefix rows whose shingle is in another prefix
     shared = scratch.put(ordered.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count("*").alias("c")).filter("c > 1"), "shared")
@@ -215,8 +302,8 @@ def _prefix_rows(docs: DataFrame, sets: DataFrame, classes: DataFrame, rule: Rul
     rows = filtered(rows.withColumn("k", F.col("h")), "k", hash_filter(shared, "h", shared.count()))
     n_links = F.expr(f"n - i >= ({num} * n + {den - 1}) div {den}")  # positional filter against the smallest partner
     rows = scratch.put(rows.filter(n_links), "rows")
-    fine = ordered.filter("fine is not null").select("id", "fine")
-    scratch.drop(counts, shared)
+    fine = (ordered if repeats else ordered.filter("fine is not null")).select("id", "n", "fine")
+    scratch.drop(shared)
     return rows, ordered, fine
 
 
@@ -228,20 +315,25 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     linked if any of their texts is. A row with a null id can share a class of equal sets, but is no node itself; its
     component is null if nothing else is in its class. Other columns are not looked at.
 
-    Equal sets are merged first, so a group of copies counts as one set. Shingles are ordered by frequency class (from
-    counts over the lowest hashes of every set), then by hash. A set's prefix in that order is joined on shingles. In
-    each group of a shared shingle, every member first meets only the member with the fewest rarer shingles; pairs that
-    pass the length, positional and suffix filters are verified once, and components follow. Then pairs of the same
-    group in different components are tried, which is what is left to lose no link; pairs inside a component, such as
-    those of a large group of near copies, are never made; ngram_links makes them.
+    Very long texts are hashed whole, one at a time; their prefix and sketch follow their size.
+
+    Equal sets are merged first, so a group of copies counts as one set. Shingles are ordered rarest first by a count
+    sketch of all shingles of all rows, ties by hash; any common order loses no link. A set's prefix in that order is
+    joined on shingles. In each group of a shared shingle, every member first meets only the member with the fewest
+    rarer shingles; pairs that pass the length, positional and suffix filters are verified once, and components follow.
+    Then pairs of the same group in different components are tried, which is what is left to lose no link; pairs inside
+    a component, such as those of a large group of near copies, are never made; ngram_links makes them.
     """
     rule = Rule(words, num, den)
     scratch = Scratch(docs.sparkSession)
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
-    sets, classes = _classes(docs, rule, scratch)
+    sets, classes, order = _classes(docs, rule, scratch)
     total = sets.count()
-    rows, ordered, fine = _prefix_rows(docs, sets, classes, rule, scratch)
+    again = sets.filter("id is not null").groupBy("id").agg(F.count("*").alias("c"), F.min(F.struct("s1", "s2", "n")).alias("lo"), F.max(F.struct("s1", "s2", "n")).alias("hi"))
+    again = scratch.put(again.filter("c > 1").select("id", (F.col("lo") != F.col("hi")).alias("differ")), "again")
+    repeats = not again.isEmpty()
+    rows, ordered, fine = _prefix_rows(docs, classes, order, rule, repeats, scratch)
 
     # first the member with the fewest rarer shingles against each other member
     hub = F.min(F.struct("i", "n", "id", *SKETCH)).alias("hub")
@@ -252,6 +344,10 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     pair = [F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")]
     tried = scratch.put(met.select(*pair).distinct(), "tried")
     links = _verify(tried, docs, fine, rule, scratch)
+    if repeats:  # an id with several sets is one document: the classes of its sets belong together
+        named = classes.select("s1", "s2", "n", F.col("rep").alias("b"))
+        owned = sets.join(again.filter("differ").select("id"), "id", "left_semi").filter("n > 0")
+        links = scratch.put(links.union(owned.join(named, ["s1", "s2", "n"]).select(F.col("id").alias("a"), "b").filter("a <> b")), "owned")
     labels = scratch.put(components(links, scratch), "labels")
 
     # then the rest: pairs of a group that are in different components
@@ -308,8 +404,8 @@ def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = docs.select(F.col(id_col).cast("long").alias("given"), F.col(text_col).cast("string").alias("text"))
     docs = scratch.put(docs.withColumn("id", F.monotonically_increasing_id()), "numbered")
     given, docs = docs.select("id", "given"), docs.select("id", "text")
-    sets, classes = _classes(docs, rule, scratch)
-    rows, ordered, fine = _prefix_rows(docs, sets, classes, rule, scratch)
+    sets, classes, order = _classes(docs, rule, scratch)
+    rows, ordered, fine = _prefix_rows(docs, classes, order, rule, False, scratch)
     links = _verify(_all_pairs(rows, rule, scratch), docs, fine, rule, scratch)
     scratch.drop(rows, ordered)
 
@@ -331,11 +427,25 @@ def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id, with all its columns."""
-    found = ngram_jaccard(docs, id_col, text_col, words, num, den)
-    kept = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_skein_id")).distinct()
-    out = docs.join(kept.hint("merge"), F.col(id_col).cast("long").eqNullSafe(F.col("_skein_id")), "left_semi")
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Of each group of near duplicates the row with the smallest id, with all its columns.
+
+    Every row is a document here: of rows alike in id and text one stays, and rows with equal ids and unrelated texts all
+    stay. Null ids come after all others, so a row with a null id stays only if its group has no other id. Rows without
+    words stay. Columns may have any names; no rows give none. Texts that stay are not shuffled, see common.without.
+    """
+    scratch = Scratch(docs.sparkSession)
+    rows, key = row_keys(docs, id_col, scratch)
+    found = ngram_jaccard(rows.select(F.col(key).alias("row"), F.col(f"`{text_col}`").alias("text")), "row", "text", words, num, den)
+    found = scratch.put(found.select("row", "component_id"), "found")
+    given = rows.select(F.col(key).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"))
+    if given.filter("id is null or id <> row").isEmpty():  # rows are numbered by their ids: the smallest names its group
+        gone = found.filter("row <> component_id").select("row")
+    else:
+        first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row")).alias("x")
+        first = scratch.put(found.join(given, "row").groupBy("component_id").agg(first).select("x.row"), "first")
+        gone = found.join(first, "row", "left_anti").select("row")
+    gone = scratch.put(gone, "gone")
+    return without(rows, key, gone, scratch).drop(key)
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
