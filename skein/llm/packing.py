@@ -36,11 +36,14 @@ class WordTokenizer:
 
     The tokenizer lower-cases, its words never cross white space, and its normalisation doesn't reach across it; so a
     text's ids are those of its parts between ASCII white space, one after the other, and A-Z can be lower-cased first.
-    A run of TAIL after an ASCII letter or digit is a word of its own. Ids of parts are remembered, up to a bound. Parts
-    that are letters only are encoded many at a time: each ends with the only token that ends a word.
+    Not so in parts with CONTROL, how the tokenizer's control tokens begin: it looks for those before it lower-cases, so
+    such parts are encoded as they are. A run of TAIL after an ASCII letter or digit is a word of its own. Ids of parts
+    are remembered, up to a bound. Parts that are letters only are encoded many at a time: each ends with the only token
+    that ends a word.
     """
 
     TAIL = b".,!?;:"
+    CONTROL = b"<|"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -55,7 +58,7 @@ class WordTokenizer:
         known, halves, todo = self.known, [], set()
         for w in words:
             core = w.rstrip(self.TAIL)
-            if core is not w and core and core[-1] < 128 and core[-1:].isalnum():
+            if core is not w and self.CONTROL not in w and core and core[-1] < 128 and core[-1:].isalnum():
                 tail = w[len(core) :]
                 halves.append((w, core, tail))
                 todo.add(core)
@@ -81,10 +84,15 @@ class WordTokenizer:
         for w, core, tail in halves:
             known[w] = known[core] + known[tail]
 
+    def split(self, data: bytes) -> list[bytes]:
+        if self.CONTROL not in data:
+            return data.lower().split()
+        return [w if self.CONTROL in w else w.lower() for w in data.split()]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
-        parts = [(t or "").encode().lower().split() for t in texts]
+        parts = [self.split((t or "").encode()) for t in texts]
         found = [list(map(self.known.get, p)) for p in parts]
         new = [[i for i, ids in enumerate(f) if ids is None] for f in found]
         self.learn({p[i] for p, at in zip(parts, new) for i in at})
