@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, fresh, table
 
 #: Weights of the sources in code point order, repeating; the mix as a share of all sizes; the most uses of a document.
 WEIGHTS = (3, 1, 2)
@@ -53,7 +53,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     taken each time its start lies before the target, so taken words exceed a target by less than one document, and no
     document is taken more than twice. Null texts have size 0; null sources are one source, the last; null ids come
     first. Documents of size 0 take no words: their position is where they stand. Repeated rows are dealt one after
-    the other. No rows give no rows. Other columns are not looked at.
+    the other. Of very long texts only the words are counted. No rows give no rows. Other columns are not looked at.
 
     The heavy source is cut to 4096 parts by hash digits: running sums go over parts (one row each), then inside each.
     """
@@ -61,7 +61,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = docs.select(
         F.col(id_col).alias("id"),
         F.col(source_col).cast("string").alias("source"),
-        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("key"),
     )
     rows = scratch.put(rows.withColumn("part", F.substring("key", 1, DIGITS)), "sizes")
@@ -98,23 +98,24 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The documents as training reads them: each once per use, range-sorted by position, with all their columns.
 
-    Rows with equal ids are told apart by source and size only; alike rows get the uses of each, spread evenly.
+    Rows with equal ids are told apart by source and size only; alike rows get the uses of each, spread evenly. Null and
+    empty texts have no words and are read where they stand, while the target is above it. Very long texts move whole, as
+    rows do. Columns may have any names; no rows give none.
     """
     found = mix(docs, id_col, text_col, source_col)
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    keys = [F.col(id_col).alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_n")]
+    i, s, n, first, at, k, ri, rs, rn, rk, position = fresh(docs, "i", "s", "n", "first", "at", "k", "ri", "rs", "rn", "rk", "position")
+    size = F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD)), F.lit(0)).cast("long")
     moments = F.filter(F.array("position", "again"), lambda x: x.isNotNull())
-    each = Window.partitionBy("_i", "_s", "_n").orderBy("_first")
-    uses = found.select(*keys, F.col("position").alias("_first"), moments.alias("_at"))
-    uses = Scratch(docs.sparkSession).put(uses.withColumn("_k", F.row_number().over(each)), "uses")
-    rows = docs.select("*", F.col(id_col).alias("_ri"), F.col(source_col).cast("string").alias("_rs"), size.alias("_rn"))
-    if uses.filter("_k > 1").isEmpty():  # no rows alike: texts need not be gathered to number them
-        rows = rows.withColumn("_rk", F.lit(1))
+    uses = found.select(F.col(f"`{id_col}`").alias(i), F.col("source").alias(s), F.col("size").alias(n), F.col("position").alias(first), moments.alias(at))
+    uses = Scratch(docs.sparkSession).put(uses.withColumn(k, F.row_number().over(Window.partitionBy(i, s, n).orderBy(first))), "uses")
+    rows = docs.select("*", F.col(f"`{id_col}`").alias(ri), F.col(f"`{source_col}`").cast("string").alias(rs), size.alias(rn))
+    if uses.filter(F.col(k) > 1).isEmpty():  # no rows alike: texts need not be gathered to number them
+        rows = rows.withColumn(rk, F.lit(1))
     else:
-        rows = rows.withColumn("_rk", F.row_number().over(Window.partitionBy("_ri", "_rs", "_rn").orderBy("_rn")))
-    on = F.col("_ri").eqNullSafe(F.col("_i")) & F.col("_rs").eqNullSafe(F.col("_s")) & (F.col("_rn") == F.col("_n")) & (F.col("_rk") == F.col("_k"))
-    out = rows.join(uses.hint("merge"), on).select(*[F.col(f"`{c}`") for c in docs.columns], F.explode("_at").alias("_position"))
-    return out.repartitionByRange("_position").sortWithinPartitions("_position").drop("_position")
+        rows = rows.withColumn(rk, F.row_number().over(Window.partitionBy(ri, rs, rn).orderBy(rn)))
+    on = F.col(ri).eqNullSafe(F.col(i)) & F.col(rs).eqNullSafe(F.col(s)) & (F.col(rn) == F.col(n)) & (F.col(rk) == F.col(k))
+    out = rows.join(uses.hint("merge"), on).select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(at).alias(position))
+    return out.repartitionByRange(position).sortWithinPartitions(position).drop(position)
 
 
 OP10_SQL = r"""
