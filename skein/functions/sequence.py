@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,10 @@ from pyspark.sql import functions as F
 from skein.session import ship
 
 
+#: Windows that go to the JVM at once, about.
+WINDOWS = 200_000
+
+
 def acgt(text: Column) -> Column:
     """The letters A, C, G and T of a text, upper-cased."""
     return F.regexp_replace(F.upper(F.coalesce(text, F.lit(""))), "[^ACGT]", "")
@@ -27,19 +32,35 @@ def windows(df: DataFrame, seq: str, k: int, keep: list[str]) -> DataFrame:
     ship(df.sparkSession)
     rows = df.select(*keep, seq)
 
+    def batch(b: pa.RecordBatch, at: np.ndarray, pos: np.ndarray, kmers: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(at)) for c in range(len(keep))), pa.array(pos), kmers], names=[*keep, "pos", "kmer"])
+
+    def plain(text: bytes) -> pa.Array:
+        """All windows of ASCII letters, as one buffer."""
+        data = np.lib.stride_tricks.sliding_window_view(np.frombuffer(text, np.uint8), k)
+        ends = np.arange(len(data) + 1, dtype=np.int32) * k
+        return pa.StringArray.from_buffers(len(data), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data)))
+
+    def flush(b: pa.RecordBatch, at: list[tuple[int, int, int]], out: list[pa.Array]) -> pa.RecordBatch:
+        row = np.repeat(np.array([i for i, _, _ in at], np.int32), [n for _, _, n in at])
+        pos = np.concatenate([np.arange(first, first + n, dtype=np.int32) for _, first, n in at])
+        return batch(b, row, pos, pa.concat_arrays(out))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, pos, out = [], [], []
+            at, out, held = [], [], 0
             for i, s in enumerate(b.column(len(keep)).to_pylist()):
-                n = len(s or "") - k + 1
-                if n > 0:
-                    at += [i] * n
-                    pos += range(n)
-                    out += [s[j : j + k] for j in range(n)]
-                if len(out) > 200_000:
-                    yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(at, pa.int32())) for c in range(len(keep))), pa.array(pos, pa.int32()), pa.array(out, pa.string())], names=[*keep, "pos", "kmer"])
-                    at, pos, out = [], [], []
-            yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(at, pa.int32())) for c in range(len(keep))), pa.array(pos, pa.int32()), pa.array(out, pa.string())], names=[*keep, "pos", "kmer"])
+                for first in range(0, max(0, len(s or "") - k + 1), WINDOWS):  # a long sequence comes in parts
+                    part = s[first : first + WINDOWS + k - 1]
+                    n = len(part) - k + 1
+                    at.append((i, first, n))
+                    out.append(plain(part.encode()) if part.isascii() else pa.array([part[j : j + k] for j in range(n)], pa.string()))
+                    held += n
+                    if held >= WINDOWS:
+                        yield flush(b, at, out)
+                        at, out, held = [], [], 0
+            if out:
+                yield flush(b, at, out)
 
     return rows.mapInArrow(run, rows.select(*keep, F.lit(0).alias("pos"), F.lit("").alias("kmer")).schema)
 

@@ -11,8 +11,12 @@ from skein.functions.sequence import revcomp, windows
 def kmer_index(nodes: DataFrame, k: int) -> DataFrame:
     """nodes (node, seq) to (node, pos, kmer): every window and, at the same offset, its reverse complement, so a window
     that is its own complement comes twice."""
-    forward = windows(nodes, "seq", k, ["node"])
-    return forward.unionAll(forward.withColumn("kmer", revcomp(F.col("kmer"))))
+    return _both_strands(windows(nodes, "seq", k, ["node"]))
+
+
+def _both_strands(found: DataFrame) -> DataFrame:
+    keep = [c for c in found.columns if c != "kmer"]
+    return found.select(*keep, F.explode(F.array("kmer", revcomp(F.col("kmer")))).alias("kmer"))
 
 
 def usable_pairs(pairs: DataFrame, k: int) -> DataFrame:
@@ -21,13 +25,75 @@ def usable_pairs(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.filter((n == 0) & (F.length("fseq") >= k) & (F.length("rseq") >= k))
 
 
+def read_counts(pairs: DataFrame, k: int) -> DataFrame:
+    """One row (pairs, with_n, short, used): pairs (pair, fseq, rseq) with an N in either mate, those of the rest with a mate
+    of fewer than k letters, and those that are used."""
+    n = F.instr("fseq", "N") + F.instr("rseq", "N") > 0
+    short = (F.length("fseq") < k) | (F.length("rseq") < k)
+    return pairs.agg(F.count("*").alias("pairs"), F.count_if(n).alias("with_n"), F.count_if(~n & short).alias("short"), F.count_if(~n & ~short).alias("used"))
+
+
+def sample_pairs(pairs: DataFrame, ratio: float, seed: int = 0) -> DataFrame:
+    """About one in `ratio` pairs, both mates or none. The choice is a hash of the pair's number and the seed, so it is the
+    same in every run, however the pairs are dealt out."""
+    if not ratio > 1:
+        raise ValueError("the ratio must be above 1")
+    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("pair").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
+    return pairs.filter(drawn * ratio < 1 << 32)
+
+
+def read_windows(pairs: DataFrame, k: int) -> DataFrame:
+    """(name, seq): every window of the usable pairs' mates as a read of its own, named pair_mate_position, for an aligner."""
+    reads = usable_pairs(pairs, k)
+    reads = reads.select("pair", F.lit(0).alias("mate"), F.col("fseq").alias("seq")).unionAll(reads.select("pair", F.lit(1).alias("mate"), F.col("rseq").alias("seq")))
+    return windows(reads, "seq", k, ["pair", "mate"]).select(F.concat_ws("_", "pair", "mate", "pos").alias("name"), F.col("kmer").alias("seq"))
+
+
+def aligned_hits(alignments: DataFrame, pairs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """hits() from alignments (query, target, start, matches, block) of read_windows to nodes: a window counts where all of
+    its k letters match."""
+    reads = usable_pairs(pairs, k)
+    reads = reads.select("pair", F.lit(0).alias("mate"), F.length("fseq").alias("read_len")).unionAll(reads.select("pair", F.lit(1).alias("mate"), F.length("rseq").alias("read_len")))
+    part = F.split("query", "_")
+    found = alignments.filter((F.col("block") == k) & (F.col("matches") == k))
+    found = found.select(part[0].cast("long").alias("pair"), part[1].cast("int").alias("mate"), part[2].cast("int").alias("read_pos"), F.col("target").alias("node"), "start")
+    found = found.groupBy("pair", "mate", "node").agg(F.count("*").alias("hits"), F.min("start").alias("node_pos"), F.min("read_pos").alias("read_pos"))
+    lengths = nodes.select("node", F.length("seq").alias("node_len"))
+    return found.join(reads, ["pair", "mate"]).join(lengths, "node").select("pair", "mate", "node", "read_len", "node_len", "hits", "node_pos", "read_pos")
+
+
+def exact_alignments(alignments: DataFrame) -> DataFrame:
+    """(target, query) of alignments over the whole query without a mismatch."""
+    return alignments.filter((F.col("nm") == 0) & (F.col("block") == F.col("query_len"))).select("target", "query").distinct()
+
+
+def contigs_of_targets(alignments: DataFrame, contigs: DataFrame, identity: float = 0.999) -> DataFrame:
+    """(target, name): contigs (name) with an alignment of at least that share of matches; a query's name ends at its first _."""
+    rows = alignments.filter(F.col("matches") / F.nullif(F.col("block"), F.lit(0)) >= identity)
+    return rows.select("target", F.substring_index("query", "_", 1).alias("name")).distinct().join(contigs.select("name"), "name", "left_semi").select("target", "name")
+
+
+def alignment_scores(alignments: DataFrame) -> DataFrame:
+    """(query, block, target, apart): each alignment's length and what of it doesn't match."""
+    return alignments.select("query", "block", "target", (F.col("block") - F.col("matches")).alias("apart"))
+
+
+def node_links(links: DataFrame, parts: DataFrame) -> DataFrame:
+    """(a, b, cnt): links between whole nodes, summed over those (a, b, cnt) between what they are made of (parts: id, part).
+    No pair of nodes is formed but those that some link joins. A node's own links count in both orders of two parts."""
+    x, y = parts.select(F.col("id").alias("x"), F.col("part").alias("p")), parts.select(F.col("id").alias("y"), F.col("part").alias("q"))
+    both = links.select(F.col("a").alias("p"), F.col("b").alias("q"), "cnt").unionAll(links.filter("a <> b").select("b", "a", "cnt"))
+    rows = both.join(x, "p").join(y, "q").filter("x <= y")
+    return rows.groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("cnt").alias("cnt"))
+
+
 def hits(pairs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     """(pair, mate, node): matches, first node offset, first read offset, and both lengths. The index side is broadcast
     only if Spark's size check says so; a shuffle on k-mers is the other way."""
     reads = usable_pairs(pairs, k)
     reads = reads.select("pair", F.lit(0).alias("mate"), F.col("fseq").alias("seq")).unionAll(reads.select("pair", F.lit(1).alias("mate"), F.col("rseq").alias("seq")))
     found = windows(reads.withColumn("read_len", F.length("seq")), "seq", k, ["pair", "mate", "read_len"]).withColumnRenamed("pos", "read_pos")
-    index = kmer_index(nodes, k).join(nodes.select("node", F.length("seq").alias("node_len")), "node")
+    index = _both_strands(windows(nodes.withColumn("node_len", F.length("seq")), "seq", k, ["node", "node_len"]))
     return (
         found.join(index, "kmer").groupBy("pair", "mate", "node", "read_len", "node_len")
         .agg(F.count("*").alias("hits"), F.min("pos").alias("node_pos"), F.min("read_pos").alias("read_pos"))

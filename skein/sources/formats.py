@@ -6,16 +6,49 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skein.functions.sequence import base_ids
 from skein.session import ship
 
 CONTIG_HEADER = re.compile(r"^NODE_(\d+)_length_(\d+)_cov_([0-9.eE+-]+)'?$")
 
 
-def _tag(rows, name: str):
-    return F.regexp_extract(F.array_join(F.filter(rows, lambda x: F.upper(x).startswith(f"{name}:")), "\t"), r"^[A-Za-z]{2}:[A-Za-z]:([^\t]*)", 1)
+def numbered_lines(spark: SparkSession, *paths: str) -> DataFrame:
+    """(file, line, value): every line of the files in order of their names, numbered from 0 over all of them.
+
+    Each split counts its lines where it lies; one row a split then gives what comes before it, so a file of any size is
+    read by many tasks. A folder's files count as one text, cut between any two lines. `file` is the file's place by name.
+    """
+    ship(spark)
+    rows = spark.read.text(list(paths)).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), "value")
+    splits = rows.groupBy("path", "start").agg(F.count("*").alias("n"))
+    ahead = Window.orderBy("path", "start").rowsBetween(Window.unboundedPreceding, -1)  # a row a split
+    splits = splits.select("path", "start", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"), (F.dense_rank().over(Window.orderBy("path")) - 1).alias("file"))
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, n = None, 0
+        for b in batches:
+            nth = []
+            for key in zip(b.column("path").to_pylist(), b.column("start").to_pylist()):
+                here, n = (here, n + 1) if key == here else (key, 0)
+                nth.append(n)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(nth, pa.int64())], names=["path", "start", "value", "nth"])
+
+    placed = rows.mapInArrow(number, "path string, start long, value string, nth long").join(splits, ["path", "start"])
+    return placed.select("file", (F.col("ahead") + F.col("nth")).alias("line"), "value")
+
+
+def _coverage(f):
+    """The DP tag, else KC / LN; a DP tag that comes after both KC and LN doesn't count. Tags are in upper or lower case."""
+    tags = F.slice(f, 4, F.greatest(F.size(f), F.lit(1)))
+    names = F.transform(tags, lambda x: F.upper(F.substring(x, 1, 2)))
+    at = {t: F.array_position(names, t) for t in ("DP", "KC", "LN")}
+    value = {t: F.when(at[t] > 0, F.substring_index(F.get(tags, (at[t] - 1).cast("int")), ":", -1).cast("double")) for t in at}
+    late = (at["KC"] > 0) & (at["LN"] > 0) & (at["DP"] > F.greatest(at["KC"], at["LN"]))
+    ratio = value["KC"] / F.nullif(value["LN"], F.lit(0.0))
+    return F.when((at["DP"] > 0) & ~late, value["DP"]).otherwise(ratio)
 
 
 def read_gfa(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -24,14 +57,27 @@ def read_gfa(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     rows = spark.read.text(path).select(F.split("value", "\t").alias("f"))
     links = rows.filter("f[0] = 'L'").select(F.col("f")[1].alias("src"), F.col("f")[2].alias("src_ori"), F.col("f")[3].alias("dst"), F.col("f")[4].alias("dst_ori"),
                                              F.regexp_extract(F.col("f")[5], r"^(\d+)M$", 1).cast("int").alias("overlap"))
-    tags = F.slice("f", 4, 1000)
-    dp, kc, ln = (F.nullif(_tag(tags, t), F.lit("")).cast("double") for t in ("DP", "KC", "LN"))
-    nodes = rows.filter("f[0] = 'S'").select(F.col("f")[1].alias("id"), F.upper(F.col("f")[2]).alias("seq"), F.coalesce(dp, kc / ln, F.raise_error(F.concat(F.lit("no coverage: "), F.col("f")[1])).cast("double")).alias("dp"))
+    dp = F.coalesce(_coverage(F.col("f")), F.raise_error(F.concat(F.lit("no coverage: "), F.col("f")[1])).cast("double"))
+    nodes = rows.filter("f[0] = 'S'").select(F.col("f")[1].alias("id"), F.upper(F.col("f")[2]).alias("seq"), dp.alias("dp"))
     loops = links.filter("src = dst").select(F.col("src").alias("id")).distinct().withColumn("self_loop", F.lit(True))
     nodes = nodes.join(loops, "id", "left").withColumn("self_loop", F.coalesce("self_loop", F.lit(False)))
     return nodes, links.filter("src <> dst")
 
 
+def read_canonical_gfa(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """nodes (id, seq, dp) and edges (src, dst, overlap) of a file as write_gfa writes it. Any other line is an error:
+    segments have 4 fields with a DP tag, links 6 with equal signs and an overlap in M."""
+    rows = spark.read.text(path).filter("value <> ''").select("value", F.split("value", "\t").alias("f"))
+    good = F.when(F.col("f")[0] == "S", (F.size("f") == 4) & F.get("f", F.lit(3)).rlike("^DP:f:[-+0-9.eE]+$"))
+    good = good.when(F.col("f")[0] == "L", (F.size("f") == 6) & (F.get("f", F.lit(2)) == F.get("f", F.lit(4))) & F.get("f", F.lit(5)).rlike(r"^\d+M$")).otherwise(False)
+    field = lambda k: F.when(good, F.get("f", F.lit(k))).otherwise(F.raise_error(F.concat(F.lit("not canonical: "), F.col("value"))).cast("string"))
+    s, other = rows.filter(F.col("f")[0] == "S"), rows.filter(F.col("f")[0] != "S")
+    return (
+        s.select(field(1).alias("id"), field(2).alias("seq"), F.substring_index(field(3), ":", -1).cast("double").alias("dp")),
+        other.select(field(1).alias("src"), field(3).alias("dst"), F.regexp_replace(field(5), "M$", "").cast("int").alias("overlap")),
+    )
+
+
 def write_gfa(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     """Canonical GFA: segments with DP, then forward links between them; the order of lines is segments first."""
     s = nodes.select(F.lit(0).alias("k"), F.concat_ws("\t", F.lit("S"), "id", "seq", F.concat(F.lit("DP:f:"), F.col("dp").cast("string"))).alias("value"))
@@ -85,28 +131,43 @@ def read_paths(spark: SparkSession, path: str, nodes: DataFrame, edges: DataFram
 
 
 def read_fastq_pairs(spark: SparkSession, forward: str, reverse: str) -> DataFrame:
-    """(pair, fseq, rseq): four-line records paired by their number; the longer file's rest is dropped. Sequences are
-    numbered by file offset order, so records must not be split over files."""
-    ship(spark)
+    """(pair, fseq, rseq): four-line records of each side's files, in order of their names, paired by their number; the
+    longer side's rest is dropped. Files may be cut anywhere between lines and differently on both sides."""
 
     def reads(path: str, name: str) -> DataFrame:
-        def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            line = 0
-            for b in batches:
-                seqs, nth = [], []
-                for x in b.column(0).to_pylist():
-                    if line % 4 == 1:
-                        seqs.append(x.strip())
-                        nth.append(line // 4)
-                    line += 1
-                yield pa.RecordBatch.from_arrays([pa.array(nth, pa.int64()), pa.array(seqs, pa.string())], names=["pair", name])
-
-        # record numbers depend on all lines before: one stream a file, as compressed FASTQ is read anyway
-        return spark.read.text(path).coalesce(1).mapInArrow(number, f"pair long, {name} string")
+        lines = numbered_lines(spark, path).filter("line % 4 = 1")
+        return lines.select(F.floor(F.col("line") / 4).alias("pair"), F.btrim("value", F.lit(" \t\r")).alias(name))
 
     return reads(forward, "fseq").join(reads(reverse, "rseq"), "pair")
 
 
+def write_fastq(rows: DataFrame, path: str) -> None:
+    """rows (name, seq) as four-line records of the best quality."""
+    rows.select(F.concat(F.lit("@"), "name", F.lit("\n"), "seq", F.lit("\n+\n"), F.expr("repeat('I', length(seq))")).alias("value")).write.text(path)
+
+
+def read_references(spark: SparkSession, path: str) -> DataFrame:
+    """(name, seq) of a FASTA file with two lines a record; a name ends at its first space or dot."""
+    lines = numbered_lines(spark, path)
+    head = lines.filter("line % 2 = 0").select((F.col("line") / 2).cast("long").alias("n"), F.substring_index(F.substring_index(F.regexp_replace("value", "^>", ""), " ", 1), ".", 1).alias("name"))
+    return head.join(lines.filter("line % 2 = 1").select(((F.col("line") - 1) / 2).cast("long").alias("n"), F.btrim("value", F.lit(" \t\r")).alias("seq")), "n").select("name", "seq")
+
+
+def write_references(rows: DataFrame, path: str) -> None:
+    """A folder name=... with a FASTA file for each record (name, seq)."""
+    rows.select("name", F.concat(F.lit(">"), "name", F.lit("\n"), "seq").alias("value")).write.partitionBy("name").text(path)
+
+
+def read_paf(spark: SparkSession, path: str) -> DataFrame:
+    """(query, query_len, target, start, matches, block, nm) of alignments in PAF; nm is null without that tag."""
+    f = F.split("value", "\t")
+    at = lambda k: F.get(f, F.lit(k))
+    nm = F.get(F.filter(F.slice(f, 13, F.greatest(F.size(f), F.lit(1))), lambda x: x.startswith("NM:i:")), F.lit(0))
+    rows = spark.read.text(path).filter("value <> ''")
+    return rows.select(at(0).alias("query"), at(1).cast("long").alias("query_len"), at(5).alias("target"), at(7).cast("long").alias("start"), at(9).cast("long").alias("matches"), at(10).cast("long").alias("block"),
+                       F.substring_index(nm, ":", -1).cast("long").alias("nm"))
+
+
 def write_fasta(rows: DataFrame, path: str) -> None:
     """rows (name, seq, cov): longest first, headers >name_length_coverage, rounded as Python rounds a double."""
     ship(rows.sparkSession)
@@ -119,17 +180,32 @@ def write_fasta(rows: DataFrame, path: str) -> None:
     rows.select("name", "seq", "cov").repartitionByRange(F.desc(F.length("seq")), "name").sortWithinPartitions(F.desc(F.length("seq")), "name").mapInArrow(form, "value string").write.text(path)
 
 
-def write_paths(paths: DataFrame, path: str) -> None:
-    """NODE_name_length_cov, then the ids joined by commas; a leading - of an id becomes a suffix."""
+def write_paths(paths: DataFrame, path: str, names: DataFrame | None = None) -> None:
+    """NODE_name_length_cov, then the ids joined by commas, a leading - of an id becoming a suffix. With names (id,
+    original), ids are written by their original names, those without one as they are. Contracted and copied ids are
+    written as what they are made of."""
+    paths = paths.withColumn("path", F.flatten(F.transform("path", base_ids)))
+    if names is not None:
+        rows = paths.select("name", F.posexplode("path").alias("pos", "id")).join(names.select("id", "original"), "id", "left")
+        rows = rows.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("original", "id").alias("id")))).alias("x"))
+        paths = paths.drop("path").join(rows.select("name", F.transform("x", lambda p: p["id"]).alias("path")), "name")
     ids = F.transform("path", lambda x: F.when(x.startswith("-"), F.concat(F.regexp_replace(x, "^-", ""), F.lit("-"))).otherwise(x))
     paths.select(F.concat(F.lit("NODE_"), F.concat_ws("_", "name", F.col("len").cast("string"), F.col("cov").cast("string")), F.lit("\n"), F.array_join(ids, ",")).alias("value")).write.text(path)
 
 
-def read_links(spark: SparkSession, *paths: str) -> DataFrame:
-    """Link tables u:v:count, folded on unordered pairs."""
-    f = F.split("value", ":")
-    rows = spark.read.text(list(paths)).filter("value <> ''").select(F.least(f[0], f[1]).alias("a"), F.greatest(f[0], f[1]).alias("b"), f[2].cast("long").alias("n"))
-    return rows.groupBy("a", "b").agg(F.sum("n").alias("cnt"))
+def read_links(spark: SparkSession, *paths: str, nodes: DataFrame | None = None) -> DataFrame:
+    """Link tables u:v:count, folded on unordered pairs. A file ends at its first blank line; with nodes (id), links of any
+    other id are left out."""
+    lines = numbered_lines(spark, *paths)
+    ends = lines.filter(F.trim("value") == "").groupBy("file").agg(F.min("line").alias("end"))
+    at = lambda k: F.get(F.split(F.trim("value"), ":"), F.lit(k))
+    rows = lines.join(F.broadcast(ends), "file", "left").filter("end is null or line < end")  # a row a file at most
+    rows = rows.select(F.least(at(0), at(1)).alias("a"), F.greatest(at(0), at(1)).alias("b"), at(2).cast("long").alias("n"))
+    rows = rows.groupBy("a", "b").agg(F.sum("n").alias("cnt"))
+    if nodes is not None:
+        for end in ("a", "b"):
+            rows = rows.join(nodes.select(F.col("id").alias(end)), end, "left_semi")
+    return rows.select("a", "b", "cnt")
 
 
 def write_links(links: DataFrame, path: str) -> None:
