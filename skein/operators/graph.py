@@ -14,7 +14,7 @@ from skein.session import ship
 def edge_flow(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Flow of an edge: the mean of the source's coverage shared among its targets and the target's among its sources."""
     s, t = nodes.select(F.col("id").alias("src"), F.col("dp").alias("sdp")), nodes.select(F.col("id").alias("dst"), F.col("dp").alias("tdp"))
-    rows = edges.join(s, "src").join(t, "dst")
+    rows = Rounds(nodes.sparkSession).put(edges.join(s, "src").join(t, "dst"))  # read three times
     outs = rows.groupBy("src").agg(F.sum("tdp").alias("outs"))
     ins = rows.groupBy("dst").agg(F.sum("sdp").alias("ins"))
     rows = rows.join(outs, "src").join(ins, "dst")
@@ -188,6 +188,96 @@ def closure(edges: DataFrame) -> DataFrame:
     return out
 
 
+def last_of(edges: DataFrame) -> DataFrame:
+    """(old, new): where the edges of nodes with one way out lead in the end, by pointer doubling; nodes on or before a
+    cycle have no end and no row. n rows and log2 of the longest way in joins."""
+    rounds = Rounds(edges.sparkSession)
+    now = rounds.put(edges.select(F.col("src").alias("old"), F.col("dst").alias("new")))
+    ends = rounds.put(now.select(F.col("new").alias("id")).distinct().join(now.select(F.col("old").alias("id")), "id", "left_anti"))
+    before = None
+    while True:
+        on = now.select(F.col("old").alias("new"), F.col("new").alias("to"))
+        now = rounds.put(now.join(on, "new", "left").select("old", F.coalesce("to", "new").alias("new")))
+        there = now.join(ends.withColumnRenamed("id", "new"), "new", "left_semi").count()
+        if there == before:
+            return now.join(ends.withColumnRenamed("id", "new"), "new", "left_semi").select("old", "new")
+        before = there
+
+
+def top_neighbours(nodes: DataFrame, edges: DataFrame, most: int = 2) -> DataFrame:
+    """(src, dst, k): the best covered targets of each node, ties by id. Spark keeps `most` rows a node before it shuffles."""
+    rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("dp"), "dst"))
+    rows = edges.select("src", "dst").join(nodes.select(F.col("id").alias("dst"), "dp"), "dst").withColumn("k", rank.cast("long"))
+    return rows.filter(F.col("k") <= most).select("src", "dst", "k")
+
+
+def mutual_nearest(nodes: DataFrame, edges: DataFrame, delta: float | None = None) -> DataFrame:
+    """(src, dst, d): edges whose ends are each other's nearest in coverage among their targets and sources, ties by id.
+    With delta only those are given for which no second end is within twice the distance, or delta."""
+    s, t = nodes.select(F.col("id").alias("src"), F.col("dp").alias("s")), nodes.select(F.col("id").alias("dst"), F.col("dp").alias("t"))
+    rows = edges.select("src", "dst").join(s, "src").join(t, "dst").withColumn("d", F.abs(F.col("s") - F.col("t")))
+    from_, to = Window.partitionBy("src").orderBy("d", "dst"), Window.partitionBy("dst").orderBy("d", "src")
+    rows = rows.withColumn("ks", F.row_number().over(from_)).withColumn("ns", F.lead("d").over(from_))
+    rows = rows.withColumn("kt", F.row_number().over(to)).withColumn("nt", F.lead("d").over(to)).filter("ks = 1 and kt = 1")
+    if delta is not None:
+        margin = F.greatest(F.col("d") * 2, F.lit(float(delta)))
+        rows = rows.filter((F.coalesce("ns", F.lit(float("inf"))) > margin) & (F.coalesce("nt", F.lit(float("inf"))) > margin))
+    return rows.select("src", "dst", "d")
+
+
+def first_max(rows: DataFrame, by: str, order: str, group: str | None = None) -> DataFrame:
+    """The rows with the largest `by`, of each group if there is one; of equal ones that with the smallest `order`."""
+    best = F.min(F.struct((-F.col(by)).alias("_by"), F.col(order).alias("_order"), F.struct(*[F.col(c) for c in rows.columns]).alias("_row")))
+    return (rows.groupBy(group) if group else rows.groupBy()).agg(best.alias("_best")).select("_best._row.*")
+
+
+def best_of_sequence(nodes: DataFrame, key: Column | None = None) -> DataFrame:
+    """Of nodes (id, seq, dp) with equal sequences the best covered one, ties by id. Sequences meet as their SHA-256, and a
+    partial minimum runs before the shuffle, so a large group of copies is one row a task."""
+    key = F.sha2(F.col("seq").cast("binary"), 256) if key is None else key
+    best = F.min(F.struct((-F.col("dp")).alias("d"), "id", "dp")).alias("x")
+    return nodes.select("id", "dp", key.alias("k")).groupBy("k").agg(best).select("x.id", "x.dp")
+
+
+def neighbour_sets(edges: DataFrame) -> DataFrame:
+    """(id, n_both, n_any, n_in_only) of nodes with sources and targets: sizes of the intersection, union and difference of
+    the two sets, by counting each neighbour once, so a node of very many neighbours is no single row."""
+    ends = edges.select(F.col("dst").alias("id"), F.col("src").alias("v"), F.lit(1).alias("i"), F.lit(0).alias("o")).unionAll(edges.select("src", "dst", F.lit(0), F.lit(1)))
+    one = ends.groupBy("id", "v").agg(F.max("i").alias("i"), F.max("o").alias("o"))
+    rows = one.groupBy("id").agg(F.sum(F.col("i") * F.col("o")).alias("n_both"), F.count("*").alias("n_any"), F.sum(F.col("i") * (1 - F.col("o"))).alias("n_in_only"), F.max("i").alias("i"), F.max("o").alias("o"))
+    return rows.filter("i = 1 and o = 1").select("id", "n_both", "n_any", "n_in_only")
+
+
+def branch_pairs(edges: DataFrame, links: DataFrame, at: DataFrame | None = None) -> DataFrame:
+    """(u, branch, w, pe): every source and target of a node, with their links (a, b, cnt), 0 without any. With `at` (id)
+    only around those nodes, which are looked up before pairs are formed."""
+    into, out = edges.select(F.col("src").alias("u"), F.col("dst").alias("branch")), edges.select(F.col("src").alias("branch"), F.col("dst").alias("w"))
+    if at is not None:
+        into = into.join(at.select(F.col("id").alias("branch")), "branch", "left_semi")
+    rows = into.join(out, "branch")
+    on = (F.col("a") == F.least("u", "w")) & (F.col("b") == F.greatest("u", "w"))
+    return rows.join(links.select("a", "b", "cnt"), on, "left").select("u", "branch", "w", F.coalesce("cnt", F.lit(0)).cast("long").alias("pe"))
+
+
+def branch_links(edges: DataFrame, links: DataFrame, support: DataFrame | None = None, at: DataFrame | None = None) -> DataFrame:
+    """(u, branch, w, pe): the pairs around a node that reads link, that are one node, or that paths go through (support: u,
+    branch, w)."""
+    rows = branch_pairs(edges, links, at)
+    sure = (F.col("pe") > 0) | (F.col("u") == F.col("w"))
+    if support is not None:
+        rows = rows.join(support.select("u", "branch", "w").distinct().withColumn("_s", F.lit(True)), ["u", "branch", "w"], "left")
+        sure = sure | F.coalesce("_s", F.lit(False))
+    return rows.filter(sure).select("u", "branch", "w", "pe")
+
+
+def statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row (nodes, edges, low, median, high, sources, sinks) of a graph."""
+    deg = degrees(nodes, edges)
+    ends = deg.agg(F.count_if(F.col("n_in") == 0).alias("sources"), F.count_if(F.col("n_out") == 0).alias("sinks"), F.sum("n_out").cast("long").alias("edges"))
+    cov = nodes.agg(F.count("*").alias("nodes"), F.min("dp").alias("low"), F.median("dp").alias("median"), F.max("dp").alias("high"))
+    return cov.join(ends).select("nodes", "edges", "low", "median", "high", "sources", "sinks")  # two tables of one row
+
+
 def independent(ids: DataFrame, edges: DataFrame) -> DataFrame:
     """(id): what is left of ids if they are admitted in order and no two are adjacent. Each round admits every id that is
     smaller than all its undecided neighbours."""
@@ -244,9 +334,11 @@ def split_balanced(nodes: DataFrame, edges: DataFrame, links: DataFrame, delta:
     4 delta; its copies carry the mean flow. Branches are admitted in order of id, none next to another.
     """
     ship(nodes.sparkSession)
+    balanced = Rounds(nodes.sparkSession).put(branches(edges).filter("n_in = n_out").select(F.col("id").alias("b"), "n_in"))
     flow = edge_flow(nodes, edges)
-    rows = flow.select(F.col("src").alias("u"), F.col("dst").alias("b"), F.col("flow").alias("fi")).join(flow.select(F.col("src").alias("b"), F.col("dst").alias("w"), F.col("flow").alias("fo")), "b")
-    rows = rows.join(branches(edges).filter("n_in = n_out").select(F.col("id").alias("b"), "n_in"), "b")
+    into, out = (flow.join(balanced.select(F.col("b").alias(c)), c, "left_semi") for c in ("dst", "src"))
+    rows = into.select(F.col("src").alias("u"), F.col("dst").alias("b"), F.col("flow").alias("fi")).join(out.select(F.col("src").alias("b"), F.col("dst").alias("w"), F.col("flow").alias("fo")), "b")
+    rows = rows.join(balanced, "b")
     pe = links.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "cnt").groupBy("x", "y").agg(F.sum("cnt").alias("cnt"))
     rows = rows.join(pe, (F.least("u", "w") == F.col("x")) & (F.greatest("u", "w") == F.col("y")), "left").withColumn("cnt", F.coalesce("cnt", F.lit(0)))
     sure = F.col("u") == F.col("w")

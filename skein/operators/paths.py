@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.operators.rounds import Rounds
 from skein.session import ship
 
 
@@ -59,24 +60,27 @@ def without_dead(paths: DataFrame, live: DataFrame) -> DataFrame:
 def contained(paths: DataFrame) -> DataFrame:
     """(name, why) of paths to drop: `same` as an earlier one's node set, or `inside` a larger one.
 
-    A set meets only those that share its two rarest nodes (one, if it has one), by an equi-join, and equal sets are one
-    first; so neither all pairs nor a common node's pairs are formed.
+    Equal sets are one first. A set meets only those larger ones that have its rarest node, by an equi-join whose
+    condition also compares sizes and bits of all nodes' hashes; what passes is compared node by node. So a path of n nodes
+    is n rows, and no common node's pairs are formed.
     """
     sets = paths.select("name", "ord", F.array_sort(F.array_distinct("path")).alias("s"))
     first = sets.groupBy("s").agg(F.min(F.struct("ord", "name")).alias("first"))
     same = sets.join(first, "s").filter(F.col("name") != F.col("first.name")).select("name", F.lit("same").alias("why"))
     kinds = first.select(F.col("first.name").alias("name"), "s", F.size("s").alias("n"))
     freq = kinds.select(F.explode("s").alias("id")).groupBy("id").agg(F.count("*").alias("f"))
-    rare = kinds.select("name", F.explode("s").alias("id")).join(freq, "id").groupBy("name").agg(F.slice(F.array_sort(F.collect_list(F.struct("f", "id"))), 1, 2).alias("r"))
-    rare = kinds.join(rare, "name").withColumn("r", F.array_sort(F.transform("r", lambda x: x["id"])))
-    single = rare.filter("n = 1").select("name", F.get("r", F.lit(0)).alias("id"))
-    larger = kinds.filter("n > 1").select(F.explode("s").alias("id")).distinct()
-    inside = single.join(larger, "id", "left_semi").select("name")
-    small = rare.filter("n > 1").select("name", "s", "n", F.get("r", F.lit(0)).alias("a"), F.get("r", F.lit(1)).alias("b"))
-    pairs = kinds.filter("n > 2").select(F.col("s").alias("big"), F.col("n").alias("m"), F.explode("s").alias("a"))
-    pairs = pairs.select("big", "m", "a", F.explode(F.filter("big", lambda x: x > F.col("a"))).alias("b"))
-    met = small.join(pairs, ["a", "b"]).filter((F.col("m") > F.col("n")) & (F.size(F.array_except("s", "big")) == 0))
-    inside = inside.union(met.select("name")).distinct()
+    nodes = kinds.select("name", "n", F.explode("s").alias("id"))
+    bit = lambda k: F.bit_or(F.when(F.pmod(F.shiftright(F.xxhash64("id"), 6), F.lit(4)) == k, F.expr("shiftleft(1L, cast(xxhash64(id) & 63 as int))")).otherwise(F.lit(0)))
+    marks = nodes.join(freq, "id").groupBy("name", "n").agg(F.min(F.struct("f", "id")).alias("r"), *[bit(k).alias(f"m{k}") for k in range(4)])
+    marks = Rounds(paths.sparkSession).put(marks.select("name", "n", F.col("r.id").alias("id"), "m0", "m1", "m2", "m3"))
+    x, y = marks.alias("x"), nodes.select("id", "name").join(marks.drop("id"), "name").alias("y")
+    fits = F.col("x.n") < F.col("y.n")
+    for k in range(4):
+        fits = fits & (F.col(f"x.m{k}").bitwiseAND(F.bitwise_not(F.col(f"y.m{k}"))) == 0)
+    met = x.join(y, (F.col("x.id") == F.col("y.id")) & fits).select(F.col("x.name").alias("name"), F.col("y.name").alias("other"))
+    s, big = kinds.select("name", "s"), kinds.select(F.col("name").alias("other"), F.col("s").alias("big"))
+    met = met.join(s, "name").join(big, "other").filter(F.size(F.array_except("s", "big")) == 0)
+    inside = met.select("name").distinct()
     copies = sets.join(first.select("s", F.col("first.name").alias("f")), "s").join(inside.withColumnRenamed("name", "f"), "f", "left_semi").select("name")
     return same.unionByName(copies.join(same, "name", "left_anti").select("name", F.lit("inside").alias("why")))
 
@@ -92,6 +96,52 @@ def expand_repeats(strains: DataFrame, counts: DataFrame) -> DataFrame:
     return rows.select("name", F.flatten(F.transform("x", lambda p: F.array_repeat(p["id"], p["t"]))).alias("path"))
 
 
+def valid(paths: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(name, valid): whether all of a path's ids are nodes (id) and all its steps edges; an empty path isn't valid."""
+    ids = paths.select("name", F.explode("path").alias("id")).join(nodes.select("id"), "id", "left_anti").select("name")
+    gaps = steps(paths).join(edges.select("src", "dst"), ["src", "dst"], "left_anti").select("name")
+    bad = ids.union(gaps).distinct().withColumn("bad", F.lit(True))
+    return paths.select("name", (F.size("path") > 0).alias("any")).join(bad, "name", "left").select("name", (F.col("any") & F.col("bad").isNull()).alias("valid"))
+
+
+def by_node(paths: DataFrame) -> DataFrame:
+    """(id, name): which paths go through a node, a row each, so that a node on very many paths is no single row."""
+    return paths.select(F.explode(F.array_distinct("path")).alias("id"), "name")
+
+
+def by_edge(paths: DataFrame) -> DataFrame:
+    """(src, dst, name): which paths take a step."""
+    return steps(paths).select("src", "dst", "name").distinct()
+
+
+def support(paths: DataFrame) -> DataFrame:
+    """(u, branch, w, n): how many paths go through a node from one neighbour to another."""
+    rows = paths.select("name", "path", F.size("path").alias("_n")).filter("_n > 2")
+    part = lambda k: F.slice("path", k, F.col("_n") - 2)
+    rows = rows.select("name", F.explode(F.arrays_zip(part(1).alias("u"), part(2).alias("branch"), part(3).alias("w"))).alias("x")).select("name", "x.*").distinct()
+    return rows.groupBy("u", "branch", "w").agg(F.count("*").alias("n"))
+
+
+def above(paths: DataFrame, min_cov: float) -> DataFrame:
+    """Paths whose coverage (cov) is above the limit."""
+    return paths.filter(F.col("cov") > min_cov)
+
+
+def expand_parts(paths: DataFrame, parts: DataFrame) -> DataFrame:
+    """(name, path) in which ids that stand for a path themselves (parts: id, path; those may hold such ids again, and a copy
+    x*A stands for what x does) are replaced by it, until none is left."""
+    rounds = Rounds(paths.sparkSession)
+    parts, rows = rounds.put(parts.select("id", "path")), rounds.put(paths.select("name", "path"))
+    for _ in range(64):  # ids made of ids made of ids; a part that holds itself is an error
+        at = rows.select("name", F.posexplode("path").alias("pos", "v")).withColumn("id", F.substring_index("v", "*", 1))
+        at = at.join(parts.withColumnRenamed("path", "whole"), "id", "left")
+        if at.filter("whole is not null").isEmpty():
+            return rows
+        at = at.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("whole", F.array("v")).alias("x")))).alias("xs"))
+        rows = rounds.put(at.select("name", F.flatten(F.transform("xs", lambda p: p["x"])).alias("path")))
+    raise ValueError("a part stands for itself")
+
+
 def triples(paths: DataFrame) -> DataFrame:
     """(u, branch, w): what lies before and after each inner node of a path."""
     rows = paths.select("path", F.size("path").alias("_n")).filter("_n > 2")

@@ -37,7 +37,7 @@ def assemble(nodes: DataFrame, edges: DataFrame, contigs: DataFrame, pairs: Data
     n = r.put(graph.raise_branches(n, e))
     base = n.select("id", F.explode(base_ids(F.col("id"))).alias("part")).join(nodes.select(F.col("id").alias("part"), F.length("seq").alias("l")), "part")
     size = base.groupBy("id").agg((F.sum("l") - overlap * (F.count("*") - 1)).alias("len"))
-    got = r.put(strains(n.join(size, "id"), e, known, pe, _delta(n)))
+    got = r.put(strains(n.join(size, "id"), e, known, pe, _delta(n), overlap))
     got = got.select("name", "cov", F.array_distinct(F.flatten(F.transform("path", base_ids))).alias("path"))
     got = r.put(got.withColumn("ord", F.xxhash64("name")))
     got = r.put(paths.deduplicated(got))

@@ -1,7 +1,8 @@
-"""Strain extraction: walk contigs to both ends of the graph, take their coverage away, repeat.
+"""Strain extraction: walk contigs to both ends of the graph, take their coverage away, put the walk back as a node if an
+end is still open, repeat.
 
-Each walk depends on the coverage that the ones before it left, so a component is one sequential task; components are
-independent and run side by side. Disentangled graphs are small: thousands of nodes, not reads.
+Each walk depends on the coverage and the nodes that the ones before it left, so a component is one sequential task;
+components are independent and run side by side. Disentangled graphs are small: thousands of nodes, not reads.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.operators.paths import viable
 from skein.operators.rounds import Rounds
 from skein.session import ship
 
@@ -35,42 +37,60 @@ def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return label
 
 
-def extend(path, out, dp, links, cov, delta):
-    """Walks from the end of path while the next node is certain. With several ways on: one linked through the node before
-    is taken; else the nearest in coverage if it is clearly nearest; else the best covered if only it can carry cov."""
+def nearest(x, ways, dp):
+    """(distance, way) in coverage, the nearest first."""
+    return sorted((abs(dp[w] - dp[x]), w) for w in ways)
+
+
+def next_way(x, before, out, back, dp, pairs, cov, delta):
+    """The way on from x, where a walk of coverage cov came from `before`; None if it isn't certain.
+
+    With several ways: at a branch (a key of pairs) one linked with `before` is taken if it can carry about cov. Without
+    a linked way the nearest to `before` in coverage is, if each is the other's nearest and no second one is within twice
+    the distance, or delta; where one is, the walk ends. Else the best covered way is taken if only it can carry cov.
+    """
+    ways = out.get(x, ())
+    if len(ways) < 2:
+        return next(iter(ways), None)
+    if before is not None and x in pairs:
+        linked = sorted(w for w in ways if (before, w) in pairs[x])
+        if len(linked) == 1 and dp[linked[0]] - cov > -2 * delta:
+            return linked[0]
+        if not linked:
+            there = nearest(before, ways, dp)
+            again = nearest(there[0][1], back.get(x, ()), dp)
+            if again[0][1] == before:
+                margin = max(2 * there[0][0], delta)
+                return None if any(len(r) > 1 and r[1][0] <= margin for r in (there, again)) else there[0][1]
+    first, second = sorted(ways, key=lambda w: (-dp[w], w))[:2]
+    return first if dp[first] - cov > -delta and dp[second] - cov <= -delta else None
+
+
+def walk(path, out, back, dp, pairs, cov, delta):
+    """path, going on from its end while the next node is certain and new."""
     path, seen = list(path), set(path)
-    while True:
-        x = path[-1]
-        ways = sorted(out.get(x, ()))
-        if not ways:
-            return path
-        if len(ways) == 1:
-            to = ways[0]
-        else:
-            linked = [w for w in ways if len(path) > 1 and links.get((path[-2], w), 0) > 0]
-            top = sorted(ways, key=lambda w: (-dp[w], w))
-            if len(linked) == 1 and dp[linked[0]] - cov > -2 * delta:
-                to = linked[0]
-            else:
-                near = sorted(ways, key=lambda w: (abs(dp[w] - cov), w))
-                best, second = abs(dp[near[0]] - cov), abs(dp[near[1]] - cov)
-                if not linked and second > max(2 * best, delta):
-                    to = near[0]
-                elif dp[top[0]] - cov > -delta and dp[top[1]] - cov <= -delta:
-                    to = top[0]
-                else:
-                    return path
-        if to in seen:
-            return path
+    while (to := next_way(path[-1], path[-2] if len(path) > 1 else None, out, back, dp, pairs, cov, delta)) is not None and to not in seen:
         path.append(to)
         seen.add(to)
+    return path
+
+
+def extend(path, out, dp, links, cov, delta):
+    """walk() by links {(u, w): count} that hold around every node."""
+    back = {}
+    for s, ts in out.items():
+        for t in ts:
+            back.setdefault(t, set()).add(s)
+    linked = {k for k, n in links.items() if n > 0}
+    return walk(path, out, back, dp, dict.fromkeys(out, linked), cov, delta)
 
 
 def link_pairs(out, back, links):
     """{branch: [(u, w)]}: pairs of free ends by links, most first, around nodes with several ways in and several out."""
     found = {}
     for x in out:
-        if len(out[x]) > 1 and len(back.get(x, ())) > 1:
+        least = max(1, len(set(out[x]) & set(back.get(x, ()))))
+        if len(out[x]) > least and len(back.get(x, ())) > least:
             ways = sorted((-links[u, w], u, w) for u in back[x] for w in out[x] if links.get((u, w), 0) > 0)
             used_u, used_w = set(), set()
             for _, u, w in ways:
@@ -95,54 +115,201 @@ def follow(path, out, pairs):
         seen.add(ways[0])
 
 
-def extract_component(nodes, edges, contigs, links, lengths=None, delta=None):
+class Component:
+    """A graph that changes: dp by node; flows of edges both ways, as {node: {neighbour: flow}}; by node also its length,
+    the nodes of the first graph that it spells, and how often it was walked."""
+
+    def __init__(self, dp, edges, lengths=None, overlap=0):
+        self.dp, self.overlap = dict(dp), overlap
+        self.out, self.back = {v: {} for v in dp}, {v: {} for v in dp}
+        self.size = {v: (lengths or {}).get(v, 1) for v in dp}
+        self.spells, self.used = {v: (v,) for v in dp}, dict.fromkeys(dp, 0)
+        for s, t in edges:
+            self.join(s, t, 0.0)
+        self.reflow()
+
+    def join(self, s, t, flow):
+        self.out[s][t] = self.back[t][s] = flow
+
+    def add(self, node, dp, like=None, path=()):
+        """A node that spells what `like` does, or a path."""
+        self.dp[node], self.out[node], self.back[node] = dp, {}, {}
+        self.size[node] = self.size[like] if like else self.length(path)
+        self.spells[node] = self.spells[like] if like else tuple(x for v in path for x in self.spells[v])
+        self.used[node] = self.used[like] if like else 0
+
+    def drop(self, node):
+        for t in self.out.pop(node):
+            self.back[t].pop(node, None)
+        for s in self.back.pop(node):
+            self.out.get(s, {}).pop(node, None)
+        for table in (self.dp, self.size, self.spells, self.used):
+            table.pop(node)
+
+    def length(self, path):
+        return sum(self.size[v] for v in path) - self.overlap * max(0, len(path) - 1)
+
+    def reflow(self):
+        """Edge flows from the nodes' coverage: each end shares its own among its edges by the other ends' coverage."""
+        share = lambda v, t, near: self.dp[t] / total if (total := sum(self.dp[x] for x in near[v])) else 0.0
+        for s in self.out:
+            for t in self.out[s]:
+                self.join(s, t, (share(s, t, self.out) * self.dp[s] + share(t, s, self.back) * self.dp[t]) / 2)
+
+    def branches(self):
+        return [x for x in sorted(self.dp) if min(len(self.out[x]), len(self.back[x])) > max(1, len(self.out[x].keys() & self.back[x].keys()))]
+
+    def fork(self):
+        """Every node with one way on one side and several on the other becomes a copy for each of these, with that edge's
+        flow, in order of id and until there is none; at most as many as nodes squared. {node: what it is now}."""
+        first = {v: v for v in self.dp}
+        most, done, todo = len(self.dp) ** 2, 0, sorted(self.dp)
+        while todo and done < most:
+            todo_next = set()
+            for v in todo:
+                if v not in self.dp or (len(self.out[v]) == 1) == (len(self.back[v]) == 1) or not self.out[v] or not self.back[v]:
+                    continue
+                many, one = (self.out, self.back) if len(self.back[v]) == 1 else (self.back, self.out)
+                (single,), made = one[v], []
+                for i, (other, flow) in enumerate(sorted(many[v].items())):
+                    copy = f"{v}*{chr(65 + i) if i < 26 else i}"
+                    self.add(copy, flow, like=v)
+                    for s, t in ((single, copy), (copy, other)) if many is self.out else ((other, copy), (copy, single)):
+                        self.join(s, t, flow)
+                    made.append(copy)
+                    first[copy] = first[v]
+                todo_next |= {*made, *self.out[v], *self.back[v]}
+                self.drop(v)
+                done += 1
+            todo = sorted(todo_next)
+        self.reflow()
+        now = {}
+        for v in self.dp:
+            now.setdefault(first[v], set()).add(v)
+        return now
+
+    def reduce(self, path, cov, delta):
+        """Takes a walk's coverage away; nodes left with delta or less go."""
+        for v in path:
+            self.used[v] += 1
+            self.dp[v] -= cov
+        for v in [v for v in path if self.dp[v] <= delta]:
+            self.drop(v)
+
+    def bubble_cov(self, path, other):
+        """The median coverage of a path's nodes with one way in and one out; without any, `other`."""
+        inner = [self.dp[v] for v in path if len(self.out[v]) == len(self.back[v]) == 1]
+        return statistics.median(inner) if inner else other
+
+
+def supported_pairs(g, contigs, links):
+    """{branch: {(u, w)}}: pairs around a branch that a contig goes through, that are one node, or that reads link."""
+    through = {t for _, path, _ in contigs for t in zip(path, path[1:], path[2:])}
+    return {x: {(u, w) for u in g.back[x] for w in g.out[x] if (u, x, w) in through or u == w or links.get((u, w), 0) > 0} for x in g.branches()}
+
+
+def moved_contigs(contigs, now, g):
+    """Contigs along what their nodes have become: the only way along edges; of several ways, the nodes common to all;
+    none at all leaves a contig as it is."""
+    out = []
+    for name, path, cov in contigs:
+        ways = [now.get(v, {v}) for v in path]
+        ok = viable(ways, [{(s, t) for s in a for t in b if t in g.out.get(s, ())} for a, b in zip(ways, ways[1:])])
+        path = path if ok is None else [min(x) for x in ok if len(x) == 1]
+        if path:
+            out.append((name, path, cov))
+    return out
+
+
+def moved_pairs(pairs, now, g):
+    """Pairs around the branches that are left, where one end has not been copied or both ends still are neighbours."""
+    out = {}
+    for x, kept in pairs.items():
+        if x in g.dp:
+            both = [(now.get(u, {u}), now.get(w, {w})) for u, w in kept]
+            out[x] = {(u, w) for us, ws in both if 1 in (len(us), len(ws)) for u in us for w in ws if u in g.back[x] and w in g.out[x]}
+    return out
+
+
+def extract_component(nodes, edges, contigs, links, lengths=None, delta=None, overlap=0):
     """Strains (name, path, cov) of one component. nodes: {id: dp}; edges: (src, dst) pairs; contigs: (name, path, cov) in
-    order; links: {(u, w): count}. Longest contig first; ids of exhausted nodes are no longer walked. With lengths ({id:
-    length}), nodes over FREE_LENGTH that no strain used are walked as well, along links only."""
-    dp = dict(nodes)
-    if not dp:
+    order; links: {(u, w): count}. Longest contig first (ties: in order). With lengths ({id: length}), nodes over
+    FREE_LENGTH that no walk used are walked as well, along links only.
+
+    Before each walk all forks are opened, and contigs and pairs follow. A walk's nodes lose its coverage. If the graph
+    goes on at an end of the walk, the rest of the walk becomes a node beside that end, which later walks may go through;
+    such a walk then takes the place of the strain that is part of it.
+    """
+    if not nodes:
         return []
-    delta = DELTA_SHARE * statistics.median(dp.values()) if delta is None else delta
-    out, back = {}, {}
-    for s, t in edges:
-        out.setdefault(s, set()).add(t)
-        back.setdefault(t, set()).add(s)
+    delta = DELTA_SHARE * statistics.median(nodes.values()) if delta is None else delta
+    g = Component(nodes, edges, lengths, overlap)
     links = {**links, **{(w, u): n for (u, w), n in links.items()}}
-    live = set(dp)
-    size = lambda path: sum((lengths or {}).get(v, 1) for v in path)
-    left = sorted(enumerate(contigs), key=lambda c: (-size(c[1][1]), c[0]))
-    strains, used = [], set()
-    for _, (name, path, cov) in left:
-        if not set(path) <= live or set(path) <= used:
-            continue
-        near = {k: v & live for k, v in out.items()}, {k: v & live for k, v in back.items()}
-        whole = extend(path, near[0], dp, links, cov, delta)
-        whole = extend(whole[::-1], near[1], dp, links, cov, delta)[::-1]
-        single = [dp[v] for v in whole if len(near[0].get(v, ())) <= 1 and len(near[1].get(v, ())) <= 1]
-        cov = min(cov, statistics.median(single)) if single else min(cov, min(dp[v] for v in whole))
-        strains.append((name, whole, cov))
-        used.update(whole)
-        for v in whole:
-            dp[v] -= cov
-            if dp[v] <= delta:
-                live.discard(v)
-    free = [v for v in live if (lengths or {}).get(v, 0) > FREE_LENGTH and v not in used]
-    near = {k: v & live for k, v in out.items()}, {k: v & live for k, v in back.items()}
-    pairs = link_pairs(*near, links) if free else {}
-    for v in sorted(free, key=lambda v: (-lengths[v], v)):
-        if v in used:
+    contigs = [(name, list(path), cov) for name, path, cov in contigs if set(path) <= g.dp.keys()]
+    pairs, found = supported_pairs(g, contigs, links), {}
+
+    def add(key, name, path, cov):
+        for v in path:
+            found.pop(v, None)
+        found[key] = name, [x for v in path for x in g.spells[v]], cov
+
+    for nth in range(len(contigs)):
+        if not contigs:
+            break
+        now = g.fork()
+        contigs, pairs = moved_contigs(contigs, now, g), moved_pairs(pairs, now, g)
+        if not contigs:
+            break
+        name, path, cov = contigs.pop(max(range(len(contigs)), key=lambda i: (g.length(contigs[i][1]) if set(contigs[i][1]) <= g.dp.keys() else -1, -i)))
+        if not set(path) <= g.dp.keys() or all(g.used[v] for v in path):
             continue
-        whole = follow([v], near[0], pairs)
-        whole = follow(whole[::-1], near[1], {x: [(w, u) for u, w in p] for x, p in pairs.items()})[::-1]
-        single = [dp[x] for x in whole if len(near[0].get(x, ())) <= 1 and len(near[1].get(x, ())) <= 1]
-        strains.append((f"N{v}", whole, statistics.median(single) if single else dp[v]))
-        used.update(whole)
-    return [s for s in strains if s[2] > 2 * delta]
+        own = g.bubble_cov(path, cov)
+        whole = walk(path, g.out, g.back, g.dp, pairs, min(cov, own), delta)
+        mirrored = {x: {(w, u) for u, w in p} for x, p in pairs.items()}
+        whole = walk(whole[::-1], g.back, g.out, g.dp, mirrored, min(cov, own), delta)[::-1]
+        cov = min(cov, own, g.bubble_cov(whole, cov))
+        key = f"@{nth}"
+        add(key, name, whole, cov)
+        before, after = bool(g.back[whole[0]]), bool(g.out[whole[-1]])
+        inner = whole[1 if before else 0 : len(whole) - 1 if after else len(whole)]
+        if not before and not after:
+            g.reduce(whole, cov, delta)
+        elif len(whole) > 1:
+            if inner:
+                g.add(key, cov, path=inner)
+                if before:
+                    g.join(whole[0], key, cov)
+                if after:
+                    g.join(key, whole[-1], cov)
+            g.reduce(inner, cov, delta)
+        g.reflow()
+        contigs = [c for c in contigs if set(c[1]) <= g.dp.keys()]
+        pairs = {x: {(u, w) for u, w in p if u in g.dp and w in g.dp} for x, p in pairs.items() if x in g.dp}
+
+    # of nodes that spell the same, the best covered one stays
+    best = {}
+    for v in sorted(g.dp, key=lambda v: (-g.dp[v], v)):
+        if best.setdefault(g.spells[v], v) != v:
+            g.drop(v)
+    g.reflow()
+    if lengths:
+        count = lambda u, w: sum(links.get((a, b), 0) for a in g.spells[u] for b in g.spells[w])
+        linked = {(u, w): count(u, w) for x in g.branches() for u in g.back[x] for w in g.out[x]}
+        around = link_pairs(g.out, g.back, linked)
+        turned = {x: [(w, u) for u, w in p] for x, p in around.items()}
+        for v in sorted((v for v in g.dp if g.size[v] > FREE_LENGTH), key=lambda v: (-g.size[v], v)):
+            if not g.used[v]:
+                whole = follow([v], g.out, around)
+                whole = follow(whole[::-1], g.back, turned)[::-1]
+                add(f"N{v}", f"N{v}", whole, g.bubble_cov(whole, g.dp[v]))
+                for x in whole:
+                    g.used[x] += 1
+    return [s for s in found.values() if s[2] > 2 * delta]
 
 
-def strains(nodes: DataFrame, edges: DataFrame, contigs: DataFrame, links: DataFrame, delta: float | None = None) -> DataFrame:
+def strains(nodes: DataFrame, edges: DataFrame, contigs: DataFrame, links: DataFrame, delta: float | None = None, overlap: int = 0) -> DataFrame:
     """(name, path, cov) over all components. nodes (id, dp[, len]), edges (src, dst), contigs (name, ord, path, cov), links
-    (a, b, cnt). delta is 0.05 medians of a component's coverage unless given."""
+    (a, b, cnt). delta is 0.05 medians of a component's coverage unless given; neighbours overlap by so many letters."""
     ship(nodes.sparkSession)
     measured = "len" in nodes.columns
     comp = Rounds(nodes.sparkSession).put(weak_components(nodes, edges))
@@ -158,7 +325,7 @@ def strains(nodes: DataFrame, edges: DataFrame, contigs: DataFrame, links: DataF
         get = lambda k: part.get(k, pdf.iloc[:0])
         ns, es, cs, ls = get(0), get(1), get(2).sort_values(["b", "a"]), get(3)
         lengths = dict(zip(ns.a, ns.y)) if measured else None
-        found = extract_component(dict(zip(ns.a, ns.x)), list(zip(es.a, es.b)), [(a, list(p), x) for a, p, x in zip(cs.a, cs.path, cs.x)], dict(zip(zip(ls.a, ls.b), ls.x)), lengths, delta)
+        found = extract_component(dict(zip(ns.a, ns.x)), list(zip(es.a, es.b)), [(a, list(p), x) for a, p, x in zip(cs.a, cs.path, cs.x)], dict(zip(zip(ls.a, ls.b), ls.x)), lengths, delta, overlap)
         return pd.DataFrame([(n, p, float(x)) for n, p, x in found], columns=["name", "path", "cov"])
 
     return n.unionAll(e).unionAll(c).unionAll(li).groupBy("comp").applyInPandas(run, "name string, path array<string>, cov double")
