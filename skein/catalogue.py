@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skein.functions.sequence import acgt, base_ids, join_ids, revcomp
+from skein.functions.sequence import acgt, base_ids, join_ids, revcomp, windows
 from skein.operators import graph, links, paths
 from skein.operators.rounds import Rounds
 from skein.plans import strains as plan
@@ -42,7 +42,7 @@ PAIRS = """turns AS (
   SELECT conv_id, turn, role, regexp_replace(upper(coalesce(text, '')), '[^ACGT]', '', 'g') AS seq,
          lead(role) OVER w AS next_role, lead(regexp_replace(upper(coalesce(text, '')), '[^ACGT]', '', 'g')) OVER w AS rseq
   FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
-), pairs AS (SELECT conv_id * 1000 + turn AS pair, seq AS fseq, rseq FROM turns WHERE role = 'user' AND next_role = 'assistant')"""
+), pairs AS (SELECT conv_id * 4294967296 + turn AS pair, seq AS fseq, rseq FROM turns WHERE role = 'user' AND next_role = 'assistant')"""
 ORDERED = """li AS (
   SELECT l_orderkey AS o, l_suppkey::VARCHAR AS id, l_quantity AS q,
          row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS pos FROM lineitem
@@ -73,11 +73,11 @@ def _seqs(spark, sf_dir):
     return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("node"), acgt(F.col("text")).alias("seq"))
 
 
-def _pairs(spark, sf_dir):
+def _pairs(spark, sf_dir, letters=acgt):
     w = Window.partitionBy("conv_id").orderBy("turn")
-    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", acgt(F.col("text")).alias("fseq"))
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", letters(F.col("text")).alias("fseq"))
     rows = rows.withColumn("next_role", F.lead("role").over(w)).withColumn("rseq", F.lead("fseq").over(w))
-    return rows.filter("role = 'user' and next_role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("pair"), "fseq", "rseq")
+    return rows.filter("role = 'user' and next_role = 'assistant'").select((F.col("conv_id") * (1 << 32) + F.col("turn")).alias("pair"), "fseq", "rseq")
 
 
 def _accepted(spark, sf_dir):
@@ -124,8 +124,6 @@ def kmer_index(spark, sf_dir):
 
 @query(f"WITH {HITS} SELECT least(kmer, reverse(translate(kmer, 'ACGT', 'TGCA'))) AS kmer, count(*) AS n FROM idx GROUP BY 1")
 def kmer_canonical_count(spark, sf_dir):
-    from skein.functions.sequence import windows
-
     rows = windows(_seqs(spark, sf_dir), "seq", K, ["node"])
     return rows.groupBy(F.least(F.col("kmer"), revcomp(F.col("kmer"))).alias("kmer")).agg(F.count("*").alias("n"))
 
@@ -162,17 +160,61 @@ def links_folded(spark, sf_dir):
     return links.fold(links.pair_links(acc), links.mate_links(acc))
 
 
-@query(f"""WITH {PAIRS} SELECT count(*) AS pairs, count(*) FILTER (length(fseq) < {K} OR length(rseq) < {K}) AS short,
-count(*) FILTER (length(fseq) >= {K} AND length(rseq) >= {K}) AS used FROM pairs""")
+@query(f"""WITH {PAIRS.replace("[^ACGT]", "[^ACGTN]")} SELECT count(*) AS pairs, count(*) FILTER (n) AS with_n, count(*) FILTER (NOT n AND short) AS short, count(*) FILTER (NOT n AND NOT short) AS used
+FROM (SELECT contains(fseq, 'N') OR contains(rseq, 'N') AS n, length(fseq) < 12 OR length(rseq) < 12 AS short FROM pairs)""")
 def read_filter_counts(spark, sf_dir):
-    ok = (F.length("fseq") >= K) & (F.length("rseq") >= K)
-    return _pairs(spark, sf_dir).agg(F.count("*").alias("pairs"), F.count_if(~ok).alias("short"), F.count_if(ok).alias("used"))
+    letters = lambda text: F.regexp_replace(F.upper(F.coalesce(text, F.lit(""))), "[^ACGTN]", "")
+    return links.read_counts(_pairs(spark, sf_dir, letters), 12)
 
 
-@query(f"WITH {PAIRS} SELECT pair, fseq, rseq FROM pairs WHERE pair % 3 = 0")
+@query(f"WITH {PAIRS} SELECT pair, fseq, rseq FROM pairs WHERE ('0x' || substr(md5('7:' || pair::VARCHAR), 1, 8))::BIGINT * 3 < 4294967296")
 def sample_pairs(spark, sf_dir):
-    """Paired sampling, the same decision for both mates; here by the pair's number so that SQL can follow."""
-    return _pairs(spark, sf_dir).filter("pair % 3 = 0")
+    """Paired sampling, the same decision for both mates."""
+    return links.sample_pairs(_pairs(spark, sf_dir), 3, seed=7)
+
+
+@query(f"""WITH {HITS} SELECT pair || '_' || mate || '_' || read_pos AS name, kmer AS seq FROM rk""")
+def read_windows(spark, sf_dir):
+    return links.read_windows(_pairs(spark, sf_dir), K)
+
+
+ALIGNED = """, paf AS (SELECT rk.pair, rk.mate, rk.read_pos, idx.node, idx.pos AS start FROM rk JOIN idx ON rk.kmer = idx.kmer WHERE rk.read_pos < 40)"""
+
+
+@query(f"""WITH {HITS}{ALIGNED} SELECT pair, mate::BIGINT AS mate, node, CASE mate WHEN 0 THEN length(fseq) ELSE length(rseq) END::BIGINT AS read_len, length(seq.seq)::BIGINT AS node_len,
+count(*) AS hits, min(start)::BIGINT AS node_pos, min(read_pos)::BIGINT AS read_pos FROM paf JOIN pairs USING (pair) JOIN seq USING (node) GROUP BY ALL""")
+def aligned_hits(spark, sf_dir):
+    """Hits from alignments of single windows; here each read's first 40 windows aligned by equality to the forward strand."""
+    pairs, nodes = _pairs(spark, sf_dir), _seqs(spark, sf_dir)
+    reads = links.read_windows(pairs, K).filter("cast(substring_index(name, '_', -1) as int) < 40")
+    index = windows(nodes, "seq", K, ["node"])
+    paf = reads.join(index, reads["seq"] == index["kmer"]).select(F.col("name").alias("query"), F.col("node").alias("target"), F.col("pos").alias("start"), F.lit(K).alias("matches"), F.lit(K).alias("block"))
+    return _hit_columns(links.aligned_hits(paf, pairs, nodes, K))
+
+
+PAF = """paf AS (SELECT l_orderkey::VARCHAR || '_' || l_linenumber AS query, 50 AS query_len, l_suppkey::VARCHAR AS target, l_quantity::BIGINT AS matches, l_quantity::BIGINT + l_linenumber % 3 AS block, l_linenumber % 3 AS nm FROM lineitem)"""
+
+
+def _paf(spark, sf_dir):
+    li, q = read(spark, sf_dir, "lineitem"), F.col("l_quantity").cast("long")
+    apart = (F.col("l_linenumber") % 3).cast("long")
+    return li.select(F.concat_ws("_", "l_orderkey", "l_linenumber").alias("query"), F.lit(50).cast("long").alias("query_len"), F.col("l_suppkey").cast("string").alias("target"), q.alias("matches"), (q + apart).alias("block"), apart.alias("nm"))
+
+
+@query(f"WITH {PAF} SELECT DISTINCT target, query FROM paf WHERE nm = 0 AND block = query_len")
+def exact_alignments(spark, sf_dir):
+    return links.exact_alignments(_paf(spark, sf_dir))
+
+
+@query(f"WITH {PAF} SELECT DISTINCT target, split_part(query, '_', 1) AS name FROM paf WHERE matches / block >= 0.97 AND split_part(query, '_', 1) IN (SELECT o_orderkey::VARCHAR FROM orders WHERE o_orderstatus = 'F')")
+def contigs_of_targets(spark, sf_dir):
+    contigs = read(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").cast("string").alias("name"))
+    return links.contigs_of_targets(_paf(spark, sf_dir), contigs, 0.97)
+
+
+@query(f"WITH {PAF} SELECT query, block, target, (block - matches)::BIGINT AS apart FROM paf")
+def alignment_scores(spark, sf_dir):
+    return links.alignment_scores(_paf(spark, sf_dir))
 
 
 # ---- graph ----
@@ -246,10 +288,28 @@ def reindex_nodes(spark, sf_dir):
     return graph.reindex(_graph(spark, sf_dir)[0], -F.col("dp"))
 
 
-@query()
+ZIGZAG = """z AS (
+  SELECT p_partkey AS k, p_brand, row_number() OVER g - 1 AS r, count(*) OVER (PARTITION BY p_brand, p_type) AS n, lead(p_partkey) OVER g AS next,
+         first_value(p_partkey) OVER g AS head, p_brand LIKE '%1' AND count(*) OVER (PARTITION BY p_brand, p_type) > 1 AS ring FROM part WINDOW g AS (PARTITION BY p_brand, p_type ORDER BY p_partkey)
+), edges AS (
+  SELECT k AS a, k AS b, ring, p_brand, r, n FROM z UNION ALL SELECT k, next, ring, p_brand, r, n FROM z WHERE next IS NOT NULL
+  UNION ALL SELECT k, head, ring, p_brand, r, n FROM z WHERE next IS NULL AND ring
+)"""
+
+
+@query(f"""WITH {ZIGZAG}, used AS (SELECT k FROM z WHERE p_brand LIKE '%11' AND r = 0)
+SELECT 's' || a AS src, 't' || b AS dst, NOT ring OR (a = b AND a IN (SELECT k FROM used)) AS assigned,
+       NOT ring OR (a = b AND a IN (SELECT k FROM used)) OR NOT (a IN (SELECT k FROM used) OR b IN (SELECT k FROM used)) AS kept FROM edges""")
 def edge_cleaning(spark, sf_dir):
-    nodes, edges = _graph(spark, sf_dir)
-    return graph.clean_edges(edges)
+    """Zigzags s1-t1, s1-t2, s2-t2, ... over the parts of a brand and type. From an end of an open one every edge becomes
+    assigned in turn; the zigzags of some brands are closed to rings, where none is, but for those that a path uses."""
+    g = Window.partitionBy("p_brand", "p_type").orderBy("p_partkey")
+    z = read(spark, sf_dir, "part").select("p_brand", F.col("p_partkey").alias("k"), F.lead("p_partkey").over(g).alias("next"), F.first("p_partkey").over(g).alias("head"), F.row_number().over(g).alias("r"),
+                                           F.count("*").over(Window.partitionBy("p_brand", "p_type")).alias("n"))
+    edge = lambda rows, to: rows.select(F.concat(F.lit("s"), "k").alias("src"), F.concat(F.lit("t"), to).alias("dst"))
+    ends = z.filter("next is null and p_brand like '%1' and n > 1")
+    edges = edge(z, "k").union(edge(z.filter("next is not null"), "next")).union(edge(ends, "head"))
+    return graph.clean_edges(edges, edge(z.filter("p_brand like '%11' and r = 1"), "k"))
 
 
 @query(f"""WITH RECURSIVE {PARTS}, c AS (
@@ -277,38 +337,44 @@ def reachability(spark, sf_dir):
 @query(f"WITH RECURSIVE {PARTS}, r AS (SELECT src AS old, dst AS new FROM edges UNION SELECT old, dst FROM r JOIN edges ON src = new) SELECT old, new FROM r WHERE new NOT IN (SELECT src FROM edges)")
 def transitive_id_map(spark, sf_dir):
     _, edges = _parts(spark, sf_dir)
-    found = graph.closure(Rounds(spark).put(edges))
-    return found.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_anti").select(F.col("src").alias("old"), F.col("dst").alias("new"))
+    return graph.last_of(edges)
 
 
 @query(f"""WITH {GRAPH}, r AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY t.dp DESC, dst) AS k FROM edges JOIN nodes t ON t.id = dst)
 SELECT src, dst, k FROM r WHERE k <= 2""")
 def top2_neighbours(spark, sf_dir):
-    nodes, edges = _graph(spark, sf_dir)
-    w = Window.partitionBy("src").orderBy(F.desc("dp"), "dst")
-    rows = edges.join(nodes.withColumnRenamed("id", "dst"), "dst").withColumn("k", F.row_number().over(w).cast("long"))
-    return rows.filter("k <= 2").select("src", "dst", "k")
+    return graph.top_neighbours(*_graph(spark, sf_dir))
 
 
 @query(f"""WITH {GRAPH}, x AS (SELECT src, dst, abs(s.dp - t.dp) AS d FROM edges JOIN nodes s ON s.id = src JOIN nodes t ON t.id = dst),
 r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY d, dst) AS ks, row_number() OVER (PARTITION BY dst ORDER BY d, src) AS kt FROM x)
 SELECT src, dst, d FROM r WHERE ks = 1 AND kt = 1""")
 def mutual_best_match(spark, sf_dir):
-    nodes, edges = _graph(spark, sf_dir)
-    rows = edges.join(nodes.select(F.col("id").alias("src"), F.col("dp").alias("s")), "src").join(nodes.select(F.col("id").alias("dst"), F.col("dp").alias("t")), "dst")
-    rows = rows.withColumn("d", F.abs(F.col("s") - F.col("t")))
-    rows = rows.withColumn("ks", F.row_number().over(Window.partitionBy("src").orderBy("d", "dst"))).withColumn("kt", F.row_number().over(Window.partitionBy("dst").orderBy("d", "src")))
-    return rows.filter("ks = 1 and kt = 1").select("src", "dst", "d")
+    return graph.mutual_nearest(*_graph(spark, sf_dir))
+
+
+@query(f"""WITH {GRAPH}, x AS (SELECT src, dst, abs(s.dp - t.dp) AS d FROM edges JOIN nodes s ON s.id = src JOIN nodes t ON t.id = dst),
+r AS (SELECT *, row_number() OVER f AS ks, row_number() OVER t AS kt, lead(d) OVER f AS ns, lead(d) OVER t AS nt FROM x WINDOW f AS (PARTITION BY src ORDER BY d, dst), t AS (PARTITION BY dst ORDER BY d, src))
+SELECT src, dst, d FROM r WHERE ks = 1 AND kt = 1 AND coalesce(ns > greatest(2 * d, 5), true) AND coalesce(nt > greatest(2 * d, 5), true)""")
+def mutual_best_with_margin(spark, sf_dir):
+    return graph.mutual_nearest(*_graph(spark, sf_dir), delta=5.0)
+
+
+@query("SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) WHERE k = 1")
+def first_max(spark, sf_dir):
+    return graph.first_max(read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey", "o_custkey")
+
+
+@query(f"""WITH {GRAPH} SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges, min(dp) AS low, median(dp) AS median, max(dp) AS high,
+(SELECT count(*) FROM nodes WHERE id NOT IN (SELECT dst FROM edges)) AS sources, (SELECT count(*) FROM nodes WHERE id NOT IN (SELECT src FROM edges)) AS sinks FROM nodes""")
+def graph_statistics(spark, sf_dir):
+    return graph.statistics(*_graph(spark, sf_dir))
 
 
 @query(f"""WITH {GRAPH}, a AS (SELECT id, (SELECT list(DISTINCT src) FROM edges WHERE dst = id) AS i, (SELECT list(DISTINCT dst) FROM edges WHERE src = id) AS o FROM nodes)
 SELECT id, len(list_intersect(i, o))::BIGINT AS n_both, len(list_distinct(list_concat(i, o)))::BIGINT AS n_any, len(list_filter(i, lambda x: NOT list_contains(o, x)))::BIGINT AS n_in_only FROM a WHERE i IS NOT NULL AND o IS NOT NULL""")
 def neighbour_set_ops(spark, sf_dir):
-    _, edges = _graph(spark, sf_dir)
-    i = edges.groupBy(F.col("dst").alias("id")).agg(F.collect_set("src").alias("i"))
-    o = edges.groupBy(F.col("src").alias("id")).agg(F.collect_set("dst").alias("o"))
-    size = lambda c: F.size(c).cast("long")
-    return i.join(o, "id").select("id", size(F.array_intersect("i", "o")).alias("n_both"), size(F.array_union("i", "o")).alias("n_any"), size(F.array_except("i", "o")).alias("n_in_only"))
+    return graph.neighbour_sets(_graph(spark, sf_dir)[1])
 
 
 # ---- paths ----
@@ -321,15 +387,51 @@ def contig_edges(spark, sf_dir):
 
 @query(f"WITH {ORDERED} SELECT id, count(DISTINCT o) AS n, min(o) AS first FROM li GROUP BY id")
 def node_to_contigs(spark, sf_dir):
-    rows = _paths(spark, sf_dir).select("ord", F.explode("path").alias("id"))
-    return rows.groupBy("id").agg(F.count_distinct("ord").alias("n"), F.min("ord").alias("first"))
+    return paths.by_node(_paths(spark, sf_dir)).groupBy("id").agg(F.count("*").alias("n"), F.min(F.col("name").cast("long")).alias("first"))
+
+
+@query(f"WITH {GRAPH} SELECT DISTINCT src, dst, o::VARCHAR AS name FROM steps")
+def edge_to_contigs(spark, sf_dir):
+    return paths.by_edge(_paths(spark, sf_dir))
+
+
+@query(f"""WITH {GRAPH}, live AS (SELECT id FROM nodes WHERE dp > (SELECT avg(dp) * 0.9::DOUBLE FROM nodes)), good AS (SELECT src, dst FROM edges WHERE length(dst) > 1)
+SELECT o::VARCHAR AS name, o NOT IN (SELECT o FROM li WHERE id NOT IN (SELECT id FROM live)) AND o NOT IN (SELECT o FROM steps WHERE (src, dst) NOT IN (SELECT (src, dst) FROM good)) AS valid FROM li GROUP BY o""")
+def path_validity(spark, sf_dir):
+    nodes, edges = _graph(spark, sf_dir)
+    low = nodes.agg(F.avg("dp") * 0.9).first()[0]
+    return paths.valid(_paths(spark, sf_dir), nodes.filter(F.col("dp") > low), edges.filter(F.length("dst") > 1))
+
+
+@query(f"""WITH {ORDERED} SELECT o::VARCHAR AS name, string_agg(CASE WHEN id::BIGINT % 10 = 0 THEN (id::BIGINT + 2) || ',' || (id::BIGINT + 3) || ',' || (id::BIGINT + 1) ELSE id END, ',' ORDER BY pos) AS path FROM li GROUP BY o""")
+def strain_node_expansion(spark, sf_dir):
+    """Every tenth supplier stands for a path, whose first part stands for two again."""
+    ids = _graph(spark, sf_dir)[0].select("id").filter("cast(id as long) % 10 = 0")
+    more = lambda n: (F.col("id").cast("long") + n).cast("string")
+    inner = F.concat(F.lit("x"), "id")
+    parts = ids.select("id", F.array(F.concat(inner, F.lit("*A")), more(1)).alias("path")).union(ids.select(inner, F.array(more(2), more(3))))
+    return paths.expand_parts(_paths(spark, sf_dir), parts).select("name", F.array_join("path", ",").alias("path"))
+
+
+@query(f"""WITH {GRAPH}, l AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, count(*) AS cnt FROM steps GROUP BY ALL),
+bi AS (SELECT a, b, cnt FROM l UNION ALL SELECT b, a, cnt FROM l WHERE a <> b), part AS (SELECT s_suppkey::VARCHAR AS part, 'n' || s_nationkey AS id FROM supplier)
+SELECT x.id AS a, y.id AS b, sum(cnt)::BIGINT AS cnt FROM bi JOIN part x ON x.part = a JOIN part y ON y.part = b WHERE x.id <= y.id GROUP BY 1, 2""")
+def links_of_contracted_nodes(spark, sf_dir):
+    """Links between nations, from those between the suppliers that they are made of."""
+    s = paths.steps(_paths(spark, sf_dir))
+    pe = s.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.count("*").alias("cnt"))
+    return links.node_links(pe, read(spark, sf_dir, "supplier").select(F.concat(F.lit("n"), "s_nationkey").alias("id"), F.col("s_suppkey").cast("string").alias("part")))
+
+
+@query("SELECT o_orderkey::VARCHAR AS name, o_totalprice AS cov FROM orders WHERE o_totalprice > (SELECT median(o_totalprice) FROM orders)")
+def contigs_above(spark, sf_dir):
+    rows = read(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("name"), F.col("o_totalprice").alias("cov"))
+    return paths.above(rows, rows.agg(F.median("cov")).first()[0])
 
 
 @query(f"""WITH {GRAPH} SELECT a.src AS u, a.dst AS branch, b.dst AS w, count(DISTINCT a.o) AS n FROM steps a JOIN steps b ON a.o = b.o AND b.pos = a.pos + 1 GROUP BY ALL""")
 def branch_support(spark, sf_dir):
-    s = paths.steps(_paths(spark, sf_dir))
-    after = F.lead("dst").over(Window.partitionBy("name").orderBy("pos"))
-    return s.withColumn("w", after).filter("w is not null").groupBy(F.col("src").alias("u"), F.col("dst").alias("branch"), "w").agg(F.count_distinct("name").alias("n"))
+    return paths.support(_paths(spark, sf_dir))
 
 
 BRANCH = f"""WITH {PARTS}, li2 AS (SELECT l_orderkey AS o, l_partkey::VARCHAR AS id FROM lineitem GROUP BY ALL),
@@ -338,23 +440,28 @@ u AS (SELECT i.src AS u, i.dst AS branch, o.dst AS w FROM edges i JOIN edges o O
 SELECT u.u, u.branch, u.w, coalesce(pe.cnt, 0) AS pe FROM u LEFT JOIN pe ON pe.a = least(u.u, u.w) AND pe.b = greatest(u.u, u.w)"""
 
 
-def _branch(spark, sf_dir):
-    _, edges = _parts(spark, sf_dir)
+def _part_links(spark, sf_dir):
     rows = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_partkey").cast("string").alias("id")).distinct()
-    pe = rows.withColumnRenamed("id", "a").join(rows.withColumnRenamed("id", "b"), "o").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("cnt"))
-    through = edges.select(F.col("src").alias("u"), F.col("dst").alias("branch")).join(edges.select(F.col("src").alias("branch"), F.col("dst").alias("w")), "branch")
-    on = (F.col("a") == F.least("u", "w")) & (F.col("b") == F.greatest("u", "w"))
-    return through.join(pe, on, "left").select("u", "branch", "w", F.coalesce("cnt", F.lit(0)).alias("pe"))
+    return rows.withColumnRenamed("id", "a").join(rows.withColumnRenamed("id", "b"), "o").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("cnt"))
 
 
 @query(BRANCH)
 def branch_pairs(spark, sf_dir):
-    return _branch(spark, sf_dir)
+    return graph.branch_pairs(_parts(spark, sf_dir)[1], _part_links(spark, sf_dir))
 
 
 @query(f"SELECT * FROM ({BRANCH}) WHERE pe > 0 OR u = w")
 def branch_links(spark, sf_dir):
-    return _branch(spark, sf_dir).filter("pe > 0 or u = w")
+    return graph.branch_links(_parts(spark, sf_dir)[1], _part_links(spark, sf_dir))
+
+
+@query(f"SELECT * FROM ({BRANCH}) WHERE pe > 0 OR u = w OR branch::BIGINT % 5 = 0")
+def branch_links_with_contigs(spark, sf_dir):
+    """Contigs go through every fifth part."""
+    _, edges = _parts(spark, sf_dir)
+    through = edges.join(edges.select(F.col("src").alias("dst"), F.col("dst").alias("w")), "dst").filter("cast(dst as long) % 5 = 0")
+    contigs = through.select(F.col("dst").alias("name"), F.array("src", "dst", "w").alias("path"))
+    return graph.branch_links(edges, _part_links(spark, sf_dir), paths.support(contigs))
 
 
 @query(f"""WITH {GRAPH}, l AS (SELECT id, length(id) AS len FROM nodes), big AS (SELECT src, dst, 1 AS overlap FROM edges WHERE length(dst) > 1)
@@ -375,9 +482,11 @@ def path_sequence(spark, sf_dir):
     return paths.path_sequence(_paths(spark, sf_dir), nodes.select("id", F.col("id").alias("seq")), big)
 
 
-@query(f"WITH {GRAPH}{FLOW} SELECT o::VARCHAR AS name, round(min(flow), 6) AS cov FROM steps JOIN flow ON flow.src = steps.src AND flow.dst = steps.dst GROUP BY o")
+@query(f"""WITH {GRAPH}{FLOW} SELECT o::VARCHAR AS name, round(min(flow), 6) AS cov FROM steps JOIN flow ON flow.src = steps.src AND flow.dst = steps.dst GROUP BY o
+UNION ALL SELECT o::VARCHAR, round(min(dp), 6) FROM li JOIN nodes ON nodes.id = li.id GROUP BY o HAVING count(*) = 1""")
 def path_coverage(spark, sf_dir):
-    return paths.path_coverage(_paths(spark, sf_dir), graph.edge_flow(*_graph(spark, sf_dir))).select("name", F.round("cov", 6).alias("cov"))
+    nodes, edges = _graph(spark, sf_dir)
+    return paths.path_coverage(_paths(spark, sf_dir), graph.edge_flow(nodes, edges), nodes).select("name", F.round("cov", 6).alias("cov"))
 
 
 @query(f"WITH {ORDERED} SELECT o::VARCHAR AS name, id, count(*) AS times FROM li GROUP BY ALL")
@@ -419,10 +528,9 @@ def contig_dead_node_filter(spark, sf_dir):
 
 @query("""SELECT doc_id, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY n_chars DESC, doc_id) AS k FROM documents) WHERE k = 1""")
 def dedupe_by_sequence(spark, sf_dir):
-    """Of equal sequences the best covered row. Texts are compared by SHA-256, so no text is shuffled; a partial minimum
-    runs before the shuffle, so a large group of copies is one row a task."""
-    d = read(spark, sf_dir, "documents").select("doc_id", "n_chars", F.sha2(F.col("text").cast("binary"), 256).alias("k"))
-    return d.groupBy("k").agg(F.min(F.struct((-F.col("n_chars")).alias("n"), "doc_id", "n_chars")).alias("x")).select("x.doc_id", "x.n_chars")
+    """Of equal sequences the best covered row."""
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("seq"), F.col("n_chars").alias("dp"))
+    return graph.best_of_sequence(d).select(F.col("id").alias("doc_id"), F.col("dp").alias("n_chars"))
 
 
 @query("""SELECT o_orderkey AS k, (o_orderkey % 7)::VARCHAR || ',' || (o_orderkey % 11)::VARCHAR || ',-' || (o_orderkey % 5)::VARCHAR AS ids FROM orders""")
@@ -433,7 +541,14 @@ def id_codec(spark, sf_dir):
     return read(spark, sf_dir, "orders").select(k.alias("k"), F.array_join(base_ids(coded), ",").alias("ids"))
 
 
-@query()
+@query("""WITH p AS (
+  SELECT p_partkey, p_size::DOUBLE AS dp, p_brand, p_type, row_number() OVER g AS r, count(*) OVER (PARTITION BY p_brand, p_type) AS n, lead(p_partkey) OVER g AS next
+  FROM part WINDOW g AS (PARTITION BY p_brand, p_type ORDER BY p_partkey)
+), c AS (
+  SELECT max(p_partkey || '-' || next) FILTER (r = 1) AS name, string_agg(p_partkey::VARCHAR, ',' ORDER BY r) AS path, median(dp) AS med,
+         least(20.0::DOUBLE, coalesce(max(dp) FILTER (r = 2 AND n > 2), 20.0::DOUBLE), coalesce(median(dp) FILTER (r > 1 AND r < n), 20.0::DOUBLE)) AS cov
+  FROM p WHERE n > 1 GROUP BY p_brand, p_type
+) SELECT name, path, round(cov, 6) AS cov FROM c WHERE cov > 2 * (0.05::DOUBLE * med)""")
 def strain_extract(spark, sf_dir):
     """Strains of the parts graph; orders of each brand and type's parts are its contigs."""
     nodes, edges = _parts(spark, sf_dir)
@@ -455,30 +570,84 @@ def _ring(spark, sf_dir):
     return r.put(nodes), r.put(edges)
 
 
-@query()
-def nn_split_once(spark, sf_dir):
-    nodes, edges = _ring(spark, sf_dir)
-    links = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).groupBy("a", "b").agg(F.count("*").alias("cnt"))
-    return graph.split_balanced(nodes, edges, links, 10.0)[2]
+#: A graph for each part: sources a and b (with part of them a fork p, q before a), a branch c, targets d and e.
+CROSS = """k AS (SELECT p_partkey AS k, 20.0::DOUBLE + p_size AS da, 20.0::DOUBLE + (p_partkey * 7) % 50 AS db, (p_partkey % 3)::DOUBLE AS x, (p_partkey % 5)::DOUBLE AS y FROM part),
+nodes AS (SELECT 'a' || k AS id, da AS dp FROM k UNION ALL SELECT 'b' || k, db FROM k UNION ALL SELECT 'c' || k, da + db FROM k UNION ALL SELECT 'd' || k, da + x FROM k
+  UNION ALL SELECT 'e' || k, db + y FROM k UNION ALL SELECT 'p' || k, da / 4 FROM k UNION ALL SELECT 'q' || k, da / 2 FROM k),
+edges AS (SELECT 'a' || k AS src, 'c' || k AS dst FROM k UNION ALL SELECT 'b' || k, 'c' || k FROM k UNION ALL SELECT 'c' || k, 'd' || k FROM k UNION ALL SELECT 'c' || k, 'e' || k FROM k
+  UNION ALL SELECT 'p' || k, 'a' || k FROM k WHERE k % 4 = 0 UNION ALL SELECT 'q' || k, 'a' || k FROM k WHERE k % 4 = 0)""" + FLOW + """,
+ways AS (SELECT i.src AS u, i.dst AS b, o.dst AS w, i.flow AS fi, o.flow AS fo, abs(i.flow - o.flow) AS d, substr(i.dst, 2)::BIGINT AS k FROM flow i JOIN flow o ON i.dst = o.src WHERE i.dst LIKE 'c%')"""
+SPLIT = """, fit AS (SELECT b FROM kept GROUP BY b HAVING count(*) = 2 AND count(DISTINCT u) = 2 AND count(DISTINCT w) = 2 AND max(d) <= 4)
+SELECT b AS old, b || '*' || (row_number() OVER (PARTITION BY b ORDER BY u, w) - 1) AS new, u, w, round((fi + fo) / 2, 6) AS dp FROM kept WHERE b IN (SELECT b FROM fit)"""
+
+
+def _cross(spark, sf_dir):
+    k = F.col("p_partkey")
+    rows = read(spark, sf_dir, "part").select(k.cast("string").alias("s"), k.alias("k"), (20.0 + F.col("p_size")).alias("da"), (20.0 + k * 7 % 50).alias("db"))
+    node = lambda c, dp: F.struct(F.concat(F.lit(c), "s").alias("id"), dp.cast("double").alias("dp"))
+    edge = lambda a, b: F.struct(F.concat(F.lit(a), "s").alias("src"), F.concat(F.lit(b), "s").alias("dst"))
+    da, db = F.col("da"), F.col("db")
+    nodes = rows.select(F.inline(F.array(node("a", da), node("b", db), node("c", da + db), node("d", da + F.col("k") % 3), node("e", db + F.col("k") % 5), node("p", da / 4), node("q", da / 2))))
+    both = F.array(edge("a", "c"), edge("b", "c"), edge("c", "d"), edge("c", "e"))
+    edges = rows.select(F.inline(F.when(F.col("k") % 4 == 0, F.concat(both, F.array(edge("p", "a"), edge("q", "a")))).otherwise(both)))
+    r = Rounds(spark)
+    return rows, r.put(nodes), r.put(edges)
 
 
-@query()
-def trivial_split_once(spark, sf_dir):
-    nodes, edges = _ring(spark, sf_dir)
-    return graph.split_forks(nodes, edges)[2]
+def _copies(nodes, edges, mapped):
+    """(old, new, u, w, dp) of copies, with what leads to them and what they lead to."""
+    new = mapped.join(nodes.select(F.col("id").alias("new"), "dp"), "new")
+    new = new.join(edges.select(F.col("src").alias("u"), F.col("dst").alias("new")), "new").join(edges.select(F.col("src").alias("new"), F.col("dst").alias("w")), "new")
+    return new.select("old", "new", "u", "w", F.round("dp", 6).alias("dp"))
 
 
-@query()
-def branch_coverage_raise(spark, sf_dir):
-    return graph.raise_branches(*_ring(spark, sf_dir)).select("id", F.round("dp", 6).alias("dp"))
+@query(f"""WITH {CROSS}, kept AS (SELECT * FROM ways WHERE (k % 3 = 0 AND (u LIKE 'a%') = (w LIKE 'd%')) OR (k % 3 = 1 AND (u LIKE 'a%') = (w LIKE 'e%'))){SPLIT}""")
+def nn_split_once(spark, sf_dir):
+    """The first phase: reads link straight pairs, crossed ones or none; a branch splits if the pairs' flows are near."""
+    rows, nodes, edges = _cross(spark, sf_dir)
+    link = lambda a, b, n: F.struct(F.concat(F.lit(a), "s").alias("a"), F.concat(F.lit(b), "s").alias("b"), F.lit(n).cast("long").alias("cnt"))
+    straight, crossed = F.array(link("a", "d", 5), link("b", "e", 3)), F.array(link("a", "e", 2), link("b", "d", 2))
+    pe = rows.filter("k % 3 < 2").select(F.inline(F.when(F.col("k") % 3 == 0, straight).otherwise(crossed)))
+    return _copies(*graph.split_balanced(nodes, edges, pe, 1.0))
 
 
-@query()
+@query(f"""WITH {CROSS}, r AS (SELECT *, row_number() OVER u AS ku, lead(d) OVER u AS nu, row_number() OVER w AS kw, lead(d) OVER w AS nw FROM ways
+  WINDOW u AS (PARTITION BY b, u ORDER BY d, w), w AS (PARTITION BY b, w ORDER BY d, u)),
+kept AS (SELECT * FROM r WHERE ku = 1 AND kw = 1 AND nu > 2 * d AND nw > 2 * d){SPLIT}""")
 def nn_split_by_coverage(spark, sf_dir):
     """The second phase: ends that no link pairs are paired by flow."""
-    nodes, edges = _ring(spark, sf_dir)
+    _, nodes, edges = _cross(spark, sf_dir)
     none = spark.createDataFrame([], "a string, b string, cnt long")
-    return graph.split_balanced(nodes, edges, none, 10.0, by_coverage=True)[2]
+    return _copies(*graph.split_balanced(nodes, edges, none, 1.0, by_coverage=True))
+
+
+@query(f"""WITH {CROSS} SELECT dst AS old, dst || '*' || CASE WHEN src LIKE 'p%' THEN 'A' ELSE 'B' END AS new, src AS u, 'c' || substr(dst, 2) AS w, round(flow, 6) AS dp FROM flow WHERE src LIKE 'p%' OR src LIKE 'q%'""")
+def trivial_split_once(spark, sf_dir):
+    """Sources of a branch with two ways in and one out."""
+    _, nodes, edges = _cross(spark, sf_dir)
+    return _copies(*graph.split_forks(nodes, edges))
+
+
+@query(f"""WITH ev AS (SELECT user_id::VARCHAR AS src, lead(user_id::VARCHAR) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS dst FROM events),
+edges AS (SELECT DISTINCT src, dst FROM ev WHERE dst IS NOT NULL AND src <> dst), nodes AS (SELECT user_id::VARCHAR AS id, count(*)::DOUBLE AS dp FROM events GROUP BY 1){FLOW},
+ni AS (SELECT dst AS id, count(*) AS n FROM edges GROUP BY 1), no AS (SELECT src AS id, count(*) AS n FROM edges GROUP BY 1),
+nb AS (SELECT a.src AS id, count(*) AS n FROM edges a JOIN edges b ON a.src = b.dst AND a.dst = b.src GROUP BY 1),
+i AS (SELECT dst AS id, sum(flow) AS f, sum(s.dp) AS d, max(no.n) = 1 AS only FROM flow JOIN nodes s ON s.id = src JOIN no ON no.id = src GROUP BY 1),
+o AS (SELECT src AS id, sum(flow) AS f, sum(t.dp) AS d, max(ni.n) = 1 AS only FROM flow JOIN nodes t ON t.id = dst JOIN ni ON ni.id = dst GROUP BY 1)
+SELECT nodes.id, round(CASE WHEN ni.n > greatest(coalesce(nb.n, 0), 1) AND no.n > greatest(coalesce(nb.n, 0), 1)
+  THEN CASE WHEN i.only AND o.only THEN greatest(dp, i.d, o.d) ELSE greatest(dp, i.f, o.f) END ELSE dp END, 6) AS dp
+FROM nodes LEFT JOIN ni ON ni.id = nodes.id LEFT JOIN no ON no.id = nodes.id LEFT JOIN nb ON nb.id = nodes.id LEFT JOIN i ON i.id = nodes.id LEFT JOIN o ON o.id = nodes.id""")
+def branch_coverage_raise(spark, sf_dir):
+    return graph.raise_branches(*_ring(spark, sf_dir)).select("id", F.round("dp", 6).alias("dp"))
+
+
+@query(f"""WITH {CROSS} SELECT nodes.id, round(CASE WHEN nodes.id LIKE 'c%' THEN greatest(nodes.dp, x.s, y.s) ELSE nodes.dp END, 6) AS dp FROM nodes
+LEFT JOIN (SELECT dst AS id, sum(s.dp) AS s FROM edges JOIN nodes s ON s.id = src GROUP BY 1) x ON x.id = nodes.id
+LEFT JOIN (SELECT src AS id, sum(t.dp) AS s FROM edges JOIN nodes t ON t.id = dst GROUP BY 1) y ON y.id = nodes.id""")
+def simple_branch_raise(spark, sf_dir):
+    """Branches whose neighbours are theirs alone take the summed depths of either side."""
+    _, nodes, edges = _cross(spark, sf_dir)
+    return graph.raise_branches(nodes, edges).select("id", F.round("dp", 6).alias("dp"))
 
 
 @query(f"""WITH {PARTS} SELECT 'src' AS src, id AS dst, dp AS flow FROM p WHERE id NOT IN (SELECT dst FROM edges)
