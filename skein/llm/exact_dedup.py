@@ -9,50 +9,51 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, ascii_lower, hash_filter, hot_join, table
+from .common import Scratch, ascii_lower, flagged, hot_join, row_keys, table, without, word_filter
 
 #: Code points of the normalised text that the second step hashes.
 PREFIX = 64
 
 
+def _hashes(docs: DataFrame, digest_all: bool, scratch: Scratch) -> DataFrame:
+    """docs (row, id, text) to (row, id, again, full_hash), by three passes over the texts, each over what the one before
+    left: lengths; prefix hashes of rows whose length comes again; full hashes of rows whose length and prefix do."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    keyed = docs.select("row", "id", text.alias("text"), F.octet_length(text).alias("len"))
+    lengths = keyed.groupBy("len").agg(F.count("*").alias("n")).filter("n > 1")
+    lengths = word_filter(scratch.put(lengths.select(F.xxhash64("len").alias("k")), "lengths"), "k", scratch)
+    again = flagged(keyed, F.xxhash64("len"), lengths, "same")
+    prefix = F.xxhash64("len", ascii_lower(F.substring("text", 1, PREFIX)))
+    classes = again.filter("same").groupBy(prefix.alias("k")).agg(F.count("*").alias("n")).filter("n > 1")
+    classes = word_filter(scratch.put(classes.select("k"), "classes"), "k", scratch)
+    again = flagged(again, F.when(F.col("same"), prefix), classes, "again")
+    wanted = F.lit(True) if digest_all else F.col("again")
+    again = again.select("row", "id", "again", F.when(wanted, F.col("text")).alias("text"))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            full = [hashlib.sha256(t.as_buffer().to_pybytes().lower()).hexdigest() if t.is_valid else None for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("id"), b.column("again"), pa.array(full, pa.string())], names=["row", "id", "again", "full_hash"])
+
+    return again.mapInArrow(hashed, "row long, id long, again boolean, full_hash string")
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_all: bool = False) -> DataFrame:
     """One row per document: id_col, keep_id, group_size, kept, full_hash, n_rows.
 
     Texts are equal if identical after lower-casing A-Z; of equal texts the largest id stays. A null text counts as
     empty. Rows alike in id and text are one document: they give one row with n_rows > 1, and group_size counts each.
     Null ids sort below all others; a group of null ids only keeps its null id. An empty table gives no rows. Other
-    columns are not looked at. full_hash (SHA-256 of the normalised text, hex) is null where no other document shares
-    length and prefix hash, unless digest_all.
+    columns are not looked at. full_hash (SHA-256 of the normalised text, hex) is null where no other document may have
+    the same length and prefix, unless digest_all.
 
-    The first pass reads lengths and prefixes and shuffles 16 bytes a row; the second hashes the full content only of
-    rows whose (length, prefix hash) class has another row, found through a bitmap of fixed size. Texts are never
-    shuffled, and a hot group is joined by broadcast.
+    The first pass groups lengths, the second prefix hashes of the rows whose length comes again, the third hashes the
+    full content of those rows only whose length and prefix hash do; both are found through bitmaps of fixed size. So
+    8 bytes a row move, and no text; a hot group is joined by broadcast. Very long texts are read one at a time.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
-    norm = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
-    keyed = docs.select(
-        F.col(id_col).cast("long").alias("id"),
-        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-        F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).alias("len"),
-        F.xxhash64(F.substring(norm, 1, PREFIX)).alias("prefix"),
-    )
-    classes = scratch.put(keyed.groupBy("len", "prefix").agg(F.count("*").alias("n")), "classes")
-    lengths = classes.groupBy("len").agg(F.sum("n").alias("m")).filter("m > 1")  # step 1: lengths that occur again
-    repeated = classes.filter("n > 1").join(lengths.select("len"), "len", "left_semi")  # step 2: so do prefixes
-    repeated = scratch.put(repeated.select(F.xxhash64("len", "prefix").alias("k")), "repeated")
-    flt = spark.sparkContext.broadcast(hash_filter(repeated, "k", repeated.count()))
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            again = flt.value.contains(b.column("k").to_numpy())
-            full = [
-                hashlib.sha256(t.as_buffer().to_pybytes().lower()).hexdigest() if a or digest_all else None
-                for t, a in zip(b.column("text"), again)
-            ]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(again), pa.array(full, pa.string())], names=["id", "again", "full_hash"])
-
-    rows = keyed.select("id", "text", F.xxhash64("len", "prefix").alias("k")).mapInArrow(hashed, "id long, again boolean, full_hash string")
+    scratch = Scratch(docs.sparkSession)
+    docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    rows = _hashes(docs.select(F.col("id").alias("row"), "id", "text"), digest_all, scratch)
     rows = scratch.put(rows.groupBy("id", "again", "full_hash").agg(F.count("*").alias("n_rows")), "rows")
     groups = rows.filter("again").groupBy("full_hash").agg(F.max("id").alias("keep_id"), F.sum("n_rows").alias("group_size"), F.count("*").alias("members"))
     groups = scratch.put(groups, "groups")
@@ -66,16 +67,20 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that exact_dedup keeps, with all their columns; one row of rows alike in id and text."""
-    found = exact_dedup(docs, id_col, text_col, digest_all=True)
-    kept = found.filter("kept").select(F.col(id_col).alias("_skein_id"), F.col("full_hash").alias("_skein_hash"), F.col("n_rows").alias("_skein_n"))
-    full = F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).cast("binary"), 256)
-    out = docs.withColumn("_skein_key", full).join(
-        kept.hint("merge"), F.col(id_col).cast("long").eqNullSafe(F.col("_skein_id")) & (F.col("_skein_key") == F.col("_skein_hash"))
-    )
-    if not kept.filter("_skein_n > 1").isEmpty():
-        out = out.dropDuplicates(["_skein_id", "_skein_hash"])
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Of rows with equal texts the one with the largest id, with all its columns.
+
+    Of rows alike in id and text one stays; null ids come below all others. Null and empty texts are equal. Columns may
+    have any names; no rows give none. Only hashes of rows that may have a copy are grouped, and texts that stay are not
+    shuffled, see common.without.
+    """
+    scratch = Scratch(docs.sparkSession)
+    rows, key = row_keys(docs, id_col, scratch)
+    plain = rows.select(F.col(key).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    found = scratch.put(_hashes(plain, False, scratch).filter("again").select("row", "id", "full_hash"), "found")
+    groups = found.groupBy("full_hash").agg(F.max(F.struct("id", "row")).alias("top"), F.count("*").alias("n")).filter("n > 1")
+    groups = scratch.put(groups.select("full_hash", "n", F.col("top.row").alias("stays")), "groups")
+    gone = hot_join(found, groups, "full_hash", "n", found.count()).filter("row <> stays").select("row")
+    return without(rows, key, scratch.put(gone, "gone"), scratch).drop(key)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
