@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, Scratch, per_text, table
+from .common import HOT_SHARE, Scratch, flagged, per_text, table, word_filter
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -26,22 +26,48 @@ def line_key(line: str) -> str:
 
 
 def _lines(ids: list, texts: list) -> Iterator[pa.RecordBatch]:
-    """(hash, id, positions): one row for each long line key of a document."""
+    """(h, g, id, at): the 128-bit hash and the positions of each long line key of a document, a row each."""
     hs, owner, at = [], [], []
     for i, t in zip(ids, texts):
-        found: dict[int, list[int]] = {}
+        found: dict[bytes, list[int]] = {}
         for k, line in enumerate((t or "").split("\n")):
             if len(line) >= MIN_CHARS:
                 key = line.strip(BLANK)
                 if len(key) >= MIN_CHARS:
-                    h = xxhash.xxh3_64_intdigest(key.encode().lower())  # bytes: A-Z only
+                    h = xxhash.xxh3_128_digest(key.encode().lower())  # bytes: A-Z only
                     found.setdefault(h, []).append(k)
         hs += found
         owner += [i] * len(found)
         at += found.values()
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(np.array(hs, np.uint64).view(np.int64)), pa.array(owner, pa.int64()), pa.array(at, pa.list_(pa.int32()))], names=["h", "id", "at"]
-    )
+    both = np.frombuffer(b"".join(hs), np.int64).reshape(-1, 2)
+    yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(owner, pa.int64()), pa.array(at, pa.list_(pa.int32()))], names=["h", "g", "id", "at"])
+
+
+def _later_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (h, g, id, at), sorted by key and id descending: those of keys in at least MIN_DOCS documents, without the
+    first document of a key. Rows of the last key are held until its documents suffice, fewer than MIN_DOCS of them."""
+    held = None  # rows of a key that is still undecided
+    key, top = None, None  # a key that is decided, and its first document
+    for b in batches:
+        t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+        h, g, i = (t.column(c).to_numpy() for c in ("h", "g", "id"))
+        if not len(h):
+            continue
+        new = np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])])
+        start = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        another = np.concatenate([[True], new[1:] | (i[1:] != i[:-1])])
+        docs, tops = np.add.reduceat(another, start), i[start].copy()
+        if key == (h[0], g[0]):
+            docs[0], tops[0] = MIN_DOCS, top
+        enough = docs >= MIN_DOCS
+        drop = enough[group] & (i != tops[group])
+        if drop.any():
+            yield t.select(["id", "at"]).filter(pa.array(drop)).combine_chunks().to_batches()[0]
+        if enough[-1]:
+            held, key, top = None, (h[-1], g[-1]), tops[-1]
+        else:
+            held, key, top = t.slice(start[-1]), None, None
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -53,48 +79,25 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     empty line. Rows with equal ids are one document for the counts, and drop the same line numbers, those of any row.
     Rows with a null id never lose lines and don't count. Other columns are not looked at; no rows give none.
 
+    Very long texts are split one at a time. Lines are equal if their 128-bit hashes are.
+
     Only hashes and line numbers are shuffled. They are range-partitioned by hash and sorted by (hash, id descending);
-    one pass over each partition streams past the first document of a key and marks the others, holding at most
-    MIN_DOCS rows of a key. Hashes of at least 1 / HOT_SHARE of all rows are decided where they lie, against a broadcast
-    of at most HOT_SHARE rows with their count and largest id.
+    one pass over each partition streams past the first document of a key and marks the others, holding fewer than
+    MIN_DOCS documents of a key. Hashes of at least 1 / HOT_SHARE of all rows are decided where they lie, against a
+    broadcast of at most HOT_SHARE rows with their count and largest id.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null")
-    lines = scratch.put(rows.mapInArrow(per_text(_lines), "h long, id long, at array<int>"), "lines")
-    total = lines.count()
-    hot = lines.groupBy("h").agg(F.count("*").alias("n"), F.max("id").alias("top")).filter(F.col("n") * HOT_SHARE >= total)
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).filter("id is not null")
+    lines = scratch.put(rows.mapInArrow(per_text(_lines), "h long, g long, id long, at array<int>"), "lines")
+    total, key = lines.count(), ["h", "g"]
+    hot = lines.groupBy(key).agg(F.count("*").alias("n"), F.max("id").alias("top")).filter(F.col("n") * HOT_SHARE >= total)
     hot = scratch.put(hot, "hot")  # at most HOT_SHARE rows
-    exact = lines.join(F.broadcast(hot.select("h")), "h").groupBy("h").agg(F.count_distinct("id").alias("docs"))
-    decided = lines.join(F.broadcast(hot.join(exact, "h").filter(F.col("docs") >= MIN_DOCS).select("h", "top")), "h")
+    exact = lines.join(F.broadcast(hot.select(key)), key).groupBy(key).agg(F.count_distinct("id").alias("docs"))
+    decided = lines.join(F.broadcast(hot.join(exact, key).filter(F.col("docs") >= MIN_DOCS).select(*key, "top")), key)
     decided = decided.filter(F.col("id") != F.col("top")).select("id", "at")
-    cold = lines.join(F.broadcast(hot.select("h")), "h", "left_anti").repartitionByRange("h").sortWithinPartitions("h", F.desc("id"), "at")
-
-    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, top, last, seen, wait = None, None, None, 0, []
-        for b in batches:
-            ids, at = [], []
-            for h, i, a in zip(b.column("h").to_pylist(), b.column("id").to_pylist(), b.column("at").to_pylist()):
-                if h != key:
-                    key, top, last, seen, wait = h, i, i, 1, []
-                    continue
-                if i == top:
-                    continue
-                if i != last:
-                    last, seen = i, seen + 1
-                if seen >= MIN_DOCS:
-                    for x, y in wait:
-                        ids.append(x)
-                        at.append(y)
-                    wait = []
-                    ids.append(i)
-                    at.append(a)
-                else:
-                    wait.append((i, a))
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.list_(pa.int32()))], names=["id", "at"])
-
-    dropped = decided.unionByName(cold.mapInArrow(stream, "id long, at array<int>"))
+    cold = lines.join(F.broadcast(hot.select(key)), key, "left_anti").repartitionByRange(*key).sortWithinPartitions(*key, F.desc("id"), "at")
+    dropped = decided.unionByName(cold.mapInArrow(_later_documents, "id long, at array<int>"))
     dropped = dropped.select("id", F.explode("at").alias("line")).distinct()
     dropped = dropped.groupBy("id").agg(F.collect_list("line").alias("lines"))
 
@@ -122,8 +125,12 @@ def kept_lines(text: str | None, drop: bytes | None) -> list[str]:
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scratch = Scratch(spark)
     drops = line_dedup(docs)
-    both = docs.join(drops.hint("merge"), "doc_id", "left").select("doc_id", "text", "drop")
+    # texts that surely lose no line are hashed where they lie; the others meet their bitmaps
+    rows = flagged(docs, F.xxhash64(F.col("doc_id").cast("long")), word_filter(drops.select(F.xxhash64("doc_id").alias("k")), "k", scratch), "maybe")
+    met = rows.filter("maybe").drop("maybe").join(drops.select("doc_id", "drop").hint("merge"), "doc_id", "left")
+    both = rows.filter("not maybe").select("doc_id", "text", F.lit(None).cast("binary").alias("drop")).unionByName(met)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
