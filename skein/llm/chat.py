@@ -13,10 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, lists, release, table
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Reserved ids, above the tokenizer's 50,257, and their text form.
@@ -25,6 +26,8 @@ CONTROL = {OPEN: "### ", MIDDLE: ": ", CLOSE: "</turn>\n"}
 #: Strings that are escaped in roles and texts: what could be read as a turn's start or end.
 GUARDED = ("###", "</turn>", "\\")
 LOSS_ROLE = "assistant"
+#: Characters that are encoded at once, about.
+CHARS = 1_000_000
 _ESCAPE = re.compile("|".join(re.escape(x) for x in GUARDED))
 _ROLE_ESCAPE = re.compile("|".join(re.escape(x) for x in (*GUARDED, ":")))
 _UNESCAPE = re.compile(r"\\(.)", re.DOTALL)
@@ -60,46 +63,67 @@ def format_chat(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
 
     A turn's ids are OPEN, the role's, MIDDLE, the escaped text's, CLOSE. Rows are ordered by turn (null first), ties by
     role, then text; null roles and texts are empty; a null conversation id is a conversation. Repeated rows are turns of
-    their own. Only the role `assistant` is under the mask, and only its text. Other columns are not looked at.
+    their own; no rows give none. Only the role `assistant` is under the mask, and only its text. Other columns are not
+    looked at. At most about CHARS characters are encoded at once, a longer text alone.
 
-    Turns are encoded where they lie; a window over segment lengths of a conversation gives the spans.
+    Turns are encoded where they lie, then range-partitioned by conversation and turn; running sums of segment lengths go
+    over each partition's part of a conversation, and one row a part says what comes before it. So a conversation with a
+    third of all turns is summed by many tasks.
     """
     spark = turns.sparkSession
     scratch = Scratch(spark)
     rows = turns.select(
-        F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"),
-        F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+        F.col(f"`{conv_col}`").alias("conv"), F.col(f"`{turn_col}`").cast("long").alias("turn"),
+        F.coalesce(F.col(f"`{role_col}`").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),
     )
     kind = rows.schema["conv"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            roles, texts = b.column("role").to_pylist(), b.column("text").to_pylist()
-            ids, head, long, order = [], [], [], []
-            for i in range(0, len(texts), 128):
-                got = encoder(tokens).encode_batch([escape(r, True) for r in roles[i : i + 128]] + [escape(t) for t in texts[i : i + 128]], add_special_tokens=False)
-                half = len(got) // 2
-                for r, t in zip(got[:half], got[half:]):
+            for some in _character_runs(b, "text", CHARS):
+                roles, texts = some.column("role").to_pylist(), some.column("text").to_pylist()
+                got = encoder(tokens).encode_batch([escape(r, True) for r in roles] + [escape(t) for t in texts], add_special_tokens=False)
+                ids, head, long = [], [], []
+                for r, t in zip(got[: len(roles)], got[len(roles) :]):
                     ids.append(np.array([OPEN, *r.ids, MIDDLE, *t.ids, CLOSE], np.int32))
                     head.append(len(r.ids) + 2)
                     long.append(len(ids[-1]))
-            order = [hashlib.sha256(t.encode()).hexdigest() for t in texts]
-            flat = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *long]), pa.int32()), pa.array(np.concatenate(ids) if ids else [], pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column("conv"), b.column("turn"), b.column("role"), pa.array(order, pa.string()), flat, pa.array(head, pa.int64()), pa.array(long, pa.int64())],
-                                             names=["conv", "turn", "role", "tie", "ids", "head", "long"])
-
-    coded = scratch.put(rows.mapInArrow(run, f"conv {kind}, turn long, role string, tie string, ids array<int>, head long, long long"), "turns")
-    order = Window.partitionBy("conv").orderBy("turn", "role", "tie")
-    start = F.coalesce(F.sum("long").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    out = coded.withColumn("nth", F.row_number().over(order) - 1).withColumn("start", start)
+                order = [hashlib.sha256(t.encode()).hexdigest() for t in texts]
+                yield pa.RecordBatch.from_arrays([some.column("conv"), some.column("turn"), some.column("role"), pa.array(order, pa.string()), lists(ids, pa.int32()), pa.array(head, pa.int64()), pa.array(long, pa.int64())],
+                                                 names=["conv", "turn", "role", "tie", "ids", "head", "long"])
+        release()
+
+    coded = rows.mapInArrow(run, f"conv {kind}, turn long, role string, tie string, ids array<int>, head long, long long")
+    sort = ["conv", "turn", "role", "tie"]
+    coded = scratch.put(scratch.put(coded, "coded").repartitionByRange(*sort).sortWithinPartitions(*sort).withColumn("part", F.spark_partition_id()), "turns")
+    parts = coded.groupBy(F.col("conv").alias("c"), F.col("part").alias("p")).agg(F.sum("long").alias("size"), F.count("*").alias("turns"))
+    ahead = Window.partitionBy("c").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("c", "p", *[F.coalesce(F.sum(x).over(ahead), F.lit(0)).alias(f"{x}_ahead") for x in ("size", "turns")])
+    order = Window.partitionBy("conv", "part").orderBy("turn", "role", "tie")
+    inside = F.coalesce(F.sum("long").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = coded.withColumn("nth", F.row_number().over(order) - 1).withColumn("inside", inside)
+    out = out.join(parts, F.col("conv").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p"))).withColumn("start", F.col("inside") + F.col("size_ahead"))
     lossy = F.col("role") == LOSS_ROLE
     return out.select(
-        "conv", "turn", F.col("nth").cast("long").alias("nth"), "ids", "start",
+        "conv", "turn", (F.col("nth") + F.col("turns_ahead")).cast("long").alias("nth"), "ids", "start",
         F.when(lossy, F.col("start") + F.col("head")).otherwise(F.col("start")).alias("loss_from"),
         F.when(lossy, F.col("start") + F.col("long") - 1).otherwise(F.col("start")).alias("loss_to"),
     )
 
 
+def _character_runs(b: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """A batch cut into runs of rows with about `limit` characters at most, a longer text alone."""
+    sizes = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(False)
+    first, held = 0, 0
+    for k, n in enumerate(sizes):
+        if held and held + n > limit:
+            yield b.slice(first, k - first)
+            first, held = k, 0
+        held += int(n) + 1
+    if first < b.num_rows:
+        yield b.slice(first)
+
+
 def render(ids: list[int], tokens: str = TOKENIZER) -> str:
     """The text form of token ids, with the control strings of reserved ids."""
     out, run = [], []
@@ -120,42 +144,62 @@ def read_turn(text: str) -> tuple[str, str]:
     return unescape(body[:at]), unescape(body[at + len(CONTROL[MIDDLE]) :])
 
 
+def read_turns(formatted: DataFrame, tokens: str = TOKENIZER) -> DataFrame:
+    """(conv, nth, role, text, loss, form_chars): every turn, and what of it is under the loss mask, read from the token ids
+    and loss spans alone, where they lie."""
+    kind = formatted.schema["conv"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            roles, texts, losses, chars = [], [], [], []
+            for k, (start, a, z) in enumerate(zip(*(b.column(c).to_pylist() for c in ("start", "loss_from", "loss_to")))):
+                ids = b.column("ids")[k].as_py()
+                form = render(ids, tokens)
+                role, text = read_turn(form)
+                roles.append(role)
+                texts.append(text)
+                losses.append(unescape(encoder(tokens).decode(ids[a - start : z - start], skip_special_tokens=False)) if z > a else "")
+                chars.append(len(form))
+            yield pa.RecordBatch.from_arrays([b.column("conv"), b.column("nth"), pa.array(roles, pa.string()), pa.array(texts, pa.string()), pa.array(losses, pa.string()), pa.array(chars, pa.int64())],
+                                             names=["conv", "nth", "role", "text", "loss", "form_chars"])
+        release()
+
+    return formatted.mapInArrow(run, f"conv {kind}, nth long, role string, text string, loss string, form_chars long")
+
+
 def read_back(formatted: DataFrame, tokens: str = TOKENIZER) -> DataFrame:
-    """One row per conversation, read from the token ids and loss spans alone: conv, n_turns, turns_sha256, loss_chars,
-    loss_sha256, formatted_chars. Conversations are dealt out whole and streamed turn by turn, so one of any length
-    needs no more memory than its longest turn."""
+    """One row per conversation, from read_turns: conv, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
+
+    A digest over a conversation follows its turns one by one, so conversations are dealt out whole; only hashing is done
+    there, as a stream, so one of any length needs no more memory than its longest turn.
+    """
     kind = formatted.schema["conv"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, state = None, None
+        held, state, conv_type = None, None, None
 
         def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pylist(
-                [{"conv": held[0], "n_turns": state[0], "turns_sha256": state[1].hexdigest(), "loss_chars": state[2], "loss_sha256": state[3].hexdigest(), "formatted_chars": state[4]}],
-                schema=pa.schema([("conv", conv_type), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())]),
-            )
+            values = [held[0], state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]]
+            kinds = [conv_type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=["conv", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
         for b in batches:
             conv_type = b.schema.field("conv").type
-            cols = [b.column(c).to_pylist() for c in ("conv", "start", "loss_from", "loss_to")]
-            for k, (conv, start, a, z) in enumerate(zip(*cols)):
-                ids = b.column("ids")[k].as_py()
+            for conv, role, text, loss, chars in zip(*(b.column(c) for c in ("conv", "role", "text", "loss", "form_chars"))):
+                conv, loss = conv.as_py(), loss.as_py()
                 if held != (conv,):
                     if held:
                         yield done()
                     held, state = (conv,), [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                form = render(ids, tokens)
-                role, text = read_turn(form)
                 state[0] += 1
-                state[1].update(f"{role}\n{text}\n".encode())
-                loss = unescape(encoder(tokens).decode(ids[a - start : z - start], skip_special_tokens=False)) if z > a else ""
+                state[1].update(f"{role.as_py()}\n{text.as_py()}\n".encode())
                 state[2] += len(loss)
                 state[3].update(loss.encode())
-                state[4] += len(form)
+                state[4] += chars.as_py()
         if held:
             yield done()
 
-    rows = formatted.repartition("conv").sortWithinPartitions("conv", "nth")
+    rows = read_turns(formatted, tokens).repartition("conv").sortWithinPartitions("conv", "nth")
     return rows.mapInArrow(run, f"conv {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
