@@ -78,7 +78,8 @@ def train(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col
     rows = labels.filter(F.col(label_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), (F.col(label_col) == 0).cast("int").alias("bad"))
     rows = rows.groupBy("id").agg(F.max("bad").alias("bad")).withColumn("r", F.xxhash64("id"))
     rows = rows.orderBy("r", "id").limit(SAMPLE)  # top-k on each task, then of those
-    got = stats.join(F.broadcast(rows.select("id", "bad")), "id").orderBy("id").toArrow()
+    one = F.min(F.struct(*COUNTS)).alias("x")  # rows with equal ids are one to learn from, so the driver gets SAMPLE rows at most
+    got = stats.join(F.broadcast(rows.select("id", "bad")), "id").groupBy("id", "bad").agg(one).select("id", "bad", "x.*").orderBy("id").toArrow()
     y = got["bad"].to_numpy()
     if len(set(y.tolist())) < 2:
         return None
@@ -90,12 +91,13 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 
     Words are runs without ASCII white space. base_failed: fewer than 10 words, or over 20 % of the words in 5-word windows
     that come twice or more. kept is false if base_failed, else if the trees find it bad. Null texts have no words. Null and
-    repeated ids are scored row by row. Without labels of both kinds only the base rules hold (bad is null). Other columns
-    are not looked at. One pass over whole texts; only labels, statistics and at most SAMPLE rows for the driver move.
+    repeated ids are scored row by row; of repeated ids one row is learned from. Without labels of both kinds only the base
+    rules hold (bad is null). A very long text is one bytes object and some arrays of 8 bytes a word. No rows give none.
+    Other columns are not looked at. One pass over whole texts; only labels, statistics and at most SAMPLE rows for the driver move.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     stats = scratch.put(rows.mapInArrow(per_text(_counts), "id long, " + ", ".join(f"{c} long" for c in COUNTS)), "stats")
     model = train(stats, labels, id_col, label_col)
     shared = spark.sparkContext.broadcast(model)  # a few thousand nodes
