@@ -135,11 +135,12 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens
 
     A document is the ids of its whole text (null: empty), then END_ID; so even an empty text gives a piece. Pieces of a
     row lie one after the other from start 0; no sequence is longer than CAPACITY and offsets have no gaps. Rows with
-    equal or null ids are separate documents. Equal input files give equal sequences; no rows give none. Other columns
-    are not looked at.
+    equal or null ids are separate documents. Equal input files give equal sequences; no rows give none. A very long text
+    is one string, its parts and its ids in memory, some 15 bytes a character. Other columns are not looked at.
 
     The first step is one pass without a shuffle, bins being numbered by worker; only pieces of bins that a worker
-    couldn't fill move, fewer than k per class k and worker, in groups of WORKERS workers.
+    couldn't fill move, fewer than k per class k and worker, in groups of WORKERS workers; so a task of the second step
+    has fewer than k * WORKERS pieces of a class, whatever the input.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -180,7 +181,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens
         yield from per_text(fill, 1_000_000)(batches)
         yield out([(*r, None, None, ids_) for waiting in open_bins.values() for r, ids_ in waiting])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     pieces = scratch.put(rows.mapInArrow(run, schema), "pieces")
     full = pieces.filter("bin is not null").withColumn("sequence_id", F.col("worker") * (1 << 31) + F.col("bin"))
     group = F.floor(F.col("worker") / WORKERS)
