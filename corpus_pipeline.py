@@ -1,7 +1,8 @@
 """Corpus pipeline: language ID, exact dedup, n-gram Jaccard join, mixing to target weights, packing.
 
 Each stage gets all rows that the one before kept, written as Parquet and read again, and returns documents with their
-columns; the last returns pieces of packed sequences.
+columns; the last returns pieces of packed sequences. Columns beyond those of documents may have any names and are kept;
+very long texts are handled whole; a table without rows gives none.
 """
 
 from __future__ import annotations
@@ -13,27 +14,29 @@ from skein.llm.common import Scratch
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go."""
+    """Documents without a language go: null, empty and letterless texts. Null and repeated ids are rows like others."""
     return language_id.in_known_languages(docs)
 
 
 def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the largest doc_id stays."""
+    """Of equal texts the row with the largest doc_id stays (null below all others), of rows alike in both one."""
     return exact_dedup.drop_copies(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five words a shingle, Jaccard similarity 0.8 or more) the smallest doc_id stays."""
+    """Of each group of near duplicates (five words a shingle, Jaccard similarity 0.8 or more) the row with the smallest
+    doc_id stays (null after all others). Rows with equal ids and different texts are documents of their own; those
+    without words stay."""
     return ngram_jaccard.one_of_each_group(docs, words=5, num=8, den=10)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, in training order."""
+    """Documents as often as the mix takes them, in training order; null sources are one source, the last."""
     return mixing.mixed(docs)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of packed token sequences."""
+    """Pieces of packed token sequences; a null text is empty and gives the end id alone."""
     return packing.pack(docs, with_ids=False)
 
 
