@@ -16,14 +16,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fresh, held, table
+from .common import bounded_batches, fresh, held, release, table
 
 #: Bound of the training sample: so many documents and folded characters per language, chosen by hash over all rows.
 SAMPLE_DOCS = 64
 SAMPLE_CHARS = 20_000
 #: Texts are parsed in lanes of so many characters side by side, then corrected where a phrase goes on from one lane into
 #: the next; so the parse is that of whole texts. At most CHUNK characters are held at once, longer texts in turns.
-LANE, CHUNK = 512, 3_000_000
+LANE, CHUNK = 512, 1_000_000
 #: Symbols: no letter, and a letter that is in no sample, so in none of them can it continue or begin a match.
 BREAK, UNSEEN = 0, 1
 UNKNOWN = "und"
@@ -120,7 +120,9 @@ class _Lanes:
         self.owner, self.long, self.before, self.after = owner[order], long[order], before[order], after[order]
         self.texts, self.last, rows = len(sizes), int(place[-1]), int(long.max())
         self.alive = (len(order) - np.searchsorted(self.long[::-1], np.arange(rows), side="right")).tolist()
-        self.codes = codes.take(np.minimum(start[order][None, :] + np.arange(rows)[:, None], len(codes) - 1))
+        self.codes = np.zeros((rows, len(order)), np.int32)
+        for j, n in enumerate(self.alive):
+            self.codes[j, :n] = codes.take(start[order[:n]] + j)
 
 
 class _Machine:
@@ -289,6 +291,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang
             x, y = predict(shared.value, texts)
             scores = np.concatenate([*scores, y])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs + x, pa.string()), pa.array(scores, pa.float64())], names=[*keep, lang_out, score_out])
+        release()
 
     return rows.mapInArrow(run, schema)
 

@@ -18,6 +18,7 @@ QUERIES = {
 }
 #: The others are not expressible in SQL; tests/llm holds them against plain Python or held-out labels.
 ORACLE = {
+    "op1_ngram_jaccard": ngram_jaccard.OP1_SQL,
     "op4_exact_dedup": exact_dedup.OP4_SQL,
     "op6_chat_format": chat.OP6_SQL,
     "op9_line_dedup": line_dedup.OP9_SQL,
