@@ -83,6 +83,21 @@ def between(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(nodes.select(F.col("id").alias("src")), "src", "left_semi").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi").select(*edges.columns)
 
 
+def compact(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each node once, and each edge between two of them once."""
+    nodes = nodes.dropDuplicates(["id"])
+    return nodes, between(edges, nodes).dropDuplicates(["src", "dst"])
+
+
+def subtract(nodes: DataFrame, flows: DataFrame, walks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, dp) and flows (src, dst, flow) less the coverage of the walks (name, path, cov) that use them."""
+    used = walks.select("cov", F.explode(F.array_distinct("path")).alias("id")).groupBy("id").agg(F.sum("cov").alias("_c"))
+    taken = paths.steps(walks).join(walks.select("name", "cov"), "name").groupBy("src", "dst").agg(F.sum("cov").alias("_c"))
+    left = nodes.join(used, "id", "left").withColumn("dp", F.col("dp") - F.coalesce("_c", F.lit(0.0))).drop("_c")
+    rest = flows.join(taken, ["src", "dst"], "left").withColumn("flow", F.col("flow") - F.coalesce("_c", F.lit(0.0))).drop("_c")
+    return left, rest
+
+
 def reindex(nodes: DataFrame, order: Column) -> DataFrame:
     """(id, new_id): dense ordinals as strings. Range partitions are counted, so no task holds all nodes."""
     rows = nodes.select("id", order.alias("_o")).repartitionByRange("_o", "id").sortWithinPartitions("_o", "id")
@@ -399,10 +414,11 @@ def raise_branches(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def disentangle(
-    nodes: DataFrame, edges: DataFrame, links: DataFrame, delta: float, contigs: DataFrame | None = None, most: int = 100
+    nodes: DataFrame, edges: DataFrame, links: DataFrame, delta: float, contigs: DataFrame | None = None, most: int | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
     """Nodes, edges, links and contigs (name, ord, path, cov) after branches are split and chains contracted until a pass
-    splits nothing: first by links and contigs, then by coverage. Forks are tried once after each dry pass.
+    splits nothing: first by links and contigs, then by coverage. Forks are tried once after each dry pass. On a graph
+    that never settles, as forks in cycles may not, more passes than `most` (without it, than nodes) are an error.
 
     Contraction joins ids by & and sums the links of its parts; copies start without links, as reads can't tell which one
     they belong to. Contigs follow: a node at an end that was split gives a contig for each copy.
@@ -412,6 +428,7 @@ def disentangle(
     links = rounds.put(links.select("a", "b", "cnt"))
     if contigs is not None:
         contigs = rounds.put(contigs.select("name", "ord", "path", "cov"))
+    most = max(100, nodes.count()) if most is None else most
     passes = 0
     for by_coverage in (False, True):
         spent = False

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions.sequence import base_ids
-from skein.operators import graph, links, paths
+from skein.operators import graph, links, paths, schemas
 from skein.operators.rounds import Rounds
 from skein.plans.strains import DELTA_SHARE, strains
 from skein.plans.strands import one_strand
@@ -22,7 +22,7 @@ def assemble(nodes: DataFrame, edges: DataFrame, contigs: DataFrame, pairs: Data
     contigs (name, ord, path, repeats, cov) and read pairs (pair, fseq, rseq). min_cov is estimated unless given."""
     spark = nodes.sparkSession
     r = Rounds(spark)
-    nodes, edges, contigs = r.put(nodes.select("id", "seq", "dp")), r.put(edges.select("src", "dst", "overlap")), r.put(contigs)
+    nodes, edges, contigs = r.put(schemas.conform(nodes, schemas.NODES)), r.put(schemas.conform(edges, schemas.EDGES)), r.put(contigs)
     cut = graph.coverage_threshold(nodes) if min_cov is None else min_cov
     live, between = graph.prune(nodes, edges, cut)
     live, between = r.put(live), r.put(between)

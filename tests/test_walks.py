@@ -1,6 +1,8 @@
 """Walks over a graph that changes: forks, ways on, strains put back as nodes."""
 
-from skein.operators import graph, links
+import pytest
+
+from skein.operators import graph, links, schemas
 from skein.plans.strains import Component, extract_component, moved_contigs, supported_pairs, walk
 
 
@@ -77,3 +79,33 @@ def test_links_of_whole_nodes(spark):
 def test_last_of_chains_and_rings(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("x", "y"), ("y", "x"), ("w", "x")], "src string, dst string")
     assert sorted(map(tuple, graph.last_of(edges).collect())) == [("a", "d"), ("b", "d"), ("c", "d")]
+
+
+def test_compact_and_subtract(spark):
+    nodes = spark.createDataFrame([("a", 5.0), ("a", 5.0), ("b", 4.0)], "id string, dp double")
+    edges = spark.createDataFrame([("a", "b"), ("a", "b"), ("a", "x")], "src string, dst string")
+    n, e = graph.compact(nodes, edges)
+    assert n.count() == 2 and [tuple(r) for r in e.collect()] == [("a", "b")]
+    walks = spark.createDataFrame([("w", ["a", "b"], 1.5), ("v", ["b"], 1.0)], "name string, path array<string>, cov double")
+    n, f = graph.subtract(n, e.selectExpr("src", "dst", "4.0D as flow"), walks)
+    assert sorted((r["id"], r["dp"]) for r in n.collect()) == [("a", 3.5), ("b", 1.5)] and f.first()["flow"] == 2.5
+
+
+def test_schemas(spark):
+    df = spark.createDataFrame([(1, "x", 2)], "dp int, id string, more int").selectExpr("*", "'AC' as seq")
+    got = schemas.conform(df, schemas.NODES)
+    assert got.dtypes == [("id", "string"), ("seq", "string"), ("dp", "double")]
+    with pytest.raises(ValueError, match="overlap"):
+        schemas.conform(df.selectExpr("id as src", "id as dst"), schemas.EDGES)
+
+
+def test_nearest_with_margin_and_first_of_the_best(spark):
+    nodes = spark.createDataFrame([("a", 60.0), ("b", 20.0), ("d", 58.0), ("e", 22.0), ("f", 57.0)], "id string, dp double")
+    edges = spark.createDataFrame([("a", "d"), ("a", "e"), ("b", "d"), ("b", "e"), ("a", "f")], "src string, dst string")
+    get = lambda df: sorted((r["src"], r["dst"]) for r in df.collect())
+    assert get(graph.mutual_nearest(nodes, edges)) == [("a", "d"), ("b", "e")]
+    assert get(graph.mutual_nearest(nodes, edges, 3.0)) == [("b", "e")]  # f is within twice the distance of d
+    rows = spark.createDataFrame([("g", 3, 1.0), ("g", 2, 1.0), ("g", 1, 0.5), ("h", 9, None)], "k string, o long, v double")
+    assert sorted((r["k"], r["o"]) for r in graph.first_max(rows.filter("v is not null"), "v", "o", "k").collect()) == [("g", 2)]
+    seqs = spark.createDataFrame([("x", "AC", 1.0), ("y", "AC", 2.0), ("z", "G", 0.5)], "id string, seq string, dp double")
+    assert sorted(r["id"] for r in graph.best_of_sequence(seqs).collect()) == ["y", "z"]
