@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,19 +9,23 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions.sequence import base_ids
+from skein.operators.rounds import Rounds
 from skein.session import ship
 
-CONTIG_HEADER = re.compile(r"^NODE_(\d+)_length_(\d+)_cov_([0-9.eE+-]+)'?$")
+#: What a contig's header begins with, and the rest of it.
+CONTIG = "NODE_"
+CONTIG_HEADER = r"^(\d+)_length_(\d+)_cov_([0-9.eE+-]+)('?)$"
 
 
-def numbered_lines(spark: SparkSession, *paths: str) -> DataFrame:
-    """(file, line, value): every line of the files in order of their names, numbered from 0 over all of them.
+def numbered_lines(spark: SparkSession, *paths: str, sep: str | None = None) -> DataFrame:
+    """(file, line, value): every line of the files in order of their names, numbered from 0 over all of them; with sep,
+    what lies between these strings instead of lines.
 
     Each split counts its lines where it lies; one row a split then gives what comes before it, so a file of any size is
     read by many tasks. A folder's files count as one text, cut between any two lines. `file` is the file's place by name.
     """
     ship(spark)
-    rows = spark.read.text(list(paths)).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), "value")
+    rows = spark.read.text(list(paths), lineSep=sep).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), "value")
     splits = rows.groupBy("path", "start").agg(F.count("*").alias("n"))
     ahead = Window.orderBy("path", "start").rowsBetween(Window.unboundedPreceding, -1)  # a row a split
     splits = splits.select("path", "start", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"), (F.dense_rank().over(Window.orderBy("path")) - 1).alias("file"))
@@ -94,27 +97,14 @@ def read_paths(spark: SparkSession, path: str, nodes: DataFrame, edges: DataFram
     with a quoted name for the other strand. The strand with more ids in nodes (id; reverse ids begin with -) is taken,
     the forward one on ties. Ids are kept that are known and linked; contigs of one id must be long and covered enough.
     """
-    ship(spark)
-    text = spark.read.text(path, wholetext=True)  # one record spans lines; these files are small next to reads
-
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out, ord_ = [], 0
-            for t in b.column(0).to_pylist():
-                name = strand = None
-                for line in [*t.split("\n"), "NODE_0_length_0_cov_0"]:
-                    m = CONTIG_HEADER.match(line.strip())
-                    if m:
-                        name, strand, ord_, seg = m, "-" if line.strip().endswith("'") else "+", ord_ + 1, 0
-                    elif line.strip() and name:
-                        ids = [("-" if x.endswith("-") else "") + x[:-1] for x in line.strip().rstrip(";").split(",") if x]
-                        out.append((name[1], ord_, strand, seg, int(name[2]), float(name[3]), ids))
-                        seg += 1
-            cols = list(zip(*out)) or [()] * 7
-            kinds = [pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.float64(), pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["name", "ord", "strand", "seg", "len", "cov", "ids"])
-
-    rows = text.mapInArrow(parse, "name string, ord long, strand string, seg int, len long, cov double, ids array<string>")
+    lines = F.filter(F.transform(F.split("value", "\n"), lambda x: F.btrim(x, F.lit(" \t\r"))), lambda x: x != "")
+    head = lambda k: F.regexp_extract(F.get("lines", F.lit(0)), CONTIG_HEADER, k)
+    records = numbered_lines(spark, path, sep=CONTIG).select(F.col("line").alias("ord"), lines.alias("lines")).filter(head(1) != "")
+    rows = records.select(head(1).alias("name"), "ord", F.when(head(4) == "", "+").otherwise("-").alias("strand"), head(2).cast("long").alias("len"), head(3).cast("double").alias("cov"),
+                          F.posexplode(F.slice("lines", 2, F.size("lines"))).alias("seg", "text"))
+    parts = F.filter(F.split(F.regexp_replace("text", ";+$", ""), ","), lambda x: x != "")
+    rows = rows.withColumn("ids", F.transform(parts, lambda x: F.concat(F.when(x.endswith("-"), "-").otherwise(""), F.substring(x, F.lit(1), F.length(x) - 1)))).drop("text")
+    rows = Rounds(spark).put(rows)
     known = rows.select("name", "strand", F.explode("ids").alias("id")).join(nodes.select("id"), "id").groupBy("name", "strand").agg(F.count("*").alias("hits"))
     best = rows.select("name", "strand").distinct().join(known, ["name", "strand"], "left").groupBy("name").agg(F.max_by("strand", F.struct(F.coalesce("hits", F.lit(0)), F.when(F.col("strand") == "+", 1).otherwise(0))).alias("strand"))
     ids = rows.join(best, ["name", "strand"])
