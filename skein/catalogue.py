@@ -289,8 +289,8 @@ def reindex_nodes(spark, sf_dir):
 
 
 ZIGZAG = """z AS (
-  SELECT p_partkey AS k, p_brand, row_number() OVER g - 1 AS r, count(*) OVER (PARTITION BY p_brand, p_type) AS n, lead(p_partkey) OVER g AS next,
-         first_value(p_partkey) OVER g AS head, p_brand LIKE '%1' AND count(*) OVER (PARTITION BY p_brand, p_type) > 1 AS ring FROM part WINDOW g AS (PARTITION BY p_brand, p_type ORDER BY p_partkey)
+  SELECT p_partkey AS k, p_brand, row_number() OVER g - 1 AS r, count(*) OVER (PARTITION BY p_brand, p_type, p_partkey // 2000) AS n, lead(p_partkey) OVER g AS next,
+         first_value(p_partkey) OVER g AS head, p_brand LIKE '%1' AND count(*) OVER (PARTITION BY p_brand, p_type, p_partkey // 2000) > 1 AS ring FROM part WINDOW g AS (PARTITION BY p_brand, p_type, p_partkey // 2000 ORDER BY p_partkey)
 ), edges AS (
   SELECT k AS a, k AS b, ring, p_brand, r, n FROM z UNION ALL SELECT k, next, ring, p_brand, r, n FROM z WHERE next IS NOT NULL
   UNION ALL SELECT k, head, ring, p_brand, r, n FROM z WHERE next IS NULL AND ring
@@ -301,11 +301,11 @@ ZIGZAG = """z AS (
 SELECT 's' || a AS src, 't' || b AS dst, NOT ring OR (a = b AND a IN (SELECT k FROM used)) AS assigned,
        NOT ring OR (a = b AND a IN (SELECT k FROM used)) OR NOT (a IN (SELECT k FROM used) OR b IN (SELECT k FROM used)) AS kept FROM edges""")
 def edge_cleaning(spark, sf_dir):
-    """Zigzags s1-t1, s1-t2, s2-t2, ... over the parts of a brand and type. From an end of an open one every edge becomes
+    """Zigzags s1-t1, s1-t2, s2-t2, ... over the parts of a brand and type, 2000 keys at a time. From an end of an open one every edge becomes
     assigned in turn; the zigzags of some brands are closed to rings, where none is, but for those that a path uses."""
-    g = Window.partitionBy("p_brand", "p_type").orderBy("p_partkey")
+    g = Window.partitionBy("p_brand", "p_type", F.floor(F.col("p_partkey") / 2000)).orderBy("p_partkey")
     z = read(spark, sf_dir, "part").select("p_brand", F.col("p_partkey").alias("k"), F.lead("p_partkey").over(g).alias("next"), F.first("p_partkey").over(g).alias("head"), F.row_number().over(g).alias("r"),
-                                           F.count("*").over(Window.partitionBy("p_brand", "p_type")).alias("n"))
+                                           F.count("*").over(Window.partitionBy("p_brand", "p_type", F.floor(F.col("p_partkey") / 2000))).alias("n"))
     edge = lambda rows, to: rows.select(F.concat(F.lit("s"), "k").alias("src"), F.concat(F.lit("t"), to).alias("dst"))
     ends = z.filter("next is null and p_brand like '%1' and n > 1")
     edges = edge(z, "k").union(edge(z.filter("next is not null"), "next")).union(edge(ends, "head"))

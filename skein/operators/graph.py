@@ -119,8 +119,8 @@ def clean_edges(edges: DataFrame, on_paths: DataFrame | None = None) -> DataFram
         open_ = rows.filter("not assigned")
         one = open_.groupBy("src").agg(F.count("*").alias("c"), F.first("dst").alias("dst")).filter("c = 1").select("src", "dst")
         one = one.union(open_.groupBy("dst").agg(F.count("*").alias("c"), F.first("src").alias("src")).filter("c = 1").select("src", "dst")).distinct()
-        rows = rounds.put(rows.join(one.withColumn("hit", F.lit(True)), ["src", "dst"], "left").select("src", "dst", (F.col("assigned") | F.coalesce("hit", F.lit(False))).alias("assigned")))
-        now = rows.filter("assigned").count()
+        rows = rows.join(one.withColumn("hit", F.lit(True)), ["src", "dst"], "left").select("src", "dst", (F.col("assigned") | F.coalesce("hit", F.lit(False))).alias("assigned"))
+        rows, now = rounds.counted(rows, F.count_if("assigned"))
         if now == n:
             break
         n = now
@@ -194,12 +194,12 @@ def reachable(edges: DataFrame, sources: DataFrame) -> DataFrame:
 def closure(edges: DataFrame) -> DataFrame:
     """(src, dst): every pair that a path of at least one edge joins. Paths double in length each round."""
     rounds = Rounds(edges.sparkSession)
-    out = rounds.put(edges.select("src", "dst").distinct())
-    n, before = out.count(), -1
+    out, n = rounds.counted(edges.select("src", "dst").distinct(), F.count("*"))
+    before = -1
     while n != before:
         far = out.join(out.select(F.col("src").alias("dst"), F.col("dst").alias("to")), "dst").select("src", F.col("to").alias("dst"))
-        out = rounds.put(out.union(far).distinct())
-        n, before = out.count(), n
+        before = n
+        out, n = rounds.counted(out.union(far).distinct(), F.count("*"))
     return out
 
 
@@ -469,12 +469,12 @@ def cyclic_core(edges: DataFrame) -> DataFrame:
     """(src, dst): edges left when edges out of nodes that nothing leads to are taken away again and again, and likewise
     from the other end; empty if and only if the graph has no cycle."""
     rounds = Rounds(edges.sparkSession)
-    left = rounds.put(edges.select("src", "dst").distinct())
-    n, before = left.count(), -1
+    left, n = rounds.counted(edges.select("src", "dst").distinct(), F.count("*"))
+    before = -1
     while n != before:
         left = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
-        left = rounds.put(left.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-        n, before = left.count(), n
+        before = n
+        left, n = rounds.counted(left.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), F.count("*"))
     return left
 
 

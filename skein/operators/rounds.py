@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,3 +29,9 @@ class Rounds:
         self.n += 1
         df.write.parquet(path := f"{self.base}/{self.n}")
         return self.spark.read.schema(df.schema).parquet(path)
+
+    def counted(self, df: DataFrame, what: Column) -> tuple[DataFrame, int]:
+        """put(), and an aggregate of the rows that is taken while they are written, so it costs no job of its own."""
+        seen = Observation()
+        out = self.put(df.observe(seen, what.alias("n")))
+        return out, seen.get["n"]

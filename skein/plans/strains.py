@@ -31,9 +31,10 @@ def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         low = both.join(label.select(F.col("id").alias("dst"), "comp"), "dst").groupBy("src").agg(F.min("comp").alias("low"))
         new = label.join(low, label["id"] == low["src"], "left").select("id", F.least("comp", F.coalesce("low", "comp")).alias("comp"), F.col("comp").alias("was"))
         jump = new.select(F.col("id").alias("comp"), F.col("comp").alias("top"))
-        new = rounds.put(new.join(jump, "comp", "left").select("id", F.least("comp", F.coalesce("top", "comp")).alias("comp"), "was"))
+        new = new.join(jump, "comp", "left").select("id", F.least("comp", F.coalesce("top", "comp")).alias("comp"), "was")
+        new, moved = rounds.counted(new, F.count_if(F.col("comp") != F.col("was")))
         label = new.select("id", "comp")
-        if new.filter("comp <> was").isEmpty():
+        if not moved:
             return label
 
 
