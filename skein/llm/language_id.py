@@ -2,7 +2,7 @@
 
 For each language, a suffix automaton of a sample of its labelled text gives the longest match from any point of a
 document. A document is parsed greedily into phrases that occur in the sample; the language that needs the fewest
-phrases, normalised by the sample's length, wins.
+phrases, normalised by the bits that name one, wins.
 """
 
 from __future__ import annotations
@@ -43,16 +43,17 @@ class LanguageModel:
 def train(docs: DataFrame, labelled: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """Learns from the rows where `labelled` holds and id, text and language are not null.
 
-    All rows compete for the sample by a hash of the id: the smallest SAMPLE_DOCS of each of 256 parts of a language,
-    then of the language, so no task gathers a language. No labelled rows give a model without languages. Rows repeated
+    All rows compete for the sample by a hash of the id: the smallest SAMPLE_DOCS of each of 256 parts of a language, then
+    of 16 parts, then of the language; so the last step has at most 16 times SAMPLE_DOCS rows of a language. No labelled rows give a model without languages. Rows repeated
     or with equal ids count as often as they come, up to the bound; of each text at most SAMPLE_CHARS characters are
     learned from. A language takes about 1 MB in the driver and each worker, so labels should be languages.
     """
     docs = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"), labelled.alias("ok"))
     docs = docs.filter("ok and id is not null and lang is not null and text is not null").withColumn("r", F.xxhash64("id"))
-    part = Window.partitionBy("lang", F.pmod("r", F.lit(256))).orderBy("r", "id")
-    rows = docs.select("id", "lang", "r").withColumn("k", F.row_number().over(part)).filter(F.col("k") <= SAMPLE_DOCS)
-    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("r", "id"))).filter(F.col("k") <= SAMPLE_DOCS)
+    rows = docs.select("id", "lang", "r")
+    for parts in (256, 16, 1):
+        nth = F.row_number().over(Window.partitionBy("lang", F.pmod("r", F.lit(parts))).orderBy("r", "id"))
+        rows = rows.withColumn("k", nth).filter(F.col("k") <= SAMPLE_DOCS)
     chosen = rows.select("id", "lang").distinct()  # SAMPLE_DOCS rows a language
     texts = docs.join(F.broadcast(chosen), ["id", "lang"]).withColumn("text", F.substring("text", 1, SAMPLE_CHARS)).select("lang", "r", "text").distinct()
     got: dict[str, list[tuple[int, str]]] = {}
@@ -203,7 +204,8 @@ class Parser:
         for _, text in model.samples:
             codes = self.codes(text).tolist()
             self.machines.append(_Machine(_automaton(codes), len(own) + 2))
-            self.scale.append(np.log2(len(codes) + 2))
+            # a phrase names a place in the sample or one of all letters, so a tiny sample doesn't make phrases cheap
+            self.scale.append(np.log2(max(len(codes), len(own)) + 2))
 
     def codes(self, text: str) -> np.ndarray:
         return self.symbol[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)]

@@ -128,6 +128,14 @@ def test_op2_scripts():
     assert (score > 0.2).all()
 
 
+def test_op2_tiny_samples_do_not_win():
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 7))) for _ in range(300)]
+    text = lambda n: " ".join(r.choice(words) for _ in range(n))
+    model = language_id.LanguageModel((("aa", text(2000)[:20000]), ("bb", "a b"), ("cc", "x"), ("dd", "")))
+    assert language_id.predict(model, [text(50) for _ in range(20)])[0] == ["aa"] * 20
+
+
 def test_op2_whole_texts_are_parsed(monkeypatch):
     """Long matches go on over lanes and runs, so the phrases are those of the whole text."""
     monkeypatch.setattr(language_id, "LANE", 16)
