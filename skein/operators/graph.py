@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -363,11 +365,26 @@ def split_balanced(nodes: DataFrame, edges: DataFrame, links: DataFrame, delta:
     rows = rows.select("b", "u", "w", "fi", "fo", "n_in", "cnt", sure.alias("sure"))
     if by_coverage:
 
-        def choose(pdf: pd.DataFrame) -> pd.DataFrame:  # a branch: as many rows as sources times targets, few in sequence graphs
-            kept = set(pair_ends(list(zip(pdf.u, pdf.w, pdf.fi, pdf.fo, pdf.cnt, pdf.sure))))
-            return pdf[[x in kept for x in zip(pdf.u, pdf.w)]]
-
-        rows = rows.groupBy("b").applyInPandas(choose, rows.schema)
+        def choose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            """Sorted by branch: a branch has as many rows as sources times targets, few in sequence graphs."""
+            held: list[tuple] = []
+
+            def done() -> list[tuple]:
+                kept = set(pair_ends([(u, w, fi, fo, cnt, sure) for _, u, w, fi, fo, _, cnt, sure in held]))
+                return [x for x in held if (x[1], x[2]) in kept]
+
+            for f in frames:
+                out = []
+                for x in f.itertuples(index=False, name=None):
+                    if held and held[0][0] != x[0]:
+                        out += done()
+                        held = []
+                    held.append(x)
+                yield pd.DataFrame(out, columns=f.columns)
+            if held:
+                yield pd.DataFrame(done(), columns=["b", "u", "w", "fi", "fo", "n_in", "cnt", "sure"])
+
+        rows = rows.repartition("b").sortWithinPartitions("b").mapInPandas(choose, rows.schema)
     else:
         copy = lambda c: F.forall(F.split(c, "&"), lambda x: F.contains(x, F.lit("*")))
         copied = F.max((copy("u") | copy("w")).cast("int")).over(Window.partitionBy("b"))

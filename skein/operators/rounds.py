@@ -30,7 +30,7 @@ class Rounds:
         df.write.parquet(path := f"{self.base}/{self.n}")
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def counted(self, df: DataFrame, what: Column) -> tuple[DataFrame, int]:
+    def counted(self, df: DataFrame, what: Column) -> tuple[DataFrame, object]:
         """put(), and an aggregate of the rows that is taken while they are written, so it costs no job of its own."""
         seen = Observation()
         out = self.put(df.observe(seen, what.alias("n")))
