@@ -18,6 +18,8 @@ from .components import components
 #: Shingles are counted in 2**COUNT_LOG2 buckets of the hash's first bits (16 MB of levels on every worker, at any size of
 #: the input), in CHUNKS parts. Shingles of a bucket share a count, which is at least that of each.
 COUNT_LOG2, CHUNKS = 24, 64
+#: Characters of texts whose sets a task holds at once, about.
+TEXT_RUN = 1_000_000
 #: Sketches of so many tasks are summed in a first step.
 WORKERS = 256
 #: Hash ranges whose shingle counts the suffix filter compares.
@@ -120,7 +122,7 @@ def _sets_and_counts(rule: Rule) -> Callable:
             s1, s2 = zip(*map(_digest, sets))
             yield batch(ids, [len(h) for h in sets], s1, s2, None, None, None, None)
 
-        yield from per_text(some)(batches)
+        yield from per_text(some, TEXT_RUN)(batches)
         worker = TaskContext.get().partitionId()
         for k, part in enumerate(counts.reshape(CHUNKS, -1)):
             if part.any():
@@ -293,8 +295,9 @@ def _prefix_rows(docs: DataFrame, classes: DataFrame, order: np.ndarray, rule: R
         )
 
     kinds = f"id long, s1 long, s2 long, n long, {', '.join(f'{c} long' for c in SKETCH)}, fine binary, prefix array<long>"
-    ordered = docs.mapInArrow(per_text(prefixes), kinds).join(reps, ["id", "s1", "s2"], "left_semi")
+    ordered = docs.mapInArrow(per_text(prefixes, TEXT_RUN), kinds).join(reps, ["id", "s1", "s2"], "left_semi")
     ordered = scratch.put(ordered.dropDuplicates(["id", "s1", "s2"]) if repeats else ordered, "prefixes")
+    known.destroy()  # what it was for is written
 
     # prefix rows whose shingle is in another prefix
     shared = scratch.put(ordered.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count("*").alias("c")).filter("c > 1"), "shared")
