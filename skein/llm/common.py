@@ -36,6 +36,8 @@ def ascii_lower(text: Column) -> Column:
 
 
 _held: dict = {}
+#: Key of the word hashes that a worker holds during a partition.
+WORD_HASHES = "word hashes"
 
 
 def release() -> None:
@@ -215,6 +217,7 @@ def per_text(fn: Callable[[list, list], Iterator[pa.RecordBatch]], limit: int =
                     ids, texts, held = [], [], 0
             if ids:
                 yield from fn(ids, texts)
+        _held.pop(WORD_HASHES, None)  # cheap to make again, and idle workers stay beside the next stage's
         release()
 
     return run

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, filtered, hash_filter, held, hot_join, lists, per_text, row_keys, table, without
+from .common import WORD_HASHES, Scratch, filtered, hash_filter, held, hot_join, lists, per_text, row_keys, table, without
 from .components import components
 
 #: Shingles are counted in 2**COUNT_LOG2 buckets of the hash's first bits (16 MB of levels on every worker, at any size of
@@ -37,7 +37,7 @@ _M1 = np.uint64(0x9E3779B97F4A7C15)
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """64-bit hashes of the words, remembered up to a bound."""
-    known = held("word hashes", dict)
+    known = held(WORD_HASHES, dict)
     new = set(words).difference(known)
     if new:
         if len(known) > 250_000:

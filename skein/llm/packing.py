@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, held, per_text, table
+from .common import Scratch, held, per_text, release, table
 
 CAPACITY = 2048
 END_ID = 1
@@ -27,8 +27,10 @@ SHORT = 45
 #: Remainders of so many workers are packed together.
 WORKERS = 256
 TOKENIZER = "word_bpe_49k.json"
-#: Words whose ids a worker remembers, about 140 MB.
-CACHED_WORDS = 1_000_000
+#: Words whose ids a worker remembers, about 200 bytes each.
+CACHED_WORDS = 700_000
+#: A worker gives freed memory back after so many runs of about a million characters.
+RUNS = 12
 
 
 class WordTokenizer:
@@ -49,6 +51,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(path)
+        self.many = getattr(self.inner, "encode_batch_fast", self.inner.encode_batch)  # the fast one leaves out offsets
         self.known: dict[bytes, bytes] = {}
         vocab = self.inner.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
@@ -57,6 +60,9 @@ class WordTokenizer:
     def learn(self, words: set[bytes]) -> None:
         known, halves, todo = self.known, [], set()
         for w in words:
+            if w.isalpha():
+                todo.add(w)
+                continue
             core = w.rstrip(self.TAIL)
             if core is not w and self.CONTROL not in w and core and core[-1] < 128 and core[-1:].isalnum():
                 tail = w[len(core) :]
@@ -70,7 +76,7 @@ class WordTokenizer:
             (fast if w.isalpha() or (t := w.decode()).isalpha() and t.lower().isalpha() else slow).append(w)
         for i in range(0, len(fast), 2000):
             some = fast[i : i + 2000]
-            ids = np.array(self.inner.encode(b" ".join(some).decode(), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.many([b" ".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
             cut = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             if len(cut) != len(some):  # not the words expected: encode them one by one
                 slow += some
@@ -79,7 +85,7 @@ class WordTokenizer:
             known.update(zip(some, map(data.__getitem__, map(slice, [0, *cut], cut))))
         for i in range(0, len(slow), 20_000):
             some = slow[i : i + 20_000]
-            found = self.inner.encode_batch([w.decode() for w in some], add_special_tokens=False)
+            found = self.many([w.decode() for w in some], add_special_tokens=False)
             known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, found))
         for w, core, tail in halves:
             known[w] = known[core] + known[tail]
@@ -149,7 +155,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        worker, open_bins, made = TaskContext.get().partitionId(), {}, 0
+        worker, open_bins, made, runs = TaskContext.get().partitionId(), {}, 0, 0
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
             cols = list(zip(*rows)) if rows else [[]] * 10
@@ -158,7 +164,10 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
 
         def fill(ids: list, texts: list) -> Iterator[pa.RecordBatch]:
-            nonlocal made
+            nonlocal made, runs
+            runs += 1
+            if runs % RUNS == 0:
+                release()
             rows = []
             for i, data in zip(ids, tokenizer(tokens).encode(texts)):
                 data += END_ID.to_bytes(4, "little")
