@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, cross_tokenizer, exact_dedup, language_id, line_dedup, mixing, ngram_jaccard, packing, periodic_runs, quality, secrets, urls
+from . import chat, cross_tokenizer, embedding_dedup, exact_dedup, language_id, line_dedup, mixing, ngram_jaccard, packing, periodic_runs, quality, secrets, urls
 
 QUERIES = {
     "op1_ngram_jaccard": ngram_jaccard.op1_ngram_jaccard,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_mixing": mixing.op10_mixing,
+    "op11_embedding_dedup": embedding_dedup.op11_embedding_dedup,
     "op12_cross_tokenizer": cross_tokenizer.op12_cross_tokenizer,
     "op13_periodic_runs": periodic_runs.op13_periodic_runs,
 }
