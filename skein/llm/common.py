@@ -80,7 +80,7 @@ class Scratch:
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.base}/{name}-{len(self.paths)}"
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         out._skein_path = path

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,27 +22,34 @@ from .common import Scratch, held, hot_join, lists, per_text, release, table
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Characters of texts that share one list of segments; a task holds the distinct ones among them.
 PART = 32_000_000
-#: Texts with white space beside white space, or at the end.
-_IRREGULAR = re.compile(r"\s\s|\s$")
+#: Pairs of ids that are sent to every task; more of them are joined by a shuffle.
+MOST_PAIRS = 1_000_000
+#: Marks the key of a segment that has neither a space nor a line feed before it.
+MARK = "\x01"
+#: Texts with white space beside white space, or at the end, or with the mark.
+_IRREGULAR = re.compile(r"\s\s|\s$|\x01")
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
+#: Punctuation between a Latin or Cyrillic letter or digit and a single white space.
+_PUNCTUATION = re.compile("(?<=[A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0400-\u045f])([.,;:!?])(?=[ \n])")
 
 
 def cut(text: str) -> list[str]:
     """The segments of a space and the text, as keys (see segment).
 
-    A segment begins at a single space or line feed between two characters that aren't white space. No token of a
-    byte-level BPE crosses such a place, as its pattern starts a word there, nor does a piece: pieces have their space
-    first, and line feeds are bytes of their own. So a text's tokens are those of its segments, one after the other.
+    A segment begins at a single space or line feed between two characters that aren't white space, or is punctuation
+    after a letter or digit and before such a place. No token of a byte-level BPE crosses these, as its pattern starts a
+    word there, nor does a piece: pieces have their space first and don't mix letters and such punctuation, and line feeds
+    are bytes of their own. So a text's tokens are those of its segments, one after the other.
     """
     s = " " + text
     if _IRREGULAR.search(s):
-        return [x[1:] if x[0] == " " and x[1:2] not in (" ", "\n", "") else x for x in _CUT.split(s)]
-    return s.replace("\n", " \n").split(" ")[1:]
+        return [x[1:] if x[0] == " " and x[1:2] not in (" ", "\n", MARK, "") else x for x in _CUT.split(s)]
+    return _PUNCTUATION.sub(" \x01\\1", s).replace("\n", " \n").split(" ")[1:]
 
 
 def segment(key: str) -> str:
     """Most segments begin with a space, which is left out of their key."""
-    return key if key[0] in " \n" else " " + key
+    return key[1:] if key[0] == MARK else key if key[0] in " \n" else " " + key
 
 
 def _file(name: str) -> str:
@@ -77,12 +85,13 @@ class Tokenizers:
         """Ids of both of each segment; none of either where the bytes of one aren't the segment's."""
         whole = [segment(k) for k in keys]
         a = [e.ids for e in self.a.encode_batch(whole, add_special_tokens=False)]
-        b = self.b.encode([s[1:] if s[0] == " " else s for s in whole], num_threads=1)  # it adds a space
+        # it adds a space, which is a piece of its own before a line feed, as that is after it
+        b = self.b.encode([s[1:] if s[0] == " " else s if s[0] == "\n" else "\n" + s for s in whole], num_threads=1)
         out = []
         for s, x, y in zip(whole, a, b):
             data = s.encode()
             if s[0] != " " and y[:1] == [self.space]:
-                y = y[1:]
+                y = y[1:] if s[0] == "\n" else y[2:]
             same = b"".join(map(self.bytes_a.__getitem__, x)) == data == b"".join(map(self.bytes_b.__getitem__, y))
             out.append((x, y) if same else ([], []))
         return out
@@ -166,39 +175,39 @@ def _encoded(keys: DataFrame, names: tuple[str, str]) -> DataFrame:
     return keys.mapInArrow(run, "key string, n long, a array<int>, b array<int>")
 
 
-def token_ends(rows: DataFrame, key: str, ids: str, lengths: DataFrame) -> DataFrame:
-    """(key, end, ids): a row for each token of an array of ids, with the byte where it ends: the running sum of the
-    lengths (id, bytes) of the tokens so far. The lengths have a row for each id of a vocabulary."""
-    tokens = rows.select(key, F.posexplode(ids).alias("pos", "id")).join(F.broadcast(lengths), "id")
-    so_far = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return tokens.select(key, F.sum("bytes").over(so_far).alias("end"), F.col("id").alias(ids))
+def token_ends(rows: DataFrame, key: str, lengths: DataFrame, *keep: str) -> DataFrame:
+    """(key, side, end, id, keep...): a row for each token of the arrays a and b, side 0 and 1, with the byte where it ends:
+    the running sum of the lengths (side, id, bytes) of the tokens of its side so far. Columns kept come with the first
+    token of a side only."""
+    sides = F.explode(F.array(*(F.struct(F.lit(k).alias("side"), F.col(c).alias("ids")) for k, c in enumerate("ab")))).alias("x")
+    tokens = rows.select(key, *keep, sides).select(key, *keep, "x.side", F.posexplode("x.ids").alias("pos", "id"))
+    tokens = tokens.select(key, "side", "pos", "id", *(F.when(F.col("pos") == 0, F.col(c)).alias(c) for c in keep)).join(F.broadcast(lengths), ["side", "id"])
+    so_far = Window.partitionBy(key, "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return tokens.select(key, "side", F.sum("bytes").over(so_far).alias("end"), "id", *keep)
 
 
-def aligned(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """(key, end, a, b, grp) of tokens (key, end, a) and (key, end, b): every end of either, with the token of each side that
-    ends there, and the number of its group: the cuts, ends of both, before it."""
-    both = a.join(b, [key, "end"], "full_outer")
+def aligned(tokens: DataFrame, key: str, *keep: str) -> DataFrame:
+    """(key, end, a, b, grp, keep...) of tokens (key, side, end, id): every end of either side, with the token of each side
+    that ends there, and the number of its group: the cuts, ends of both, before it."""
+    side = lambda k, c: tokens.filter(F.col("side") == k).select(key, "end", F.col("id").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in keep))
+    both = side(0, "a").join(side(1, "b"), [key, "end"], "full_outer")
     before = Window.partitionBy(key).orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
     is_cut = (F.col("a").isNotNull() & F.col("b").isNotNull()).cast("int")
-    return both.select(key, "end", "a", "b", F.coalesce(F.sum(is_cut).over(before), F.lit(0)).alias("grp"))
+    return both.select(key, "end", "a", "b", F.coalesce(F.sum(is_cut).over(before), F.lit(0)).alias("grp"), *(F.coalesce(f"{x}_a", f"{x}_b").alias(x) for x in keep))
 
 
 def _per_segment(tokens: DataFrame) -> DataFrame:
-    """(sid, groups, n_a, n_b, n_groups, links) of aligned tokens; groups is text, links are the pairs that end together."""
+    """(key, n, groups, links) of the tokens of segments `sid`; groups is text, links are the pairs that end together."""
 
     def ids(side: str) -> Column:
         rows = F.array_sort(F.collect_list(F.when(F.col(side).isNotNull(), F.struct("end", side))))
         return F.array_join(F.transform(rows, lambda x: x[side].cast("string")), ",")
 
     link = F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), F.struct("a", "b"))
-    groups = tokens.groupBy("sid", "grp").agg(
-        F.concat(ids("a"), F.lit("|"), ids("b")).alias("text"), F.count("a").alias("n_a"), F.count("b").alias("n_b"), F.max(link).alias("link")
-    )
-    in_order = F.array_sort(F.collect_list(F.struct("grp", "text")))
-    return groups.groupBy("sid").agg(
-        F.array_join(F.transform(in_order, lambda x: x["text"]), ";").alias("groups"), F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"),
-        F.count("*").alias("n_groups"), F.collect_list("link").alias("links"),
-    )
+    groups = aligned(tokens, "sid", "key", "n").groupBy("sid", "grp")
+    groups = groups.agg(F.concat(ids("a"), F.lit("|"), ids("b")).alias("text"), F.max(link).alias("link"), F.max("key").alias("key"), F.max("n").alias("n"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("grp", "text"))), lambda x: x["text"]), ";")
+    return groups.groupBy("sid").agg(F.max("key").alias("key"), F.max("n").alias("n"), text.alias("groups"), F.collect_list("link").alias("links")).drop("sid")
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
@@ -230,70 +239,71 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", byte_
     segments = scratch.put(_encoded(distinct, names).withColumn("sid", F.monotonically_increasing_id()), "segments")
 
     pair = Tokenizers(*names)
-    sizes = lambda data: spark.createDataFrame(pa.table({"id": pa.array(range(len(data)), pa.int32()), "bytes": pa.array([len(x) for x in data], pa.int32())}))
+    sizes = [(side, i, len(x)) for side, data in enumerate((pair.bytes_a, pair.bytes_b)) for i, x in enumerate(data)]
+    sizes = spark.createDataFrame(pa.table({c: pa.array(x, pa.int32()) for c, x in zip(("side", "id", "bytes"), zip(*sizes))}))
     whole = "spark.sql.requireAllClusterKeysForCoPartition"  # tokens are dealt by segment once; a join on segment and end needs no other deal
     was = spark.conf.get(whole)
     spark.conf.set(whole, "false")
     try:
-        by_segment = segments.select("sid", "a", "b").repartition("sid")
-        a, b = token_ends(by_segment, "sid", "a", sizes(pair.bytes_a)), token_ends(by_segment, "sid", "b", sizes(pair.bytes_b))
-        found = scratch.put(_per_segment(aligned(a, b, "sid")), "found")
+        tokens = token_ends(segments.repartition("sid"), "sid", sizes, "key", "n")
+        found = scratch.put(_per_segment(tokens), "found")
     finally:
         spark.conf.set(whole, was)
 
-    named = found.join(segments.select("sid", "key", "n"), "sid")
-    links = scratch.put(named.select("sid", "n", F.explode("links").alias("l")).select("sid", "n", "l.a", "l.b"), "links")
+    links = found.select("key", "groups", "n", F.explode("links").alias("l")).select("key", "groups", "n", "l.a", "l.b")
     pairs = scratch.put(pair_counts(links), "pairs")
-    common = links.groupBy("a", "b").agg(F.count("*").alias("rows"))
-    weighed = hot_join(links.select("sid", "a", "b"), pairs.join(common, ["a", "b"]).select(F.struct("a", "b").alias("l"), "count", "best", "rows").select("l.a", "l.b", "count", "best", "rows"), ["a", "b"], "rows", links.count())
-    weighed = weighed.groupBy("sid").agg(F.count("*").alias("n_links"), F.count_if("best").alias("n_best"), F.sum("count").alias("count_sum"))
-    named = named.drop("links", "n").join(weighed, "sid").drop("sid")
-    given = placed.drop("n").join(named, "key")
+    if pairs.count() <= MOST_PAIRS:
+        weighed = links.join(F.broadcast(pairs), ["a", "b"])
+    else:
+        common = links.groupBy("a", "b").agg(F.count("*").alias("rows"))
+        common = scratch.put(pairs.join(common, ["a", "b"]).withColumn("ab", F.struct("a", "b")).drop("a", "b"), "common")
+        weighed = hot_join(links.select("key", "groups", F.struct("a", "b").alias("ab")), common, "ab", "rows", links.count())
+    weighed = weighed.groupBy("key").agg(F.first("groups").alias("groups"), F.count_if("best").alias("n_best"), F.sum("count").alias("count_sum"))
+    given = placed.drop("n").join(weighed, "key").drop("key")
+    of_docs = dealt.filter("key is null").select("part", "id", "codes")
+    both = given.unionByName(of_docs, allowMissingColumns=True).repartition("part").sortWithinPartitions("part", F.col("place").asc_nulls_last())
+    both = both.select("part", "place", "groups", "n_best", "count_sum", "id", "codes")
     numbers = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
-    both = given.select("part", "place", "groups", *numbers, F.lit(None).cast("long").alias("id"), F.lit(None).cast("binary").alias("codes"))
-    of_docs = dealt.filter("key is null").select("part", F.lit(None).cast("int").alias("place"), F.lit(None).cast("string").alias("groups"), *[F.lit(None).cast("long").alias(c) for c in numbers], "id", "codes")
-    both = both.unionByName(of_docs).repartition("part").sortWithinPartitions("part", F.col("place").asc_nulls_last())
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, texts, values, table_ = None, [], [], None
+        """Rows of a part: its segments by place, which come first, then its documents."""
+        part, texts, values = None, [], []
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
-            cols = list(zip(*rows)) if rows else [[]] * (len(numbers) + 2)
+            cols = list(zip(*rows))
             return pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k == "groups" else pa.int64()) for k, c in zip(["id", *numbers, "groups"], cols)], names=["id", *numbers, "groups"])
 
+        def learn(rows: pa.RecordBatch) -> None:
+            for place, text, best, total in zip(*(rows.column(c).to_pylist() for c in ("place", "groups", "n_best", "count_sum"))):
+                missing = place - len(texts)  # segments that a tokenizer doesn't give back have no row
+                texts.extend([None] * missing)
+                values.extend([(0,) * len(numbers)] * missing)
+                groups = text.count(";") + 1  # each is a list of a, a bar and a list of b
+                left = sum(x.count(",", 0, x.index("|")) for x in text.split(";")) if "," in text else 0
+                texts.append(text)
+                values.append((groups + left, groups + text.count(",") - left, groups, groups, best, total))
+
         for batch in batches:
             parts = batch.column("part").to_numpy()
-            starts = np.concatenate([[0], np.flatnonzero(np.diff(parts)) + 1, [len(parts)]]) if len(parts) else []
-            for lo, hi in zip(starts[:-1], starts[1:]):
+            starts = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(parts)]
+            for lo, hi in zip(starts, starts[1:]):
                 some = batch.slice(lo, hi - lo)
-                if parts[lo] != part:
-                    part, texts, values, table_ = parts[lo], [], [], None
-                segs = some.filter(some.column("place").is_valid())
-                if segs.num_rows:  # they come first
-                    place = segs.column("place").to_numpy()
-                    if place[0] > len(texts) or place[-1] - place[0] + 1 != len(place):  # segments that aren't given back
-                        texts += [None] * int(place[0] - len(texts))
-                    filled = [None] * int(place[-1] + 1 - len(texts))
-                    for p, t in zip((place - len(texts)).tolist(), segs.column("groups").to_pylist()):
-                        filled[p] = t
-                    block = np.zeros((len(filled), len(numbers)), np.int64)
-                    block[place - len(texts)] = np.stack([segs.column(c).to_numpy() for c in numbers], 1)
-                    pad = len(texts) - sum(map(len, values))
-                    values += [np.zeros((pad, len(numbers)), np.int64), block]
-                    texts += filled
-                mine = some.slice(segs.num_rows)
+                if hi > lo and parts[lo] != part:
+                    part, texts, values = parts[lo], [], []
+                segments_ = some.column("place").is_valid()
+                learn(some.filter(segments_))
+                mine = some.filter(pc.invert(segments_))
+                if mine.num_rows and not isinstance(values, np.ndarray):
+                    values = np.array(values, np.int64).reshape(-1, len(numbers))
                 rows, size = [], 0
                 for i, codes in zip(mine.column("id").to_pylist(), mine.column("codes")):
-                    if codes.is_valid:
-                        if table_ is None:
-                            table_ = np.concatenate(values)
-                        at = np.frombuffer(zlib.decompress(codes.as_buffer()), np.uint32)
-                        own = [texts[k] if k < len(texts) else None for k in at.tolist()]
-                    if not codes.is_valid or None in own:
+                    at = np.frombuffer(zlib.decompress(codes.as_buffer()), np.uint32) if codes.is_valid else np.zeros(0, np.uint32)
+                    own = [texts[k] if k < len(texts) else None for k in at.tolist()]
+                    if not own or None in own:
                         rows.append((i, *[0] * len(numbers), ""))
-                        continue
-                    rows.append((i, *table_[at].sum(0).tolist(), ";".join(own)))
-                    size += len(rows[-1][-1])
+                    else:
+                        rows.append((i, *values[at].sum(0).tolist(), ";".join(own)))
+                        size += len(rows[-1][-1])
                     if size > 4_000_000:
                         yield out(rows)
                         rows, size = [], 0
