@@ -29,8 +29,10 @@ BLOCK, BLOCK_NUMBERS = 1024, 1 << 19
 LEAST, MOST, GROUPS = 2048, 16384, 8
 #: Vectors of a bounded sample that rows are first dealt out by, so that near ones share a tree where they can.
 PIVOTS = 256
-#: Slack of bounds, far above what rounding adds to a distance.
-SLACK = 1e-7
+#: Pairs of vectors below nodes that are compared at once rather than by another step down.
+SMALL = 256
+#: What single precision may add to a cosine, and more; nearer to the threshold, sums are double. Bounds have it as slack.
+ROUNDING = 2e-5
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -71,6 +73,7 @@ class CoverTree:
         above.reverse()
         order = np.lexsort([np.arange(len(x)), *reversed(above)])
         self.rows, self.keys, self.members, self.x = rows[order], keys[order], members[order], x[order]
+        self.single = self.x.astype(np.float32)
         place = np.empty(len(x), np.int64)
         place[order] = np.arange(len(x))
         self.center, self.radius, self.first, self.child = [], [], [], []  # center: the places of the nodes' vectors
@@ -93,10 +96,12 @@ class CoverTree:
         self.weight = [total[f[1:]] - total[f[:-1]] for f in self.first]
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "x"}  # made again from the rows
+        return {k: v for k, v in self.__dict__.items() if k not in ("x", "single")}  # made again from the rows
 
     def __setstate__(self, state: dict) -> None:
-        self.__dict__ |= state | {"x": unit(state["rows"])}
+        self.__dict__ |= state
+        self.x = unit(self.rows)
+        self.single = self.x.astype(np.float32)
 
 
 class Found:
@@ -129,57 +134,82 @@ class Found:
                 self.label[deeper] = self.label[self.label[deeper]]
 
 
+def _below(first: np.ndarray, nodes: np.ndarray, others_first: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every vector below each node with every one below its other."""
+    na, nb = first[nodes + 1] - first[nodes], others_first[others + 1] - others_first[others]
+    pairs = na * nb
+    k = np.arange(pairs.sum()) - np.repeat(np.cumsum(pairs) - pairs, pairs)
+    nb = np.repeat(nb, pairs)
+    return np.repeat(first[nodes], pairs) + k // nb, np.repeat(others_first[others], pairs) + k % nb
+
+
 def walk(a: CoverTree, b: CoverTree, at_a: int, at_b: int, found: Found, threshold: float = COSINE) -> None:
     """Adds all pairs of two trees, or of one with itself; their vectors have places from at_a and at_b on."""
     same, chord = a is b, math.sqrt(2 - 2 * threshold)
-    last = len(RADII) + 1
-    todo = [(0, 0, 0)]
+
+    def vectors(u: np.ndarray, v: np.ndarray, like: np.ndarray) -> None:
+        """Pairs of single vectors, with their cosines in single precision."""
+        ok = like >= threshold
+        near = np.flatnonzero(np.abs(like - threshold) <= ROUNDING)
+        if len(near):
+            exact = np.einsum("ij,ij->i", a.x[u[near]], b.x[v[near]])
+            ok[near] = exact >= threshold
+            for k in near[np.abs(exact - threshold) < 1e-12]:
+                ok[k] = cosine(a.rows[u[k]], b.rows[v[k]]) >= threshold
+        if same:
+            ok &= u != v
+        u, v = u[ok], v[ok]
+        if len(u):
+            found.count[at_a : at_a + len(a.keys)] += np.bincount(u, b.members[v], len(a.keys)).astype(np.int64)
+            if not same:
+                found.count[at_b : at_b + len(b.keys)] += np.bincount(v, a.members[u], len(b.keys)).astype(np.int64)
+            found.link(at_a + u, at_b + v)
+
+    def whole(fa: np.ndarray, fb: np.ndarray, p: int, q: int, wa: int, wb: int) -> None:
+        """Two nodes of which every two vectors link."""
+        left, right = np.arange(fa[p], fa[p + 1]), np.arange(fb[q], fb[q + 1])
+        found.count[at_a + left] += wb
+        if not same:
+            found.count[at_b + right] += wa
+        elif fa[p] == fb[q]:
+            found.count[at_a + left] -= a.members[left]
+        found.link(at_a + left, np.full(len(left), at_b + right[0]))
+        found.link(np.full(len(right), at_a + left[0]), at_b + right)
+
+    far = math.sqrt(max(0.0, 2 - 2 * float(a.x[a.center[0][0]] @ b.x[b.center[0][0]]))) - a.radius[0][0] - b.radius[0][0]
+    todo = [(0, 0, 0)] if far <= chord + ROUNDING else []
     while todo:
         level, i, j = todo.pop()
-        if level == 0:  # the roots themselves
-            d = math.sqrt(max(0.0, 2 - 2 * float(a.x[a.center[0][0]] @ b.x[b.center[0][0]])))
-            if d > chord + a.radius[0][0] + b.radius[0][0] + SLACK:
-                continue
-        if level == last:
-            continue
         ca, cb = slice(a.child[level][i], a.child[level][i + 1]), slice(b.child[level][j], b.child[level][j + 1])
-        ra, rb = a.radius[level + 1][ca], b.radius[level + 1][cb]
-        like = a.x[a.center[level + 1][ca]] @ b.x[b.center[level + 1][cb]].T
-        reach = ra[:, None] + rb[None, :]
-        limit = reach + (chord + SLACK)
-        limit *= limit
-        x, y = np.nonzero(2 * like + limit >= 2)
+        level += 1
+        ra, rb = a.radius[level][ca], b.radius[level][cb]
+        like = a.single[a.center[level][ca]] @ b.single[b.center[level][cb]].T
+        # for every node the bound with the widest of the others, then for what is left the bound of the two
+        least = (1 - ROUNDING - (chord + ra + rb.max()) ** 2 / 2).astype(np.float32)
+        x, y = np.nonzero(like >= least[:, None])
+        close, reach = like[x, y], ra[x] + rb[y]
+        keep = 2 * close + (chord + reach) ** 2 >= 2 - 2 * ROUNDING
+        x, y, close, reach = x[keep], y[keep], close[keep], reach[keep]
         if not len(x):
             continue
-        fa, fb = a.first[level + 1][ca.start : ca.stop + 1], b.first[level + 1][cb.start : cb.stop + 1]
-        close, both = like[x, y], reach[x, y]
-        single = (fa[x + 1] - fa[x] == 1) & (fb[y + 1] - fb[y] == 1)
-        # two vectors
-        u, v, c = fa[x[single]], fb[y[single]], close[single]
-        ok = c >= threshold
-        for k in np.flatnonzero(np.abs(c - threshold) < 1e-12):
-            ok[k] = cosine(a.rows[u[k]], b.rows[v[k]]) >= threshold
-        if same:
-            ok &= u != v
-        u, v = u[ok], v[ok]
-        found.count[at_a : at_a + len(a.keys)] += np.bincount(u, b.members[v], len(a.keys)).astype(np.int64)
-        if not same:
-            found.count[at_b : at_b + len(b.keys)] += np.bincount(v, a.members[u], len(b.keys)).astype(np.int64)
-        found.link(at_a + u, at_b + v)
-        # nodes of which every two vectors link, then those that may hold links
-        x, y, close, both = x[~single], y[~single], close[~single], both[~single]
-        whole = np.sqrt(np.maximum(0, 2 - 2 * close)) + both <= chord - SLACK
-        wa, wb = a.weight[level + 1][ca], b.weight[level + 1][cb]
-        for p, q in zip(x[whole].tolist(), y[whole].tolist()):
-            left, right = np.arange(fa[p], fa[p + 1]), np.arange(fb[q], fb[q + 1])
-            found.count[at_a + left] += wb[q]
-            if same and ca.start + p == cb.start + q:
-                found.count[at_a + left] -= a.members[left]
-            elif not same:
-                found.count[at_b + right] += wa[p]
-            found.link(at_a + left, np.full(len(left), at_b + right[0]))
-            found.link(np.full(len(right), at_a + left[0]), at_b + right)
-        todo += [(level + 1, ca.start + p, cb.start + q) for p, q in zip(x[~whole].tolist(), y[~whole].tolist())]
+        fa, fb = a.first[level][ca.start : ca.stop + 1], b.first[level][cb.start : cb.stop + 1]
+        pairs = (fa[x + 1] - fa[x]) * (fb[y + 1] - fb[y])
+        one = pairs == 1
+        vectors(fa[x[one]], fb[y[one]], close[one])
+        x, y, close, reach, pairs = x[~one], y[~one], close[~one], reach[~one], pairs[~one]
+        # single precision is coarse for short distances
+        all_ = np.sqrt(np.maximum(0, 2 - 2 * close.astype(np.float64)) + 2 * ROUNDING) + reach <= chord - 1e-6
+        wa, wb = a.weight[level][ca], b.weight[level][cb]
+        for p, q in zip(x[all_].tolist(), y[all_].tolist()):
+            whole(fa, fb, p, q, wa[p], wb[q])
+        x, y, pairs = x[~all_], y[~all_], pairs[~all_]
+        few = pairs <= SMALL
+        if few.any():
+            u, v = _below(fa, x[few], fb, y[few])
+            for k in range(0, len(u), 100_000):
+                some = slice(k, k + 100_000)
+                vectors(u[some], v[some], np.einsum("ij,ij->i", a.single[u[some]], b.single[v[some]]))
+        todo += [(level, ca.start + p, cb.start + q) for p, q in zip(x[~few].tolist(), y[~few].tolist())]
 
 
 def _cells(rows: DataFrame, pivots: list[np.ndarray], scratch: Scratch) -> DataFrame:
@@ -214,7 +244,7 @@ def _may_meet(pivots: list[np.ndarray], order: list[int], radius: dict[int, floa
         mine = [i for i, k in enumerate(order) if len(pivots[k]) == size]
         x = unit(np.stack([pivots[order[i]] for i in mine]))
         reach = np.array([radius.get(order[i], 0.0) for i in mine])
-        may[np.ix_(mine, mine)] = np.sqrt(np.maximum(0, 2 - 2 * x @ x.T)) <= chord + reach[:, None] + reach[None, :] + SLACK
+        may[np.ix_(mine, mine)] = np.sqrt(np.maximum(0, 2 - 2 * x @ x.T)) <= chord + reach[:, None] + reach[None, :] + ROUNDING
         others = [i for i in range(n) if len(pivots[order[i]]) != size]
         may[np.ix_(mine, others)] = False
     return may
