@@ -24,6 +24,8 @@ BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 PART = 32_000_000
 #: Pairs of ids that are sent to every task; more of them are joined by a shuffle.
 MOST_PAIRS = 1_000_000
+#: Segments whose results a task holds before it sends them on, bundled by part.
+BUNDLED = 200_000
 #: Marks the key of a segment that has neither a space nor a line feed before it.
 MARK = "\x01"
 #: Texts with white space beside white space, or at the end, or with the mark.
@@ -216,6 +218,26 @@ def pair_counts(links: DataFrame) -> DataFrame:
     return counts.join(counts.groupBy("b").agg(F.max("count").alias("most")), "b").select("a", "b", "count", (F.col("count") == F.col("most")).alias("best"))
 
 
+def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, line) to compressed bundles of a part's lines: a row takes far less of them than of lines of their own."""
+    held: dict[int, list[str]] = {}
+
+    def out() -> pa.RecordBatch:
+        lines = [zlib.compress("\n".join(x).encode(), 1) for x in held.values()]
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(lines, pa.binary())], names=["part", "lines"])
+
+    rows = 0
+    for b in batches:
+        for part, line in zip(b.column("part").to_pylist(), b.column("line").to_pylist()):
+            held.setdefault(part, []).append(line)
+        rows += b.num_rows
+        if rows > BUNDLED:
+            yield out()
+            held, rows = {}, 0
+    if held:
+        yield out()
+
+
 def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", byte_bpe: str = BYTE_BPE, piece_bpe: str = PIECE_BPE) -> tuple[DataFrame, DataFrame]:
     """(documents, pairs). documents, a row each: id_col, n_a, n_b, n_groups, n_links, n_best, count_sum, groups.
 
@@ -259,29 +281,27 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", byte_
         common = scratch.put(pairs.join(common, ["a", "b"]).withColumn("ab", F.struct("a", "b")).drop("a", "b"), "common")
         weighed = hot_join(links.select("key", "groups", F.struct("a", "b").alias("ab")), common, "ab", "rows", links.count())
     weighed = weighed.groupBy("key").agg(F.first("groups").alias("groups"), F.count_if("best").alias("n_best"), F.sum("count").alias("count_sum"))
-    given = placed.drop("n").join(weighed, "key").drop("key")
-    of_docs = dealt.filter("key is null").select("part", "id", "codes")
-    both = given.unionByName(of_docs, allowMissingColumns=True).repartition("part").sortWithinPartitions("part", F.col("place").asc_nulls_last())
-    both = both.select("part", "place", "groups", "n_best", "count_sum", "id", "codes")
+    given = placed.drop("n").join(weighed, "key").select("part", F.concat_ws("\t", "place", "n_best", "count_sum", "groups").alias("line"))
+    given = given.mapInArrow(_bundles, "part long, lines binary").select("part", "lines", F.lit(None).cast("long").alias("id"), F.lit(None).cast("binary").alias("codes"))
+    of_docs = dealt.filter("key is null").select("part", F.lit(None).cast("binary").alias("lines"), "id", "codes")
+    both = given.unionByName(of_docs).repartition("part").sortWithinPartitions("part", F.col("lines").isNull())
     numbers = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of a part: its segments by place, which come first, then its documents."""
-        part, texts, values = None, [], []
+        """Rows of a part: the bundles of its segments, which come first, then its documents."""
+        part, texts, values = None, {}, {}
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
             cols = list(zip(*rows))
             return pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k == "groups" else pa.int64()) for k, c in zip(["id", *numbers, "groups"], cols)], names=["id", *numbers, "groups"])
 
-        def learn(rows: pa.RecordBatch) -> None:
-            for place, text, best, total in zip(*(rows.column(c).to_pylist() for c in ("place", "groups", "n_best", "count_sum"))):
-                missing = place - len(texts)  # segments that a tokenizer doesn't give back have no row
-                texts.extend([None] * missing)
-                values.extend([(0,) * len(numbers)] * missing)
-                groups = text.count(";") + 1  # each is a list of a, a bar and a list of b
+        def learn(lines: str) -> None:
+            for line in lines.split("\n"):
+                place, best, total, text = line.split("\t")
+                place, groups = int(place), text.count(";") + 1  # each is a list of a, a bar and a list of b
                 left = sum(x.count(",", 0, x.index("|")) for x in text.split(";")) if "," in text else 0
-                texts.append(text)
-                values.append((groups + left, groups + text.count(",") - left, groups, groups, best, total))
+                texts[place] = text
+                values[place] = (groups + left, groups + text.count(",") - left, groups, groups, int(best), int(total))
 
         for batch in batches:
             parts = batch.column("part").to_numpy()
@@ -289,20 +309,24 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", byte_
             for lo, hi in zip(starts, starts[1:]):
                 some = batch.slice(lo, hi - lo)
                 if hi > lo and parts[lo] != part:
-                    part, texts, values = parts[lo], [], []
-                segments_ = some.column("place").is_valid()
-                learn(some.filter(segments_))
-                mine = some.filter(pc.invert(segments_))
-                if mine.num_rows and not isinstance(values, np.ndarray):
-                    values = np.array(values, np.int64).reshape(-1, len(numbers))
+                    part, texts, values, table_ = parts[lo], {}, {}, None
+                of_segments = some.column("lines").is_valid()
+                for lines in some.filter(of_segments).column("lines"):
+                    learn(zlib.decompress(lines.as_buffer()).decode())
+                mine = some.filter(pc.invert(of_segments))
+                if mine.num_rows and table_ is None:
+                    table_ = np.zeros((max(values, default=-1) + 1, len(numbers)), np.int64)
+                    if values:
+                        table_[list(values)] = list(values.values())
+                        values = {}
                 rows, size = [], 0
                 for i, codes in zip(mine.column("id").to_pylist(), mine.column("codes")):
                     at = np.frombuffer(zlib.decompress(codes.as_buffer()), np.uint32) if codes.is_valid else np.zeros(0, np.uint32)
-                    own = [texts[k] if k < len(texts) else None for k in at.tolist()]
+                    own = list(map(texts.get, at.tolist()))  # none for segments that a tokenizer doesn't give back
                     if not own or None in own:
                         rows.append((i, *[0] * len(numbers), ""))
                     else:
-                        rows.append((i, *values[at].sum(0).tolist(), ";".join(own)))
+                        rows.append((i, *table_[at].sum(0).tolist(), ";".join(own)))
                         size += len(rows[-1][-1])
                     if size > 4_000_000:
                         yield out(rows)
