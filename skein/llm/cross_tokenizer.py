@@ -259,6 +259,7 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", byte_
     placed = dealt.filter("key is not null").select("part", "place", "key", "n")
     distinct = placed.groupBy("key").agg(F.sum("n").alias("n"))
     segments = scratch.put(_encoded(distinct, names).withColumn("sid", F.monotonically_increasing_id()), "segments")
+    scratch.settle()
 
     pair = Tokenizers(*names)
     sizes = [(side, i, len(x)) for side, data in enumerate((pair.bytes_a, pair.bytes_b)) for i, x in enumerate(data)]
@@ -271,6 +272,7 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", byte_
         found = scratch.put(_per_segment(tokens), "found")
     finally:
         spark.conf.set(whole, was)
+    scratch.settle()
 
     links = found.select("key", "groups", "n", F.explode("links").alias("l")).select("key", "groups", "n", "l.a", "l.b")
     pairs = scratch.put(pair_counts(links), "pairs")
