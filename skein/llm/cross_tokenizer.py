@@ -26,6 +26,8 @@ PART = 32_000_000
 MOST_PAIRS = 1_000_000
 #: Segments whose results a task holds before it sends them on, bundled by part.
 BUNDLED = 200_000
+#: Links of a segment whose text goes with each of them.
+SHORT = 64
 #: Marks the key of a segment that has neither a space nor a line feed before it.
 MARK = "\x01"
 #: Texts with white space beside white space, or at the end, or with the mark.
@@ -199,7 +201,7 @@ def aligned(tokens: DataFrame, key: str, *keep: str) -> DataFrame:
 
 
 def _per_segment(tokens: DataFrame) -> DataFrame:
-    """(key, n, groups, links) of the tokens of segments `sid`; groups is text, links are the pairs that end together."""
+    """(sid, key, n, groups, links) of the tokens of segments `sid`; groups is text, links are the pairs that end together."""
 
     def ids(side: str) -> Column:
         rows = F.array_sort(F.collect_list(F.when(F.col(side).isNotNull(), F.struct("end", side))))
@@ -209,7 +211,7 @@ def _per_segment(tokens: DataFrame) -> DataFrame:
     groups = aligned(tokens, "sid", "key", "n").groupBy("sid", "grp")
     groups = groups.agg(F.concat(ids("a"), F.lit("|"), ids("b")).alias("text"), F.max(link).alias("link"), F.max("key").alias("key"), F.max("n").alias("n"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("grp", "text"))), lambda x: x["text"]), ";")
-    return groups.groupBy("sid").agg(F.max("key").alias("key"), F.max("n").alias("n"), text.alias("groups"), F.collect_list("link").alias("links")).drop("sid")
+    return groups.groupBy("sid").agg(F.max("key").alias("key"), F.max("n").alias("n"), text.alias("groups"), F.collect_list("link").alias("links"))
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
@@ -218,6 +220,19 @@ def pair_counts(links: DataFrame) -> DataFrame:
     return counts.join(counts.groupBy("b").agg(F.max("count").alias("most")), "b").select("a", "b", "count", (F.col("count") == F.col("most")).alias("best"))
 
 
+def _weighed(found: DataFrame, key: str, pairs: DataFrame, scratch: Scratch, *keep: str) -> DataFrame:
+    """(key, keep..., n_best, count_sum) of segments by what their links count. Pairs are sent to every task if there are at
+    most MOST_PAIRS of them, else those of very many links."""
+    links = found.select(key, *keep, F.explode("links").alias("ab"))
+    known = pairs.select(F.struct("a", "b").alias("ab"), "count", "best")
+    if pairs.count() <= MOST_PAIRS:
+        rows = links.join(F.broadcast(known), "ab")
+    else:
+        often = scratch.put(known.join(links.groupBy("ab").agg(F.count("*").alias("rows")), "ab"), "often")
+        rows = hot_join(links, often, "ab", "rows", links.count())
+    return rows.groupBy(key).agg(*(F.first(c).alias(c) for c in keep), F.count_if("best").alias("n_best"), F.sum("count").alias("count_sum"))
+
+
 def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(part, line) to compressed bundles of a part's lines: a row takes far less of them than of lines of their own."""
     held: dict[int, list[str]] = {}
@@ -274,15 +289,12 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", byte_
         spark.conf.set(whole, was)
     scratch.settle()
 
-    links = found.select("key", "groups", "n", F.explode("links").alias("l")).select("key", "groups", "n", "l.a", "l.b")
-    pairs = scratch.put(pair_counts(links), "pairs")
-    if pairs.count() <= MOST_PAIRS:
-        weighed = links.join(F.broadcast(pairs), ["a", "b"])
-    else:
-        common = links.groupBy("a", "b").agg(F.count("*").alias("rows"))
-        common = scratch.put(pairs.join(common, ["a", "b"]).withColumn("ab", F.struct("a", "b")).drop("a", "b"), "common")
-        weighed = hot_join(links.select("key", "groups", F.struct("a", "b").alias("ab")), common, "ab", "rows", links.count())
-    weighed = weighed.groupBy("key").agg(F.first("groups").alias("groups"), F.count_if("best").alias("n_best"), F.sum("count").alias("count_sum"))
+    pairs = scratch.put(pair_counts(found.select("n", F.explode("links").alias("l")).select("n", "l.a", "l.b")), "pairs")
+    # texts of short segments go with their links, so they move once; those of long ones wait for the sums
+    short = F.size("links") <= SHORT
+    weighed = _weighed(found.filter(short), "key", pairs, scratch, "groups")
+    long = found.filter(~short).select("sid", "key", "groups").join(_weighed(found.filter(~short), "sid", pairs, scratch), "sid").drop("sid")
+    weighed = weighed.unionByName(long)
     given = placed.drop("n").join(weighed, "key").select("part", F.concat_ws("\t", "place", "n_best", "count_sum", "groups").alias("line"))
     given = given.mapInArrow(_bundles, "part long, lines binary").select("part", "lines", F.lit(None).cast("long").alias("id"), F.lit(None).cast("binary").alias("codes"))
     of_docs = dealt.filter("key is null").select("part", F.lit(None).cast("binary").alias("lines"), "id", "codes")

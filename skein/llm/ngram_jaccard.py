@@ -29,7 +29,7 @@ PARITIES = 256
 #: Sets over LARGE shingles also have counts by finer hash ranges, about SPREAD shingles a range, so that the filter tells
 #: sets of any size apart. Candidate pairs are held against them before their texts are fetched.
 LARGE, SPREAD = 600, 16
-#: Rows of one shingle that meet each other in one task, where all links are asked for.
+#: Rows of one shingle that meet each other in one task, and pairs of one text that are verified together.
 BLOCK = 256
 SKETCH = ["r0", "r1", "r2", "r3", "p0", "p1", "p2", "p3"]
 _M1 = np.uint64(0x9E3779B97F4A7C15)
@@ -229,32 +229,42 @@ def _suffix_filter(pairs: DataFrame, fine: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, fine: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) that link, from the whole texts of both. Each pair comes once and is verified once."""
+    """The pairs (a, b) that link, from the whole texts of both. Each pair comes once and is verified once.
+
+    A text that is in many pairs as `a` comes once for each BLOCK of them, followed by the other texts of the block, so its
+    shingles are made once for them all, and a very common one is dealt over many tasks.
+    """
     pairs = scratch.put(_suffix_filter(pairs, fine, rule), "pairs")
     ids = scratch.put(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
     flt = hash_filter(ids.select(F.xxhash64("id").alias("k")), "k", ids.count())
     texts = scratch.put(filtered(docs.withColumn("k", F.xxhash64("id")), "k", flt).join(ids, "id", "left_semi"), "texts")
-    both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    both = both.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").select("a", "ta", "b", "tb")
+    many = scratch.put(pairs.groupBy("a").agg(F.count("*").alias("c")), "many")
+    dealt = hot_join(pairs, many, "a", "c", pairs.count())
+    dealt = scratch.put(dealt.select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("c") / BLOCK)).cast("int").alias("k")), "blocks")
+    text = lambda c: texts.select(F.col("id").alias(c), "text")
+    first = dealt.select("a", "k").distinct().join(text("a"), "a").select("a", "k", F.lit(None).cast("long").alias("b"), "text")
+    rows = first.unionByName(dealt.join(text("b"), "b").select("a", "k", "b", "text"))
+    rows = rows.repartition("a", "k").sortWithinPartitions("a", "k", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = None, np.zeros(0, np.uint64)
+        own = np.zeros(0, np.uint64)
         for batch in batches:
-            a, b, links = batch.column("a").to_pylist(), batch.column("b").to_pylist(), []
-            for i, (x, y) in enumerate(zip(a, b)):
-                if last != x:
-                    last, own = x, rule.shingles(batch.column("ta")[i].as_py())
-                other = rule.shingles(batch.column("tb")[i].as_py())
-                at = np.searchsorted(own, other)
+            links = []
+            for x, y, t in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("text")):
+                h = rule.shingles(t.as_py())
+                if y is None:
+                    own = h
+                    continue
+                at = np.searchsorted(own, h)
                 at[at == len(own)] = 0
-                common = int((own[at] == other).sum()) if len(own) else 0
-                if rule.den * common >= rule.num * (len(own) + len(other) - common):
+                common = int((own[at] == h).sum()) if len(own) else 0
+                if rule.den * common >= rule.num * (len(own) + len(h) - common):
                     links.append((x, y))
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links)], names=["a", "b"])
 
-    out = scratch.put(both.mapInArrow(run, "a long, b long").distinct(), "links")
-    scratch.drop(ids, texts)
+    out = scratch.put(rows.mapInArrow(run, "a long, b long").distinct(), "links")
+    scratch.drop(ids, texts, many, dealt)
     return out
 
 
@@ -358,10 +368,8 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     marked = scratch.put(marked, "marked")
     split = marked.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).filter("lo <> hi")
     split = scratch.put(split.select("h", "c"), "split")
-    left = scratch.put(hot_join(marked, split, "h", "c", total).drop("c"), "left")
-    x, y = left.alias("x"), left.alias("y")
-    rest = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp")) & _link_conditions("x", "y", rule))
-    rest = scratch.put(rest.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "rest")
+    left = scratch.put(hot_join(marked, split, "h", "c", total), "left")
+    rest = scratch.put(_met_in_blocks(left, rule, F.col("x.comp") != F.col("y.comp"), "comp").join(tried, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         links = links.unionByName(_verify(rest, docs, fine, rule, scratch))
         labels = scratch.put(components(links, scratch), "labels")
@@ -374,22 +382,29 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
-def _all_pairs(rows: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
-    """(a, b), a < b: every pair of prefix rows that share a shingle and pass the filters, once.
+def _met_in_blocks(rows: DataFrame, rule: Rule, but: Column | None = None, *more: str) -> DataFrame:
+    """(a, b), a < b: pairs of prefix rows that share a shingle h, of which c rows are, and pass the filters, and `but`.
 
     A shingle's rows are dealt into blocks of about BLOCK, and each two blocks meet in a key of their own, so that a large
-    group's pairs lie over many tasks.
+    group's pairs lie over many tasks; a group of fewer rows is one block.
     """
-    sizes = scratch.put(rows.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1"), "sizes")
-    total = rows.count()
-    dealt = hot_join(rows, sizes, "h", "c", total).withColumn("m", F.ceil(F.col("c") / BLOCK).cast("int"))
-    dealt = dealt.withColumn("k", F.pmod(F.xxhash64("id"), F.col("m")).cast("int"))
-    side = F.struct("i", "n", "id", *SKETCH)
-    dealt = scratch.put(dealt.select("h", "m", "k", side.alias("s")), "dealt")
+    m = F.ceil(F.col("c") / BLOCK).cast("int")
+    dealt = rows.select("h", m.alias("m"), F.pmod(F.xxhash64("id"), m).cast("int").alias("k"), F.struct("i", "n", "id", *SKETCH, *more).alias("s"))
     x = dealt.select("h", F.col("k").alias("p"), F.explode(F.expr("sequence(k, m - 1)")).alias("q"), F.col("s").alias("x"))
     y = dealt.select("h", F.explode(F.expr("sequence(0, k)")).alias("p"), F.col("k").alias("q"), F.col("s").alias("y"))
     met = x.join(y, ["h", "p", "q"]).filter((F.col("p") < F.col("q")) | (F.col("x.id") < F.col("y.id"))).filter(_link_conditions("x", "y", rule))
-    pairs = scratch.put(met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct(), "all")
+    met = met if but is None else met.filter(but)
+    return met.filter("x.id <> y.id").select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
+def _all_pairs(rows: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
+    """(a, b), a < b: every pair of prefix rows that share a shingle and pass the filters, once.
+
+    See _met_in_blocks for large groups.
+    """
+    sizes = scratch.put(rows.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1"), "sizes")
+    dealt = scratch.put(hot_join(rows, sizes, "h", "c", rows.count()), "dealt")
+    pairs = scratch.put(_met_in_blocks(dealt, rule), "all")
     scratch.drop(sizes, dealt)
     return pairs
 

@@ -47,9 +47,10 @@ class WordTokenizer:
     TAIL = b".,!?;:"
     CONTROL = b"<|"
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached: int = CACHED_WORDS):
         from tokenizers import Tokenizer
 
+        self.cached = cached
         self.inner = Tokenizer.from_file(path)
         self.many = getattr(self.inner, "encode_batch_fast", self.inner.encode_batch)  # the fast one leaves out offsets
         self.known: dict[bytes, bytes] = {}
@@ -96,7 +97,7 @@ class WordTokenizer:
         return [w if self.CONTROL in w else w.lower() for w in data.split()]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.known) > CACHED_WORDS:
+        if len(self.known) > self.cached:
             self.known.clear()
         parts = [self.split((t or "").encode()) for t in texts]
         found = [list(map(self.known.get, p)) for p in parts]
@@ -108,16 +109,16 @@ class WordTokenizer:
         return [b"".join(f) for f in found]
 
 
-def tokenizer(name: str) -> WordTokenizer:
+def tokenizer(name: str, cached: int = CACHED_WORDS) -> WordTokenizer:
     def make() -> WordTokenizer:
         import os
 
         import public_tokenizers
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        return WordTokenizer(name if os.path.isabs(name) else public_tokenizers.path(name))
+        return WordTokenizer(name if os.path.isabs(name) else public_tokenizers.path(name), cached)
 
-    return held(("words", name), make)
+    return held(("words", name, cached), make)
 
 
 def cuts(length: int, capacity: int = CAPACITY) -> list[int]:
@@ -136,8 +137,9 @@ def cuts(length: int, capacity: int = CAPACITY) -> list[int]:
     return out
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens: str = TOKENIZER, with_ids: bool = True) -> DataFrame:
-    """One row per piece: id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids if with_ids.
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens: str = TOKENIZER, with_ids: bool = True, cached: int = CACHED_WORDS) -> DataFrame:
+    """One row per piece: id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids if with_ids, 32 bits
+    each, little-endian. A worker remembers the ids of so many words; fewer take less memory and more time.
 
     A document is the ids of its whole text (null: empty), then END_ID; so even an empty text gives a piece. Pieces of a
     row lie one after the other from start 0; no sequence is longer than CAPACITY and offsets have no gaps. Rows with
@@ -169,7 +171,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens
             if runs % RUNS == 0:
                 release()
             rows = []
-            for i, data in zip(ids, tokenizer(tokens).encode(texts)):
+            for i, data in zip(ids, tokenizer(tokens, cached).encode(texts)):
                 data += END_ID.to_bytes(4, "little")
                 start = 0
                 for length in cuts(len(data) // 4):

@@ -30,6 +30,8 @@ RUN = re.compile(r"(?<![A-Za-z0-9_+/~.@-])(?:(?=[A-Za-z_+/~.-]*[0-9])[A-Za-z0-9_
 ASSIGNED = re.compile(
     r"(?i)(?:token|secret|passw(?:or)?d|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|credentials?|bearer|[_-]key)[a-z0-9_.-]{0,20}[\"']?\s{0,3}(?:=>|:=|[=:])\s{0,3}([\"'`]?)([^\s\"'`,;<>()]{6,})"
 )
+#: The password of a user in a URL: what lies between the first colon after `://` and an @ before any slash.
+IN_URL = re.compile(r"://[^\s/:@\"'<>]{0,64}:([^\s/@\"'<>]{3,})@")
 #: A text without any of these has nothing for ASSIGNED.
 HINTS = ("token", "secret", "passw", "pwd", "key", "auth", "credential", "bearer")
 #: Neighbouring words: so many on each side, looked for in the nearest SPAN characters; a word that the span cuts is left out.
@@ -49,7 +51,7 @@ WORDS = ("the", "and", "for", "that", "with", "this", "from", "have", "not", "ar
          "service", "server", "client", "module", "package", "function", "class", "object", "key", "token", "secret", "change", "place", "holder", "insert", "none", "null",
          "true", "false", "password", "prompt", "input", "environment", "variable", "get", "set", "new", "old", "required", "missing")
 FEATURES = ("length", "transitions", "coverage", "entropy", "digit_share", "upper_share", "lower_share", "hex_share", "dots", "dashes", "classes_changed", "longest_letters",
-            "known_prefix", "path_depth", "path_test", "near_good", "near_bad", "assigned", "quoted", "digits_only", "distinct_share")
+            "known_prefix", "path_depth", "path_test", "near_good", "near_bad", "assigned", "quoted", "digits_only", "distinct_share", "before_at")
 #: Published starts of key formats.
 PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "xoxb-", "xoxp-", "sk_live_", "rk_live_", "eyJ", "AIza", "glpat-", "SG.", "npm_")
 _KIND = np.zeros(256, np.int8)
@@ -141,7 +143,7 @@ def describe(value: str, before: str = "", after: str = "", path: str | None = N
     return [n, float(steps.mean()) if n > 1 else 0.0, sum(map(lex.covered, runs)) / n, float(-(times * np.log2(times)).sum()), share[1], share[2], share[3], float(_HEX[x].mean()),
             value.count("."), value.count("-"), float((kinds[1:] != kinds[:-1]).sum()) / n, max(map(len, runs), default=0), value.startswith(PREFIXES), path.count("/"),
             any(w in path for w in ("test", "example", "doc", "fixture")), sum(w in GOOD_WORDS for w in near), sum(w in BAD_WORDS for w in near), back[-1:] in ("=", ":"),
-            before[-1:] in ("'", '"'), value.isdigit(), len(times) / n]
+            before[-1:] in ("'", '"'), value.isdigit(), len(times) / n, after[:1] == "@"]
 
 
 @lru_cache(1)
@@ -150,15 +152,16 @@ def _plain() -> Lexicon:
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Spans (start, end) of candidates, in order; where two overlap, an assigned value goes before a run."""
-    found = []
-    low = text.lower()
+    """Spans (start, end) of candidates, in order; where two overlap, a password in a URL goes before an assigned value, and
+    that before a run."""
+    found = [m.span(1) for m in IN_URL.finditer(text)] if "://" in text else []
+    inner, low = list(found), text.lower()
     if any(h in low for h in HINTS):
         for m in ASSIGNED.finditer(text):
             a, z = m.span(2)
             if not m[1]:  # not quoted: marks after it belong to the sentence
                 z = a + len(m[2].rstrip(".,:!?]}"))
-            if z - a >= 6:
+            if z - a >= 6 and not any(a < y and x < z for x, y in inner):
                 found.append((a, z))
     taken, k = sorted(found), 0
     for m in RUN.finditer(text):
@@ -185,6 +188,7 @@ def labelled_findings() -> tuple[tuple[str, str, str, str, int], ...]:
     known = lambda: r.choice(("AKIA" + pick(key, 16), "ASIA" + pick(key, 16), "ghp_" + pick(alnum, 36), "xoxb-" + pick(string.digits, 11) + "-" + pick(alnum, 24), "sk_live_" + pick(alnum, 24),
                               "glpat-" + pick(alnum, 20), "AIza" + pick(alnum + "_-", 35), "eyJ" + pick(alnum, 30) + "." + pick(alnum, 40)))
     phrase = lambda: r.choice(WORDS[:52]) + r.choice(["", "_", "-"]) + r.choice(WORDS[:52])
+    spoken = lambda n: "".join(r.choice("bcdfghklmnprstvw") + r.choice("aeiou") + r.choice(("", "", "n", "r", "s", "t")) for _ in range(n))
     for _ in range(200):
         path = r.choice(["src0", "src/app/config.py", "deploy/prod.env", "notes", "", "test/data.txt", "docs/a.md"])
         digest = pick(hexa, r.choice([32, 40, 64]))
@@ -198,6 +202,16 @@ def labelled_findings() -> tuple[tuple[str, str, str, str, int], ...]:
             (pick(string.ascii_letters + "!#%&*@$", r.randint(8, 20)), assign(), tail(), path, 1),
             (r.choice(WORDS[:52]) + pick(string.digits, r.randint(2, 4)) + r.choice(["!", "x", "#", pick(string.ascii_letters, 2)]), f"{words(2)} {r.choice(['password', 'passwd', 'pwd'])}{r.choice([' = ', ': ', '='])}" + r.choice(["", '"']), tail(), path, 1),
             (pick(string.ascii_letters, r.randint(20, 40)), assign(), tail(), path, 1),
+            ("".join(r.choice(WORDS[:52]) for _ in range(r.randint(3, 4))), f"{words(r.randint(0, 3))} {r.choice(['password', 'passwd', 'pwd', 'passphrase password', 'DB_PASSWORD'])}{r.choice([' = ', ': ', '='])}{r.choice(['', chr(34)])}", tail(), path, 1),
+            (r.choice([pick(alnum + "!$%-_", r.randint(6, 16)), r.choice(WORDS[:52]) + pick(string.digits, 3)]), f"{words(2)} {r.choice(['postgres', 'mysql', 'amqp', 'https', 'redis', 'ftp'])}://{r.choice(['', 'app', r.choice(WORDS[:52])])}:", f"@{r.choice(WORDS[:52])}.{r.choice(['internal', 'example.com', 'local:5432'])}/{r.choice(WORDS[:52])}", path, 1),
+            ("".join(r.choice(WORDS[:52]) for _ in range(r.randint(2, 5))), f"{r.choice(['', words(2) + ' '])}{r.choice(['password', 'Password', 'pwd'])}{r.choice([': ', '='])}", tail(), path, 1),
+            (spoken(r.randint(3, 7)), assign(), tail(), path, 1),
+            (f"{r.randint(1990, 2030)}-{r.randint(10, 12)}-{r.randint(10, 28)}T{r.randint(10, 23)}", words(2) + " at ", f":{r.randint(10, 59)}:{r.randint(10, 59)}.{r.randint(100, 999)}Z {words(1)}", path, 0),
+            (f"{r.choice(WORDS)[:3].upper()}-{r.randint(1990, 2030)}-{pick(string.digits, 6)}", r.choice([plain(), words(3) + " "]), tail(), path, 0),
+            (f"{r.choice(WORDS)}/{r.choice(WORDS)}{r.randint(1, 9)}/{phrase()}.{r.choice(['md', 'txt', 'py'])}", r.choice(["see ", words(2) + " in ", plain()]), tail(), path, 0),
+            (spoken(10) + "ly", r.choice([plain(), words(4) + " "]), tail(), path, 0),
+            (f"{r.randint(1000, 9999)}/{phrase()}{r.choice(['', '/', '.html', str(r.randint(1, 99))])}", f"{words(2)} {r.choice(['http', 'https', 'ws'])}://{r.choice(WORDS[:52])}{r.choice(['', '.example.com'])}:", tail(), path, 0),
+            (r.choice(["password", "pass", "changeme", "<password>", "xxxx", "secret", "${PASSWORD}", "your_password"]), f"{words(2)} {r.choice(['postgres', 'mysql', 'https', 'ftp'])}://{r.choice(['user', 'name', 'username'])}:", f"@{r.choice(['localhost', 'host', 'example.com'])}/{words(1)}", path, 0),
             (digest, note, tail(), path, 0),
             ("-".join(pick(hexa, n) for n in (8, 4, 4, 4, 12)), r.choice([words(3) + " uuid ", plain()]), tail(), path, 0),
             (pick(string.digits, r.choice([8, 10, 13, 16, 18])), r.choice([plain(), words(4) + " "]), tail(), path, 0),
@@ -207,11 +221,11 @@ def labelled_findings() -> tuple[tuple[str, str, str, str, int], ...]:
             (f"{r.randint(1990, 2030)}-{r.randint(10, 12)}-{r.randint(10, 28)}", words(3) + " ", tail(), path, 0),
             (f"v{r.randint(1, 20)}.{r.randint(0, 30)}.{r.randint(0, 99)}-{r.choice(WORDS)}.{pick(string.digits, 8)}", words(3) + " version ", tail(), path, 0),
             (r.choice(["x" * r.randint(6, 30), "x" * r.randint(8, 20) + pick(string.digits, 4), "*" * r.randint(6, 12), "0" * 16, "changeme", "placeholder", "your_" + phrase(), "${" + phrase().upper() + "}",
-                       "<" + phrase() + ">", "none", "required", "os.environ", "get_" + phrase() + "_value", "insert-your-" + phrase() + "-here"]), assign(), tail(), path, 0),
+                       "<" + phrase() + ">", "none", "required", "optional", "disabled", "your_api_key", "os.environ", "get_" + phrase() + "_value", "insert-your-" + phrase() + "-here"]), assign(), tail(), path, 0),
             (known()[:12] + "EXAMPLE" + pick(key, 4), f"{words(2)} example {name()} = ", " sample placeholder", r.choice(["docs/a.md", "test/example.md"]), 0),
             ("".join(r.choice(WORDS[:52]) for _ in range(r.randint(4, 6))), r.choice([plain(), words(4) + " "]), tail(), path, 0),
         ]
-    return tuple(x for x in out if len(x[0]) >= 6)
+    return tuple(x for x in out if len(x[0]) >= 6 or "://" in x[1])
 
 
 def train(findings=None, lex: Lexicon | None = None) -> Ensemble:

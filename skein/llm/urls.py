@@ -28,7 +28,8 @@ RULES = (
 BLOCK = 0.5
 #: Words of the labelled sample: usual in addresses of spam, and of ordinary sites.
 BAD_WORDS = ("cheap", "pills", "casino", "bets", "free", "win", "spam", "adult", "ads", "track", "loan", "xxx", "bonus", "slots", "viagra", "farm", "deal", "prize", "click",
-             "cash", "poker", "dating", "hot", "crypto", "gift", "login", "verify", "secure", "update", "rx", "replica", "warez")
+             "cash", "poker", "dating", "hot", "crypto", "gift", "login", "verify", "secure", "update", "rx", "replica", "warez", "jackpot", "lottery", "payday", "escort", "forex",
+             "torrent", "keygen", "hookup", "giveaway", "roulette", "cams")
 GOOD_WORDS = ("garden", "library", "weather", "history", "kitchen", "travel", "science", "school", "music", "river", "museum", "planet", "daily", "market", "health", "forest",
               "news", "city", "university", "journal", "open", "data", "art", "film", "green", "street", "north", "house", "research", "society", "blog", "docs")
 #: Suffixes of the sample, and how many times as often ordinary and spam addresses have them.
@@ -140,18 +141,18 @@ def lexical(url: str | None, suffixes: SuffixStatistics) -> list[float]:
     return lexical_rows([url or ""], *([x] for x in pieces(url)), suffixes)[0].tolist()
 
 
-@lru_cache(1)
-def labelled_urls() -> tuple[tuple[str, int], ...]:
-    """The labelled sample (url, 1 if bad), made by rule from a fixed seed. Both kinds have every trait, in other shares: bad
+@lru_cache(4)
+def labelled_urls(bad_words: tuple[str, ...] = BAD_WORDS, good_words: tuple[str, ...] = GOOD_WORDS, seed: int = 17) -> tuple[tuple[str, int], ...]:
+    """The labelled sample (url, 1 if bad), made by rule from a seed and two lists of words. Both kinds have every trait, in other shares: bad
     hosts more often join words by hyphens, have digits or random letters, rarer suffixes, deeper and longer paths and more
     parameters; ordinary hosts have hyphens, digits, invented names and tracking parameters too."""
-    r, out = random.Random(17), []
+    r, out = random.Random(seed), []
     suffixes = list(SUFFIXES)
     pick = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
-    name = lambda: "".join(r.choice(("th", "er", "on", "ti", "sh", "le", "an", "re", "in", "st", "ou", "ra", "mi", "ka", "so")) for _ in range(r.randint(2, 4)))
+    name = lambda: "".join(r.choice("bdfgjkmpvz") + r.choice("aeiou") + r.choice(("", "", *"bdgkmpvz")) for _ in range(r.randint(2, 4)))
     for _ in range(3000):
         for bad in (0, 1):
-            words = [r.choice(BAD_WORDS if r.random() < (0.93 if bad else 0.02) else GOOD_WORDS) for _ in range(r.choice((1, 2, 2, 3) if bad else (1, 1, 2)))]
+            words = [r.choice(bad_words if r.random() < (0.93 if bad else 0.02) else good_words) for _ in range(r.choice((1, 2, 2, 3) if bad else (1, 1, 2)))]
             if r.random() < (0.03 if bad else 0.45):
                 words = [name()]
             elif bad and r.random() < 0.15:
@@ -160,7 +161,7 @@ def labelled_urls() -> tuple[tuple[str, int], ...]:
             middle = r.choice(("", "example.", "example.", "co.")) if r.random() < 0.5 else ""
             host = r.choice(("", "www.", "blog.", "m.", "shop.")) + label + "." + middle + r.choices(suffixes, [x[bad] for x in SUFFIXES.values()])[0]
             depth = r.choice((0, 1, 2, 2, 2, 3, 4, 6) if bad else (0, 1, 1, 2, 2, 2, 3, 4))
-            path = "".join("/" + r.choice((lambda: r.choice(GOOD_WORDS), lambda: r.choice(("en", "de", "fr", "es", "it")), lambda: str(r.randint(1, 60000)),
+            path = "".join("/" + r.choice((lambda: r.choice(good_words), lambda: r.choice(("en", "de", "fr", "es", "it")), lambda: str(r.randint(1, 60000)),
                            lambda: pick(string.ascii_letters + string.digits, r.randint(8, 24) if bad else r.randint(4, 9))))() for _ in range(depth))
             path += r.choice(("", "", "/", ".html"))
             count = r.choice((0, 0, 1, 2, 4, 6) if bad else (0, 0, 0, 1, 1, 2, 3))

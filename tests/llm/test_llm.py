@@ -245,7 +245,7 @@ def test_op9_brute_force(spark, none):
     drops = {r["doc_id"]: r for r in line_dedup.line_dedup(df).collect()}
     for i, t in rows:
         want = [x for x in (t or "").split("\n") if not (len(where.get(line_dedup.line_key(x), ())) >= 5 and i != max(where[line_dedup.line_key(x)]))]
-        assert line_dedup.kept_lines(t, drops[i]["drop"] if i in drops else None) == want
+        assert line_dedup.kept_lines(t, drops[i]["keep"]) == want
     assert line_dedup.line_dedup(none.select("doc_id", "text")).count() == 0
 
 
