@@ -90,7 +90,8 @@ class Scratch:
         """Has the driver forget the plans of written tables now: Spark's cleaner then removes their shuffle files, which
         else lie on the executors' disks until the driver's memory runs low."""
         gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        for _ in range(2):  # the first finds the plans, the second what only they held
+            self.spark.sparkContext._jvm.System.gc()
 
     def drop(self, *tables: DataFrame) -> None:
         """Deletes tables that no later plan reads."""

@@ -191,25 +191,25 @@ def token_ends(rows: DataFrame, key: str, lengths: DataFrame, *keep: str) -> Dat
 
 
 def aligned(tokens: DataFrame, key: str, *keep: str) -> DataFrame:
-    """(key, end, a, b, grp, keep...) of tokens (key, side, end, id): every end of either side, with the token of each side
-    that ends there, and the number of its group: the cuts, ends of both, before it."""
-    side = lambda k, c: tokens.filter(F.col("side") == k).select(key, "end", F.col("id").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in keep))
-    both = side(0, "a").join(side(1, "b"), [key, "end"], "full_outer")
-    before = Window.partitionBy(key).orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
-    is_cut = (F.col("a").isNotNull() & F.col("b").isNotNull()).cast("int")
-    return both.select(key, "end", "a", "b", F.coalesce(F.sum(is_cut).over(before), F.lit(0)).alias("grp"), *(F.coalesce(f"{x}_a", f"{x}_b").alias(x) for x in keep))
+    """(key, side, end, id, other, grp, keep...) of tokens (key, side, end, id) of both sides: the token of the other side that
+    ends at the same byte, or null, and the number of the group: the cuts, ends of both, before it. Where the tokens lie by
+    key, nothing is shuffled."""
+    theirs = tokens.select(key, (1 - F.col("side")).alias("side"), "end", F.col("id").alias("other"), *(F.col(c).alias(f"{c}_") for c in keep))
+    before = Window.partitionBy(key, "side").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
+    both = tokens.join(theirs, [key, "side", "end"], "left")
+    return both.select(key, "side", "end", "id", "other", F.count("other").over(before).alias("grp"), *(F.coalesce(c, f"{c}_").alias(c) for c in keep))
 
 
 def _per_segment(tokens: DataFrame) -> DataFrame:
     """(sid, key, n, groups, links) of the tokens of segments `sid`; groups is text, links are the pairs that end together."""
 
-    def ids(side: str) -> Column:
-        rows = F.array_sort(F.collect_list(F.when(F.col(side).isNotNull(), F.struct("end", side))))
-        return F.array_join(F.transform(rows, lambda x: x[side].cast("string")), ",")
+    def ids(side: int) -> Column:
+        rows = F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("end", "id"))))
+        return F.array_join(F.transform(rows, lambda x: x["id"].cast("string")), ",")
 
-    link = F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), F.struct("a", "b"))
+    link = F.when((F.col("side") == 0) & F.col("other").isNotNull(), F.struct(F.col("id").alias("a"), F.col("other").alias("b")))
     groups = aligned(tokens, "sid", "key", "n").groupBy("sid", "grp")
-    groups = groups.agg(F.concat(ids("a"), F.lit("|"), ids("b")).alias("text"), F.max(link).alias("link"), F.max("key").alias("key"), F.max("n").alias("n"))
+    groups = groups.agg(F.concat(ids(0), F.lit("|"), ids(1)).alias("text"), F.max(link).alias("link"), F.max("key").alias("key"), F.max("n").alias("n"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("grp", "text"))), lambda x: x["text"]), ";")
     return groups.groupBy("sid").agg(F.max("key").alias("key"), F.max("n").alias("n"), text.alias("groups"), F.collect_list("link").alias("links"))
 
@@ -283,13 +283,15 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", byte_
     was = spark.conf.get(whole)
     spark.conf.set(whole, "false")
     try:
-        tokens = token_ends(segments.repartition("sid"), "sid", sizes, "key", "n")
+        # the filter is what the join would add on one side only; with it both sides read the same shuffle
+        tokens = token_ends(segments.filter("sid is not null").repartition("sid"), "sid", sizes, "key", "n")
         found = scratch.put(_per_segment(tokens), "found")
     finally:
         spark.conf.set(whole, was)
     scratch.settle()
 
     pairs = scratch.put(pair_counts(found.select("n", F.explode("links").alias("l")).select("n", "l.a", "l.b")), "pairs")
+    scratch.settle()
     # texts of short segments go with their links, so they move once; those of long ones wait for the sums
     short = F.size("links") <= SHORT
     weighed = _weighed(found.filter(short), "key", pairs, scratch, "groups")
