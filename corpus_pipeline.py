@@ -35,9 +35,13 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs)
 
 
+#: Words that packing remembers here, fewer than by itself: its workers stay beside those of the stages before.
+REMEMBERED = 300_000
+
+
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of packed token sequences; a null text is empty and gives the end id alone."""
-    return packing.pack(docs, with_ids=False)
+    """Pieces of packed token sequences with their token ids; a null text is empty and gives the end id alone."""
+    return packing.pack(docs, cached=REMEMBERED)
 
 
 STAGES = [
