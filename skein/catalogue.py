@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions.sequence import acgt, base_ids, join_ids, revcomp, windows
-from skein.operators import graph, links, paths
+from skein.operators import cycles, graph, links, overlaps, paths, provenance, reach
 from skein.operators.rounds import Rounds
 from skein.plans import strains as plan
 
@@ -178,15 +178,15 @@ def read_windows(spark, sf_dir):
     return links.read_windows(_pairs(spark, sf_dir), K)
 
 
-ALIGNED = """, paf AS (SELECT rk.pair, rk.mate, rk.read_pos, idx.node, idx.pos AS start FROM rk JOIN idx ON rk.kmer = idx.kmer WHERE rk.read_pos < 40)"""
+ALIGNED = """, paf AS (SELECT rk.pair, rk.mate, rk.read_pos, idx.node, idx.pos AS start FROM rk JOIN idx ON rk.kmer = idx.kmer)"""
 
 
 @query(f"""WITH {HITS}{ALIGNED} SELECT pair, mate::BIGINT AS mate, node, CASE mate WHEN 0 THEN length(fseq) ELSE length(rseq) END::BIGINT AS read_len, length(seq.seq)::BIGINT AS node_len,
 count(*) AS hits, min(start)::BIGINT AS node_pos, min(read_pos)::BIGINT AS read_pos FROM paf JOIN pairs USING (pair) JOIN seq USING (node) GROUP BY ALL""")
 def aligned_hits(spark, sf_dir):
-    """Hits from alignments of single windows; here each read's first 40 windows aligned by equality to the forward strand."""
+    """Hits from alignments of single windows; here every window of each read aligned by equality to the forward strand."""
     pairs, nodes = _pairs(spark, sf_dir), _seqs(spark, sf_dir)
-    reads = links.read_windows(pairs, K).filter("cast(substring_index(name, '_', -1) as int) < 40")
+    reads = links.read_windows(pairs, K)
     index = windows(nodes, "seq", K, ["node"])
     paf = reads.join(index, reads["seq"] == index["kmer"]).select(F.col("name").alias("query"), F.col("node").alias("target"), F.col("pos").alias("start"), F.lit(K).alias("matches"), F.lit(K).alias("block"))
     return _hit_columns(links.aligned_hits(paf, pairs, nodes, K))
@@ -289,8 +289,8 @@ def reindex_nodes(spark, sf_dir):
 
 
 ZIGZAG = """z AS (
-  SELECT p_partkey AS k, p_brand, row_number() OVER g - 1 AS r, count(*) OVER (PARTITION BY p_brand, p_type, p_partkey // 2000) AS n, lead(p_partkey) OVER g AS next,
-         first_value(p_partkey) OVER g AS head, p_brand LIKE '%1' AND count(*) OVER (PARTITION BY p_brand, p_type, p_partkey // 2000) > 1 AS ring FROM part WINDOW g AS (PARTITION BY p_brand, p_type, p_partkey // 2000 ORDER BY p_partkey)
+  SELECT p_partkey AS k, p_brand, row_number() OVER g - 1 AS r, count(*) OVER (PARTITION BY p_brand, p_type) AS n, lead(p_partkey) OVER g AS next,
+         first_value(p_partkey) OVER g AS head, p_brand LIKE '%1' AND count(*) OVER (PARTITION BY p_brand, p_type) > 1 AS ring FROM part WINDOW g AS (PARTITION BY p_brand, p_type ORDER BY p_partkey)
 ), edges AS (
   SELECT k AS a, k AS b, ring, p_brand, r, n FROM z UNION ALL SELECT k, next, ring, p_brand, r, n FROM z WHERE next IS NOT NULL
   UNION ALL SELECT k, head, ring, p_brand, r, n FROM z WHERE next IS NULL AND ring
@@ -301,11 +301,11 @@ ZIGZAG = """z AS (
 SELECT 's' || a AS src, 't' || b AS dst, NOT ring OR (a = b AND a IN (SELECT k FROM used)) AS assigned,
        NOT ring OR (a = b AND a IN (SELECT k FROM used)) OR NOT (a IN (SELECT k FROM used) OR b IN (SELECT k FROM used)) AS kept FROM edges""")
 def edge_cleaning(spark, sf_dir):
-    """Zigzags s1-t1, s1-t2, s2-t2, ... over the parts of a brand and type, 2000 keys at a time. From an end of an open one every edge becomes
+    """Zigzags s1-t1, s1-t2, s2-t2, ... over the parts of a brand and type. From an end of an open one every edge becomes
     assigned in turn; the zigzags of some brands are closed to rings, where none is, but for those that a path uses."""
-    g = Window.partitionBy("p_brand", "p_type", F.floor(F.col("p_partkey") / 2000)).orderBy("p_partkey")
+    g = Window.partitionBy("p_brand", "p_type").orderBy("p_partkey")
     z = read(spark, sf_dir, "part").select("p_brand", F.col("p_partkey").alias("k"), F.lead("p_partkey").over(g).alias("next"), F.first("p_partkey").over(g).alias("head"), F.row_number().over(g).alias("r"),
-                                           F.count("*").over(Window.partitionBy("p_brand", "p_type", F.floor(F.col("p_partkey") / 2000))).alias("n"))
+                                           F.count("*").over(Window.partitionBy("p_brand", "p_type")).alias("n"))
     edge = lambda rows, to: rows.select(F.concat(F.lit("s"), "k").alias("src"), F.concat(F.lit("t"), to).alias("dst"))
     ends = z.filter("next is null and p_brand like '%1' and n > 1")
     edges = edge(z, "k").union(edge(z.filter("next is not null"), "next")).union(edge(ends, "head"))
@@ -331,7 +331,20 @@ def reachability(spark, sf_dir):
     li, s = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "supplier")
     trade = c.join(o, c["c_custkey"] == o["o_custkey"]).join(li, li["l_orderkey"] == o["o_orderkey"]).join(s, s["s_suppkey"] == li["l_suppkey"])
     edges = Rounds(spark).put(trade.filter("c_nationkey < s_nationkey").select(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).distinct())
-    return graph.reachable(edges, edges.select(F.col("src").alias("id")).distinct())
+    return reach.reached_from(reach.reach_index(edges), edges.select(F.col("src").alias("id")))
+
+
+@query(f"""WITH RECURSIVE {PARTS}, ends AS (SELECT max(p_partkey)::VARCHAR AS src, min(p_partkey)::VARCHAR AS dst FROM part WHERE p_brand LIKE '%1' GROUP BY p_brand, p_type HAVING count(*) > 1),
+g AS (SELECT src, dst FROM edges UNION SELECT src, dst FROM ends), r AS (SELECT src AS source, dst AS id FROM g UNION SELECT source, dst FROM r JOIN g ON g.src = r.id),
+q AS (SELECT DISTINCT l_partkey::VARCHAR AS source, (l_partkey + 25 * l_linenumber)::VARCHAR AS id FROM lineitem WHERE l_partkey::VARCHAR IN (SELECT src FROM g UNION SELECT dst FROM g))
+SELECT q.source, q.id, r.id IS NOT NULL AS reached FROM q LEFT JOIN r ON r.source = q.source AND r.id = q.id""")
+def reachable_pairs(spark, sf_dir):
+    """Whether one part leads to another in the parts graph with rings, for pairs made of line items, from labels."""
+    _, edges = _rings(spark, sf_dir)
+    index = reach.reach_index(edges)
+    k = F.col("l_partkey")
+    pairs = read(spark, sf_dir, "lineitem").select(k.cast("string").alias("source"), (k + 25 * F.col("l_linenumber")).cast("string").alias("id")).distinct()
+    return reach.reaches(index, pairs.join(index.places.select(F.col("id").alias("source")), "source", "left_semi"))
 
 
 @query(f"WITH RECURSIVE {PARTS}, r AS (SELECT src AS old, dst AS new FROM edges UNION SELECT old, dst FROM r JOIN edges ON src = new) SELECT old, new FROM r WHERE new NOT IN (SELECT src FROM edges)")
@@ -434,36 +447,6 @@ def branch_support(spark, sf_dir):
     return paths.support(_paths(spark, sf_dir))
 
 
-BRANCH = f"""WITH {PARTS}, li2 AS (SELECT l_orderkey AS o, l_partkey::VARCHAR AS id FROM lineitem GROUP BY ALL),
-pe AS (SELECT least(a.id, b.id) AS a, greatest(a.id, b.id) AS b, count(*) AS cnt FROM li2 a JOIN li2 b ON a.o = b.o AND a.id < b.id GROUP BY ALL),
-u AS (SELECT i.src AS u, i.dst AS branch, o.dst AS w FROM edges i JOIN edges o ON i.dst = o.src)
-SELECT u.u, u.branch, u.w, coalesce(pe.cnt, 0) AS pe FROM u LEFT JOIN pe ON pe.a = least(u.u, u.w) AND pe.b = greatest(u.u, u.w)"""
-
-
-def _part_links(spark, sf_dir):
-    rows = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_partkey").cast("string").alias("id")).distinct()
-    return rows.withColumnRenamed("id", "a").join(rows.withColumnRenamed("id", "b"), "o").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("cnt"))
-
-
-@query(BRANCH)
-def branch_pairs(spark, sf_dir):
-    return graph.branch_pairs(_parts(spark, sf_dir)[1], _part_links(spark, sf_dir))
-
-
-@query(f"SELECT * FROM ({BRANCH}) WHERE pe > 0 OR u = w")
-def branch_links(spark, sf_dir):
-    return graph.branch_links(_parts(spark, sf_dir)[1], _part_links(spark, sf_dir))
-
-
-@query(f"SELECT * FROM ({BRANCH}) WHERE pe > 0 OR u = w OR branch::BIGINT % 5 = 0")
-def branch_links_with_contigs(spark, sf_dir):
-    """Contigs go through every fifth part."""
-    _, edges = _parts(spark, sf_dir)
-    through = edges.join(edges.select(F.col("src").alias("dst"), F.col("dst").alias("w")), "dst").filter("cast(dst as long) % 5 = 0")
-    contigs = through.select(F.col("dst").alias("name"), F.array("src", "dst", "w").alias("path"))
-    return graph.branch_links(edges, _part_links(spark, sf_dir), paths.support(contigs))
-
-
 @query(f"""WITH {GRAPH}, l AS (SELECT id, length(id) AS len FROM nodes), big AS (SELECT src, dst, 1 AS overlap FROM edges WHERE length(dst) > 1)
 SELECT o::VARCHAR AS name, (SELECT sum(len) FROM li x JOIN l ON l.id = x.id WHERE x.o = li.o)::BIGINT - coalesce((SELECT sum(overlap) FROM steps s JOIN big ON big.src = s.src AND big.dst = s.dst WHERE s.o = li.o), 0)::BIGINT AS length
 FROM li GROUP BY o""")
@@ -570,15 +553,21 @@ def _ring(spark, sf_dir):
     return r.put(nodes), r.put(edges)
 
 
-#: A graph for each part: sources a and b (with part of them a fork p, q before a), a branch c, targets d and e.
+#: A graph for each part: sources a and b (with some of them a fork p, q before a), a branch c, targets d and e (with some
+#: of them a fork r, s after d).
 CROSS = """k AS (SELECT p_partkey AS k, 20.0::DOUBLE + p_size AS da, 20.0::DOUBLE + (p_partkey * 7) % 50 AS db, (p_partkey % 3)::DOUBLE AS x, (p_partkey % 5)::DOUBLE AS y FROM part),
 nodes AS (SELECT 'a' || k AS id, da AS dp FROM k UNION ALL SELECT 'b' || k, db FROM k UNION ALL SELECT 'c' || k, da + db FROM k UNION ALL SELECT 'd' || k, da + x FROM k
-  UNION ALL SELECT 'e' || k, db + y FROM k UNION ALL SELECT 'p' || k, da / 4 FROM k UNION ALL SELECT 'q' || k, da / 2 FROM k),
+  UNION ALL SELECT 'e' || k, db + y FROM k UNION ALL SELECT 'p' || k, da / 4 FROM k UNION ALL SELECT 'q' || k, da / 2 FROM k UNION ALL SELECT 'r' || k, db / 4 FROM k UNION ALL SELECT 's' || k, db / 2 FROM k),
 edges AS (SELECT 'a' || k AS src, 'c' || k AS dst FROM k UNION ALL SELECT 'b' || k, 'c' || k FROM k UNION ALL SELECT 'c' || k, 'd' || k FROM k UNION ALL SELECT 'c' || k, 'e' || k FROM k
-  UNION ALL SELECT 'p' || k, 'a' || k FROM k WHERE k % 4 = 0 UNION ALL SELECT 'q' || k, 'a' || k FROM k WHERE k % 4 = 0)""" + FLOW + """,
+  UNION ALL SELECT 'p' || k, 'a' || k FROM k WHERE k % 4 = 0 UNION ALL SELECT 'q' || k, 'a' || k FROM k WHERE k % 4 = 0
+  UNION ALL SELECT 'd' || k, 'r' || k FROM k WHERE k % 4 < 2 UNION ALL SELECT 'd' || k, 's' || k FROM k WHERE k % 4 < 2)""" + FLOW + """,
 ways AS (SELECT i.src AS u, i.dst AS b, o.dst AS w, i.flow AS fi, o.flow AS fo, abs(i.flow - o.flow) AS d, substr(i.dst, 2)::BIGINT AS k FROM flow i JOIN flow o ON i.dst = o.src WHERE i.dst LIKE 'c%')"""
-SPLIT = """, fit AS (SELECT b FROM kept GROUP BY b HAVING count(*) = 2 AND count(DISTINCT u) = 2 AND count(DISTINCT w) = 2 AND max(d) <= 4)
-SELECT b AS old, b || '*' || (row_number() OVER (PARTITION BY b ORDER BY u, w) - 1) AS new, u, w, round((fi + fo) / 2, 6) AS dp FROM kept WHERE b IN (SELECT b FROM fit)"""
+FIT = """, fit AS (SELECT b FROM kept GROUP BY b HAVING count(*) = 2 AND count(DISTINCT u) = 2 AND count(DISTINCT w) = 2 AND max(d) <= 4)"""
+COPIES = """SELECT b AS old, b || '*' || (row_number() OVER (PARTITION BY b ORDER BY u, w) - 1) AS new, u, w, round((fi + fo) / 2, 6) AS dp FROM kept WHERE b IN (SELECT b FROM fit)"""
+SPLIT = f"{FIT}\n{COPIES}"
+STRAIGHT = "(k % 3 = 0 AND (u LIKE 'a%') = (w LIKE 'd%')) OR (k % 3 = 1 AND (u LIKE 'a%') = (w LIKE 'e%'))"
+CROSS_LINKS = """lk AS (SELECT 'a' || k AS a, 'd' || k AS b, 5 AS cnt FROM k WHERE k % 3 = 0 UNION ALL SELECT 'b' || k, 'e' || k, 3 FROM k WHERE k % 3 = 0
+  UNION ALL SELECT 'a' || k, 'e' || k, 2 FROM k WHERE k % 3 = 1 UNION ALL SELECT 'b' || k, 'd' || k, 2 FROM k WHERE k % 3 = 1)"""
 
 
 def _cross(spark, sf_dir):
@@ -587,13 +576,28 @@ def _cross(spark, sf_dir):
     node = lambda c, dp: F.struct(F.concat(F.lit(c), "s").alias("id"), dp.cast("double").alias("dp"))
     edge = lambda a, b: F.struct(F.concat(F.lit(a), "s").alias("src"), F.concat(F.lit(b), "s").alias("dst"))
     da, db = F.col("da"), F.col("db")
-    nodes = rows.select(F.inline(F.array(node("a", da), node("b", db), node("c", da + db), node("d", da + F.col("k") % 3), node("e", db + F.col("k") % 5), node("p", da / 4), node("q", da / 2))))
+    nodes = rows.select(F.inline(F.array(node("a", da), node("b", db), node("c", da + db), node("d", da + F.col("k") % 3), node("e", db + F.col("k") % 5), node("p", da / 4), node("q", da / 2), node("r", db / 4), node("s", db / 2))))
     both = F.array(edge("a", "c"), edge("b", "c"), edge("c", "d"), edge("c", "e"))
-    edges = rows.select(F.inline(F.when(F.col("k") % 4 == 0, F.concat(both, F.array(edge("p", "a"), edge("q", "a")))).otherwise(both)))
+    before, after = F.array(edge("p", "a"), edge("q", "a")), F.array(edge("d", "r"), edge("d", "s"))
+    edges = rows.select(F.inline(F.when(F.col("k") % 4 == 0, F.concat(both, before, after)).when(F.col("k") % 4 == 1, F.concat(both, after)).otherwise(both)))
     r = Rounds(spark)
     return rows, r.put(nodes), r.put(edges)
 
 
+def _cross_links(rows):
+    """Reads link straight pairs, crossed ones or none."""
+    link = lambda a, b, n: F.struct(F.concat(F.lit(a), "s").alias("a"), F.concat(F.lit(b), "s").alias("b"), F.lit(n).cast("long").alias("cnt"))
+    straight, crossed = F.array(link("a", "d", 5), link("b", "e", 3)), F.array(link("a", "e", 2), link("b", "d", 2))
+    return rows.filter("k % 3 < 2").select(F.inline(F.when(F.col("k") % 3 == 0, straight).otherwise(crossed)))
+
+
+def _contigs(rows, *ways):
+    """Contigs (name, path) along the letters of each way, for the parts that its condition holds for."""
+    one = lambda way, on: rows.filter(on).select(F.concat(F.lit(way), "s").alias("name"), F.array(*(F.concat(F.lit(c), "s") for c in way)).alias("path"))
+    out = [one(*w) for w in ways]
+    return out[0] if len(out) == 1 else out[0].unionByName(_contigs(rows, *ways[1:]))
+
+
 def _copies(nodes, edges, mapped):
     """(old, new, u, w, dp) of copies, with what leads to them and what they lead to."""
     new = mapped.join(nodes.select(F.col("id").alias("new"), "dp"), "new")
@@ -601,14 +605,59 @@ def _copies(nodes, edges, mapped):
     return new.select("old", "new", "u", "w", F.round("dp", 6).alias("dp"))
 
 
-@query(f"""WITH {CROSS}, kept AS (SELECT * FROM ways WHERE (k % 3 = 0 AND (u LIKE 'a%') = (w LIKE 'd%')) OR (k % 3 = 1 AND (u LIKE 'a%') = (w LIKE 'e%'))){SPLIT}""")
+@query(f"""WITH {CROSS}, kept AS (SELECT * FROM ways WHERE {STRAIGHT}){SPLIT}""")
 def nn_split_once(spark, sf_dir):
     """The first phase: reads link straight pairs, crossed ones or none; a branch splits if the pairs' flows are near."""
     rows, nodes, edges = _cross(spark, sf_dir)
-    link = lambda a, b, n: F.struct(F.concat(F.lit(a), "s").alias("a"), F.concat(F.lit(b), "s").alias("b"), F.lit(n).cast("long").alias("cnt"))
-    straight, crossed = F.array(link("a", "d", 5), link("b", "e", 3)), F.array(link("a", "e", 2), link("b", "d", 2))
-    pe = rows.filter("k % 3 < 2").select(F.inline(F.when(F.col("k") % 3 == 0, straight).otherwise(crossed)))
-    return _copies(*graph.split_balanced(nodes, edges, pe, 1.0))
+    return _copies(*graph.split_balanced(nodes, edges, _cross_links(rows), 1.0))
+
+
+@query(f"""WITH {CROSS}, kept AS (SELECT * FROM ways WHERE {STRAIGHT} OR ((k % 2 = 0 OR k % 3 = 2) AND u LIKE 'a%' AND w LIKE 'd%') OR (k % 3 = 2 AND u LIKE 'b%' AND w LIKE 'e%')){SPLIT}""")
+def nn_split_with_contigs(spark, sf_dir):
+    """Contigs beside links: they say the same, they stand against each other, or only one of them says anything."""
+    rows, nodes, edges = _cross(spark, sf_dir)
+    support = paths.support(_contigs(rows, ("acd", "k % 2 = 0 or k % 3 = 2"), ("bce", "k % 3 = 2")))
+    return _copies(*graph.split_balanced(nodes, edges, _cross_links(rows), 1.0, support))
+
+
+@query(f"""WITH {CROSS}, {CROSS_LINKS}, base AS (SELECT * FROM lk UNION ALL SELECT 'c' || k, 'd' || k, k % 7 + 1 FROM k UNION ALL SELECT 'a' || k, 'c' || k, 1 FROM k),
+kept AS (SELECT * FROM ways WHERE {STRAIGHT}){FIT}, cp AS ({COPIES}),
+parts AS (SELECT id, id AS part FROM nodes WHERE id NOT IN (SELECT old FROM cp) UNION ALL SELECT new, old FROM cp),
+bi AS (SELECT a, b, cnt FROM base UNION ALL SELECT b, a, cnt FROM base)
+SELECT x.id AS a, y.id AS b, sum(cnt)::BIGINT AS cnt FROM bi JOIN parts x ON x.part = a JOIN parts y ON y.part = b WHERE x.id < y.id GROUP BY 1, 2""")
+def links_of_split_nodes(spark, sf_dir):
+    """Links of a graph after branches were split: copies have those of the branch."""
+    rows, nodes, edges = _cross(spark, sf_dir)
+    pe = _cross_links(rows)
+    own = lambda a, b, n: rows.select(F.concat(F.lit(a), "s").alias("a"), F.concat(F.lit(b), "s").alias("b"), n.cast("long").alias("cnt"))
+    base = pe.unionByName(own("c", "d", F.col("k") % 7 + 1)).unionByName(own("a", "c", F.lit(1)))
+    _, _, mapped = graph.split_balanced(nodes, edges, pe, 1.0)
+    parts = provenance.follow(provenance.start(nodes), mapped, copies=True)
+    return provenance.links_of(base, parts)
+
+
+BRANCH = f"""WITH {CROSS}, {CROSS_LINKS}, u AS (SELECT i.src AS u, i.dst AS branch, o.dst AS w, substr(i.dst, 2)::BIGINT AS k FROM edges i JOIN edges o ON i.dst = o.src),
+x AS (SELECT u.u, u.branch, u.w, coalesce(lk.cnt, 0)::BIGINT AS pe, k FROM u LEFT JOIN lk ON lk.a = least(u.u, u.w) AND lk.b = greatest(u.u, u.w))
+SELECT u, branch, w, pe FROM x"""
+
+
+@query(BRANCH)
+def branch_pairs(spark, sf_dir):
+    rows, _, edges = _cross(spark, sf_dir)
+    return graph.branch_pairs(edges, _cross_links(rows))
+
+
+@query(f"{BRANCH} WHERE pe > 0")
+def branch_links(spark, sf_dir):
+    rows, _, edges = _cross(spark, sf_dir)
+    return graph.branch_links(edges, _cross_links(rows))
+
+
+@query(f"{BRANCH} WHERE pe > 0 OR (u LIKE 'p%' AND k % 8 = 0) OR (u LIKE 'a%' AND w LIKE 'e%' AND k % 5 = 0)")
+def branch_links_with_contigs(spark, sf_dir):
+    """Contigs go through some forks, and through some branches another way than the links."""
+    rows, _, edges = _cross(spark, sf_dir)
+    return graph.branch_links(edges, _cross_links(rows), paths.support(_contigs(rows, ("pac", "k % 8 = 0"), ("ace", "k % 5 = 0"))))
 
 
 @query(f"""WITH {CROSS}, r AS (SELECT *, row_number() OVER u AS ku, lead(d) OVER u AS nu, row_number() OVER w AS kw, lead(d) OVER w AS nw FROM ways
@@ -621,9 +670,10 @@ def nn_split_by_coverage(spark, sf_dir):
     return _copies(*graph.split_balanced(nodes, edges, none, 1.0, by_coverage=True))
 
 
-@query(f"""WITH {CROSS} SELECT dst AS old, dst || '*' || CASE WHEN src LIKE 'p%' THEN 'A' ELSE 'B' END AS new, src AS u, 'c' || substr(dst, 2) AS w, round(flow, 6) AS dp FROM flow WHERE src LIKE 'p%' OR src LIKE 'q%'""")
+@query(f"""WITH {CROSS} SELECT dst AS old, dst || '*' || CASE WHEN src LIKE 'p%' THEN 'A' ELSE 'B' END AS new, src AS u, 'c' || substr(dst, 2) AS w, round(flow, 6) AS dp FROM flow WHERE src LIKE 'p%' OR src LIKE 'q%'
+UNION ALL SELECT src, src || '*' || CASE WHEN dst LIKE 'r%' THEN 'A' ELSE 'B' END, 'c' || substr(src, 2), dst, round(flow, 6) FROM flow WHERE dst LIKE 'r%' OR dst LIKE 's%'""")
 def trivial_split_once(spark, sf_dir):
-    """Sources of a branch with two ways in and one out."""
+    """Sources of a branch with two ways in and one out, and targets with one way in and two out."""
     _, nodes, edges = _cross(spark, sf_dir)
     return _copies(*graph.split_forks(nodes, edges))
 
@@ -664,9 +714,44 @@ SELECT src, dst FROM g WHERE src IN (SELECT id FROM c UNION SELECT dst FROM r WH
   AND dst IN (SELECT id FROM c UNION SELECT src FROM r WHERE dst IN (SELECT id FROM c))""")
 def cyclic_core(spark, sf_dir):
     """Edges of the parts graph that lie on or between cycles; the chains of some brands are closed to rings."""
-    _, edges = _parts(spark, sf_dir)
+    return graph.cyclic_core(_rings(spark, sf_dir)[1])
+
+
+def _rings(spark, sf_dir):
+    """The parts graph with the chains of some brands closed to rings."""
+    nodes, edges = _parts(spark, sf_dir)
     ends = read(spark, sf_dir, "part").filter("p_brand like '%1'").groupBy("p_brand", "p_type").agg(F.max("p_partkey").cast("string").alias("src"), F.min("p_partkey").cast("string").alias("dst"))
-    return graph.cyclic_core(edges.unionByName(ends.filter("src <> dst").select("src", "dst")))
+    return nodes, edges.unionByName(ends.filter("src <> dst").select("src", "dst"))
+
+
+@query("""WITH p AS (
+  SELECT p_partkey::VARCHAR AS id, p_size::DOUBLE AS dp, p_brand, count(*) OVER t AS n, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_size DESC, p_partkey::VARCHAR) AS best,
+         coalesce(lag(p_partkey) OVER g, last_value(p_partkey) OVER t) AS prev, coalesce(lead(p_partkey) OVER g, first_value(p_partkey) OVER t) AS next
+  FROM part WINDOW g AS (PARTITION BY p_brand, p_type ORDER BY p_partkey), t AS (PARTITION BY p_brand, p_type ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
+), c AS (SELECT p.id, prev::VARCHAR AS prev, next::VARCHAR AS next, a.p_size < b.p_size AS into_it FROM p JOIN part a ON a.p_partkey = prev JOIN part b ON b.p_partkey = next WHERE p_brand LIKE '%1' AND n > 1 AND best = 1)
+SELECT CASE WHEN into_it THEN prev ELSE id END AS src, CASE WHEN into_it THEN id ELSE next END AS dst FROM c""".replace("WHERE p_brand LIKE", "WHERE p.p_brand LIKE"))
+def cycle_breaking(spark, sf_dir):
+    """Edges taken away from rings: the weaker one at the best covered part."""
+    return cycles.break_cycles(*_rings(spark, sf_dir))[1]
+
+
+@query(f"""WITH RECURSIVE {PARTS}, o AS (SELECT p_partkey::VARCHAR AS id, p_brand, p_type, row_number() OVER w AS r FROM part WINDOW w AS (PARTITION BY p_brand, p_type ORDER BY p_partkey)),
+ends AS (SELECT max(p_partkey)::VARCHAR AS src, min(p_partkey)::VARCHAR AS dst FROM part WHERE p_brand LIKE '%1' GROUP BY p_brand, p_type HAVING count(*) > 1),
+g AS (SELECT src, dst FROM edges UNION SELECT src, dst FROM ends
+  UNION SELECT a.id, b.id FROM o a JOIN o b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.r % 4 = 3 AND b.r = a.r - 2 WHERE a.p_brand LIKE '%2' OR a.p_brand LIKE '%3'
+  UNION SELECT a.id, b.id FROM o a JOIN o b ON a.p_type = b.p_type AND a.r = 2 AND b.r = 2 AND a.p_brand LIKE '%1' AND b.p_brand = left(a.p_brand, length(a.p_brand) - 1) || '2'),
+r AS (SELECT src, dst FROM g UNION SELECT r.src, g.dst FROM r JOIN g ON g.src = r.dst)
+SELECT a.src AS id, min(a.dst) AS scc FROM r a JOIN r b ON b.src = a.dst AND b.dst = a.src GROUP BY a.src""")
+def strong_components(spark, sf_dir):
+    """Rings, chains with ways back two parts, and ways from rings to chains."""
+    _, edges = _rings(spark, sf_dir)
+    w = Window.partitionBy("p_brand", "p_type").orderBy("p_partkey")
+    o = Rounds(spark).put(read(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("id"), "p_brand", "p_type", F.row_number().over(w).alias("r")))
+    to = o.select(F.col("id").alias("dst"), F.col("p_brand").alias("brand"), "p_type", F.col("r").alias("rr"))
+    back = o.filter("r % 4 = 3 and (p_brand like '%2' or p_brand like '%3')").join(to, "p_type").filter("brand = p_brand and rr = r - 2")
+    over = o.filter("r = 2 and p_brand like '%1'").join(to.filter("rr = 2"), "p_type").filter("brand = concat(left(p_brand, length(p_brand) - 1), '2')")
+    more = back.unionByName(over).select(F.col("id").alias("src"), "dst")
+    return cycles.strongly_connected(edges.unionByName(more))
 
 
 @query(f"""WITH {ORDERED}, x AS (SELECT a.o, a.id AS u, b.id AS branch, c.id AS w FROM li a JOIN li b ON b.o = a.o AND b.pos = a.pos + 1 JOIN li c ON c.o = a.o AND c.pos = a.pos + 2)
@@ -682,3 +767,24 @@ def contig_join_nodes(spark, sf_dir):
     whole = _graph(spark, sf_dir)[0].filter("cast(id as long) % 3 = 0").select(F.col("id").alias("old"), F.lit("m").alias("new"))
     out = paths.joined(_paths(spark, sf_dir).withColumn("cov", F.lit(1.0)), whole)
     return out.select("name", F.array_join("path", ",").alias("path"))
+
+
+@query("""WITH o AS (SELECT p_partkey::VARCHAR AS id, p_brand, p_type, row_number() OVER w AS r, count(*) OVER (PARTITION BY p_brand, p_type) AS n FROM part WINDOW w AS (PARTITION BY p_brand, p_type ORDER BY p_partkey)),
+w AS (SELECT DISTINCT p_brand, p_type, (r - 1) // 5 AS j, n FROM o WHERE n - (r - 1) // 5 * 5 >= 3 AND ((r - 1) // 5 + right(p_brand, 1)::INT) % 4 <> 3),
+i AS (SELECT *, p_brand || '/' || p_type || '/' || j AS name, j - row_number() OVER (PARTITION BY p_brand, p_type ORDER BY j) - CASE WHEN p_brand LIKE '%5' AND j > 0 AND n >= 7 THEN 1000 ELSE 0 END AS g FROM w),
+c AS (SELECT p_brand, p_type, g, string_agg(name, '&' ORDER BY j) AS name, min(j) * 5 + 1 AS low, max(j) * 5 + 7 AS high FROM i GROUP BY ALL)
+SELECT name, string_agg(id, ',' ORDER BY r) AS path FROM c JOIN o ON o.p_brand = c.p_brand AND o.p_type = c.p_type AND r BETWEEN low AND high GROUP BY name, c.p_brand, c.p_type, g
+UNION ALL SELECT 'x' || a.id, a.id || ',' || b.id || ',x' || a.id FROM o a JOIN o b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.r = 6 AND b.r = 7 WHERE a.p_brand LIKE '%5'""")
+def overlapping_contigs(spark, sf_dir):
+    """Stretches of seven parts of a brand and type, each with two of the next; some are missing, and at some a second path
+    begins as the next one does."""
+    p = read(spark, sf_dir, "part")
+    w = Window.partitionBy("p_brand", "p_type").orderBy("p_partkey")
+    o = Rounds(spark).put(p.select(F.col("p_partkey").cast("string").alias("id"), "p_brand", "p_type", F.row_number().over(w).alias("r"), F.count("*").over(Window.partitionBy("p_brand", "p_type")).alias("n")))
+    j = F.floor((F.col("r") - 1) / 5)
+    rows = o.select("*", F.explode(F.when((j > 0) & (F.col("r") - j * 5 <= 2), F.array(j, j - 1)).otherwise(F.array(j))).alias("j"))
+    rows = rows.filter("n - j * 5 >= 3 and (j + cast(right(p_brand, 1) as int)) % 4 <> 3").groupBy("p_brand", "p_type", "j").agg(F.array_sort(F.collect_list(F.struct("r", "id"))).alias("x"), F.min("r").alias("ord"))
+    rows = rows.select(F.concat_ws("/", "p_brand", "p_type", F.col("j").cast("string")).alias("name"), "ord", F.transform("x", lambda q: q["id"]).alias("path"))
+    fork = o.filter("p_brand like '%5' and r in (6, 7)").groupBy("p_brand", "p_type").agg(F.min_by("id", "r").alias("a"), F.max_by("id", "r").alias("b"), F.count("*").alias("c")).filter("c = 2")
+    rows = rows.unionByName(fork.select(F.concat(F.lit("x"), "a").alias("name"), F.lit(6).alias("ord"), F.array("a", "b", F.concat(F.lit("x"), "a")).alias("path")))
+    return overlaps.overlap_joined(rows.withColumn("cov", F.lit(1.0))).select("name", F.array_join("path", ",").alias("path"))

@@ -27,8 +27,9 @@ def revcomp(seq: Column, strict: bool = False) -> Column:
     return F.when(seq.rlike("^[ACGT]*$"), out).otherwise(F.raise_error(F.concat(F.lit("not a sequence: "), seq))) if strict else out
 
 
-def windows(df: DataFrame, seq: str, k: int, keep: list[str]) -> DataFrame:
-    """Every window of length k of column seq, as (keep..., pos, kmer); shorter or null sequences have none."""
+def windows(df: DataFrame, seq: str, k: int, keep: list[str], counted: bool = False) -> DataFrame:
+    """Every window of length k of column seq, as (keep..., pos, kmer); shorter or null sequences have none. If counted, equal
+    windows of a sequence are one row with its first pos and n, how many they are (of each WINDOWS of a long sequence)."""
     ship(df.sparkSession)
     rows = df.select(*keep, seq)
 
@@ -46,8 +47,36 @@ def windows(df: DataFrame, seq: str, k: int, keep: list[str]) -> DataFrame:
         pos = np.concatenate([np.arange(first, first + n, dtype=np.int32) for _, first, n in at])
         return batch(b, row, pos, pa.concat_arrays(out))
 
+    def each_once(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        row, pos, n, kmers, held = [], [], [], [], 0
+        for i, s in enumerate(b.column(len(keep)).to_pylist()):
+            for first in range(0, max(0, len(s or "") - k + 1), WINDOWS):
+                part = s[first : first + WINDOWS + k - 1]
+                if part.isascii():
+                    data = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(np.frombuffer(part.encode(), np.uint8), k)).view(f"S{k}").ravel()
+                else:
+                    data = np.array([part[j : j + k] for j in range(len(part) - k + 1)])
+                found, at, times = np.unique(data, return_index=True, return_counts=True)
+                row.append(np.full(len(found), i))
+                pos.append(at + first)
+                n.append(times)
+                kmers.append(pa.array(found.tolist(), pa.binary()).cast(pa.string()) if part.isascii() else pa.array(found.tolist(), pa.string()))
+                held += len(found)
+                if held >= WINDOWS:
+                    yield counts_of(b, row, pos, n, kmers)
+                    row, pos, n, kmers, held = [], [], [], [], 0
+        if row:
+            yield counts_of(b, row, pos, n, kmers)
+
+    def counts_of(b: pa.RecordBatch, row: list, pos: list, n: list, kmers: list) -> pa.RecordBatch:
+        out = batch(b, np.concatenate(row), np.concatenate(pos).astype(np.int32), pa.concat_arrays(kmers))
+        return pa.RecordBatch.from_arrays([*out.columns, pa.array(np.concatenate(n).astype(np.int64))], names=[*out.schema.names, "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            if counted:
+                yield from each_once(b)
+                continue
             at, out, held = [], [], 0
             for i, s in enumerate(b.column(len(keep)).to_pylist()):
                 for first in range(0, max(0, len(s or "") - k + 1), WINDOWS):  # a long sequence comes in parts
@@ -62,7 +91,8 @@ def windows(df: DataFrame, seq: str, k: int, keep: list[str]) -> DataFrame:
             if out:
                 yield flush(b, at, out)
 
-    return rows.mapInArrow(run, rows.select(*keep, F.lit(0).alias("pos"), F.lit("").alias("kmer")).schema)
+    n = [F.lit(0).cast("long").alias("n")] if counted else []
+    return rows.mapInArrow(run, rows.select(*keep, F.lit(0).alias("pos"), F.lit("").alias("kmer"), *n).schema)
 
 
 def base_ids(node_id: Column) -> Column:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.operators import paths
+from skein.operators import paths, provenance
 from skein.operators.rounds import Rounds
 from skein.session import ship
 
@@ -45,9 +45,51 @@ def bubble_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return degrees(nodes, edges).filter("n_in = 1 and n_out = 1").select("id")
 
 
+#: Values that the last step of ranked() orders.
+HELD = 4096
+#: Accuracy of the summaries by which ranked() chooses its ranges.
+ACCURACY = 10_000
+
+
+def ranked(values: DataFrame, column: str, rank: int) -> float | None:
+    """The value of that rank, from 0, of a column's values that aren't null; null values have none. Exact, without all
+    values ever being in one place: two values near the rank are taken from a summary of bounded size, values below, at
+    and between them are counted, and the range that holds the rank is looked at again, until HELD values are left. Each
+    pass leaves about one in ACCURACY / 4, whatever the values are; the driver sees counts only."""
+    v, inside = F.col("v"), None
+    left = values.select(F.col(column).cast("double").alias("v")).filter(v.isNotNull())
+    while True:
+        inside = left.count() if inside is None else inside
+        if not 0 <= rank < inside:
+            return None
+        if inside <= HELD:
+            return left.orderBy("v").offset(rank).first()["v"]
+        near = [max(0.0, rank / inside - 2 / ACCURACY), min(1.0, rank / inside + 2 / ACCURACY)]
+        a, b = left.agg(F.percentile_approx("v", near, ACCURACY)).first()[0]
+        under, at_a, between_, at_b = left.agg(F.count_if(v < a), F.count_if(v == a), F.count_if((v > a) & (v < b)), F.count_if((v == b) & (v > a))).first()
+        over = inside - under - at_a - between_ - at_b
+        for n, found in ((under, v < a), (at_a, a), (between_, (v > a) & (v < b)), (at_b, b), (over, v > b)):
+            if rank < n:
+                break
+            rank -= n
+        if not isinstance(found, Column):
+            return found
+        left, inside = left.filter(found), n
+
+
+def median(values: DataFrame, column: str) -> float | None:
+    """The exact median, see ranked; of an even number of values the mean of the middle two. Null without values."""
+    n = values.filter(F.col(column).isNotNull()).count()
+    low = ranked(values, column, (n - 1) // 2)
+    if low is None or n % 2:
+        return low
+    up = values.agg(F.count_if(F.col(column) <= low).alias("n"), F.min(F.when(F.col(column) > low, F.col(column))).alias("next")).first()
+    return low if up["n"] > n // 2 else (low + up["next"]) / 2
+
+
 def histogram(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Bins of width 0.05 medians over the coverage range: (bin, n), and one row (low, high, median, bins)."""
-    stats = nodes.agg(F.min("dp").alias("low"), F.max("dp").alias("high"), F.median("dp").alias("median"))
+    stats = nodes.agg(F.min("dp").alias("low"), F.max("dp").alias("high"), F.lit(median(nodes, "dp")).cast("double").alias("median"))
     stats = stats.withColumn("bins", F.floor((F.col("high") - F.col("low")) / (0.05 * F.col("median"))).cast("long"))
     width = (F.col("high") - F.col("low")) / F.col("bins")
     rows = nodes.join(F.broadcast(stats.filter("bins > 0"))).select(F.least(F.floor((F.col("dp") - F.col("low")) / width), F.col("bins") - 1).alias("bin"))
@@ -110,25 +152,71 @@ def reindex(nodes: DataFrame, order: Column) -> DataFrame:
     return rows.join(F.broadcast(ahead), "_p").select("id", place.cast("string").alias("new_id"))
 
 
+def _contracted(links: DataFrame, rounds: Rounds) -> tuple[DataFrame, DataFrame]:
+    """Chains of links (id, u, v) of an undirected graph as one link each, and (id, new) of those that are part of one; a
+    chain runs through ends of exactly two links. Links of plain rings, which have no end to start from, are left out.
+
+    A link has two darts, 2 id towards v and 2 id + 1 towards u. Where two links meet, the dart that arrives by one goes on
+    as the dart that leaves by the other; last_of follows them to where they stop, so a chain of n links takes log2(n)
+    joins, and both its ends are known at each of its links.
+    """
+    darts = links.select((F.col("id") * 2).alias("d"), F.col("v").alias("at")).unionAll(links.select(F.col("id") * 2 + 1, F.col("u")))
+    meet = darts.groupBy("at").agg(F.count("*").alias("c"), F.min("d").alias("x"), F.max("d").alias("y")).filter("c = 2 and shiftright(x, 1) <> shiftright(y, 1)")
+    turned = lambda c: F.col(c).bitwiseXOR(F.lit(1).cast("long"))
+    on = rounds.put(meet.select(F.col("x").alias("src"), turned("y").alias("dst")).unionAll(meet.select("y", turned("x"))))
+    stop = rounds.put(last_of(on))
+    end = lambda d, name: stop.select(F.col("old").alias(d), F.col("new").alias(name))
+    rows = links.select("id", (F.col("id") * 2).alias("f"), (F.col("id") * 2 + 1).alias("g")).join(end("f", "ff"), "f", "left").join(end("g", "gg"), "g", "left")
+    moving = on.select(F.shiftright("src", 1).alias("id")).distinct()
+    stopped = stop.select(F.shiftright("old", 1).alias("id")).distinct()
+    rows = rows.join(moving.join(stopped, "id", "left_anti"), "id", "left_anti")  # rings
+    rows = rows.select("id", F.coalesce("ff", "f").alias("f"), F.coalesce("gg", "g").alias("g"))
+    rows = rounds.put(rows.withColumn("new", F.least(F.shiftright("f", 1), F.shiftright("g", 1))))
+    ends = rows.filter("id = new").select("id", "f", "g")
+    ends = ends.join(darts.select(F.col("d").alias("f"), F.col("at").alias("u")), "f").join(darts.select(F.col("d").alias("g"), F.col("at").alias("v")), "g")
+    return rounds.put(ends.select("id", "u", "v")), rows.select("id", "new")
+
+
+def peeled(links: DataFrame) -> DataFrame:
+    """(id) of the links (id long, u, v) of an undirected graph that go if links with an end of their own are taken away
+    again and again; what is left are rings and what joins them.
+
+    Chains become one link and links with a free end go, in turn. After the first, no end has exactly two links, so at
+    least half of the ends of a tree are free: a graph of n links takes at most some log2(n) rounds, each a few joins of
+    what is left, and a path of any length goes in the first.
+    """
+    rounds = Rounds(links.sparkSession)
+    left = rounds.put(links.select("id", "u", "v"))
+    inside = left.select("id", F.col("id").alias("now"))  # what each link is part of now
+    gone = None
+    while True:
+        left, parts = _contracted(left, rounds)
+        inside = rounds.put(inside.join(parts.select(F.col("id").alias("now"), "new"), "now").select("id", F.col("new").alias("now")))
+        ends = left.select(F.col("u").alias("at")).unionAll(left.select("v"))
+        free = ends.groupBy("at").agg(F.count("*").alias("c")).filter("c = 1").select("at")
+        loose = left.join(free.withColumnRenamed("at", "u"), "u", "left_semi").select("id").union(left.join(free.withColumnRenamed("at", "v"), "v", "left_semi").select("id"))
+        loose = rounds.put(loose.distinct())
+        if loose.isEmpty():
+            return links.select("id").limit(0) if gone is None else gone
+        now = rounds.put(inside.join(loose.withColumnRenamed("id", "now"), "now", "left_semi").select("id"))
+        gone = now if gone is None else gone.unionAll(now)
+        left = rounds.put(left.join(loose, "id", "left_anti"))
+        inside = rounds.put(inside.join(loose.withColumnRenamed("id", "now"), "now", "left_anti").select("id", "now"))
+
+
 def clean_edges(edges: DataFrame, on_paths: DataFrame | None = None) -> DataFrame:
     """(src, dst, assigned, kept). An edge is assigned if it is the only unassigned one into its target or out of its
     source, to a fixpoint, or if a path uses it (on_paths: src, dst); an unassigned edge that shares its source or target
-    with an assigned one is not kept."""
+    with an assigned one is not kept. Sources and targets are told apart, so a node may be both; see peeled for the rounds."""
     rounds = Rounds(edges.sparkSession)
-    rows = rounds.put(edges.select("src", "dst", F.lit(False).alias("assigned")))
-    n = -1
-    while True:
-        open_ = rows.filter("not assigned")
-        one = open_.groupBy("src").agg(F.count("*").alias("c"), F.first("dst").alias("dst")).filter("c = 1").select("src", "dst")
-        one = one.union(open_.groupBy("dst").agg(F.count("*").alias("c"), F.first("src").alias("src")).filter("c = 1").select("src", "dst")).distinct()
-        rows = rows.join(one.withColumn("hit", F.lit(True)), ["src", "dst"], "left").select("src", "dst", (F.col("assigned") | F.coalesce("hit", F.lit(False))).alias("assigned"))
-        rows, now = rounds.counted(rows, F.count_if("assigned"))
-        if now == n:
-            break
-        n = now
+    rows = rounds.put(edges.select("src", "dst").withColumn("id", F.monotonically_increasing_id()))
+    side = lambda name, c: F.concat(F.lit(name), F.col(c).cast("string"))
+    found = peeled(rows.select("id", side("s", "src").alias("u"), side("t", "dst").alias("v")))
+    rows = rows.join(found.withColumn("hit", F.lit(True)), "id", "left").select("src", "dst", F.coalesce("hit", F.lit(False)).alias("assigned"))
     if on_paths is not None:
         used = on_paths.select("src", "dst").distinct().withColumn("hit", F.lit(True))
-        rows = rounds.put(rows.join(used, ["src", "dst"], "left").select("src", "dst", (F.col("assigned") | F.coalesce("hit", F.lit(False))).alias("assigned")))
+        rows = rows.join(used, ["src", "dst"], "left").select("src", "dst", (F.col("assigned") | F.coalesce("hit", F.lit(False))).alias("assigned"))
+    rows = rounds.put(rows)
     a = rows.filter("assigned")
     rows = rows.join(a.select("src").distinct().withColumn("s", F.lit(True)), "src", "left").join(a.select("dst").distinct().withColumn("t", F.lit(True)), "dst", "left")
     return rows.select("src", "dst", "assigned", (F.col("assigned") | (F.col("s").isNull() & F.col("t").isNull())).alias("kept"))
@@ -291,7 +379,7 @@ def statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row (nodes, edges, low, median, high, sources, sinks) of a graph."""
     deg = degrees(nodes, edges)
     ends = deg.agg(F.count_if(F.col("n_in") == 0).alias("sources"), F.count_if(F.col("n_out") == 0).alias("sinks"), F.sum("n_out").cast("long").alias("edges"))
-    cov = nodes.agg(F.count("*").alias("nodes"), F.min("dp").alias("low"), F.median("dp").alias("median"), F.max("dp").alias("high"))
+    cov = nodes.agg(F.count("*").alias("nodes"), F.min("dp").alias("low"), F.lit(median(nodes, "dp")).cast("double").alias("median"), F.max("dp").alias("high"))
     return cov.join(ends).select("nodes", "edges", "low", "median", "high", "sources", "sinks")  # two tables of one row
 
 
@@ -433,16 +521,26 @@ def raise_branches(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def disentangle(
     nodes: DataFrame, edges: DataFrame, links: DataFrame, delta: float, contigs: DataFrame | None = None, most: int | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
-    """Nodes, edges, links and contigs (name, ord, path, cov) after branches are split and chains contracted until a pass
+    """disentangled() without the table of parts; the links are those between nodes now, what was copied having none."""
+    nodes, edges, parts, contigs = disentangled(nodes, edges, links, delta, contigs, most)
+    return nodes, edges, provenance.links_of(links, parts, copies=False), contigs
+
+
+def disentangled(
+    nodes: DataFrame, edges: DataFrame, links: DataFrame, delta: float, contigs: DataFrame | None = None, most: int | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
+    """Nodes, edges, parts and contigs (name, ord, path, cov) after branches are split and chains contracted until a pass
     splits nothing: first by links and contigs, then by coverage. Forks are tried once after each dry pass. On a graph
     that never settles, as forks in cycles may not, more passes than `most` (without it, than nodes) are an error.
 
-    Contraction joins ids by & and sums the links of its parts; copies start without links, as reads can't tell which one
-    they belong to. Contigs follow: a node at an end that was split gives a contig for each copy.
+    parts (id, part, copied) says which of the given nodes a node is made of, see provenance; links (a, b, cnt) are never
+    rewritten. Contraction joins ids by & and sums the links of its parts; copies start without links here, as reads can't
+    tell which one they belong to. Contigs follow: a node at an end that was split gives a contig for each copy.
     """
     rounds = Rounds(nodes.sparkSession)
     nodes, edges = rounds.put(nodes.select("id", "dp")), rounds.put(edges.select("src", "dst"))
     links = rounds.put(links.select("a", "b", "cnt"))
+    parts = rounds.put(provenance.start(nodes))
     if contigs is not None:
         contigs = rounds.put(contigs.select("name", "ord", "path", "cov"))
     most = max(100, nodes.count()) if most is None else most
@@ -454,7 +552,8 @@ def disentangle(
             if passes > most:
                 raise RuntimeError(f"not disentangled after {most} passes")
             support = None if contigs is None else paths.triples(contigs)
-            new, left, mapped = split_balanced(nodes, edges, links, delta, support, by_coverage)
+            known = rounds.put(provenance.links_of(links, parts, copies=False))
+            new, left, mapped = split_balanced(nodes, edges, known, delta, support, by_coverage)
             dry = mapped.isEmpty()
             if dry and spent:
                 break
@@ -468,10 +567,8 @@ def disentangle(
                 contigs = paths.remap(contigs, mapped, left, copies=not dry) if not mapped.isEmpty() else contigs
                 contigs = rounds.put(paths.joined(contigs, whole))
                 contigs = rounds.put(paths.deduplicated(contigs))
-            live = new.select("id").join(whole.withColumnRenamed("old", "id"), "id", "left").select("id", F.coalesce("new", "id").alias("now"))
-            x, y = live.select(F.col("id").alias("a"), F.col("now").alias("p")), live.select(F.col("id").alias("b"), F.col("now").alias("q"))
-            links = rounds.put(links.join(x, "a").join(y, "b").filter("p <> q").groupBy(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).agg(F.sum("cnt").alias("cnt")))
-    return nodes, edges, links, contigs
+            parts = rounds.put(provenance.follow(provenance.follow(parts, mapped, copies=True), whole, copies=False))
+    return nodes, edges, parts, contigs
 
 
 def global_ends(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.sequence import revcomp, windows
+from skein.operators.rounds import Rounds
 
 
 def kmer_index(nodes: DataFrame, k: int) -> DataFrame:
@@ -87,16 +88,57 @@ def node_links(links: DataFrame, parts: DataFrame) -> DataFrame:
     return rows.groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("cnt").alias("cnt"))
 
 
+#: A k-mer is hot if it has at least one in HOT_SHARE of all rows of a side; so at most HOT_SHARE k-mers of a side are.
+HOT_SHARE = 1000
+#: Pairs of which one is looked at to find the k-mers that are hot among reads.
+SAMPLE = 16
+#: Reads and nodes of a hot k-mer that meet in one task, about.
+CELL_READS, CELL_NODES = 10_000, 200
+
+
+def _hot_kmers(reads: DataFrame, index: DataFrame) -> DataFrame:
+    """(kmer, rows, cols): into how many parts a hot k-mer's reads and nodes are dealt. Reads are counted in a sample, so a
+    k-mer may be taken for hot or not when it is near the bound; its hits are the same either way."""
+    of = lambda rows, scale: rows.groupBy("kmer").agg((F.count("*") * scale).alias("c"))
+    seen, known = of(reads.join(index.select("kmer").distinct(), "kmer", "left_semi"), SAMPLE), of(index, 1)
+    hot = []
+    for side, least, name in ((seen, CELL_READS, "rows"), (known, CELL_NODES, "cols")):
+        total = side.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+        hot.append(side.filter((F.col("c") * HOT_SHARE >= total) & (F.col("c") > least)).select("kmer", F.ceil(F.col("c") / least).cast("int").alias(name)))
+    both = hot[0].join(hot[1], "kmer", "full_outer")
+    return both.select("kmer", F.coalesce("rows", F.lit(1)).alias("rows"), F.coalesce("cols", F.lit(1)).alias("cols"))
+
+
+def deal_hits(reads: DataFrame, index: DataFrame, hot: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the cell (r, c) in which they meet. A hot k-mer's reads are dealt into rows and its nodes into
+    columns of a table, and each row meets each column in a cell of its own; other k-mers have one cell."""
+    grid = F.broadcast(hot)  # 2 * HOT_SHARE k-mers at most
+    one = lambda df: df.withColumn("r", F.coalesce("rows", F.lit(1))).withColumn("c", F.coalesce("cols", F.lit(1))).drop("rows", "cols")
+    left, right = one(reads.join(grid, "kmer", "left")), one(index.join(grid, "kmer", "left"))
+    left = left.withColumn("r", F.pmod(F.xxhash64("pair", "mate"), F.col("r")).cast("int")).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
+    right = right.withColumn("c", F.pmod(F.xxhash64("node"), F.col("c")).cast("int")).withColumn("r", F.explode(F.sequence(F.lit(0), F.col("r") - 1)))
+    return left, right
+
+
 def hits(pairs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """(pair, mate, node): matches, first node offset, first read offset, and both lengths. The index side is broadcast
-    only if Spark's size check says so; a shuffle on k-mers is the other way."""
+    """(pair, mate, node): matches, first node offset, first read offset, and both lengths.
+
+    Equal windows of a read are one row with their number, and so are those of a node, so a read of one letter and a node
+    of one letter meet once and not once for each two windows. k-mers that very many reads or nodes have meet in cells, see
+    deal_hits, so no task gets all rows of a k-mer. Matches are summed by read and node before they are shuffled.
+    """
+    rounds = Rounds(pairs.sparkSession)
     reads = usable_pairs(pairs, k)
     reads = reads.select("pair", F.lit(0).alias("mate"), F.col("fseq").alias("seq")).unionAll(reads.select("pair", F.lit(1).alias("mate"), F.col("rseq").alias("seq")))
-    found = windows(reads.withColumn("read_len", F.length("seq")), "seq", k, ["pair", "mate", "read_len"]).withColumnRenamed("pos", "read_pos")
-    index = _both_strands(windows(nodes.withColumn("node_len", F.length("seq")), "seq", k, ["node", "node_len"]))
+    reads = reads.withColumn("read_len", F.length("seq"))
+    found = lambda rows: windows(rows, "seq", k, ["pair", "mate", "read_len"], counted=True).withColumnsRenamed({"pos": "read_pos", "n": "read_n"})
+    index = _both_strands(windows(nodes.withColumn("node_len", F.length("seq")), "seq", k, ["node", "node_len"], counted=True))
+    index = rounds.put(index.groupBy("kmer", "node", "node_len").agg(F.sum("n").alias("n"), F.min("pos").alias("pos")))
+    hot = rounds.put(_hot_kmers(found(reads.filter(F.pmod(F.xxhash64("pair"), F.lit(SAMPLE)) == 0)), index))
+    left, right = deal_hits(found(reads), index, hot)
     return (
-        found.join(index, "kmer").groupBy("pair", "mate", "node", "read_len", "node_len")
-        .agg(F.count("*").alias("hits"), F.min("pos").alias("node_pos"), F.min("read_pos").alias("read_pos"))
+        left.join(right, ["kmer", "r", "c"]).groupBy("pair", "mate", "node", "read_len", "node_len")
+        .agg(F.sum(F.col("read_n") * F.col("n")).alias("hits"), F.min("pos").alias("node_pos"), F.min("read_pos").alias("read_pos"))
     )
 
 

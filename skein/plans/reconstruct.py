@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions.sequence import base_ids
-from skein.operators import graph, links, paths, schemas
+from skein.operators import graph, links, paths, provenance, schemas
 from skein.operators.rounds import Rounds
 from skein.plans.strains import DELTA_SHARE, strains
 from skein.plans.strands import one_strand
@@ -14,7 +14,7 @@ from skein.sources import formats
 
 
 def _delta(nodes: DataFrame) -> float:
-    return DELTA_SHARE * (nodes.agg(F.median("dp")).first()[0] or 0.0)
+    return DELTA_SHARE * (graph.median(nodes, "dp") or 0.0)
 
 
 def assemble(nodes: DataFrame, edges: DataFrame, contigs: DataFrame, pairs: DataFrame, min_cov: float | None = None) -> DataFrame:
@@ -33,14 +33,15 @@ def assemble(nodes: DataFrame, edges: DataFrame, contigs: DataFrame, pairs: Data
     found = r.put(links.saturated(links.hits(pairs, live.select(F.col("id").alias("node"), "seq"), overlap + 1), overlap + 1))
     pe = r.put(links.fold(links.pair_links(found), links.mate_links(found)))
     clean = graph.clean_edges(between, paths.steps(known)).filter("kept").select("src", "dst")
-    n, e, pe, known = graph.disentangle(live, r.put(clean), pe, _delta(live), known)
+    n, e, parts, known = graph.disentangled(live, r.put(clean), pe, _delta(live), known)
     n = r.put(graph.raise_branches(n, e))
     base = n.select("id", F.explode(base_ids(F.col("id"))).alias("part")).join(nodes.select(F.col("id").alias("part"), F.length("seq").alias("l")), "part")
     size = base.groupBy("id").agg((F.sum("l") - overlap * (F.count("*") - 1)).alias("len"))
-    got = r.put(strains(n.join(size, "id"), e, known, pe, _delta(n), overlap))
-    got = got.select("name", "cov", F.array_distinct(F.flatten(F.transform("path", base_ids))).alias("path"))
-    got = r.put(got.withColumn("ord", F.xxhash64("name")))
-    got = r.put(paths.deduplicated(got))
+    # walks over branches go by links that tell copies apart, nodes that no contig led to by those of all their parts
+    near, all_ = r.put(provenance.links_of(pe, parts, copies=False)), r.put(provenance.links_of(pe, parts))
+    got = r.put(strains(n.join(size, "id"), e, known, near, _delta(n), overlap, all_))
+    got = got.select("name", "cov", F.array_distinct(F.flatten(F.transform("path", base_ids))).alias("path"), "nth")
+    got = r.put(paths.deduplicated(r.put(got.select("name", "cov", "path", F.col("nth").alias("ord")))))
     whole = r.put(paths.expand_repeats(got, paths.repeat_votes(got, contigs)))
     seq = paths.path_sequence(whole, nodes, edges)
     return whole.join(seq, "name").join(got.select("name", "cov"), "name").select("name", "path", "seq", F.length("seq").alias("len"), "cov")
@@ -51,8 +52,9 @@ def reconstruct(spark: SparkSession, gfa: str, contig_paths: str, forward: str,
     r = Rounds(spark)
     nodes, edges = one_strand(*formats.read_gfa(spark, gfa))
     nodes, edges = r.put(nodes), r.put(edges)
-    contigs = formats.read_paths(spark, contig_paths, nodes, edges, min_len, min_cov or 0.0)
-    found = r.put(assemble(nodes, edges, contigs, formats.read_fastq_pairs(spark, forward, reverse), min_cov))
+    cut = graph.coverage_threshold(nodes) if min_cov is None else min_cov  # contigs of one node are held against it, too
+    contigs = formats.read_paths(spark, contig_paths, nodes, edges, min_len, cut)
+    found = r.put(assemble(nodes, edges, contigs, formats.read_fastq_pairs(spark, forward, reverse), cut))
     if out:
         formats.write_fasta(found.select("name", "seq", "cov"), f"{out}/strain.fasta")
         formats.write_paths(found, f"{out}/strain.paths")

@@ -238,10 +238,10 @@ def moved_pairs(pairs, now, g):
     return out
 
 
-def extract_component(nodes, edges, contigs, links, lengths=None, delta=None, overlap=0):
+def extract_component(nodes, edges, contigs, links, lengths=None, delta=None, overlap=0, pristine=None):
     """Strains (name, path, cov) of one component. nodes: {id: dp}; edges: (src, dst) pairs; contigs: (name, path, cov) in
     order; links: {(u, w): count}. Longest contig first (ties: in order). With lengths ({id: length}), nodes over
-    FREE_LENGTH that no walk used are walked as well, along links only.
+    FREE_LENGTH that no walk used are walked as well, along links only: those of `pristine`, where it is given.
 
     Before each walk all forks are opened, and contigs and pairs follow. A walk's nodes lose its coverage. If the graph
     goes on at an end of the walk, the rest of the walk becomes a node beside that end, which later walks may go through;
@@ -251,7 +251,8 @@ def extract_component(nodes, edges, contigs, links, lengths=None, delta=None, ov
         return []
     delta = DELTA_SHARE * statistics.median(nodes.values()) if delta is None else delta
     g = Component(nodes, edges, lengths, overlap)
-    links = {**links, **{(w, u): n for (u, w), n in links.items()}}
+    both = lambda x: {**x, **{(w, u): n for (u, w), n in x.items()}}
+    links, free = both(links), both(links if pristine is None else pristine)
     contigs = [(name, list(path), cov) for name, path, cov in contigs if set(path) <= g.dp.keys()]
     pairs, found = supported_pairs(g, contigs, links), {}
 
@@ -300,7 +301,7 @@ def extract_component(nodes, edges, contigs, links, lengths=None, delta=None, ov
             g.drop(v)
     g.reflow()
     if lengths:
-        count = lambda u, w: sum(links.get((a, b), 0) for a in g.spells[u] for b in g.spells[w])
+        count = lambda u, w: sum(free.get((a, b), 0) for a in g.spells[u] for b in g.spells[w])
         linked = {(u, w): count(u, w) for x in g.branches() for u in g.back[x] for w in g.out[x]}
         around = link_pairs(g.out, g.back, linked)
         turned = {x: [(w, u) for u, w in p] for x, p in around.items()}
@@ -314,9 +315,10 @@ def extract_component(nodes, edges, contigs, links, lengths=None, delta=None, ov
     return [s for s in found.values() if s[2] > 2 * delta]
 
 
-def strains(nodes: DataFrame, edges: DataFrame, contigs: DataFrame, links: DataFrame, delta: float | None = None, overlap: int = 0) -> DataFrame:
-    """(name, path, cov) over all components. nodes (id, dp[, len]), edges (src, dst), contigs (name, ord, path, cov), links
-    (a, b, cnt). delta is 0.05 medians of a component's coverage unless given; neighbours overlap by so many letters."""
+def strains(nodes: DataFrame, edges: DataFrame, contigs: DataFrame, links: DataFrame, delta: float | None = None, overlap: int = 0, pristine: DataFrame | None = None) -> DataFrame:
+    """(name, path, cov, nth) over all components, nth counting those of a component in the order they are found. nodes (id,
+    dp[, len]), edges (src, dst), contigs (name, ord, path, cov), links (a, b, cnt); pristine are links for nodes that no contig led to, if others than those. delta is 0.05 medians of a
+    component's coverage unless given; neighbours overlap by so many letters."""
     ship(nodes.sparkSession)
     measured = "len" in nodes.columns
     comp = Rounds(nodes.sparkSession).put(weak_components(nodes, edges))
@@ -326,13 +328,18 @@ def strains(nodes: DataFrame, edges: DataFrame, contigs: DataFrame, links: DataF
     e = edges.join(comp, edges["src"] == comp["id"]).select("comp", F.lit(1), "src", "dst", F.lit(0.0), F.lit(0.0), none)
     c = contigs.join(comp, contigs["path"][0] == comp["id"]).select("comp", F.lit(2), "name", F.lpad(F.col("ord").cast("string"), 20, "0"), "cov", F.lit(0.0), "path")
     li = links.join(comp, links["a"] == comp["id"]).select("comp", F.lit(3), "a", "b", F.col("cnt").cast("double"), F.lit(0.0), none)
+    rows = n.unionAll(e).unionAll(c).unionAll(li)
+    with_free = pristine is not None
+    if with_free:
+        rows = rows.unionAll(pristine.join(comp, pristine["a"] == comp["id"]).select("comp", F.lit(4), "a", "b", F.col("cnt").cast("double"), F.lit(0.0), none))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         part = {k: g for k, g in pdf.groupby("kind")}
         get = lambda k: part.get(k, pdf.iloc[:0])
-        ns, es, cs, ls = get(0), get(1), get(2).sort_values(["b", "a"]), get(3)
+        ns, es, cs, ls, fs = get(0), get(1), get(2).sort_values(["b", "a"]), get(3), get(4)
         lengths = dict(zip(ns.a, ns.y)) if measured else None
-        found = extract_component(dict(zip(ns.a, ns.x)), list(zip(es.a, es.b)), [(a, list(p), x) for a, p, x in zip(cs.a, cs.path, cs.x)], dict(zip(zip(ls.a, ls.b), ls.x)), lengths, delta, overlap)
-        return pd.DataFrame([(n, p, float(x)) for n, p, x in found], columns=["name", "path", "cov"])
+        free = None if not with_free else dict(zip(zip(fs.a, fs.b), fs.x))
+        found = extract_component(dict(zip(ns.a, ns.x)), list(zip(es.a, es.b)), [(a, list(p), x) for a, p, x in zip(cs.a, cs.path, cs.x)], dict(zip(zip(ls.a, ls.b), ls.x)), lengths, delta, overlap, free)
+        return pd.DataFrame([(n, p, float(x), k) for k, (n, p, x) in enumerate(found)], columns=["name", "path", "cov", "nth"])
 
-    return n.unionAll(e).unionAll(c).unionAll(li).groupBy("comp").applyInPandas(run, "name string, path array<string>, cov double")
+    return rows.groupBy("comp").applyInPandas(run, "name string, path array<string>, cov double, nth long")
