@@ -229,19 +229,20 @@ def chains(edges: DataFrame) -> DataFrame:
     proper = edges.filter("src <> dst").select("src", "dst")
     outs = edges.groupBy("src").agg(F.count("*").alias("c")).filter("c = 1").select("src")
     ins = edges.groupBy("dst").agg(F.count("*").alias("c")).filter("c = 1").select("dst")
-    simple = rounds.put(proper.join(outs, "src", "left_semi").join(ins, "dst", "left_semi"))
-    heads = simple.select(F.col("src").alias("node")).join(simple.select(F.col("dst").alias("node")), "node", "left_anti")
-    back = simple.select(F.col("dst").alias("node"), F.col("src").alias("up"), F.lit(1).cast("long").alias("rank"))
-    back = rounds.put(back.unionByName(heads.select("node", F.col("node").alias("up"), F.lit(0).cast("long").alias("rank"))))
-    before = None
-    while True:
-        up = back.select(F.col("node").alias("up"), F.col("up").alias("top"), F.col("rank").alias("more"))
-        back = rounds.put(back.join(up, "up").select("node", F.col("top").alias("up"), (F.col("rank") + F.col("more")).alias("rank")))
-        settled = back.join(heads.select(F.col("node").alias("up")), "up", "left_semi").count()
-        if settled == before:
-            break
-        before = settled
-    return back.join(heads.select(F.col("node").alias("up")), "up", "left_semi").select("node", F.col("up").alias("head"), "rank")
+    simple = rounds.put(proper.join(outs.hint("merge"), "src", "left_semi").join(ins.hint("merge"), "dst", "left_semi"))
+    heads = rounds.put(simple.select(F.col("src").alias("node")).join(simple.select(F.col("dst").alias("node")).hint("merge"), "node", "left_anti"))
+    first = heads.select(F.col("node").alias("up"), F.lit(True).alias("found")).hint("merge")
+    back = simple.select(F.col("dst").alias("node"), F.col("src").alias("up")).join(first, "up", "left")
+    back = back.select("node", "up", F.lit(1).cast("long").alias("rank"), F.coalesce("found", F.lit(False)).alias("done"))
+    back = back.unionByName(heads.select("node", F.col("node").alias("up"), F.lit(0).cast("long").alias("rank"), F.lit(True).alias("done")))
+    seen, before = F.struct(F.count("*").alias("all"), F.count_if("done").alias("done")), None
+    back, n = rounds.counted(back, seen)
+    while n["done"] != before and n["done"] < n["all"]:
+        # both sides are as large as the chains: merged, as broadcasts would take them through the driver each round
+        up = back.select(F.col("node").alias("up"), F.col("up").alias("top"), F.col("rank").alias("more"), F.col("done").alias("there")).hint("merge")
+        before = n["done"]
+        back, n = rounds.counted(back.join(up, "up").select("node", F.col("top").alias("up"), (F.col("rank") + F.col("more")).alias("rank"), F.col("there").alias("done")), seen)
+    return back.filter("done").select("node", F.col("up").alias("head"), "rank")
 
 
 def contract(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -298,15 +299,13 @@ def last_of(edges: DataFrame) -> DataFrame:
     cycle have no end and no row. n rows and log2 of the longest way in joins."""
     rounds = Rounds(edges.sparkSession)
     now = rounds.put(edges.select(F.col("src").alias("old"), F.col("dst").alias("new")))
-    ends = rounds.put(now.select(F.col("new").alias("id")).distinct().join(now.select(F.col("old").alias("id")), "id", "left_anti"))
-    before = None
+    seen, before = F.struct(F.count("*").alias("all"), F.count_if("done").alias("done")), None
     while True:
-        on = now.select(F.col("old").alias("new"), F.col("new").alias("to"))
-        now = rounds.put(now.join(on, "new", "left").select("old", F.coalesce("to", "new").alias("new")))
-        there = now.join(ends.withColumnRenamed("id", "new"), "new", "left_semi").count()
-        if there == before:
-            return now.join(ends.withColumnRenamed("id", "new"), "new", "left_semi").select("old", "new")
-        before = there
+        on = now.select(F.col("old").alias("new"), F.col("new").alias("to")).hint("merge")
+        now, n = rounds.counted(now.join(on, "new", "left").select("old", F.coalesce("to", "new").alias("new"), F.col("to").isNull().alias("done")), seen)
+        if n["done"] in (before, n["all"]):
+            return now.filter("done").select("old", "new")
+        before, now = n["done"], now.select("old", "new")
 
 
 def top_neighbours(nodes: DataFrame, edges: DataFrame, most: int = 2) -> DataFrame:
@@ -579,17 +578,51 @@ def global_ends(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return first.unionByName(last)
 
 
+def shortened(edges: DataFrame, found: DataFrame) -> DataFrame:
+    """Edges (src, dst) once each chain (found, see chains) is one node, named by its head. A chain is entered at its head and
+    left at its tail only; if its tail leads to its head, the one node leads to itself."""
+    now = lambda c, *more: found.select(F.col("node").alias(c), F.col("head").alias(f"{c}_now"), *more).hint("merge")
+    left = edges.join(now("src"), "src", "left").join(now("dst", "rank"), "dst", "left")
+    inner = F.coalesce(F.col("src_now") == F.col("dst_now"), F.lit(False)) & (F.col("rank") > 0)
+    return left.filter(~inner).select(F.coalesce("src_now", "src").alias("src"), F.coalesce("dst_now", "dst").alias("dst")).distinct()
+
+
+def stands_for(inside: DataFrame | None, found: DataFrame) -> DataFrame:
+    """(id, node): which node of the shortened graph stands for each that is part of a chain, now or before (inside)."""
+    part = found.select(F.col("node").alias("id"), F.col("head").alias("node"))
+    if inside is None:
+        return part
+    moved = inside.join(part.select(F.col("id").alias("node"), F.col("node").alias("now")).hint("merge"), "node", "left").select("id", F.coalesce("now", "node").alias("node"))
+    return moved.unionByName(part.join(inside.select("id").hint("merge"), "id", "left_anti"))
+
+
+def trimmed(edges: DataFrame) -> DataFrame:
+    """Edges out of nodes that something leads to, into nodes that lead on."""
+    left = edges.join(edges.select(F.col("dst").alias("src")).hint("merge"), "src", "left_semi")
+    return left.join(edges.select(F.col("src").alias("dst")).hint("merge"), "dst", "left_semi").select("src", "dst")
+
+
 def cyclic_core(edges: DataFrame) -> DataFrame:
     """(src, dst): edges left when edges out of nodes that nothing leads to are taken away again and again, and likewise
-    from the other end; empty if and only if the graph has no cycle."""
+    from the other end; empty if and only if the graph has no cycle.
+
+    Chains become one node each before every round, so a chain of any length goes in one, and rounds grow with the branches
+    on the longest way to or from a cycle. A chain's own edges stay if its node has an edge left on both sides.
+    """
     rounds = Rounds(edges.sparkSession)
-    left, n = rounds.counted(edges.select("src", "dst").distinct(), F.count("*"))
-    before = -1
-    while n != before:
-        left = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+    whole, n = rounds.counted(edges.select("src", "dst").distinct(), F.count("*"))
+    left, inside, before = whole, None, -1
+    while n and n != before:
+        found = rounds.put(chains(left))
         before = n
-        left, n = rounds.counted(left.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), F.count("*"))
-    return left
+        inside = rounds.put(stands_for(inside, found))
+        left, n = rounds.counted(trimmed(rounds.put(shortened(left, found))), F.count("*"))
+    if inside is None:
+        return whole
+    now = lambda c: inside.select(F.col("id").alias(c), F.col("node").alias(f"{c}_now")).hint("merge")
+    rows = whole.join(now("src"), "src", "left").join(now("dst"), "dst", "left").select("src", "dst", F.coalesce("src_now", "src").alias("s"), F.coalesce("dst_now", "dst").alias("t"))
+    keep = left.union(left.select("src", "src")).distinct().toDF("s", "t").hint("merge")
+    return rows.join(keep, ["s", "t"], "left_semi").select("src", "dst")
 
 
 def is_acyclic(edges: DataFrame) -> bool:
