@@ -243,7 +243,8 @@ def extract_component(nodes, edges, contigs, links, lengths=None, delta=None, ov
     order; links: {(u, w): count}. Longest contig first (ties: in order). With lengths ({id: length}), nodes over
     FREE_LENGTH that no walk used are walked as well, along links only: those of `pristine`, where it is given.
 
-    Before each walk all forks are opened, and contigs and pairs follow. A walk's nodes lose its coverage. If the graph
+    Before each walk all forks are opened, and contigs and pairs follow; contigs that lead to no walk leave all as it is, so
+    the next in order has its turn without that. A walk's nodes lose its coverage. If the graph
     goes on at an end of the walk, the rest of the walk becomes a node beside that end, which later walks may go through;
     such a walk then takes the place of the strain that is part of it.
     """
@@ -261,14 +262,20 @@ def extract_component(nodes, edges, contigs, links, lengths=None, delta=None, ov
             found.pop(v, None)
         found[key] = name, [x for v in path for x in g.spells[v]], cov
 
+    turn, taken, same = [], set(), False  # contigs in order of length; those that had their turn; whether all is as it was
     for nth in range(len(contigs)):
-        if not contigs:
+        if not same:
+            contigs, taken = [c for i, c in enumerate(contigs) if i not in taken], set()
+            if not contigs:
+                break
+            now = g.fork()
+            contigs, pairs = moved_contigs(contigs, now, g), moved_pairs(pairs, now, g)
+            same = all(now.get(v) == {v} for v in g.dp)  # else forks are looked for again
+            turn = sorted(range(len(contigs)), key=lambda i: (g.length(contigs[i][1]) if set(contigs[i][1]) <= g.dp.keys() else -1, -i))
+        if not turn:
             break
-        now = g.fork()
-        contigs, pairs = moved_contigs(contigs, now, g), moved_pairs(pairs, now, g)
-        if not contigs:
-            break
-        name, path, cov = contigs.pop(max(range(len(contigs)), key=lambda i: (g.length(contigs[i][1]) if set(contigs[i][1]) <= g.dp.keys() else -1, -i)))
+        taken.add(turn[-1])
+        name, path, cov = contigs[turn.pop()]
         if not set(path) <= g.dp.keys() or all(g.used[v] for v in path):
             continue
         own = g.bubble_cov(path, cov)
@@ -291,7 +298,7 @@ def extract_component(nodes, edges, contigs, links, lengths=None, delta=None, ov
                     g.join(key, whole[-1], cov)
             g.reduce(inner, cov, delta)
         g.reflow()
-        contigs = [c for c in contigs if set(c[1]) <= g.dp.keys()]
+        contigs, taken, same = [c for i, c in enumerate(contigs) if i not in taken and set(c[1]) <= g.dp.keys()], set(), False
         pairs = {x: {(u, w) for u, w in p if u in g.dp and w in g.dp} for x, p in pairs.items() if x in g.dp}
 
     # of nodes that spell the same, the best covered one stays

@@ -6,6 +6,7 @@ import pytest
 
 from skein.operators import cycles, graph
 from skein.operators.rounds import Rounds
+from skein.plans import strains
 
 
 @pytest.fixture
@@ -50,3 +51,12 @@ def test_last_of_and_chains_with_rings_and_without_rows(spark):
     ring = edges_of(spark, [(0, 1), (1, 2), (2, 0), (7, 8), (8, 9)])
     assert sorted(map(tuple, graph.last_of(ring).collect())) == [("n7", "n9"), ("n8", "n9")]
     assert sorted(map(tuple, graph.chains(ring).collect())) == [("n7", "n7", 0), ("n8", "n7", 1), ("n9", "n7", 2)]
+
+
+def test_contigs_without_a_walk_of_their_own_leave_the_graph_alone(monkeypatch):
+    seen, fork = [], strains.Component.fork
+    monkeypatch.setattr(strains.Component, "fork", lambda self: (seen.append(1), fork(self))[1])
+    ids = [f"n{i}" for i in range(500)]
+    contigs = [(f"c{i}", [a, b], 20.0) for i, (a, b) in enumerate(zip(ids, ids[1:]))]
+    found = strains.extract_component(dict.fromkeys(ids, 30.0), list(zip(ids, ids[1:])), contigs, {})
+    assert found == [("c0", ids, 20.0)] and len(seen) < 5
