@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.operators.graph import chains
+from skein.operators.graph import chains, shortened, stands_for, trimmed
 from skein.operators.rounds import Rounds
 
 
@@ -13,61 +13,55 @@ def _rings(edges: DataFrame, in_chains: DataFrame, rounds: Rounds) -> DataFrame:
     """(id, scc) of the nodes of rings that nothing leads into or out of, by the smallest of each. A node looks twice as far
     ahead each round, so a ring of n nodes takes log2(n)."""
     one = lambda c: edges.groupBy(c).agg(F.count("*").alias("n")).filter("n = 1").select(c)
-    simple = edges.join(one("src"), "src", "left_semi").join(one("dst"), "dst", "left_semi").filter("src <> dst")
-    alone = simple.join(in_chains.select(F.col("node").alias("src")), "src", "left_anti")
+    simple = edges.join(one("src").hint("merge"), "src", "left_semi").join(one("dst").hint("merge"), "dst", "left_semi").filter("src <> dst")
+    alone = simple.join(in_chains.select(F.col("node").alias("src")).hint("merge"), "src", "left_anti")
     now = rounds.put(alone.select(F.col("src").alias("id"), F.col("dst").alias("on"), F.least("src", "dst").alias("scc")))
     changed = now.count()
     while changed:
-        ahead = now.select(F.col("id").alias("on"), F.col("on").alias("far"), F.col("scc").alias("there"))
+        ahead = now.select(F.col("id").alias("on"), F.col("on").alias("far"), F.col("scc").alias("there")).hint("merge")
         step = now.join(ahead, "on").select("id", F.col("far").alias("on"), F.least("scc", "there").alias("scc"), (F.col("there") < F.col("scc")).alias("less"))
         now, changed = rounds.counted(step, F.count_if("less"))
         now = now.select("id", "on", "scc")
     return now.select("id", "scc")
 
 
-def _core(edges: DataFrame, rounds: Rounds) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(edges, inside, rings): what may lie on a cycle once chains are one node each and nodes without a way in or out are
-    gone; (id, node) of the nodes that stand for others; and (id, scc) of plain rings, by the nodes of that graph.
+def _core(edges: DataFrame, rounds: Rounds) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(edges, inside, rings, loops): what may lie on a cycle of several nodes once chains are one node each and nodes without
+    a way in or out are gone; (id, node) of the nodes that stand for others; (id, scc) of plain rings, by the nodes of that
+    graph; and (id, scc) of nodes on a cycle that became one node, by that node.
 
-    Both are done in turn until nothing changes, so long chains and branching ends go in few rounds."""
-    inside, rings = None, None
+    All are done in turn until nothing changes, so long chains and branching ends go in few rounds. A node that leads to
+    itself is a part found, and the edge goes: parts one after the other are then a chain themselves. Where such a node
+    later turns out to be in a larger part, that is the part of all it stands for.
+    """
+    inside, rings, loops = None, None, None
     while True:
         found = rounds.put(chains(edges))
         ring = rounds.put(_rings(edges, found, rounds))
         rings = ring if rings is None else rings.unionByName(ring)
-        part = found.select(F.col("node").alias("id"), F.col("head").alias("node"))
-        # a chain is entered at its head and left at its tail only, so a cycle through one of its nodes takes them all
-        head = lambda c: part.select(F.col("id").alias(c), F.col("node").alias(f"{c}_now"))
-        rank = found.select(F.col("node").alias("dst"), "rank", F.col("head").alias("h"))
-        left = edges.join(ring.select(F.col("id").alias("src")), "src", "left_anti")
-        left = left.join(head("src"), "src", "left").join(head("dst"), "dst", "left").join(rank, "dst", "left")
-        same = F.coalesce(F.col("src_now") == F.col("dst_now"), F.lit(False)) & (F.col("rank") > 0)  # inside a chain
-        left = rounds.put(left.filter(~same).select(F.coalesce("src_now", "src").alias("src"), F.coalesce("dst_now", "dst").alias("dst")).distinct())
-        if inside is None:
-            inside = part
-        else:
-            moved = inside.join(part.select(F.col("id").alias("node"), F.col("node").alias("now")), "node", "left").select("id", F.coalesce("now", "node").alias("node"))
-            inside = moved.unionByName(part.join(inside.select("id"), "id", "left_anti"))
-        inside = rounds.put(inside)
-        trimmed = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
-        trimmed = trimmed.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+        left = rounds.put(shortened(edges.join(ring.select(F.col("id").alias("src")).hint("merge"), "src", "left_anti"), found))
+        inside = rounds.put(stands_for(inside, found))
+        own = left.filter("src = dst").select(F.col("src").alias("node"))
+        whole = inside.join(own.hint("merge"), "node", "left_semi").select("id", F.col("node").alias("scc"))
+        whole = rounds.put(whole.unionByName(own.select(F.col("node").alias("id"), F.col("node").alias("scc"))).distinct())
+        loops = whole if loops is None else rounds.put(whole.unionByName(loops.join(whole.select("id").hint("merge"), "id", "left_anti")))
         was = edges.count()
-        edges, n = rounds.counted(trimmed, F.count("*"))
+        edges, n = rounds.counted(trimmed(left.filter("src <> dst")), F.count("*"))
         if n == was or not n:
-            return edges, inside, rings
+            return edges, inside, rings, loops
 
 
 def strongly_connected(edges: DataFrame) -> DataFrame:
     """(id, scc) of the nodes that lie on cycles, by the smallest id of their strongly connected part; a node that leads to
     itself lies on one.
 
-    Chains, trees at the ends and rings are settled first (see _core). In what is left every node takes the largest id that
+    Chains, trees at the ends, rings and what becomes one of these are settled first (see _core). In what is left every node takes the largest id that
     leads to it; a node with its own id and all nodes of that colour that lead to it are one part; parts found go, and the
     rest is coloured again. Rounds grow with the longest way in the contracted graph, and each is a join of what changed.
     """
     rounds = Rounds(edges.sparkSession)
     edges = rounds.put(edges.select("src", "dst").distinct())
-    left, inside, found = _core(edges, rounds)
+    left, inside, found, loops = _core(edges, rounds)
     while not left.isEmpty():
         ids = rounds.put(left.select(F.col("src").alias("id")).union(left.select("dst")).distinct())
         colour = rounds.put(ids.select("id", F.col("id").alias("c")))
@@ -84,16 +78,16 @@ def strongly_connected(edges: DataFrame) -> DataFrame:
             back = inner.join(front.select(F.col("id").alias("dst"), "c"), "dst").select(F.col("src").alias("id"), "c").distinct()
             front = rounds.put(back.join(part.select("id"), "id", "left_anti"))
             part = rounds.put(part.unionByName(front))
-        # a part of one node is on a cycle only if it leads to itself
-        own = left.filter("src = dst").select(F.col("src").alias("id"))
+        # edges of one node are gone, so a part of one node is on no cycle
         large = part.groupBy("c").agg(F.count("*").alias("n")).filter("n > 1").select("c")
-        cyclic = part.join(large, "c", "left_semi").unionByName(part.join(large, "c", "left_anti").join(own, "id", "left_semi"), allowMissingColumns=True)
+        cyclic = part.join(large, "c", "left_semi")
         found = rounds.put(found.unionByName(cyclic.select("id", F.col("c").alias("scc"))))
         left = rounds.put(left.join(part.select(F.col("id").alias("src")), "src", "left_anti").join(part.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst"))
-    members = inside.filter("id <> node").join(found.withColumnRenamed("id", "node"), "node").select("id", "scc")
+    members = inside.filter("id <> node").join(found.withColumnRenamed("id", "node").hint("merge"), "node").select("id", "scc")
     whole = rounds.put(found.unionByName(members).distinct())
+    whole = rounds.put(whole.unionByName(loops.join(whole.select("id").hint("merge"), "id", "left_anti")))
     least = whole.groupBy("scc").agg(F.min("id").alias("least"))
-    return whole.join(least, "scc").select("id", F.col("least").alias("scc"))
+    return whole.join(least.hint("merge"), "scc").select("id", F.col("least").alias("scc"))
 
 
 def break_cycles(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -60,3 +60,29 @@ def test_contigs_without_a_walk_of_their_own_leave_the_graph_alone(monkeypatch):
     contigs = [(f"c{i}", [a, b], 20.0) for i, (a, b) in enumerate(zip(ids, ids[1:]))]
     found = strains.extract_component(dict.fromkeys(ids, 30.0), list(zip(ids, ids[1:])), contigs, {})
     assert found == [("c0", ids, 20.0)] and len(seen) < 5
+
+
+def parts_of(pairs):
+    reach = {a: set() for p in pairs for a in p}
+    for a in reach:
+        todo = [a]
+        while todo:
+            x = todo.pop()
+            new = {t for s, t in pairs if s == x} - reach[a]
+            reach[a] |= new
+            todo += new
+    return {f"n{a}": min(f"n{b}" for b in reach[a] if a in reach[b]) for a in reach if a in reach[a]}
+
+
+def test_strong_parts_one_after_the_other_in_few_rounds(spark, written):
+    # each fourth node leads two back, so parts of three nodes follow one another; a ring leads into the second part
+    pairs = [(i, i + 1) for i in range(120)] + [(i, i - 2) for i in range(2, 120, 4)] + [(500, 501), (501, 502), (502, 500), (502, 5), (119, 119)]
+    assert {r.id: r.scc for r in cycles.strongly_connected(edges_of(spark, pairs)).collect()} == parts_of(pairs)
+    assert len(written) < 110
+
+
+def test_strong_parts_inside_larger_ones(spark):
+    rng = random.Random(3)
+    for n, m in ((20, 26), (50, 58), (70, 74)):
+        pairs = sorted({(rng.randrange(n), rng.randrange(n)) for _ in range(m)} | {(i, i) for i in range(0, n, 7)})
+        assert {r.id: r.scc for r in cycles.strongly_connected(edges_of(spark, pairs)).collect()} == parts_of(pairs)
