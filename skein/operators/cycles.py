@@ -67,22 +67,22 @@ def strongly_connected(edges: DataFrame) -> DataFrame:
         colour = rounds.put(ids.select("id", F.col("id").alias("c")))
         front = colour
         while not front.isEmpty():
-            reach = left.join(front.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.max("c").alias("to"))
-            step = rounds.put(colour.join(reach, "id", "left").select("id", F.greatest("c", F.coalesce("to", "c")).alias("c"), (F.col("to") > F.col("c")).alias("more")))
+            reach = left.join(front.withColumnRenamed("id", "src").hint("merge"), "src").groupBy(F.col("dst").alias("id")).agg(F.max("c").alias("to"))
+            step = rounds.put(colour.join(reach.hint("merge"), "id", "left").select("id", F.greatest("c", F.coalesce("to", "c")).alias("c"), (F.col("to") > F.col("c")).alias("more")))
             colour, front = step.select("id", "c"), step.filter("more").select("id", "c")
-        of = lambda c: colour.select(F.col("id").alias(c), F.col("c").alias(f"c_{c}"))
+        of = lambda c: colour.select(F.col("id").alias(c), F.col("c").alias(f"c_{c}")).hint("merge")
         inner = rounds.put(left.join(of("src"), "src").join(of("dst"), "dst").filter("c_src = c_dst").select("src", "dst"))
         part = rounds.put(colour.filter("id = c"))
         front = part
         while not front.isEmpty():
-            back = inner.join(front.select(F.col("id").alias("dst"), "c"), "dst").select(F.col("src").alias("id"), "c").distinct()
-            front = rounds.put(back.join(part.select("id"), "id", "left_anti"))
+            back = inner.join(front.select(F.col("id").alias("dst"), "c").hint("merge"), "dst").select(F.col("src").alias("id"), "c").distinct()
+            front = rounds.put(back.join(part.select("id").hint("merge"), "id", "left_anti"))
             part = rounds.put(part.unionByName(front))
         # edges of one node are gone, so a part of one node is on no cycle
         large = part.groupBy("c").agg(F.count("*").alias("n")).filter("n > 1").select("c")
-        cyclic = part.join(large, "c", "left_semi")
+        cyclic = part.join(large.hint("merge"), "c", "left_semi")
         found = rounds.put(found.unionByName(cyclic.select("id", F.col("c").alias("scc"))))
-        left = rounds.put(left.join(part.select(F.col("id").alias("src")), "src", "left_anti").join(part.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst"))
+        left = rounds.put(left.join(part.select(F.col("id").alias("src")).hint("merge"), "src", "left_anti").join(part.select(F.col("id").alias("dst")).hint("merge"), "dst", "left_anti").select("src", "dst"))
     members = inside.filter("id <> node").join(found.withColumnRenamed("id", "node").hint("merge"), "node").select("id", "scc")
     whole = rounds.put(found.unionByName(members).distinct())
     whole = rounds.put(whole.unionByName(loops.join(whole.select("id").hint("merge"), "id", "left_anti")))

@@ -3,8 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from skein.operators import cycles, graph
+from skein.operators import cycles, graph, reach
 from skein.operators.rounds import Rounds
 from skein.plans import strains
 
@@ -86,3 +87,31 @@ def test_strong_parts_inside_larger_ones(spark):
     for n, m in ((20, 26), (50, 58), (70, 74)):
         pairs = sorted({(rng.randrange(n), rng.randrange(n)) for _ in range(m)} | {(i, i) for i in range(0, n, 7)})
         assert {r.id: r.scc for r in cycles.strongly_connected(edges_of(spark, pairs)).collect()} == parts_of(pairs)
+
+
+@pytest.fixture
+def broadcasts(monkeypatch):
+    """Plans of written tables that take a side of a join through the driver."""
+    seen, put = [], Rounds.put
+
+    def look(self, df):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        if "Broadcast" in plan:
+            seen.append(plan)
+        return put(self, df)
+
+    monkeypatch.setattr(Rounds, "put", look)
+    return seen
+
+
+#: A ring, a way from it, a part with two rings in it and a chain.
+SOME = [(0, 1), (1, 2), (2, 0), (2, 3), (3, 4), (4, 5), (5, 6), (6, 4), (5, 4), (6, 7), (8, 9), (9, 10)]
+
+
+def test_reachability_takes_no_table_through_the_driver(spark, broadcasts):
+    index = reach.reach_index(edges_of(spark, SOME))
+    pairs = spark.createDataFrame([("n0", "n7"), ("n7", "n0"), ("n8", "n10"), ("n4", "n4")], "source string, id string")
+    found = Rounds(spark).put(reach.reaches(index, pairs))
+    assert {(r.source, r.id): r.reached for r in found.collect()} == {("n0", "n7"): True, ("n7", "n0"): False, ("n8", "n10"): True, ("n4", "n4"): True}
+    assert Rounds(spark).put(reach.reached_from(index, pairs.select(F.col("source").alias("id")))).filter("source = 'n8'").count() == 2
+    assert not broadcasts
