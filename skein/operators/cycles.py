@@ -103,20 +103,20 @@ def break_cycles(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFra
     left, removed = whole, None
     while True:
         part = rounds.put(strongly_connected(left))
-        of = lambda c: part.select(F.col("id").alias(c), F.col("scc").alias(f"p_{c}"))
+        of = lambda c: part.select(F.col("id").alias(c), F.col("scc").alias(f"p_{c}")).hint("merge")
         left = rounds.put(left.join(of("src"), "src").join(of("dst"), "dst").filter("p_src = p_dst").select("src", "dst", F.col("p_src").alias("scc")))
         if left.isEmpty():
             break
-        covered = part.join(nodes.select("id", "dp"), "id")
+        covered = part.join(nodes.select("id", "dp").hint("merge"), "id")
         best = covered.groupBy("scc").agg(F.min(F.struct((-F.col("dp")).alias("d"), "id")).alias("x")).select("scc", F.col("x.id").alias("m"))
-        at = left.join(best, "scc").filter("src = m or dst = m").select("src", "dst", "scc", "m")
-        end = lambda c: nodes.select(F.col("id").alias(c), F.col("dp").alias(f"dp_{c}"))
+        at = left.join(best.hint("merge"), "scc").filter("src = m or dst = m").select("src", "dst", "scc", "m")
+        end = lambda c: nodes.select(F.col("id").alias(c), F.col("dp").alias(f"dp_{c}")).hint("merge")
         at = rounds.put(at.join(end("src"), "src").join(end("dst"), "dst"))
         side = at.groupBy("scc").agg(F.max(F.when(F.col("dst") == F.col("m"), F.col("dp_src"))).alias("into"), F.max(F.when(F.col("src") == F.col("m"), F.col("dp_dst"))).alias("out"))
-        gone = at.join(side, "scc").filter(F.when(F.col("into") < F.col("out"), F.col("dst") == F.col("m")).otherwise(F.col("src") == F.col("m"))).select("src", "dst")
+        gone = at.join(side.hint("merge"), "scc").filter(F.when(F.col("into") < F.col("out"), F.col("dst") == F.col("m")).otherwise(F.col("src") == F.col("m"))).select("src", "dst")
         gone = rounds.put(gone)
         removed = gone if removed is None else removed.unionByName(gone)
-        left = rounds.put(left.select("src", "dst").join(gone, ["src", "dst"], "left_anti"))
+        left = rounds.put(left.select("src", "dst").join(gone.hint("merge"), ["src", "dst"], "left_anti"))
     if removed is None:
         return whole, whole.limit(0)
-    return whole.join(removed, ["src", "dst"], "left_anti"), removed
+    return whole.join(removed.hint("merge"), ["src", "dst"], "left_anti"), removed
