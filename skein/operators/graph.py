@@ -253,20 +253,20 @@ def contract(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 def contract_mapped(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """As contract, and (old, new) of every node that is part of a chain now."""
     found = Rounds(nodes.sparkSession).put(chains(edges))
-    parts = found.join(nodes, found["node"] == nodes["id"]).groupBy("head").agg(
+    parts = found.join(nodes.hint("merge"), found["node"] == nodes["id"]).groupBy("head").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col("node").cast("string").alias("n")))), lambda x: x["n"]), "&").alias("new"),
         F.avg("dp").alias("dp"), F.max_by("node", "rank").alias("tail"),
     )
-    alone = nodes.join(found.select(F.col("node").alias("id")), "id", "left_anti")
+    alone = nodes.join(found.select(F.col("node").alias("id")).hint("merge"), "id", "left_anti")
     out = parts.select(F.col("new").alias("id"), "dp").unionByName(alone.select(F.col("id").cast("string"), "dp"))
     tails = parts.select(F.col("tail").alias("src"), F.col("new").alias("s"))
     heads = parts.select(F.col("head").alias("dst"), F.col("new").alias("t"))
     inner = found.select("node", "head", "rank")
-    left = edges.join(inner.select(F.col("node").alias("dst"), F.col("head").alias("h"), "rank"), "dst", "left")
-    left = left.join(inner.select(F.col("node").alias("src"), F.col("head").alias("hs"), F.col("rank").alias("rs")), "src", "left")
+    left = edges.join(inner.select(F.col("node").alias("dst"), F.col("head").alias("h"), "rank").hint("merge"), "dst", "left")
+    left = left.join(inner.select(F.col("node").alias("src"), F.col("head").alias("hs"), F.col("rank").alias("rs")).hint("merge"), "src", "left")
     left = left.filter(~F.coalesce((F.col("h") == F.col("hs")) & (F.col("rank") == F.col("rs") + 1), F.lit(False)))
-    left = left.join(tails, "src", "left").join(heads, "dst", "left")
-    mapped = found.join(parts.select("head", "new"), "head").select(F.col("node").alias("old"), "new")
+    left = left.join(tails.hint("merge"), "src", "left").join(heads.hint("merge"), "dst", "left")
+    mapped = found.join(parts.select("head", "new").hint("merge"), "head").select(F.col("node").alias("old"), "new")
     return out, left.select(F.coalesce("s", F.col("src").cast("string")).alias("src"), F.coalesce("t", F.col("dst").cast("string")).alias("dst")).distinct(), mapped
 
 
