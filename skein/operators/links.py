@@ -43,22 +43,27 @@ def sample_pairs(pairs: DataFrame, ratio: float, seed: int = 0) -> DataFrame:
     return pairs.filter(drawn * ratio < 1 << 32)
 
 
-def read_windows(pairs: DataFrame, k: int) -> DataFrame:
-    """(name, seq): every window of the usable pairs' mates as a read of its own, named pair_mate_position, for an aligner."""
+def read_windows(pairs: DataFrame, k: int, counted: bool = False) -> DataFrame:
+    """(name, seq): every window of the usable pairs' mates as a read of its own, named pair_mate_position, for an aligner. If
+    counted, equal windows of a mate are one read, named by the first, with n, how many they are."""
     reads = usable_pairs(pairs, k)
     reads = reads.select("pair", F.lit(0).alias("mate"), F.col("fseq").alias("seq")).unionAll(reads.select("pair", F.lit(1).alias("mate"), F.col("rseq").alias("seq")))
-    return windows(reads, "seq", k, ["pair", "mate"]).select(F.concat_ws("_", "pair", "mate", "pos").alias("name"), F.col("kmer").alias("seq"))
+    rows = windows(reads, "seq", k, ["pair", "mate"], counted)
+    return rows.select(F.concat_ws("_", "pair", "mate", "pos").alias("name"), F.col("kmer").alias("seq"), *(["n"] if counted else []))
 
 
 def aligned_hits(alignments: DataFrame, pairs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     """hits() from alignments (query, target, start, matches, block) of read_windows to nodes: a window counts where all of
-    its k letters match."""
+    its k letters match. A row with a column times is as many alignments of equal windows, named by the first of each side.
+    They are summed by the mates' names, which are taken apart once for each mate and node."""
     reads = usable_pairs(pairs, k)
     reads = reads.select("pair", F.lit(0).alias("mate"), F.length("fseq").alias("read_len")).unionAll(reads.select("pair", F.lit(1).alias("mate"), F.length("rseq").alias("read_len")))
-    part = F.split("query", "_")
+    times = F.col("times").cast("long") if "times" in alignments.columns else F.lit(1).cast("long")
     found = alignments.filter((F.col("block") == k) & (F.col("matches") == k))
-    found = found.select(part[0].cast("long").alias("pair"), part[1].cast("int").alias("mate"), part[2].cast("int").alias("read_pos"), F.col("target").alias("node"), "start")
-    found = found.groupBy("pair", "mate", "node").agg(F.count("*").alias("hits"), F.min("start").alias("node_pos"), F.min("read_pos").alias("read_pos"))
+    found = found.select(F.substring_index("query", "_", 2).alias("mate_name"), F.substring_index("query", "_", -1).cast("int").alias("read_pos"), F.col("target").alias("node"), "start", times.alias("times"))
+    found = found.groupBy("mate_name", "node").agg(F.sum("times").alias("hits"), F.min("start").alias("node_pos"), F.min("read_pos").alias("read_pos"))
+    part = F.split("mate_name", "_")
+    found = found.select(part[0].cast("long").alias("pair"), part[1].cast("int").alias("mate"), "node", "hits", "node_pos", "read_pos")
     lengths = nodes.select("node", F.length("seq").alias("node_len"))
     return found.join(reads, ["pair", "mate"]).join(lengths, "node").select("pair", "mate", "node", "read_len", "node_len", "hits", "node_pos", "read_pos")
 
