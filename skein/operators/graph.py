@@ -345,9 +345,13 @@ def best_of_sequence(nodes: DataFrame, key: Column | None = None) -> DataFrame:
 
 def neighbour_sets(edges: DataFrame) -> DataFrame:
     """(id, n_both, n_any, n_in_only) of nodes with sources and targets: sizes of the intersection, union and difference of
-    the two sets, by counting each neighbour once, so a node of very many neighbours is no single row."""
-    ends = edges.select(F.col("dst").alias("id"), F.col("src").alias("v"), F.lit(1).alias("i"), F.lit(0).alias("o")).unionAll(edges.select("src", "dst", F.lit(0), F.lit(1)))
-    one = ends.groupBy("id", "v").agg(F.max("i").alias("i"), F.max("o").alias("o"))
+    the two sets, by counting each neighbour once, so a node of very many neighbours is no single row. Two neighbours are
+    one row, whichever way they lead, until they are counted at both."""
+    there, back = F.col("src") <= F.col("dst"), F.col("src") >= F.col("dst")
+    two = edges.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.max(there.cast("int")).alias("ab"), F.max(back.cast("int")).alias("ba"))
+    at = lambda id, i, o: F.struct(F.col(id).alias("id"), F.col(i).alias("i"), F.col(o).alias("o"))
+    first, second = at("a", "ba", "ab"), at("b", "ab", "ba")
+    one = two.select(F.explode(F.when(F.col("a") == F.col("b"), F.array(first)).otherwise(F.array(first, second))).alias("x")).select("x.*")
     rows = one.groupBy("id").agg(F.sum(F.col("i") * F.col("o")).alias("n_both"), F.count("*").alias("n_any"), F.sum(F.col("i") * (1 - F.col("o"))).alias("n_in_only"), F.max("i").alias("i"), F.max("o").alias("o"))
     return rows.filter("i = 1 and o = 1").select("id", "n_both", "n_any", "n_in_only")
 
