@@ -60,33 +60,37 @@ def without_dead(paths: DataFrame, live: DataFrame) -> DataFrame:
 def contained(paths: DataFrame) -> DataFrame:
     """(name, why) of paths to drop: `same` as an earlier one's node set, or `inside` a larger one.
 
-    Equal sets are one first. A set meets only those larger ones that have its rarest node, by an equi-join whose
-    condition also compares sizes and bits of all nodes' hashes; what passes is compared node by node. So a path of n nodes
-    is n rows, and no common node's pairs are formed.
+    Equal sets are one first. A set of one node is inside another if any other has the node. Larger ones meet only those
+    larger sets that have their rarest node, by an equi-join whose condition also compares sizes and bits of all nodes'
+    hashes; what passes is compared node by node. So a path of n nodes is n rows, and no common node's pairs are formed.
     """
+    rounds = Rounds(paths.sparkSession)
+    w = Window.partitionBy("s").orderBy("ord", "name")
     sets = paths.select("name", "ord", F.array_sort(F.array_distinct("path")).alias("s"))
-    first = sets.groupBy("s").agg(F.min(F.struct("ord", "name")).alias("first"))
-    same = sets.join(first, "s").filter(F.col("name") != F.col("first.name")).select("name", F.lit("same").alias("why"))
-    kinds = first.select(F.col("first.name").alias("name"), "s", F.size("s").alias("n"))
-    freq = kinds.select(F.explode("s").alias("id")).groupBy("id").agg(F.count("*").alias("f"))
-    nodes = kinds.select("name", "n", F.explode("s").alias("id"))
-    bit = lambda k: F.bit_or(F.when(F.pmod(F.shiftright(F.xxhash64("id"), 6), F.lit(4)) == k, F.expr("shiftleft(1L, cast(xxhash64(id) & 63 as int))")).otherwise(F.lit(0)))
-    marks = nodes.join(freq, "id").groupBy("name", "n").agg(F.min(F.struct("f", "id")).alias("r"), *[bit(k).alias(f"m{k}") for k in range(4)])
-    marks = Rounds(paths.sparkSession).put(marks.select("name", "n", F.col("r.id").alias("id"), "m0", "m1", "m2", "m3"))
-    x, y = marks.alias("x"), nodes.select("id", "name").join(marks.drop("id"), "name").alias("y")
+    sets = rounds.put(sets.select("name", "s", F.first("name").over(w).alias("first"), F.row_number().over(w).alias("k")))
+    same = sets.filter("s is not null and name <> first").select("name", F.lit("same").alias("why"))
+    kinds = sets.filter("k = 1").select("name", "s", F.size("s").alias("n"))
+    nodes = kinds.select("name", F.explode("s").alias("id"))
+    freq = nodes.groupBy("id").agg(F.count("*").alias("f"))
+    marks = nodes.join(freq, "id").groupBy("name").agg(F.min(F.struct("f", "id")).alias("r"), F.count("*").alias("n"))
+    marks = rounds.put(marks.select("name", "n", "r.f", "r.id"))
+    at = lambda v: F.when(F.pmod(F.shiftright(F.xxhash64(v), 6), F.lit(4)) == k, F.call_function("shiftleft", F.lit(1).cast("long"), F.xxhash64(v).bitwiseAND(63).cast("int"))).otherwise(F.lit(0).cast("long"))
+    bits = []
+    for k in range(4):
+        bits.append(F.aggregate("s", F.lit(0).cast("long"), lambda a, v: a.bitwiseOR(at(v))).alias(f"m{k}"))
+    x = marks.filter("n > 1").select("name", "id").join(kinds, "name").select("name", "id", "s", "n", *bits).alias("x")
+    y = kinds.filter("n > 2").select("name", "s", "n", *bits).select("name", "n", "m0", "m1", "m2", "m3", F.explode("s").alias("id")).alias("y")
     fits = F.col("x.n") < F.col("y.n")
     for k in range(4):
         fits = fits & (F.col(f"x.m{k}").bitwiseAND(F.bitwise_not(F.col(f"y.m{k}"))) == 0)
-    met = x.join(y, (F.col("x.id") == F.col("y.id")) & fits).select(F.col("x.name").alias("name"), F.col("y.name").alias("other"))
-    s, big = kinds.select("name", "s"), kinds.select(F.col("name").alias("other"), F.col("s").alias("big"))
-    met = met.join(s, "name").join(big, "other").filter(F.size(F.array_except("s", "big")) == 0)
-    inside = met.select("name").distinct()
-    copies = sets.join(first.select("s", F.col("first.name").alias("f")), "s").join(inside.withColumnRenamed("name", "f"), "f", "left_semi").select("name")
-    return same.unionByName(copies.join(same, "name", "left_anti").select("name", F.lit("inside").alias("why")))
+    met = x.join(y, (F.col("x.id") == F.col("y.id")) & fits).select(F.col("x.name").alias("name"), "s", F.col("y.name").alias("other"))
+    met = met.join(kinds.select(F.col("name").alias("other"), F.col("s").alias("big")), "other").filter(F.size(F.array_except("s", "big")) == 0)
+    inside = marks.filter("n = 1 and f > 1").select("name").unionByName(met.select("name").distinct())
+    return same.unionByName(inside.select("name", F.lit("inside").alias("why")))
 
 
 def deduplicated(paths: DataFrame) -> DataFrame:
-    return paths.join(contained(paths).select("name"), "name", "left_anti")
+    return paths.join(contained(paths).select("name").hint("merge"), "name", "left_anti")
 
 
 def expand_repeats(strains: DataFrame, counts: DataFrame) -> DataFrame:
